@@ -58,16 +58,28 @@ def preview(c: Column, n: int) -> Column:
     return F.substring(c, 1, n)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once per row, however often ``body`` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def price_hints(text: Column, limit: int = 15) -> Column:
     """First distinct (ignoring case) price-like lines of 4 to 180 characters."""
     lines = F.filter(
         F.split(visible_text(F.coalesce(text, F.lit(""))), "\n"),
         lambda s: (F.length(s) >= 4) & (F.length(s) <= 180) & s.rlike(_PRICE_LINE),
     )
-    return F.transform(
-        F.slice(F.array_distinct(F.transform(lines, F.lower)), 1, limit),
-        lambda low: F.element_at(lines, F.array_position(F.transform(lines, F.lower), low).cast("int")),
-    )
+
+    def first_of_each(found: Column) -> Column:
+        return _let(
+            F.transform(found, F.lower),
+            lambda low: F.transform(
+                F.slice(F.array_distinct(low), 1, limit),
+                lambda key: F.element_at(found, F.array_position(low, key).cast("int")),
+            ),
+        )
+
+    return _let(lines, first_of_each)
 
 
 def price_number(price: Column) -> Column:
