@@ -6,6 +6,7 @@ import html
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 from siftline import constants as K
 from siftline.functions.text import utrim, visible_text
@@ -14,7 +15,7 @@ _BLOCKS = r"(?is)<(" + "|".join(K.DROPPED_TAGS) + r")\b[^>]*>.*?</\1\s*>|<!--.*?
 _TAGS = r"(?s)<[!/a-zA-Z][^>]*>"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decode_entities(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 

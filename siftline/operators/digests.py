@@ -8,7 +8,7 @@ from siftline import constants as K
 from siftline.functions.messages import message_text
 from siftline.operators.evidence import distinct_sources, note_priority
 from siftline.operators.ordered import salted_join, top_k
-from siftline.operators.shortlist import URL_ORDER
+from siftline.operators.shortlist import url_order
 from siftline.operators.tactics import is_stale
 
 MIN_NOTE_LINE = 7
@@ -88,7 +88,7 @@ def session_handoff(notes: DataFrame, sessions: DataFrame, max_chars: int = 2500
 
 def shortlist_digest(merged: DataFrame, urls: DataFrame, max_chars: int = 6000) -> DataFrame:
     """Numbered shortlist per run: at most four URLs and 200 characters of details per candidate."""
-    best = top_k(urls, ["run_id", "name_key"], URL_ORDER, 4, "url", rank="_r")
+    best = top_k(urls, ["run_id", "name_key"], url_order(), 4, "url", rank="_r")
     listed = best.groupBy("run_id", "name_key").agg(F.array_sort(F.collect_list(F.struct("_r", "url"))).alias("_u"))
     body = F.concat(
         F.lit(". "), "name", F.lit(" | match="), F.coalesce(F.nullif("match_status", F.lit("")), F.lit("?")),

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from siftline import constants as K
 from siftline.functions import urls as U
-from siftline.operators.ordered import running, salted_join, top_k
+from siftline.operators.ordered import BLOCK_ROWS, salted_join, top_k
+
+COLUMNS = ["domain", "param_names", "path_hints", "example_urls", "success_count", "last_verified", "pos"]
 
 
 def search_url_rows(visits: DataFrame, url: str = "url") -> DataFrame:
@@ -28,143 +30,148 @@ def search_url_rows(visits: DataFrame, url: str = "url") -> DataFrame:
     )
 
 
-def _ordered_list(rows: DataFrame, value: str, order: list[str], out: str) -> DataFrame:
-    """Values per domain as a list in the given order (rows are already cut to a few per domain)."""
-    items = F.array_sort(F.collect_list(F.struct(*order, value)))
-    return rows.groupBy("domain").agg(F.transform(items, lambda x: x[value]).alias(out))
-
+PARAM, PATH, EXAMPLE = "param", "path", "example"
+SLOTS = {PATH: K.KEPT_PATHS, EXAMPLE: K.KEPT_EXAMPLES}
 
-def _slots(rows: DataFrame, value: str, slots: int, seeds: DataFrame | None = None) -> DataFrame:
-    """``domain, items``: a list with ``slots`` places, newest first, where only absent values enter.
 
-    While a domain has at most ``slots`` distinct values nothing is ever pushed out, and the list is its
-    distinct values by first appearance, newest first. Only domains beyond that depend on the full order.
-    """
-    firsts = rows.groupBy("domain", value).agg(F.min("seq").alias("first_seen"))
-    if seeds is not None:
-        held = seeds.select("domain", F.posexplode("items").alias("_p", value)).select(
-            "domain", value, (-F.col("_p") - 1).cast("long").alias("first_seen")
-        )
-        firsts = firsts.unionByName(held).groupBy("domain", value).agg(F.min("first_seen").alias("first_seen"))
-    counts = firsts.groupBy("domain").agg(F.count(F.lit(1)).alias("_n"))
-    small = counts.filter(F.col("_n") <= slots).select("domain")
-    large = counts.filter(F.col("_n") > slots).select("domain")
-    closed = _ordered_list(
-        firsts.join(small, "domain").withColumn("_age", -F.col("first_seen")), value, ["_age"], "items"
+def _values(rows: DataFrame) -> DataFrame:
+    """``domain, kind, value, seq, p``: parameter names, path and template of every row, one row each."""
+    kinds = F.concat(
+        F.transform("names", lambda n, i: F.struct(F.lit(PARAM).alias("kind"), n.alias("value"), i.alias("p"))),
+        F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("value"), F.lit(0).alias("p")) for k, c in ((PATH, "path"), (EXAMPLE, "template"))]),
     )
-    busy = salted_join(rows.select("domain", "seq", F.col(value).alias("value")), large, ["domain"], "seq", "left_semi")
-    return closed.unionByName(replay_slots(busy, slots, seeds))
+    return rows.select("domain", "seq", F.explode(kinds).alias("_v")).select("domain", "seq", "_v.*")
 
 
-def replay_slots(rows: DataFrame, slots: int, seeds: DataFrame | None = None) -> DataFrame:
-    """Exact slot lists for domains that push values out.
+def replay_slots(values: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+    """Exact slot lists (``domain, kind, items``) for domains that push values out.
 
-    Immediate repeats change nothing and are dropped first, block by block. What is left is read in order as
-    a sorted stream; a task holds one list of ``slots`` values at a time, never a domain's rows.
+    Immediate repeats change nothing; they are dropped inside blocks of ``seq`` first. What is left is read in
+    order as a sorted stream: a task holds one list of a few values at a time, never a domain's rows.
     """
-    changes = running(rows, ["domain"], "seq", lags={"_before": F.col("value")})
-    changes = changes.filter(F.col("_before").isNull() | (F.col("_before") != F.col("value"))).select("domain", "seq", "value")
-    if seeds is not None:
-        oldest_first = seeds.select("domain", F.posexplode(F.reverse("items")).alias("_p", "value"))
-        held = oldest_first.select("domain", (F.col("_p") - (1 << 20)).cast("long").alias("seq"), "value")
-        changes = changes.unionByName(held.join(changes.select("domain").distinct(), "domain", "left_semi"))
+    block = W.partitionBy("domain", "kind", F.expr(f"seq div {BLOCK_ROWS}")).orderBy("seq")
+    changes = (
+        values.select("domain", "kind", "seq", "value", F.lag("value").over(block).alias("_before"))
+        .filter(F.col("_before").isNull() | (F.col("_before") != F.col("value")))
+        .drop("_before")
+    )
+    if prior is not None:
+        changes = changes.unionByName(prior.select("domain", "kind", "seq", "value"))
+    slots = dict(SLOTS)
 
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        domain, held = None, []
+        at, held = None, []
         for batch in batches:
-            done: list[tuple[str, list[str]]] = []
-            for d, v in zip(batch["domain"], batch["value"]):
-                if d != domain:
-                    if domain is not None:
-                        done.append((domain, held))
-                    domain, held = d, []
-                if v not in held:
-                    held = [v, *held][:slots]
-            yield pd.DataFrame(done, columns=["domain", "items"])
-        if domain is not None:
-            yield pd.DataFrame([(domain, held)], columns=["domain", "items"])
-
-    ordered = changes.repartition("domain").sortWithinPartitions("domain", "seq")
-    return ordered.mapInPandas(replay, "domain string, items array<string>")
+            done = []
+            for domain, kind, value in zip(batch["domain"], batch["kind"], batch["value"]):
+                if (domain, kind) != at:
+                    if at is not None:
+                        done.append((*at, held))
+                    at, held = (domain, kind), []
+                if value not in held:
+                    held = [value, *held][: slots[kind]]
+            yield pd.DataFrame(done, columns=["domain", "kind", "items"])
+        if at is not None:
+            yield pd.DataFrame([(*at, held)], columns=["domain", "kind", "items"])
+
+    ordered = changes.repartition("domain", "kind").sortWithinPartitions("domain", "kind", "seq")
+    return ordered.mapInPandas(replay, "domain string, kind string, items array<string>")
+
+
+def _prior_values(prior: DataFrame) -> DataFrame:
+    """Stored lists as values that precede every event, the oldest first."""
+    listed = lambda c, kind, sign: prior.select(
+        "domain", F.lit(kind).alias("kind"), F.posexplode(c).alias("_i", "value")
+    ).select("domain", "kind", "value", (sign * F.col("_i") - (1 << 20)).cast("long").alias("seq"), F.lit(0).alias("p"))
+    return (
+        listed("param_names", PARAM, 1).unionByName(listed("path_hints", PATH, -1)).unionByName(listed("example_urls", EXAMPLE, -1))
+    )
 
 
 def learn_patterns(visits: DataFrame, prior: DataFrame | None = None, url: str = "url") -> DataFrame:
-    """URL patterns per domain from visited URLs (``seq, ts, url``), on top of ``prior`` ones when given."""
+    """URL patterns per domain from visited URLs (``seq, ts, url``), on top of ``prior`` ones when given.
+
+    Parameter names append, so their first appearances decide. Paths and templates live in lists with a fixed
+    number of places, newest first, where only absent values enter: while a domain has no more distinct values
+    than places nothing is pushed out, and the list is the first appearances backwards. Only domains beyond
+    that depend on the full order and are replayed.
+    """
     rows = search_url_rows(visits, url).select("seq", "ts", "domain", "names", "path", "template")
     totals = rows.groupBy("domain").agg(
         F.count(F.lit(1)).alias("success_count"), F.max_by("ts", "seq").alias("last_verified"), F.min("seq").alias("pos")
     )
-    params = (
-        rows.select("domain", "seq", F.posexplode("names").alias("_p", "name"))
-        .groupBy("domain", "name")
-        .agg(F.min(F.struct("seq", "_p")).alias("_at"))
-        .select("domain", "name", F.col("_at.seq").alias("seq"), F.col("_at._p").alias("_p"))
+    values = _values(rows)
+    held = _prior_values(prior) if prior is not None else None
+    firsts = (values if held is None else values.unionByName(held)).groupBy("domain", "kind", "value").agg(
+        F.min(F.struct("seq", "p")).alias("at")
     )
-    seeds = None
-    if prior is not None:
-        seeds = prior.select("domain", "param_names", "path_hints", "example_urls")
-        held = prior.select("domain", F.posexplode("param_names").alias("_p", "name")).select(
-            "domain", "name", F.lit(-1).cast("long").alias("seq"), "_p"
-        )
-        params = (
-            params.unionByName(held).groupBy("domain", "name").agg(F.min(F.struct("seq", "_p")).alias("_at"))
-            .select("domain", "name", F.col("_at.seq").alias("seq"), F.col("_at._p").alias("_p"))
-        )
-    kept = top_k(params, ["domain"], [F.asc("seq"), F.asc("_p")], K.KEPT_PARAMS, "name")
-    names = _ordered_list(kept, "name", ["seq", "_p"], "param_names")
-    seed = lambda c: None if seeds is None else seeds.select("domain", F.col(c).alias("items"))
-    paths = _slots(rows, "path", K.KEPT_PATHS, seed("path_hints")).withColumnRenamed("items", "path_hints")
-    examples = _slots(rows, "template", K.KEPT_EXAMPLES, seed("example_urls")).withColumnRenamed("items", "example_urls")
-    empty = F.array().cast("array<string>")
-    new = totals.join(names, "domain", "full").join(paths, "domain", "full").join(examples, "domain", "full")
-    if prior is not None:
-        old = prior.select("domain", F.col("success_count").alias("_n"), F.col("last_verified").alias("_last"), F.col("pos").alias("_pos"))
-        new = new.join(old, "domain", "full").withColumns(
+    few = top_k(firsts, ["domain", "kind"], [F.asc("at")], K.KEPT_PARAMS, "value")
+    lists = few.groupBy("domain", "kind").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]).alias("items")
+    )
+    slots = F.when(F.col("kind") == PATH, SLOTS[PATH]).when(F.col("kind") == EXAMPLE, SLOTS[EXAMPLE])
+    over = F.coalesce(F.size("items") > slots, F.lit(False))
+    busy = lists.filter(over).select("domain", "kind")
+    replayed = replay_slots(
+        salted_join(values.filter(F.col("kind") != PARAM), busy, ["domain", "kind"], "seq", "left_semi"),
+        None if held is None else held.join(busy, ["domain", "kind"], "left_semi"),
+    )
+    closed = lists.filter(~over).withColumn("items", F.when(F.col("kind") == PARAM, F.col("items")).otherwise(F.reverse("items")))
+    pick = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("items"))), F.array().cast("array<string>"))
+    found = closed.unionByName(replayed).groupBy("domain").agg(
+        pick(PARAM).alias("param_names"), pick(PATH).alias("path_hints"), pick(EXAMPLE).alias("example_urls")
+    )
+    if prior is None:
+        return totals.join(found, "domain").select(*COLUMNS)
+    old = prior.select("domain", F.col("success_count").alias("_n"), F.col("last_verified").alias("_last"), F.col("pos").alias("_pos"))
+    return (
+        found.join(totals, "domain", "left")
+        .join(old, "domain", "left")
+        .withColumns(
             {
                 "success_count": F.coalesce("success_count", F.lit(0)) + F.coalesce("_n", F.lit(0)),
                 "last_verified": F.coalesce("last_verified", "_last"),
                 "pos": F.coalesce("_pos", "pos"),
             }
         )
-    return new.select(
-        "domain",
-        F.coalesce("param_names", empty).alias("param_names"),
-        F.coalesce("path_hints", empty).alias("path_hints"),
-        F.coalesce("example_urls", empty).alias("example_urls"),
-        "success_count", "last_verified", "pos",
+        .select(*COLUMNS)
     )
 
 
 def match_patterns(hosts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Pattern key per distinct ``host``: the host itself, else the earliest stored parent or child domain."""
-    distinct = hosts.select("host").filter(F.col("host") != "").distinct()
-    stored = patterns.select(F.col("domain").alias("pattern_key"), "pos")
-    parents = (
-        distinct.select("host", F.explode(U.host_suffixes(F.col("host"))).alias("pattern_key"))
-        .join(stored, "pattern_key")
-        .select("host", "pattern_key", "pos")
+    """Pattern per distinct ``host``: its own, else the earliest stored one of a parent or child domain.
+
+    Both directions are equi-joins: a parent matches one of the host's suffixes, a child has the host among
+    its own suffixes. ``by`` keeps the two apart, so patterns are read once.
+    """
+    suffix = lambda c: U.host_suffixes(F.col(c))
+    pair = lambda by, k: F.struct(F.lit(by).alias("by"), k.alias("k"))
+    stored = (
+        patterns.select(
+            F.struct(F.col("domain").alias("pattern_key"), "param_names", "path_hints").alias("pattern"), "pos",
+            F.explode(
+                F.concat(F.array(pair("parent", F.col("domain"))), F.transform(F.slice(suffix("domain"), 2, 1 << 20), lambda x: pair("child", x)))
+            ).alias("_m"),
+        )
+        .groupBy("_m")
+        .agg(F.min_by("pattern", "pos").alias("pattern"), F.min("pos").alias("pos"))
     )
-    first_child = (
-        stored.select("pattern_key", "pos", F.explode(U.host_suffixes(F.col("pattern_key"))).alias("host"))
-        .filter(F.col("host") != F.col("pattern_key"))
-        .groupBy("host")
-        .agg(F.min_by("pattern_key", "pos").alias("pattern_key"), F.min("pos").alias("pos"))
+    wanted = hosts.select("host").filter(F.col("host") != "").distinct().select(
+        "host",
+        F.explode(F.concat(F.array(pair("child", F.col("host"))), F.transform(suffix("host"), lambda x: pair("parent", x)))).alias("_m"),
     )
-    children = distinct.join(first_child, "host").select("host", "pattern_key", "pos")
     return (
-        parents.unionByName(children)
+        wanted.join(stored, "_m")
         .groupBy("host")
-        .agg(F.min_by("pattern_key", F.struct(F.col("pattern_key") != F.col("host"), "pos")).alias("pattern_key"))
+        .agg(F.min_by("pattern", F.struct(F.col("pattern.pattern_key") != F.col("host"), "pos")).alias("pattern"))
+        .select("host", "pattern.*")
     )
 
 
 def with_pattern(events: DataFrame, patterns: DataFrame, url: str = "arg_url") -> DataFrame:
     """Events with their host and the matching pattern's lists."""
     keyed = events.withColumn("host", U.host_key(F.col(url)))
-    found = match_patterns(keyed, patterns).join(
-        patterns.select(F.col("domain").alias("pattern_key"), "param_names", "path_hints"), "pattern_key"
-    )
-    return salted_join(keyed, found, ["host"], "seq", "left")
+    return salted_join(keyed, match_patterns(keyed, patterns), ["host"], "seq", "left")
 
 
 def reject_root_opens(attempts: DataFrame, patterns: DataFrame) -> DataFrame:

@@ -145,7 +145,8 @@ def candidate_urls(rows: DataFrame) -> DataFrame:
     )
 
 
-URL_ORDER = [F.desc("detail"), F.desc("path_chars"), F.asc("first_seen")]
+def url_order() -> list[Column]:
+    return [F.desc("detail"), F.desc("path_chars"), F.asc("first_seen")]
 
 
 def shortlist_items(merged: DataFrame, urls: DataFrame) -> DataFrame:

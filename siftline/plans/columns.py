@@ -18,7 +18,8 @@ def _add(name: str, query, sql: str | None = None) -> None:
         ORACLES[name] = sql
 
 
-_u = F.col("url")
+def _u():
+    return F.col("url")
 
 # --- URLs -----------------------------------------------------------------------------------------
 # SQL helpers: authority, path and query of a URL cut with plain string functions.
@@ -38,20 +39,20 @@ def _url_sql(src: str, body: str, tables: list[str] | None = None) -> str:
 
 _add(
     "url_domain_key",
-    lambda s, d: T.url_variants(s, d).select("seq", U.domain_key(_u).alias("domain"), U.netloc_key(_u).alias("netloc")),
+    lambda s, d: T.url_variants(s, d).select("seq", U.domain_key(_u()).alias("domain"), U.netloc_key(_u()).alias("netloc")),
     _url_sql("url_variants", r"""
 SELECT seq, regexp_replace(CASE WHEN contains(u, '://') THEN lower(auth) ELSE lower(trim(u)) END, '^www\.', '') AS domain,
   regexp_replace(lower(auth), '^www\.', '') AS netloc FROM cut"""),
 )
 _add(
     "url_host_key",
-    lambda s, d: T.url_variants(s, d).select("seq", U.host_key(_u).alias("host")),
+    lambda s, d: T.url_variants(s, d).select("seq", U.host_key(_u()).alias("host")),
     _url_sql("url_variants", r"""
 SELECT seq, regexp_replace(lower(split_part(list_last(string_split(auth, '@')), ':', 1)), '^www\.', '') AS host FROM cut"""),
 )
 _add(
     "url_root_page",
-    lambda s, d: T.url_variants(s, d).filter(_u.isNotNull()).select("seq", U.is_root_page(_u).alias("is_root")),
+    lambda s, d: T.url_variants(s, d).filter(_u().isNotNull()).select("seq", U.is_root_page(_u()).alias("is_root")),
     _url_sql("url_variants", r"""
 SELECT seq, q = '' AND (p IN ('/', '/nl', '/en', '/fr', '/de', '/be', '/nl-be', '/fr-be')
    OR (length(p) <= 4 AND length(p) - length(replace(p, '/', '')) <= 1)) AS is_root
@@ -59,21 +60,21 @@ FROM (SELECT seq, q, CASE WHEN rtrim(path, '/') = '' THEN '/' ELSE rtrim(path, '
 )
 _add(
     "url_search_page",
-    lambda s, d: T.url_variants(s, d).filter(_u.isNotNull()).select("seq", U.is_search_page(_u).alias("is_search")),
+    lambda s, d: T.url_variants(s, d).filter(_u().isNotNull()).select("seq", U.is_search_page(_u()).alias("is_search")),
     _url_sql("url_variants", r"""
 SELECT seq, contains(q, '=') OR regexp_matches(lower(path), '/zoeken|/search|/results|/vakantie/|/all-inclusive|/serp|/find') AS is_search
 FROM cut WHERE url IS NOT NULL"""),
 )
 _add(
     "url_specificity",
-    lambda s, d: T.search_urls(s, d).select("seq", U.detail_flag(_u).alias("detail"), U.detail_length(_u).alias("path_chars")),
+    lambda s, d: T.search_urls(s, d).select("seq", U.detail_flag(_u()).alias("detail"), U.detail_length(_u()).alias("path_chars")),
     T.with_tables(["search_urls"], r"""
 SELECT seq, CASE WHEN regexp_matches(lower(url), '/zoeken|/search|/results|/vakanties\?|sort=|offset=|limit=') THEN 0 ELSE 1 END AS detail,
   length(split_part(lower(url), '?', 1)) AS path_chars FROM search_urls"""),
 )
 _add(
     "url_param_names",
-    lambda s, d: T.url_variants(s, d).filter(_u.isNotNull()).select("seq", F.array_join(U.param_names(U.url_query(_u)), "|").alias("names")),
+    lambda s, d: T.url_variants(s, d).filter(_u().isNotNull()).select("seq", F.array_join(U.param_names(U.url_query(_u())), "|").alias("names")),
     _url_sql("url_variants", r"""
 SELECT seq, coalesce((SELECT string_agg(n, '|' ORDER BY i) FROM (
     SELECT n, min(i) AS i FROM (
@@ -84,8 +85,8 @@ FROM cut WHERE url IS NOT NULL"""),
 _add(
     "search_url_gate",
     lambda s, d: T.search_urls(s, d)
-    .withColumn("names", U.param_names(U.url_query(_u)))
-    .select("seq", U.is_learnable_search_url(_u, F.col("names")).alias("learnable"), U.mentions_search(_u).alias("mentions_search")),
+    .withColumn("names", U.param_names(U.url_query(_u())))
+    .select("seq", U.is_learnable_search_url(_u(), F.col("names")).alias("learnable"), U.mentions_search(_u()).alias("mentions_search")),
     _url_sql("search_urls", r"""
 SELECT seq, starts_with(url, 'http') AND auth <> '' AND (q <> '' OR contains(path, '/zoeken') OR contains(lower(path), '/search'))
    AND (regexp_matches(path, '(?i)/(zoeken|search|results?)/?') OR len(list_filter(string_split(q, '&'), lambda x: regexp_matches(lower(url_decode(split_part(x, '=', 1))),
@@ -95,7 +96,7 @@ FROM cut"""),
 )
 _add(
     "search_url_template",
-    lambda s, d: T.search_urls(s, d).select("seq", U.search_template(_u, U.param_names(U.url_query(_u))).alias("template")),
+    lambda s, d: T.search_urls(s, d).select("seq", U.search_template(_u(), U.param_names(U.url_query(_u()))).alias("template")),
     _url_sql("search_urls", r"""
 SELECT seq, split_part(url, '://', 1) || '://' || auth || CASE WHEN path = '' THEN '/' ELSE path END ||
   CASE WHEN q = '' THEN '' ELSE '?' || array_to_string(list_transform(string_split(q, '&'), lambda x: url_decode(split_part(x, '=', 1)) || '=…'), '&') END AS template
@@ -103,10 +104,9 @@ FROM cut"""),
 )
 
 # --- text -----------------------------------------------------------------------------------------
-_query = TX.search_query(F.col("text"))
 _add(
     "search_query_keywords",
-    lambda s, d: T.read(s, d, "documents").select("doc_id", _query.alias("q")).select("doc_id", "q.query", "q.warning"),
+    lambda s, d: T.spread(T.read(s, d, "documents"), "doc_id").select("doc_id", TX.search_query(F.col("text")).alias("q")).select("doc_id", "q.query", "q.warning"),
     r"""
 WITH t AS (SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS q FROM documents),
 w AS (SELECT doc_id, q, regexp_split_to_array(q, '\s+') AS words FROM t),
@@ -131,7 +131,7 @@ page_text AS (SELECT page_id, trim(t) AS title, """ + _VISIBLE_SQL.format(c="b")
 
 def page_texts(s, d):
     html = F.col("html")
-    return T.read(s, d, "pages").select("page_id", "url", H.page_title(html).alias("title"), H.page_text(html).alias("text"))
+    return T.spread(T.read(s, d, "pages"), "page_id").select("page_id", "url", H.page_title(html).alias("title"), H.page_text(html).alias("text"))
 
 
 _add("page_scan", lambda s, d: T.read(s, d, "pages").select("page_id", "url", F.length("html").alias("html_chars")),
@@ -140,12 +140,12 @@ _add("html_title_text", lambda s, d: page_texts(s, d).select("page_id", "title",
      f"WITH {_HTML_SQL} SELECT page_id, title, text FROM page_text")
 _add(
     "visible_text",
-    lambda s, d: T.read(s, d, "documents").select("doc_id", TX.visible_text(F.col("text")).alias("text")),
+    lambda s, d: T.spread(T.read(s, d, "documents"), "doc_id").select("doc_id", TX.visible_text(F.col("text")).alias("text")),
     f"SELECT doc_id, {_VISIBLE_SQL.format(c='text')} AS text FROM documents",
 )
 _add(
     "truncate_markers",
-    lambda s, d: T.read(s, d, "documents").select(
+    lambda s, d: T.spread(T.read(s, d, "documents"), "doc_id").select(
         "doc_id", TX.cut_page(F.col("text")).alias("page"), TX.cut_body(F.col("text"), F.lit(4000)).alias("body"), TX.cut_other(F.col("text")).alias("other")
     ),
     r"""
@@ -166,7 +166,7 @@ SELECT id, coalesce(string_agg(line, ' || ' ORDER BY i), '') AS hints, count(lin
 
 
 def _hint_texts(s, d):
-    docs = T.read(s, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text")
+    docs = T.spread(T.read(s, d, "documents"), "doc_id").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text")
     return T.listings(s, d).select(F.concat(F.lit("l"), F.col("listing_id").cast("string")).alias("id"), "text").unionByName(docs)
 
 
@@ -290,7 +290,7 @@ SELECT o_orderkey, greatest(8, greatest(80 - o_custkey % 90 - 4, 8 * greatest(o_
 # --- documents and lines as sources -----------------------------------------------------------------
 _add(
     "task_texts",
-    lambda s, d: T.read(s, d, "documents").select("doc_id", TX.utrim(F.concat(F.lit("\n  "), "text", F.lit(" \n"))).alias("task")),
+    lambda s, d: T.spread(T.read(s, d, "documents"), "doc_id").select("doc_id", TX.utrim(F.concat(F.lit("\n  "), "text", F.lit(" \n"))).alias("task")),
     f"SELECT doc_id, trim(text, {_WS}) AS task FROM documents",
 )
 

@@ -119,7 +119,6 @@ SELECT seq, url, coalesce(l.preferred_tool = 'browser_open', false) AS rerouted,
 FROM keyed k JOIN lookup l USING (domain) WHERE tool = 'web_fetch'""",
                   {"tactics": TACTICS_SQL, "keyed": f"SELECT *, {_DOMAIN.format(c='url')} AS domain FROM tool_events", "lookup": LOOKUP_SQL}),
 )
-_as_of = F.lit(AS_OF).cast("timestamp_ntz")
 _add(
     "tactic_staleness",
     lambda s, d: tactics(s, d).select("domain", "last_verified", TC.is_stale(F.col("last_verified"), F.lit("2024-02-28 12:00:00").cast("timestamp_ntz")).alias("stale")),
@@ -180,7 +179,7 @@ _add(
 )
 _add(
     "memory_digest",
-    lambda s, d: DG.memory_digest(tactics(s, d), patterns(s, d), strategies(s, d), _as_of),
+    lambda s, d: DG.memory_digest(tactics(s, d), patterns(s, d), strategies(s, d), F.lit(AS_OF).cast("timestamp_ntz")),
     T.with_tables(["tool_events", "search_urls", "stored_strategies"], f"""
 SELECT '### Learned site tactics (prefer these tools)' || chr(10) || (SELECT string_agg(line, chr(10) ORDER BY last_verified DESC, pos) FROM (
     SELECT last_verified, pos, '- ' || domain || ': prefer `' || preferred_tool || '` (' || reason || ')' ||

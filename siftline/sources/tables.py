@@ -16,6 +16,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores before heavy per-row work, only where the scan has fewer splits than cores.
+
+    A large table has more splits than cores and is left as it is: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def _n(df: DataFrame) -> Column:
     return df.agg(F.count(F.lit(1)).alias("n")).scalar()
 
@@ -27,7 +36,7 @@ def _div(c: str, n: int) -> Column:
 def _event_pages(spark: SparkSession, d: str, key: Column | None = None) -> DataFrame:
     pages = read(spark, d, "pages").select("page_id", "url")
     key = F.col("event_id") if key is None else key
-    return read(spark, d, "events").withColumn("page_id", key % _n(pages)).join(pages, "page_id")
+    return spread(read(spark, d, "events"), "event_id").withColumn("page_id", key % _n(pages)).join(pages, "page_id")
 
 
 def _event_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -35,7 +44,8 @@ def _event_documents(spark: SparkSession, d: str) -> DataFrame:
     return _event_pages(spark, d).withColumn("doc_id", F.col("event_id") % _n(docs)).join(docs, "doc_id")
 
 
-_E = F.col("event_id")
+def _e() -> Column:
+    return F.col("event_id")
 
 
 def _tool(kind: str = "event_type") -> Column:
@@ -54,16 +64,16 @@ _TOOL_SQL = """CASE e.event_type WHEN 'view' THEN 'web_fetch' WHEN 'error' THEN
 
 def tool_events(spark: SparkSession, d: str) -> DataFrame:
     """Tool-event log: three pages in three variants per session."""
-    rows = _event_pages(spark, d, F.col("user_id") * 13 + _E % 3)
+    rows = _event_pages(spark, d, F.col("user_id") * 13 + _e() % 3)
     url = F.concat("url", F.lit("/v"), (_div("event_id", 3) % 3).cast("string"))
     kind = F.col("event_type")
     return rows.select(
-        _E.alias("seq"), "ts", (F.col("user_id") % 10).alias("run_id"), F.col("user_id").alias("session_id"),
+        _e().alias("seq"), "ts", (F.col("user_id") % 10).alias("run_id"), F.col("user_id").alias("session_id"),
         _tool().alias("tool"), url.alias("url"), F.when(kind.isin("view", "error", "signup"), url).alias("arg_url"),
         (kind != "error").alias("ok"), (kind == "error").alias("blocked"),
         F.when(kind == "error", "403 Forbidden/Unauthorized").alias("error"), F.col("value").alias("duration_ms"),
-        F.when(_E % 4 == 0, F.array().cast("array<string>"))
-        .otherwise(F.array(F.concat(F.lit("€ "), (_E % 3).cast("string")))).alias("price_hints"),
+        F.when(_e() % 4 == 0, F.array().cast("array<string>"))
+        .otherwise(F.array(F.concat(F.lit("€ "), (_e() % 3).cast("string")))).alias("price_hints"),
     )
 
 
@@ -123,10 +133,10 @@ def attempts(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL["attempts"] = r"""
-SELECT * REPLACE (
+SELECT * EXCLUDE (t, opened) REPLACE (
   t AS tool,
   CASE WHEN t = 'browser_open' THEN opened END AS arg_url,
-  CASE WHEN error IS NOT NULL THEN '' WHEN t = 'browser_open' THEN opened ELSE url END AS url) EXCLUDE (t, opened)
+  CASE WHEN error IS NOT NULL THEN '' WHEN t = 'browser_open' THEN opened ELSE url END AS url)
 FROM (SELECT *, CASE WHEN seq % 3 = 0 THEN 'browser_open' ELSE tool END AS t,
         CASE seq % 5 WHEN 0 THEN regexp_extract(url, '^(https?://[^/]+)', 1) || '/'
           WHEN 1 THEN regexp_extract(url, '^(https?://[^/]+)', 1) || '/search?checkin=' || CAST(seq % 7 AS VARCHAR)
@@ -137,29 +147,29 @@ FROM (SELECT *, CASE WHEN seq % 3 = 0 THEN 'browser_open' ELSE tool END AS t,
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     """Candidate mentions with every rejection arm and unparseable prices."""
     part = read(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_brand", "p_retailprice")
-    rows = _event_pages(spark, d).withColumn("p_partkey", _E % _n(part)).join(part, "p_partkey")
+    rows = _event_pages(spark, d).withColumn("p_partkey", _e() % _n(part)).join(part, "p_partkey")
     whole = F.floor("p_retailprice").cast("long").cast("string")
     name = (
-        F.when(_E % 4 == 0, F.concat(F.lit("Hotel "), "p_name"))
-        .when(_E % 4 == 1, F.upper("p_name"))
-        .when(_E % 4 == 2, F.concat(F.lit("The "), "p_name", F.lit(" Resort")))
+        F.when(_e() % 4 == 0, F.concat(F.lit("Hotel "), "p_name"))
+        .when(_e() % 4 == 1, F.upper("p_name"))
+        .when(_e() % 4 == 2, F.concat(F.lit("The "), "p_name", F.lit(" Resort")))
         .otherwise(F.col("p_name"))
     )
     price = (
-        F.when(_E % 97 == 0, "op aanvraag")
-        .when((_E % 97).isin(1, 2), F.lit(None))
-        .when(_E % 2 == 0, F.concat(F.lit("€ "), whole))
+        F.when(_e() % 97 == 0, "op aanvraag")
+        .when((_e() % 97).isin(1, 2), F.lit(None))
+        .when(_e() % 2 == 0, F.concat(F.lit("€ "), whole))
         .otherwise(F.concat(whole, F.lit(",50 EUR")))
     )
     empty = F.array().cast("array<string>")
     return rows.select(
-        _E.alias("seq"), "ts", (F.col("user_id") % 10).alias("run_id"), F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session"),
-        name.alias("name"), F.when(_E % 5 == 0, "").otherwise(F.col("url")).alias("source_url"), price.alias("price"),
+        _e().alias("seq"), "ts", (F.col("user_id") % 10).alias("run_id"), F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session"),
+        name.alias("name"), F.when(_e() % 5 == 0, "").otherwise(F.col("url")).alias("source_url"), price.alias("price"),
         F.concat("p_type", F.lit(" "), "p_brand").alias("details"),
-        F.when(_E % 11 == 0, "bogus").when(_E % 11 == 1, "full").alias("match_status"),
-        F.when(_E % 2 == 0, F.array(F.lit("pool"))).otherwise(empty).alias("matched"),
-        F.when(_E % 3 == 0, F.array(F.lit("beach"), F.lit(" "))).otherwise(empty).alias("unmatched"),
-        F.when(_E % 7 == 0, F.array(F.lit("spa"))).otherwise(empty).alias("unknown"),
+        F.when(_e() % 11 == 0, "bogus").when(_e() % 11 == 1, "full").alias("match_status"),
+        F.when(_e() % 2 == 0, F.array(F.lit("pool"))).otherwise(empty).alias("matched"),
+        F.when(_e() % 3 == 0, F.array(F.lit("beach"), F.lit(" "))).otherwise(empty).alias("unmatched"),
+        F.when(_e() % 7 == 0, F.array(F.lit("spa"))).otherwise(empty).alias("unknown"),
     )
 
 
@@ -185,14 +195,14 @@ def search_urls(spark: SparkSession, d: str) -> DataFrame:
     """Visited URLs: search URLs with hinted and percent-encoded parameters, search paths, plain pages."""
     rows = _event_pages(spark, d)
     bare = F.substring_index(F.substring_index("url", "#", 1), "?", 1)
-    num = lambda m: (_E % m).cast("string")
+    num = lambda m: (_e() % m).cast("string")
     url = (
-        F.when(_E % 5 == 0, F.concat(bare, F.lit("?checkin=1&adults="), num(9)))
-        .when(_E % 5 == 1, F.concat(bare, F.lit("?k"), num(60), F.lit("=&Date%5B0%5D=2")))
-        .when(_E % 5 == 2, F.concat(F.regexp_replace("url", r"^(https?://[^/]+).*$", "$1"), F.lit("/search/"), num(12)))
+        F.when(_e() % 5 == 0, F.concat(bare, F.lit("?checkin=1&adults="), num(9)))
+        .when(_e() % 5 == 1, F.concat(bare, F.lit("?k"), num(60), F.lit("=&Date%5B0%5D=2")))
+        .when(_e() % 5 == 2, F.concat(F.regexp_replace("url", r"^(https?://[^/]+).*$", "$1"), F.lit("/search/"), num(12)))
         .otherwise(F.col("url"))
     )
-    return rows.select(_E.alias("seq"), "ts", url.alias("url"))
+    return rows.select(_e().alias("seq"), "ts", url.alias("url"))
 
 
 SQL["search_urls"] = r"""
@@ -212,15 +222,15 @@ def url_variants(spark: SparkSession, d: str) -> DataFrame:
     pick = _div("event_id", 7) % 4
     root = F.when(pick == 0, "").when(pick == 1, "/").when(pick == 2, "/nl").otherwise("/nl-be/")
     url = (
-        F.when(_E % 7 == 0, F.concat(F.lit("HTTPS://WWW."), F.upper(host), F.lit(":8080/a/b?x=1")))
-        .when(_E % 7 == 1, F.concat(F.lit("http://user:pw@"), host, F.lit("/zoeken/page;v=1?q=&&b%20c=2&q=3#top")))
-        .when(_E % 7 == 2, F.concat(F.lit(" www."), host, F.lit(" ")))
-        .when(_E % 7 == 3, F.concat(F.lit("https://"), host, root))
-        .when(_E % 7 == 4, F.concat(F.lit("https://"), host, F.lit("/vakantie/all-inclusive?a+b=1&100%=2&=3")))
-        .when(_E % 70 == 5, F.lit(None))
+        F.when(_e() % 7 == 0, F.concat(F.lit("HTTPS://WWW."), F.upper(host), F.lit(":8080/a/b?x=1")))
+        .when(_e() % 7 == 1, F.concat(F.lit("http://user:pw@"), host, F.lit("/zoeken/page;v=1?q=&&b%20c=2&q=3#top")))
+        .when(_e() % 7 == 2, F.concat(F.lit(" www."), host, F.lit(" ")))
+        .when(_e() % 7 == 3, F.concat(F.lit("https://"), host, root))
+        .when(_e() % 7 == 4, F.concat(F.lit("https://"), host, F.lit("/vakantie/all-inclusive?a+b=1&100%=2&=3")))
+        .when(_e() % 70 == 5, F.lit(None))
         .otherwise(F.col("url"))
     )
-    return rows.select(_E.alias("seq"), url.alias("url"))
+    return rows.select(_e().alias("seq"), url.alias("url"))
 
 
 SQL["url_variants"] = r"""
@@ -239,17 +249,17 @@ def tool_results(spark: SparkSession, d: str) -> DataFrame:
     """Page results with whole document texts, failures, blocked and short pages."""
     rows = _event_documents(spark, d)
     err = F.col("event_type") == "error"
-    denied = err & (_E % 2 == 0)
-    slow = ~err & (_E % 13 == 0)
+    denied = err & (_e() % 2 == 0)
+    slow = ~err & (_e() % 13 == 0)
     return rows.select(
-        _E.alias("seq"), "ts", (F.col("user_id") % 10).alias("run_id"), F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session"),
+        _e().alias("seq"), "ts", (F.col("user_id") % 10).alias("run_id"), F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session"),
         _tool().alias("tool"), F.when(slow, "").otherwise(F.col("url")).alias("url"), F.col("url").alias("arg_url"),
         F.when(denied, "").otherwise(F.col("source")).alias("title"), F.when(denied, "").otherwise(F.col("text")).alias("text"),
         F.when(err, "403 Forbidden/Unauthorized").when(slow, "Timeout 60000ms exceeded").alias("error"),
         (err | ((F.col("event_type") == "view") & (F.length("text") < 400))).alias("blocked"),
-        (err & (_E % 4 == 0)).alias("prefer_browser"),
-        F.when(_E % 4 == 0, F.array().cast("array<string>"))
-        .otherwise(F.transform(F.sequence(F.lit(0), _E % 30), lambda i: F.concat(F.lit("€ "), i.cast("string")))).alias("price_hints"),
+        (err & (_e() % 4 == 0)).alias("prefer_browser"),
+        F.when(_e() % 4 == 0, F.array().cast("array<string>"))
+        .otherwise(F.transform(F.sequence(F.lit(0), _e() % 30), lambda i: F.concat(F.lit("€ "), i.cast("string")))).alias("price_hints"),
     )
 
 
@@ -279,9 +289,9 @@ def search_results(spark: SparkSession, d: str) -> DataFrame:
         notice, hit(col("text"), col("url"), col("text")), hit(lit(""), col("url"), lit("")),
         hit(col("source"), F.concat("url", lit("/alt")), lit("x")),
     )
-    results = F.when(_E % 6 == 0, F.array(failed)).when(_E % 6 == 1, F.array(notice, failed)).otherwise(found)
+    results = F.when(_e() % 6 == 0, F.array(failed)).when(_e() % 6 == 1, F.array(notice, failed)).otherwise(found)
     return rows.select(
-        _E.alias("seq"), (F.col("user_id") % 10).alias("run_id"), F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session"),
+        _e().alias("seq"), (F.col("user_id") % 10).alias("run_id"), F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session"),
         F.col("text").alias("query"), results.cast(f"array<{_HIT}>").alias("results"),
     )
 
@@ -355,14 +365,14 @@ def run_log(spark: SparkSession, d: str) -> DataFrame:
     """Run log: model steps, tool results by tool, and session ends with their status."""
     e = read(spark, d, "events")
     k = F.col("event_type")
-    kind = F.when(k.isin("signup", "error"), "llm_request").when(_E % 29 == 0, "session_end").otherwise("tool_result")
+    kind = F.when(k.isin("signup", "error"), "llm_request").when(_e() % 29 == 0, "session_end").otherwise("tool_result")
     tool = F.when(kind == "tool_result", F.when(k == "view", "web_search").when(k == "click", "browser_click").otherwise("web_fetch"))
     status = F.when(
         kind == "session_end",
-        F.when(_E % 4 == 0, "completed").when(_E % 4 == 1, "timeout_llm").when(_E % 4 == 2, "session_budget").otherwise("llm_error"),
+        F.when(_e() % 4 == 0, "completed").when(_e() % 4 == 1, "timeout_llm").when(_e() % 4 == 2, "session_budget").otherwise("llm_error"),
     )
     return e.select(
-        _E.alias("seq"), "ts", (F.col("user_id") % 10).alias("run_id"), F.col("user_id").alias("session"),
+        _e().alias("seq"), "ts", (F.col("user_id") % 10).alias("run_id"), F.col("user_id").alias("session"),
         kind.alias("type"), tool.alias("tool"), status.alias("status"),
     )
 
