@@ -8,6 +8,10 @@ from siftline.functions.text import utrim
 from siftline.operators.ordered import top_k
 
 
+# Times are written with all their digits; readers take them as they are.
+TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
 # --- scans ----------------------------------------------------------------------------------------
 
 
@@ -85,10 +89,10 @@ def append_log(rows: DataFrame, path: str, now: Column | None = None) -> None:
     out = with_default_ts(rows, now)
     if "run_id" in out.columns:
         # Runs are spread over a few writers each, so that one large run is not written by one task.
-        slot = F.pmod(F.xxhash64(*[F.col(c) for c in out.columns if not c.startswith("price_hints")]), F.lit(8))
-        out.repartition("run_id", slot).write.mode("append").partitionBy("run_id").json(path)
+        slot = F.pmod(F.xxhash64(*out.columns), F.lit(8))
+        out.repartition("run_id", slot).write.mode("append").partitionBy("run_id").option("timestampNTZFormat", TIME_FORMAT).json(path)
     else:
-        out.write.mode("append").json(path)
+        out.write.mode("append").option("timestampNTZFormat", TIME_FORMAT).json(path)
 
 
 def write_snapshot(rows: DataFrame, path: str, fmt: str = "json") -> None:
@@ -96,6 +100,7 @@ def write_snapshot(rows: DataFrame, path: str, fmt: str = "json") -> None:
     (
         rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
+        .option("timestampNTZFormat", TIME_FORMAT)
         .partitionBy("run_id")
         .format(fmt)
         .save(path)
