@@ -35,10 +35,13 @@ def load(text: str) -> Session:
 
 
 class GuardProcessor(StatefulProcessor):
-    """Judges a session's attempts in order; sessions idle for hours are dropped by the state's time-to-live."""
+    """Judges a session's attempts in order; with a time-to-live, the state of idle sessions is dropped."""
+
+    def __init__(self, idle_ms: int | None) -> None:
+        self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("session", "body string", ttlDurationMs=IDLE_MS)
+        self.state = handle.getValueState("session", "body string", ttlDurationMs=self.idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         session = load(self.state.get()[0]) if self.state.exists() else Session()
@@ -54,11 +57,16 @@ class GuardProcessor(StatefulProcessor):
         pass
 
 
-def guard_stream(facts: DataFrame) -> DataFrame:
+def guard_stream(facts: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Verdicts for a stream of attempts with facts; a session's rows of one micro-batch are judged together.
 
-    Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
+    A micro-batch is bounded by the source's rate options, so what one session brings per batch is too. Set
+    ``idle_ms`` (say :data:`IDLE_MS`) for a query that runs on: its processing-time clock never lets an
+    ``availableNow`` run end. Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
     """
     return facts.groupBy("run_id", "session_id").transformWithStateInPandas(
-        statefulProcessor=GuardProcessor(), outputStructType=OUTPUT, outputMode="Append", timeMode="ProcessingTime"
+        statefulProcessor=GuardProcessor(idle_ms),
+        outputStructType=OUTPUT,
+        outputMode="Append",
+        timeMode="None" if idle_ms is None else "ProcessingTime",
     )
