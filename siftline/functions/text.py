@@ -10,13 +10,19 @@ from siftline import constants as K
 
 # White space and line breaks as a Unicode-aware reader sees them (file, group, record and unit separators too).
 WS = r"[\s\x1c-\x1f]"
+WS_CHARS = "".join(
+    chr(n) for n in [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+)
 BREAK = r"[\n\x0b\f\r\x1c-\x1e\x85\x{2028}\x{2029}]"
 _PRICE_LINE = "(?iU)" + "|".join(f"(?:{p})" for p in K.PRICE_LINE_PATTERNS)
 
 
 def utrim(c: Column) -> Column:
-    """Trim all Unicode white space (``trim`` alone keeps no-break spaces)."""
-    return F.regexp_replace(c, f"(?U)^{WS}+|(?<!{WS}){WS}+$", "")
+    """Trim all Unicode white space (``trim`` alone keeps no-break spaces).
+
+    Given the characters, ``trim`` only looks at the ends; a pattern would read the whole text.
+    """
+    return F.trim(c, F.lit(WS_CHARS))
 
 
 def is_blank(c: Column) -> Column:

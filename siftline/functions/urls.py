@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from siftline import constants as K
+from siftline.functions.text import utrim
 
 _AUTHORITY = r"^[\x00-\x20]*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
 _PATH = r"^[\x00-\x20]*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)"
@@ -41,7 +42,7 @@ def url_query(url: Column) -> Column:
 
 def domain_key(url_or_host: Column) -> Column:
     """Lower-cased authority without ``www.``; a bare host is its own key."""
-    s = F.lower(F.regexp_replace(F.coalesce(url_or_host, F.lit("")), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
+    s = F.lower(utrim(F.coalesce(url_or_host, F.lit(""))))
     return _strip_www(F.when(s.contains("://"), netloc(s)).otherwise(s))
 
 
@@ -81,27 +82,33 @@ def detail_length(url: Column) -> Column:
     return F.length(F.substring_index(F.lower(url), "?", 1))
 
 
-def param_names(query: Column) -> Column:
-    """Decoded parameter names in first-seen order; blank values count, empty pairs do not."""
+def _decode(c: Column) -> Column:
+    """Percent-decoding that leaves a stray ``%`` as it is."""
+    escaped = F.regexp_replace(c, r"%(?![0-9A-Fa-f]{2})", "%25")
+    return F.when(c.contains("%"), F.url_decode(escaped)).otherwise(F.replace(c, F.lit("+"), F.lit(" ")))
 
-    def decode(pair: Column) -> Column:
-        raw = F.substring_index(pair, "=", 1)
-        return F.url_decode(F.regexp_replace(raw, r"%(?![0-9A-Fa-f]{2})", "%25"))
 
+def param_names(query: Column) -> Column:
+    """Decoded parameter names in first-seen order; blank values count, empty pairs do not."""
     pairs = F.filter(F.split(query, "&"), lambda p: p != "")
-    return F.array_distinct(F.transform(pairs, decode))
+    return F.array_distinct(F.transform(pairs, lambda p: _decode(F.substring_index(p, "=", 1))))
+
 
+def has_hinted_param(query: Column) -> Column:
+    """Whether any parameter name holds one of the hint words.
 
-def has_hinted_param(names: Column) -> Column:
-    return F.exists(names, lambda n: F.lower(n).rlike("|".join(K.PARAM_HINTS)))
+    The query is decoded as a whole, encoded delimiters masked first, so no list of names is needed.
+    """
+    masked = F.regexp_replace(query, "%(?:26|3[dD])", "_")
+    return F.lower(F.regexp_replace(_decode(masked), "=[^&]*", "")).rlike("|".join(K.PARAM_HINTS))
 
 
-def is_learnable_search_url(url: Column, names: Column) -> Column:
+def is_learnable_search_url(url: Column) -> Column:
     """Search URLs worth learning from: a hinted parameter or a search path."""
-    path = url_path(url)
-    shaped = (F.size(names) > 0) | path.contains("/zoeken") | F.lower(path).contains("/search")
+    path, query = url_path(url), url_query(url)
+    shaped = query.rlike("[^&]") | path.contains("/zoeken") | F.lower(path).contains("/search")
     clear_path = path.rlike(r"(?i)/(zoeken|search|results?)/?")
-    return url.startswith("http") & (domain_key(url) != "") & shaped & (has_hinted_param(names) | clear_path)
+    return url.startswith("http") & (domain_key(url) != "") & shaped & (clear_path | has_hinted_param(query))
 
 
 def mentions_search(url: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from siftline import constants as K
 from siftline.functions import urls as U
-from siftline.operators.ordered import BLOCK_ROWS, running, salted_join
+from siftline.operators.ordered import BLOCK_ROWS, running, salted_join, streaks
 
 HOST_KEYS = ["run_id", "session_id", "host"]
 SESSION_KEYS = ["run_id", "session_id"]
@@ -82,23 +82,16 @@ def noop_actions(actions: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     return prior.withColumn("noop", noop).drop("prev", "hints")
 
 
-def _streak(df: DataFrame, keys: list[str], hit: str, out: str, block_rows: int) -> DataFrame:
-    """Length of the current streak of true ``hit`` values (0 on false ones)."""
-    numbered = running(df, keys, "seq", block_rows, sums={"_n": F.lit(1).cast("long")})
-    reset = running(numbered, keys, "seq", block_rows, maxes={"_at": F.when(~F.col(hit), F.col("_n"))})
-    return reset.withColumn(out, F.col("_n") - F.coalesce("_at", F.lit(0))).drop("_n", "_at")
-
-
 def noop_streaks(noops: DataFrame, limit: int = K.MAX_NOOPS_PER_HOST, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """No-op streak per host and session, flagged where the host is given up."""
-    return _streak(noops, HOST_KEYS, "noop", "streak", block_rows).withColumn("abandoned", F.col("streak") >= limit)
+    return streaks(noops, HOST_KEYS, "seq", "noop", "streak", block_rows).withColumn("abandoned", F.col("streak") >= limit)
 
 
 def failure_streaks(events: DataFrame, every: int = K.FAILURE_STREAK, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Failure streak over a session's browser events; fires at every third failure in a row."""
     failed = (F.coalesce("error", F.lit("")) != "") | F.coalesce("blocked", F.lit(False)) | ~F.coalesce("ok", F.lit(False))
     flat = events.filter(F.col("tool").startswith("browser_")).select("seq", *SESSION_KEYS, failed.alias("failed"))
-    return _streak(flat, SESSION_KEYS, "failed", "streak", block_rows).withColumn(
+    return streaks(flat, SESSION_KEYS, "seq", "failed", "streak", block_rows).withColumn(
         "fires", F.col("failed") & (F.col("streak") % every == 0)
     )
 
@@ -110,9 +103,11 @@ def live_tab(events: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
         (F.col("tool") == "browser_open") & (F.coalesce("error", F.lit("")) == ""), F.col("arg_url")
     )
     flat = events.select("seq", *SESSION_KEYS, "tool", "arg_url", shown.alias("shown"))
-    carried = running(flat, SESSION_KEYS, "seq", block_rows, lasts={"tab_after": F.col("shown")})
-    before = running(carried, SESSION_KEYS, "seq", block_rows, lags={"tab_before": F.col("tab_after")})
-    return before.select("seq", *SESSION_KEYS, "tool", F.coalesce("arg_url", "tab_before").alias("url_in_force"), "tab_after")
+    before = running(flat, SESSION_KEYS, "seq", block_rows, lasts_before={"tab_before": F.col("shown")})
+    return before.select(
+        "seq", *SESSION_KEYS, "tool", F.coalesce("arg_url", "tab_before").alias("url_in_force"),
+        F.coalesce("shown", "tab_before").alias("tab_after"),
+    )
 
 
 def shortlisted_host_events(events: DataFrame, urls: DataFrame) -> DataFrame:

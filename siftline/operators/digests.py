@@ -195,15 +195,16 @@ def partial_report_lines(runs: DataFrame, messages: DataFrame, sources: DataFram
         .select("run_id", "_l.*")
     )
     bare = r.filter(F.col("draft").isNull()).select("run_id")
-    found = distinct_sources(sources)
+    cited = sources.select("run_id", "url", "seq", "pos", "title", "error").filter(F.coalesce("url", F.lit("")) != "")
+    found = distinct_sources(cited)
     line = F.concat(
         F.lit("- "), F.coalesce(F.nullif("title", F.lit("")), "url"), F.lit(" — "), "url",
         F.coalesce(F.concat(F.lit(" (error: "), F.nullif("error", F.lit("")), F.lit(")")), F.lit("")),
     )
-    listed = salted_join(found, bare, ["run_id"], "url", "left_semi").select(
+    listed = found.join(bare, "run_id", "left_semi").select(
         "run_id", F.lit(6).alias("section"), F.col("seq").cast("long").alias("at"), F.col("pos").cast("long").alias("pos"), line.alias("line")
     )
-    none = bare.join(found.select("run_id").distinct(), "run_id", "left_anti").select(
+    none = bare.join(cited.select("run_id").distinct(), "run_id", "left_anti").select(
         "run_id", F.lit(6).alias("section"), zero.alias("at"), zero.alias("pos"), F.lit("- (no sources retrieved)").alias("line")
     )
     return frame.unionByName(listed).unionByName(none)

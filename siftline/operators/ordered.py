@@ -13,6 +13,20 @@ BLOCK_ROWS = 1 << 14
 SPREAD = 32
 
 
+def _block(seq: str, block_rows: int) -> Column:
+    return F.expr(f"{seq} div {block_rows}").alias("_blk")
+
+
+def _totals(rows: DataFrame, base: DataFrame, at: list[str], *aggs: Column) -> DataFrame:
+    """One summary row per block.
+
+    The hash reads every column of ``base``, so the summaries and the windows need the same columns and Spark
+    reuses one shuffle instead of pruning the two apart and running the input twice.
+    """
+    whole = F.max(F.xxhash64(*base.columns)).alias("_whole")
+    return rows.groupBy(*at).agg(*aggs, whole).filter(F.col("_whole").isNotNull()).drop("_whole")
+
+
 def running(
     df: DataFrame,
     keys: list[str],
@@ -22,16 +36,19 @@ def running(
     maxes: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
     lags: dict[str, Column] | None = None,
+    lasts_before: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Add running columns per key in ``seq`` order.
 
     ``sums``, ``maxes`` and ``lasts`` (last non-null value) include the current row; ``lags`` holds the
-    value of the row before.
+    value of the row before and ``lasts_before`` the last non-null value before the row. The rows are shuffled once: block totals and windows read the same exchange.
     """
-    sums, maxes, lasts, lags = sums or {}, maxes or {}, lasts or {}, lags or {}
-    values = {**sums, **maxes, **lasts, **lags}
-    base = df.select("*", F.expr(f"{seq} div {block_rows}").alias("_blk"), *[v.alias(f"_v_{n}") for n, v in values.items()])
+    sums, maxes, lasts, lags, befores = sums or {}, maxes or {}, lasts or {}, lags or {}, lasts_before or {}
+    values = {**sums, **maxes, **lasts, **lags, **befores}
     at = [*keys, "_blk"]
+    base = df.select(
+        "*", _block(seq, block_rows), *[v.alias(f"_v_{n}") for n, v in values.items()]
+    ).repartition(*at)
     order = W.partitionBy(*at).orderBy(seq)
     upto = order.rowsBetween(W.unboundedPreceding, W.currentRow)
 
@@ -43,6 +60,8 @@ def running(
             return F.max(v).over(upto)
         if n in lasts:
             return F.last(v, ignorenulls=True).over(upto)
+        if n in befores:
+            return F.last(v, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
         return F.lag(v).over(order)
 
     def total(n: str) -> Column:
@@ -51,7 +70,7 @@ def running(
             return F.sum(v)
         if n in maxes:
             return F.max(v)
-        if n in lasts:
+        if n in lasts or n in befores:
             return F.max_by(v, F.when(v.isNotNull(), F.col(seq)))
         return F.max_by(v, F.col(seq))
 
@@ -63,11 +82,11 @@ def running(
             return F.sum(t).over(before)
         if n in maxes:
             return F.max(t).over(before)
-        if n in lasts:
+        if n in lasts or n in befores:
             return F.last(t, ignorenulls=True).over(before)
         return F.last(t).over(before)
 
-    totals = base.groupBy(*at).agg(*[total(n).alias(f"_t_{n}") for n in values])
+    totals = _totals(base, base, at, *[total(n).alias(f"_t_{n}") for n in values])
     carry = totals.select(*at, *[carried(n).alias(f"_c_{n}") for n in values])
     rows = base.select("*", F.row_number().over(order).alias("_rn"), *[local(n).alias(f"_l_{n}") for n in values])
     joined = rows.join(carry, at, "left")
@@ -78,13 +97,32 @@ def running(
             return F.coalesce(loc, F.lit(0)) + F.coalesce(car, F.lit(0))
         if n in maxes:
             return F.greatest(loc, car)
-        if n in lasts:
+        if n in lasts or n in befores:
             return F.coalesce(loc, car)
         return F.when(F.col("_rn") == 1, car).otherwise(loc)
 
     return joined.select(*df.columns, *[merged(n).alias(n) for n in values])
 
 
+def streaks(df: DataFrame, keys: list[str], seq: str, hit: str, out: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Length of the current streak of true ``hit`` values per key in ``seq`` order (0 on false ones)."""
+    at = [*keys, "_blk"]
+    base = df.select("*", _block(seq, block_rows)).repartition(*at)
+    order = W.partitionBy(*at).orderBy(seq)
+    local = base.withColumn("_n", F.row_number().over(order)).withColumn(
+        "_end", F.max(F.when(~F.col(hit), F.col("_n"))).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
+    )
+    totals = _totals(local, base, at, F.max("_n").cast("long").alias("_rows"), F.max("_end").alias("_last"))
+    blocks = W.partitionBy(*keys).orderBy("_blk")
+    summed = totals.withColumn("_upto", F.sum("_rows").over(blocks.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    # A block that holds an end of a streak leaves its own tail; the blocks after it add all their rows.
+    tail = F.when(F.col("_last").isNotNull(), F.col("_rows") - F.col("_last") - F.col("_upto"))
+    carried = F.coalesce(F.last(tail, ignorenulls=True).over(blocks.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    carry = summed.select(*at, (carried + F.col("_upto") - F.col("_rows")).alias("_carry"))
+    length = F.when(F.col("_end").isNotNull(), F.col("_n") - F.col("_end")).otherwise(F.col("_n") + F.col("_carry"))
+    return local.join(carry, at, "left").select(*df.columns, length.cast("long").alias(out))
+
+
 def top_k(
     df: DataFrame,
     keys: list[str],

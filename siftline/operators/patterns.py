@@ -18,8 +18,8 @@ def search_url_rows(visits: DataFrame, url: str = "url") -> DataFrame:
     """Rows worth learning from, with their domain, parameter names, path and masked template."""
     u = F.col(url)
     return (
-        visits.withColumn("names", U.param_names(U.url_query(u)))
-        .filter(U.is_learnable_search_url(u, F.col("names")))
+        visits.filter(U.is_learnable_search_url(u))
+        .withColumn("names", U.param_names(U.url_query(u)))
         .withColumns(
             {
                 "domain": U.domain_key(u),
@@ -103,11 +103,11 @@ def learn_patterns(visits: DataFrame, prior: DataFrame | None = None, url: str =
     values = _values(rows)
     held = _prior_values(prior) if prior is not None else None
     firsts = (values if held is None else values.unionByName(held)).groupBy("domain", "kind", "value").agg(
-        F.min(F.struct("seq", "p")).alias("at")
+        F.min("seq").alias("seq"), F.min_by("p", "seq").alias("p")
     )
-    few = top_k(firsts, ["domain", "kind"], [F.asc("at")], K.KEPT_PARAMS, "value")
+    few = top_k(firsts, ["domain", "kind"], [F.asc("seq"), F.asc("p")], K.KEPT_PARAMS, "value")
     lists = few.groupBy("domain", "kind").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]).alias("items")
+        F.transform(F.array_sort(F.collect_list(F.struct("seq", "p", "value"))), lambda x: x["value"]).alias("items")
     )
     slots = F.when(F.col("kind") == PATH, SLOTS[PATH]).when(F.col("kind") == EXAMPLE, SLOTS[EXAMPLE])
     over = F.coalesce(F.size("items") > slots, F.lit(False))

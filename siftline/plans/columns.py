@@ -84,9 +84,7 @@ FROM cut WHERE url IS NOT NULL"""),
 )
 _add(
     "search_url_gate",
-    lambda s, d: T.search_urls(s, d)
-    .withColumn("names", U.param_names(U.url_query(_u())))
-    .select("seq", U.is_learnable_search_url(_u(), F.col("names")).alias("learnable"), U.mentions_search(_u()).alias("mentions_search")),
+    lambda s, d: T.search_urls(s, d).select("seq", U.is_learnable_search_url(_u()).alias("learnable"), U.mentions_search(_u()).alias("mentions_search")),
     _url_sql("search_urls", r"""
 SELECT seq, starts_with(url, 'http') AND auth <> '' AND (q <> '' OR contains(path, '/zoeken') OR contains(lower(path), '/search'))
    AND (regexp_matches(path, '(?i)/(zoeken|search|results?)/?') OR len(list_filter(string_split(q, '&'), lambda x: regexp_matches(lower(url_decode(split_part(x, '=', 1))),

@@ -77,7 +77,7 @@ def _lookup_urls(s, d):
         F.concat(F.lit("https://"), F.regexp_replace(host, r"^[^.]+\.", ""), F.lit("/y"))
     )
     base = T.tool_events(s, d).select("seq", "url")
-    return base.unionByName(base.select((F.col("seq") + (1 << 40)).alias("seq"), deeper.alias("url")))
+    return base.unionByName(base.select((F.col("seq") + (1 << 40)).alias("seq"), T.once(deeper).alias("url")))
 
 
 _LOOKUP_URLS_SQL = rf"""

@@ -1,8 +1,8 @@
 """Logical input tables derived from the delivered tables.
 
 Each table is written once as DataFrame code and once as SQL (``SQL``), so that a query and its SQL check
-start from the same rows. ``event_id`` is unique and serves as ``seq``. Table counts enter as scalar
-subqueries; every join is on a key.
+start from the same rows. ``event_id`` is unique and serves as ``seq``. Table counts enter as literals;
+every join is on a key.
 """
 
 from __future__ import annotations
@@ -25,8 +25,19 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
+def once(value: Column) -> Column:
+    """A derived column that is computed once per row.
+
+    The optimizer would copy the expression into every filter and column that uses it, until the generated
+    code is too large to compile. It does not move expressions across a generator.
+    """
+    return F.explode(F.array(value))
+
+
 def _n(df: DataFrame) -> Column:
-    return df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    """Row count as a literal (read from the file footers): a subquery in the plan would keep Spark from
+    recognizing equal shuffles."""
+    return F.lit(df.count())
 
 
 def _div(c: str, n: int) -> Column:
@@ -202,7 +213,7 @@ def search_urls(spark: SparkSession, d: str) -> DataFrame:
         .when(_e() % 5 == 2, F.concat(F.regexp_replace("url", r"^(https?://[^/]+).*$", "$1"), F.lit("/search/"), num(12)))
         .otherwise(F.col("url"))
     )
-    return rows.select(_e().alias("seq"), "ts", url.alias("url"))
+    return rows.select(_e().alias("seq"), "ts", once(url).alias("url"))
 
 
 SQL["search_urls"] = r"""
@@ -230,7 +241,7 @@ def url_variants(spark: SparkSession, d: str) -> DataFrame:
         .when(_e() % 70 == 5, F.lit(None))
         .otherwise(F.col("url"))
     )
-    return rows.select(_e().alias("seq"), url.alias("url"))
+    return rows.select(_e().alias("seq"), once(url).alias("url"))
 
 
 SQL["url_variants"] = r"""
