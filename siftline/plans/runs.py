@@ -79,7 +79,7 @@ _add(
         run_summary(s, d).withColumns({"updated_at": F.col("finished_at"), "progress": F.lit("finished"), "key_findings": F.lit("")})
     ),
     T.with_tables(["run_log", "tool_results", "search_results", "candidates"], """
-SELECT run_id, concat_ws(chr(10), '# Research state', '', '- Updated: ' || strftime(finished_at, '%Y-%m-%dT%H:%M:%S'), '- Status: ' || status, '- LLM calls: ' || llm_calls,
+SELECT run_id, concat_ws(chr(10), '# Research state', '', '- Updated: ' || strftime(finished_at, '%Y-%m-%dT%H:%M:%S'), '- Status: ' || coalesce(status, 'running'), '- LLM calls: ' || llm_calls,
   '- Tool calls: ' || tool_calls, '- Sources: ' || sources_count, '- Notes: ' || notes_count, '', '## Progress', 'finished', '', '## Key findings (compact)', '(none yet)', '') AS document
 FROM summary""", {**_ALL, "summary": SUMMARY_SQL}),
 )
@@ -293,7 +293,8 @@ FROM (SELECT run_id, pos, CASE pos WHEN 0 THEN 'Explore ' || session WHEN 1 THEN
       FROM (SELECT run_id, arg_min(session, seq) AS session FROM candidates GROUP BY run_id) CROSS JOIN (SELECT unnest([0, 1, 2]) AS pos)) p
 LEFT JOIN shortlist_text s USING (run_id)
 LEFT JOIN handoff h ON h.run_id = p.run_id AND p.pos > 0 AND h.sess = 's' || (p.run_id + 10 * p.pos)""",
-                  {**HANDOFF_CTES, **SH.CTES, "shortlist_text": SH.DIGEST_SQL.format(n=6000)}),
+                  {**HANDOFF_CTES, "all_sessions": "SELECT DISTINCT user_id % 10 AS run_id, 's' || (user_id % 10 + 10 * pos) AS sess FROM events CROSS JOIN (SELECT unnest([1, 2]) AS pos)",
+                   **SH.CTES, "shortlist_text": SH.DIGEST_SQL.format(n=6000)}),
 )
 
 

@@ -44,7 +44,7 @@ def tail_lines(rows: DataFrame, limit: int, seq: str = "seq") -> DataFrame:
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Whole text files, one row each: ``run_dir, file, body``."""
     where = F.col("_metadata.file_path")
-    return spark.read.option("wholetext", True).text(path).select(
+    return spark.read.text(path, wholetext=True).select(
         F.regexp_extract(where, r"([^/]+)/[^/]+$", 1).alias("run_dir"), F.col("_metadata.file_name").alias("file"), F.col("value").alias("body")
     )
 
