@@ -14,7 +14,8 @@ SPREAD = 32
 
 
 def _block(seq: str, block_rows: int) -> Column:
-    return F.expr(f"{seq} div {block_rows}").alias("_blk")
+    # Not nullable: no filter is inferred for it on one side of the join only.
+    return F.coalesce(F.expr(f"{seq} div {block_rows}"), F.lit(0)).alias("_blk")
 
 
 def _totals(rows: DataFrame, base: DataFrame, at: list[str], *aggs: Column) -> DataFrame:
@@ -41,7 +42,8 @@ def running(
     """Add running columns per key in ``seq`` order.
 
     ``sums``, ``maxes`` and ``lasts`` (last non-null value) include the current row; ``lags`` holds the
-    value of the row before and ``lasts_before`` the last non-null value before the row. The rows are shuffled once: block totals and windows read the same exchange.
+    value of the row before and ``lasts_before`` the last non-null value before the row. Key columns are
+    never NULL. The rows are shuffled once: block totals and windows read the same exchange.
     """
     sums, maxes, lasts, lags, befores = sums or {}, maxes or {}, lasts or {}, lags or {}, lasts_before or {}
     values = {**sums, **maxes, **lasts, **lags, **befores}
@@ -89,7 +91,7 @@ def running(
     totals = _totals(base, base, at, *[total(n).alias(f"_t_{n}") for n in values])
     carry = totals.select(*at, *[carried(n).alias(f"_c_{n}") for n in values])
     rows = base.select("*", F.row_number().over(order).alias("_rn"), *[local(n).alias(f"_l_{n}") for n in values])
-    joined = rows.join(carry, at, "left")
+    joined = rows.join(carry, at)
 
     def merged(n: str) -> Column:
         loc, car = F.col(f"_l_{n}"), F.col(f"_c_{n}")
@@ -120,7 +122,7 @@ def streaks(df: DataFrame, keys: list[str], seq: str, hit: str, out: str, block_
     carried = F.coalesce(F.last(tail, ignorenulls=True).over(blocks.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     carry = summed.select(*at, (carried + F.col("_upto") - F.col("_rows")).alias("_carry"))
     length = F.when(F.col("_end").isNotNull(), F.col("_n") - F.col("_end")).otherwise(F.col("_n") + F.col("_carry"))
-    return local.join(carry, at, "left").select(*df.columns, length.cast("long").alias(out))
+    return local.join(carry, at).select(*df.columns, length.cast("long").alias(out))
 
 
 def top_k(
