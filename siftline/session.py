@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -15,6 +18,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "sif
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.files.minPartitionNum", cores)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
@@ -28,8 +32,26 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "sif
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and state tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, local runs) a
-    temporary folder takes its place.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset it is a folder of the warehouse, which all
+    executors can reach as well; never a folder of one machine.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return named or tempfile.mkdtemp(prefix="siftline-")
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_siftline"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each application; they may run anywhere."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    # Only the driver reads this file: it serves it to the executors.
+    path = os.path.join(tempfile.mkdtemp(prefix="siftline-ship-"), f"{root.name}.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, f"{root.name}/{file.relative_to(root)}")
+    context.addPyFile(path)
+    _SHIPPED.add(context.applicationId)
