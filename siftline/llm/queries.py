@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftline.llm import bpe, chat_format, exact_dedup, license_scan, packing, warc_zip
+from siftline.llm import bpe, chat_format, exact_dedup, language_id, license_scan, near_dedup, packing, warc_zip
 from siftline.llm.license_scan import BASE, MARK, TEMPLATES, WORD
 
 QUERIES, ORACLES = {}, {}
@@ -63,6 +63,34 @@ FROM words LEFT JOIN each USING (doc_id) LEFT JOIN inside USING (doc_id)"""
 ORACLES["op1_license_scan"] = _license_sql()
 
 
+# --- 2: language ----------------------------------------------------------------------------------
+
+
+@query
+def op2_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predicted(table(spark, sf_dir, "documents"))
+
+
+# --- 3: near-duplicates ---------------------------------------------------------------------------
+
+
+@query
+def op3_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op3_bbit_minhash"] = """
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN [array_to_string(w[i : i + 3], ' ') FOR i IN range(1, len(w) - 2)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+sides AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached(d, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT d, y FROM reached JOIN sides ON r = x)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(r) AS component_id, min(r) = doc_id AS kept
+FROM documents LEFT JOIN sizes USING (doc_id) JOIN reached ON d = doc_id GROUP BY doc_id, n"""
+
+
 # --- 4: packing -----------------------------------------------------------------------------------
 
 
