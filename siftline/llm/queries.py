@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftline.llm import bpe, chat_format, exact_dedup, language_id, license_scan, near_dedup, packing, warc_zip
+from siftline.llm import bpe, chat_format, exact_dedup, language_id, license_scan, near_dedup, packing, suffix_dedup, warc_zip
 from siftline.llm.license_scan import BASE, MARK, TEMPLATES, WORD
 
 QUERIES, ORACLES = {}, {}
@@ -122,6 +122,27 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+# --- 7: suffix arrays -----------------------------------------------------------------------------
+
+
+@query
+def op7_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op7_previous_factors"] = """
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+strings AS (SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS g FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 49)) AS i FROM texts)),
+firsts AS (SELECT g, min(doc_id) AS d FROM strings GROUP BY g HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM strings JOIN firsts USING (g) WHERE doc_id > d)),
+marked AS (SELECT b.doc_id, b.p, b.v, g.p IS NOT NULL AS out FROM (SELECT doc_id, p, substr(x, 2 * p + 1, 2) AS v FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2)) AS p FROM texts)) b
+  LEFT JOIN gone g ON g.doc_id = b.doc_id AND g.p = b.p),
+edges AS (SELECT *, coalesce(lag(out) OVER (PARTITION BY doc_id ORDER BY p), false) AS was FROM marked),
+each AS (SELECT doc_id, count(*) FILTER (out) AS n_removed, count(*) FILTER (out AND NOT was) AS n_spans, string_agg(v, '' ORDER BY p) FILTER (NOT out) AS kept FROM edges GROUP BY doc_id)
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM texts LEFT JOIN each USING (doc_id)"""
+
+
 # --- 9: chat formatting ---------------------------------------------------------------------------
 
 
