@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftline.llm import bpe, chat_format, exact_dedup, language_id, license_scan, near_dedup, packing, suffix_dedup, warc_zip
+from siftline.llm import bpe, chat_format, exact_dedup, fingerprints, language_id, license_scan, near_dedup, packing, suffix_dedup, warc_zip
 from siftline.llm.license_scan import BASE, MARK, TEMPLATES, WORD
 
 QUERIES, ORACLES = {}, {}
@@ -132,17 +132,26 @@ def op7_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op7_previous_factors"] = """
 WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-strings AS (SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS g FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 49)) AS i FROM texts)),
+parts AS (SELECT doc_id, c, substr(x, 1000 * c + 1, 1098) AS part FROM (SELECT doc_id, x, unnest(range(0, len(x) // 1000 + 1)) AS c FROM texts)),
+strings AS MATERIALIZED (SELECT doc_id, 500 * c + j AS i, substr(part, 2 * j + 1, 100) AS g FROM (SELECT doc_id, c, part, unnest(range(0, least(500, len(part) // 2 - 49))) AS j FROM parts)),
 firsts AS (SELECT g, min(doc_id) AS d FROM strings GROUP BY g HAVING min(doc_id) < max(doc_id)),
-gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM strings JOIN firsts USING (g) WHERE doc_id > d)),
-marked AS (SELECT b.doc_id, b.p, b.v, g.p IS NOT NULL AS out FROM (SELECT doc_id, p, substr(x, 2 * p + 1, 2) AS v FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2)) AS p FROM texts)) b
-  LEFT JOIN gone g ON g.doc_id = b.doc_id AND g.p = b.p),
-edges AS (SELECT *, coalesce(lag(out) OVER (PARTITION BY doc_id ORDER BY p), false) AS was FROM marked),
-each AS (SELECT doc_id, count(*) FILTER (out) AS n_removed, count(*) FILTER (out AND NOT was) AS n_spans, string_agg(v, '' ORDER BY p) FILTER (NOT out) AS kept FROM edges GROUP BY doc_id)
-SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+starts AS (SELECT doc_id, i, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 < i, true) AS fresh FROM strings JOIN firsts USING (g) WHERE doc_id > d),
+numbered AS (SELECT doc_id, i, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM starts),
+runs AS (SELECT doc_id, min(i) AS s, max(i) + 50 AS e FROM numbered GROUP BY doc_id, run),
+pieces AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS b FROM runs),
+each AS (SELECT doc_id, sum(e - s) AS n_removed, count(*) AS n_spans, max(e) AS upto, string_agg(substr(x, 2 * b + 1, 2 * (s - b)), '' ORDER BY s) AS kept FROM pieces JOIN texts USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(upto, 0) + 1))) AS kept_sha256
 FROM texts LEFT JOIN each USING (doc_id)"""
 
 
+# --- 8: fingerprints ------------------------------------------------------------------------------
+
+
+@query
+def op8_consistent_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(table(spark, sf_dir, "documents"))
+
+
 # --- 9: chat formatting ---------------------------------------------------------------------------
 
 
