@@ -15,8 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siftline.llm.common import scratch, whole
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: State on disk. Without the last line every partition's store reserves megabytes that it may never use.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -35,13 +38,15 @@ def digest_states(spark: SparkSession, feed: str, batch_bytes: int = 1 << 30) ->
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         query = state.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(keep).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     written = spark.read.schema("digest string, last struct<doc_id:bigint,at:string>, group_size bigint, batch bigint").parquet(out)
     newest = written.groupBy("digest").agg(F.max_by(F.struct("last", "group_size"), "batch").alias("s"))
     return newest.select("digest", F.col("s.last.doc_id").alias("keep_id"), F.col("s.last.at").alias("at"), "s.group_size")
@@ -67,10 +72,10 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, b
 
     hits = rows.filter("group_size > 1").select("doc_id", "digest", "keep_id").distinct()
     keyed = content.select("doc_id", digest(F.col("text")).alias("digest"), "text")
-    copies = keyed.withColumnRenamed("text", "copy").join(hits, (keyed.doc_id.eqNullSafe(hits.doc_id)) & (keyed.digest == hits.digest)).select(keyed.doc_id, keyed.digest, "keep_id", "copy")
-    keepers = keyed.select(F.col("doc_id").alias("k_id"), F.col("digest").alias("k_digest"), "text")
-    kept_texts = keepers.join(hits.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))), keepers.k_id.eqNullSafe(F.col("doc_id")) & (keepers.k_digest == F.col("digest"))).groupBy("k_id", "k_digest").agg(F.max("text").alias("text"))
-    other = copies.join(kept_texts, copies.keep_id.eqNullSafe(F.col("k_id")) & (copies.digest == F.col("k_digest"))).filter(F.col("copy") != F.col("text"))
+    # Whole texts are shuffled once; behind that join there are only the texts of rows with a hit.
+    found = keyed.join(hits.withColumnsRenamed({"doc_id": "h_id", "digest": "h_digest"}), keyed.doc_id.eqNullSafe(F.col("h_id")) & (keyed.digest == F.col("h_digest"))).select("doc_id", "digest", "keep_id", "text")
+    keepers = found.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.max("text").alias("kept_text"))
+    other = found.join(keepers, "digest").filter(F.col("text") != F.col("kept_text"))
     if other.isEmpty():
         return rows
     # Equal digests of different texts: group the rows of those digests by the texts themselves.
@@ -83,5 +88,6 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, b
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(F.col("_kept_id")), "left_semi")
+    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest")).distinct()
+    same = docs.doc_id.cast("bigint").eqNullSafe(F.col("_kept_id")) & (sha256(F.coalesce(docs.text.cast("string"), F.lit(""))) == F.col("_kept_digest"))
+    return docs.join(kept, same, "left_semi")
