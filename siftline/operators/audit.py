@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from siftline import constants as K
 from siftline.functions import urls as U
 from siftline.operators.ordered import BLOCK_ROWS, running, salted_join, streaks
+from siftline.operators.runs import model_call
 
 HOST_KEYS = ["run_id", "session_id", "host"]
 SESSION_KEYS = ["run_id", "session_id"]
@@ -20,8 +21,11 @@ def limit_breaches(
     max_tools: int = K.MAX_TOOL_CALLS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """First model step per run at which a limit was already reached, with the limit that fires first."""
-    is_llm = (F.col("type") == "llm_request").cast("long")
+    """First model step per run at which a limit was already reached, with the limit that fires first.
+
+    Planner calls count for the run's limit; the session budget counts the session's steps only.
+    """
+    is_llm = model_call().cast("long")
     is_tool = (F.col("type") == "tool_result").cast("long")
     starts = log.groupBy("run_id").agg(F.min("ts").alias("started_at"))
     narrow = log.select("run_id", "session", "seq", "ts", "type")

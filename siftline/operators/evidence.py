@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from siftline import constants as K
 from siftline.functions import text as TX, urls as U
@@ -36,6 +36,7 @@ def fetch_outcome(
     denied = status_code.isin(401, 403)
     busy = F.coalesce(status_code.isin(429, 503), F.lit(False))
     failed = status_code.isNull() | (status_code >= 400)
+    content_type = F.coalesce(content_type, F.lit(""))
     other_type = ~(content_type.contains("text/html") | content_type.contains("text/plain"))
     body = TX.cut_page(text, max_chars)
     short = F.length(body) < K.SHORT_PAGE_CHARS
@@ -154,6 +155,15 @@ def notes_from_searches(searches: DataFrame) -> DataFrame:
     )
 
 
+def prioritized(notes: DataFrame) -> DataFrame:
+    """Notes with their ``score`` and their place ``pos`` in the run, best first, ties by arrival.
+
+    All notes of a run are ranked in one window: hand over the last ones, as for a synthesis.
+    """
+    scored = notes.withColumn("score", note_priority(F.col("source_type"), F.col("summary"), F.col("ok")))
+    return scored.withColumn("pos", F.row_number().over(W.partitionBy("run_id").orderBy(F.desc("score"), "seq")))
+
+
 def note_priority(source_type: Column, summary: Column, ok: Column) -> Column:
     """Usefulness of a note for synthesis."""
     kind = F.lower(F.coalesce(source_type, F.lit("")))

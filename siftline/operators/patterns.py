@@ -15,10 +15,15 @@ COLUMNS = ["domain", "param_names", "path_hints", "example_urls", "success_count
 
 
 def search_url_rows(visits: DataFrame, url: str = "url") -> DataFrame:
-    """Rows worth learning from, with their domain, parameter names, path and masked template."""
+    """Rows worth learning from, with their domain, parameter names, path and masked template.
+
+    ``visits`` carries ``tool, error, price_hints``: only browser results without an error count, and only those that show
+    prices or name a search in the URL.
+    """
     u = F.col(url)
+    useful = F.col("tool").startswith("browser_") & (F.coalesce("error", F.lit("")) == "") & ((F.size("price_hints") > 0) | U.mentions_search(u))
     return (
-        visits.filter(U.is_learnable_search_url(u))
+        visits.filter(useful & U.is_learnable_search_url(u))
         .withColumn("names", U.param_names(U.url_query(u)))
         .withColumns(
             {
@@ -35,12 +40,12 @@ SLOTS = {PATH: K.KEPT_PATHS, EXAMPLE: K.KEPT_EXAMPLES}
 
 
 def _values(rows: DataFrame) -> DataFrame:
-    """``domain, kind, value, seq, p``: parameter names, path and template of every row, one row each."""
+    """``domain, kind, value, seq, p, ts``: parameter names, path and template of every row, one row each."""
     kinds = F.concat(
         F.transform("names", lambda n, i: F.struct(F.lit(PARAM).alias("kind"), n.alias("value"), i.alias("p"))),
         F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("value"), F.lit(0).alias("p")) for k, c in ((PATH, "path"), (EXAMPLE, "template"))]),
     )
-    return rows.select("domain", "seq", F.explode(kinds).alias("_v")).select("domain", "seq", "_v.*")
+    return rows.select("domain", "seq", "ts", F.explode(kinds).alias("_v")).select("domain", "_v.kind", "_v.value", "seq", "_v.p", "ts")
 
 
 def replay_slots(values: DataFrame, prior: DataFrame | None = None) -> DataFrame:
@@ -89,23 +94,25 @@ def _prior_values(prior: DataFrame) -> DataFrame:
 
 
 def learn_patterns(visits: DataFrame, prior: DataFrame | None = None, url: str = "url") -> DataFrame:
-    """URL patterns per domain from visited URLs (``seq, ts, url``), on top of ``prior`` ones when given.
+    """URL patterns per domain from visits (``seq, ts, url, tool, error, price_hints``), on top of ``prior`` ones when given.
 
     Parameter names append, so their first appearances decide. Paths and templates live in lists with a fixed
     number of places, newest first, where only absent values enter: while a domain has no more distinct values
     than places nothing is pushed out, and the list is the first appearances backwards. Only domains beyond
-    that depend on the full order and are replayed.
+    that depend on the full order and are replayed. Every visit has one path, so the counts of the paths add up to the
+    domain's: the visits are read once, and once more for the replayed domains.
     """
-    rows = search_url_rows(visits, url).select("seq", "ts", "domain", "names", "path", "template")
-    totals = rows.groupBy("domain").agg(
-        F.count(F.lit(1)).alias("success_count"), F.max_by("ts", "seq").alias("last_verified"), F.min("seq").alias("pos")
-    )
-    values = _values(rows)
+    values = _values(search_url_rows(visits, url).select("seq", "ts", "domain", "names", "path", "template"))
     held = _prior_values(prior) if prior is not None else None
-    firsts = (values if held is None else values.unionByName(held)).groupBy("domain", "kind", "value").agg(
-        F.min("seq").alias("seq"), F.min_by("p", "seq").alias("p")
+    new = F.col("seq") >= 0  # stored values precede every event
+    firsts = (values if held is None else values.unionByName(held, allowMissingColumns=True)).groupBy("domain", "kind", "value").agg(
+        F.min("seq").alias("seq"), F.min_by("p", "seq").alias("p"), F.count_if(new).alias("n"), F.max(F.when(new, F.struct("seq", "ts"))).alias("last"),
+        F.min(F.when(new, F.col("seq"))).alias("first"),
     )
-    few = top_k(firsts, ["domain", "kind"], [F.asc("seq"), F.asc("p")], K.KEPT_PARAMS, "value")
+    totals = firsts.filter(F.col("kind") == PATH).groupBy("domain").agg(
+        F.sum("n").alias("success_count"), F.max("last").alias("last"), F.min("first").alias("pos")
+    ).filter("success_count > 0").select("domain", "success_count", F.col("last.ts").alias("last_verified"), "pos")
+    few = top_k(firsts.select("domain", "kind", "value", "seq", "p"), ["domain", "kind"], [F.asc("seq"), F.asc("p")], K.KEPT_PARAMS, "value")
     lists = few.groupBy("domain", "kind").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("seq", "p", "value"))), lambda x: x["value"]).alias("items")
     )

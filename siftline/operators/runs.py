@@ -9,11 +9,19 @@ from siftline import constants as K
 LIMIT_STATUSES = ["timeout_runtime", "timeout_llm", "timeout_tools"]
 
 
+def model_call() -> Column:
+    """Whether a row of the run log is a call of the model: a step, or the planner."""
+    return F.col("type").isin("llm_request", "planner_request")
+
+
 def run_counters(log: DataFrame) -> DataFrame:
-    """Counts and times per run from the run log (``run_id, seq, ts, type, tool``)."""
-    planner = F.col("type").isin("planner_response", "planner_error")
+    """Counts and times per run from the run log (``run_id, seq, ts, type, tool``).
+
+    A planner call counts once, by its request: an answer that does not parse leaves a response and an error.
+    """
+    planner = F.col("type").startswith("planner_")
     return log.groupBy("run_id").agg(
-        F.count_if((F.col("type") == "llm_request") | planner).alias("llm_calls"),
+        F.count_if(model_call()).alias("llm_calls"),
         F.count_if(F.col("type") == "tool_result").alias("tool_calls"),
         F.count_if((F.col("type") == "tool_result") & (F.col("tool") == "web_search")).alias("search_calls"),
         F.min("ts").alias("started_at"),

@@ -104,7 +104,7 @@ FROM cut"""),
 # --- text -----------------------------------------------------------------------------------------
 _add(
     "search_query_keywords",
-    lambda s, d: T.spread(T.read(s, d, "documents"), "doc_id").select("doc_id", TX.search_query(F.col("text")).alias("q")).select("doc_id", "q.query", "q.warning"),
+    lambda s, d: T.read(s, d, "documents").select("doc_id", TX.search_query(F.col("text")).alias("q")).select("doc_id", "q.query", "q.warning"),
     r"""
 WITH t AS (SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS q FROM documents),
 w AS (SELECT doc_id, q, regexp_split_to_array(q, '\s+') AS words FROM t),
@@ -129,7 +129,7 @@ page_text AS (SELECT page_id, trim(t) AS title, """ + _VISIBLE_SQL.format(c="b")
 
 def page_texts(s, d):
     html = F.col("html")
-    return T.spread(T.read(s, d, "pages"), "page_id").select("page_id", "url", H.page_title(html).alias("title"), H.page_text(html).alias("text"))
+    return T.read(s, d, "pages").select("page_id", "url", H.page_title(html).alias("title"), H.page_text(html).alias("text"))
 
 
 _add("page_scan", lambda s, d: T.read(s, d, "pages").select("page_id", "url", F.length("html").alias("html_chars")),
@@ -138,12 +138,12 @@ _add("html_title_text", lambda s, d: page_texts(s, d).select("page_id", "title",
      f"WITH {_HTML_SQL} SELECT page_id, title, text FROM page_text")
 _add(
     "visible_text",
-    lambda s, d: T.spread(T.read(s, d, "documents"), "doc_id").select("doc_id", TX.visible_text(F.col("text")).alias("text")),
+    lambda s, d: T.read(s, d, "documents").select("doc_id", TX.visible_text(F.col("text")).alias("text")),
     f"SELECT doc_id, {_VISIBLE_SQL.format(c='text')} AS text FROM documents",
 )
 _add(
     "truncate_markers",
-    lambda s, d: T.spread(T.read(s, d, "documents"), "doc_id").select(
+    lambda s, d: T.read(s, d, "documents").select(
         "doc_id", TX.cut_page(F.col("text")).alias("page"), TX.cut_body(F.col("text"), F.lit(4000)).alias("body"), TX.cut_other(F.col("text")).alias("other")
     ),
     r"""
@@ -164,7 +164,7 @@ SELECT id, coalesce(string_agg(line, ' || ' ORDER BY i), '') AS hints, count(lin
 
 
 def _hint_texts(s, d):
-    docs = T.spread(T.read(s, d, "documents"), "doc_id").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text")
+    docs = T.read(s, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text")
     return T.listings(s, d).select(F.concat(F.lit("l"), F.col("listing_id").cast("string")).alias("id"), "text").unionByName(docs)
 
 
@@ -288,7 +288,7 @@ SELECT o_orderkey, greatest(8, greatest(80 - o_custkey % 90 - 4, 8 * greatest(o_
 # --- documents and lines as sources -----------------------------------------------------------------
 _add(
     "task_texts",
-    lambda s, d: T.spread(T.read(s, d, "documents"), "doc_id").select("doc_id", TX.utrim(F.concat(F.lit("\n  "), "text", F.lit(" \n"))).alias("task")),
+    lambda s, d: T.read(s, d, "documents").select("doc_id", TX.utrim(F.concat(F.lit("\n  "), "text", F.lit(" \n"))).alias("task")),
     f"SELECT doc_id, trim(text, {_WS}) AS task FROM documents",
 )
 

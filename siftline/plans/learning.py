@@ -50,7 +50,8 @@ SELECT seq, ts, {_DOMAIN.format(c='url')} AS domain, CASE WHEN path = '' THEN '/
     CASE WHEN len(ns) = 0 THEN '' ELSE '?' || array_to_string(list_transform(ns[1:15], lambda x: x || '=…'), '&') END AS template
 FROM (SELECT *, CASE WHEN q = '' THEN CAST([] AS VARCHAR[]) ELSE list_transform(string_split(q, '&'), lambda x: url_decode(split_part(x, '=', 1))) END AS ns
   FROM (SELECT seq, ts, url, regexp_extract(url, '^[^/]*//([^/?#]*)', 1) AS auth, regexp_replace(regexp_extract(url, '^[^/]*//[^/?#]*([^?#]*)', 1), ';[^/]*$', '') AS path,
-    CASE WHEN contains(url, '?') THEN split_part(split_part(url, '?', 2), '#', 1) ELSE '' END AS q FROM search_urls))
+    CASE WHEN contains(url, '?') THEN split_part(split_part(url, '?', 2), '#', 1) ELSE '' END AS q FROM search_urls
+    WHERE starts_with(tool, 'browser_') AND coalesce(error, '') = '' AND (len(price_hints) > 0 OR contains(lower(url), 'zoeken') OR contains(lower(url), 'search'))))
 WHERE starts_with(url, 'http') AND (len(ns) > 0 OR contains(path, '/zoeken') OR contains(lower(path), '/search'))
   AND (regexp_matches(path, '(?i)/(zoeken|search|results?)/?') OR len(list_filter(ns, lambda x: regexp_matches(lower(x),
     'participant|adult|pax|person|traveler|traveller|guest|date|depart|arrival|checkin|checkout|meal|board|duration|night|airport|from|origin|transport|room'))) > 0)"""

@@ -64,8 +64,8 @@ def run_summary(s, d):
 
 
 SUMMARY_SQL = """
-SELECT l.run_id, arg_max(status, seq) FILTER (status IS NOT NULL) AS status, 'single' AS mode, min(ts) AS started_at, max(ts) AS finished_at,
-  round(epoch_us(max(ts))/1e6 - epoch_us(min(ts))/1e6, 1) AS elapsed_seconds, count(*) FILTER (type = 'llm_request') AS llm_calls,
+SELECT l.run_id, arg_max(status, seq) FILTER (status IS NOT NULL) AS status, CASE WHEN bool_or(starts_with(type, 'planner_')) THEN 'planned' ELSE 'single' END AS mode, min(ts) AS started_at, max(ts) AS finished_at,
+  round(epoch_us(max(ts))/1e6 - epoch_us(min(ts))/1e6, 1) AS elapsed_seconds, count(*) FILTER (type IN ('llm_request', 'planner_request')) AS llm_calls,
   count(*) FILTER (type = 'tool_result') AS tool_calls, count(*) FILTER (tool = 'web_search') AS search_calls,
   (SELECT count(*) FROM notes n WHERE n.run_id = l.run_id) AS notes_count,
   (SELECT count(*) FROM sources n WHERE n.run_id = l.run_id) AS sources_count,
@@ -93,7 +93,7 @@ SELECT run_id, seq, reason, llm_before, tools_before FROM (
   SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS k FROM (
     SELECT run_id, seq, llm - 1 AS llm_before, tools AS tools_before,
       CASE WHEN ts - start > INTERVAL 3 DAY THEN 'timeout_runtime' WHEN llm - 1 >= 80 THEN 'timeout_llm' WHEN sess - 1 >= 12 THEN 'session_budget' WHEN tools >= 150 THEN 'timeout_tools' END AS reason
-    FROM (SELECT *, count(*) FILTER (type = 'llm_request') OVER (PARTITION BY run_id ORDER BY seq) AS llm, count(*) FILTER (type = 'tool_result') OVER (PARTITION BY run_id ORDER BY seq) AS tools,
+    FROM (SELECT *, count(*) FILTER (type IN ('llm_request', 'planner_request')) OVER (PARTITION BY run_id ORDER BY seq) AS llm, count(*) FILTER (type = 'tool_result') OVER (PARTITION BY run_id ORDER BY seq) AS tools,
             count(*) FILTER (type = 'llm_request') OVER (PARTITION BY run_id, session ORDER BY seq) AS sess, min(ts) OVER (PARTITION BY run_id) AS start FROM run_log)
     WHERE type = 'llm_request') WHERE reason IS NOT NULL) WHERE k = 1"""),
 )
@@ -193,11 +193,10 @@ SELECT run_id, session, seq, pos FROM (SELECT *, row_number() OVER w AS pos, sum
 )
 _add(
     "prioritized_notes",
-    lambda s, d: OR.top_k(
-        notes(s, d).select("run_id", "seq", EV.note_priority(F.col("source_type"), F.col("summary"), F.col("ok")).alias("score")),
-        ["run_id"], [F.desc("score"), F.asc("seq")], 80, "seq", rank="pos",
-    ),
-    T.with_tables(["tool_results"], "SELECT * FROM (SELECT run_id, seq, score, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, seq) AS pos FROM lines) WHERE pos <= 80", _NOTE_CTES),
+    lambda s, d: EV.prioritized(DG.latest_notes(notes(s, d))).select("run_id", "seq", "score", "pos"),
+    T.with_tables(["tool_results"], """
+SELECT run_id, seq, score, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, seq) AS pos
+FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq DESC) AS k FROM lines) WHERE k <= 80""", _NOTE_CTES),
 )
 _add(
     "latest_notes",
@@ -235,7 +234,7 @@ def _short_drafts(s, d):
 
 def partial_reports(s, d):
     sources = EV.all_sources(T.search_results(s, d), T.tool_results(s, d))
-    digests = DG.notes_digest(notes(s, d), ["run_id"], 4000)
+    digests = DG.notes_digest(DG.latest_notes(notes(s, d)), ["run_id"], 4000)
     return DG.partial_report_lines(_unfinished(s, d), _short_drafts(s, d), sources, digests)
 
 
@@ -257,7 +256,7 @@ SELECT run_id, section, "at", pos, line FROM (
   UNION ALL SELECT run_id, 8, 0, 0, '- Run ended with status: `' || status || '`' FROM open WHERE draft IS NULL
   UNION ALL SELECT run_id, 9, 0, 0, '- No complete agent report was produced.' || chr(10) FROM open WHERE draft IS NULL)""", {
         **_NOTE_CTES, "sources": SOURCES_SQL,
-        "digests": _BUDGET.format(keys="run_id", n=4000, order="seq", src="lines"),
+        "recent": HANDOFF_CTES["recent"], "digests": _BUDGET.format(keys="run_id", n=4000, order="seq", src="recent"),
         "firsts": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, url ORDER BY seq, pos) AS k FROM sources) WHERE k = 1",
         "texts": f"SELECT run_id, turn, role, CASE WHEN trim(content, {_WS}) <> '' THEN trim(content, {_WS}) ELSE trim(coalesce(thinking, ''), {_WS}) END AS t FROM messages",
         "open": """SELECT q.run_id, q.task, CASE WHEN q.run_id % 2 = 0 THEN 'timeout_llm' ELSE 'error' END AS status, m.draft

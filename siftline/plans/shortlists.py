@@ -126,19 +126,19 @@ _add(
     sql("""SELECT m.run_id, m.name_key, m.source_url, coalesce((SELECT string_agg(u.url, '|' ORDER BY u.pos) FROM urls u
   WHERE u.run_id = m.run_id AND u.name_key = m.name_key), '') AS source_urls FROM merged m"""),
 )
+_ACTION = """CASE WHEN reject_reason IS NOT NULL THEN NULL
+  WHEN row_number() OVER (PARTITION BY run_id, name_key, reject_reason IS NULL ORDER BY seq) = 1 THEN 'added' ELSE 'updated' END"""
 _add(
     "upsert_actions",
     lambda s, d: SL.upsert_actions(checked(s, d)).select("seq", "run_id", "action"),
-    sql("""SELECT c.seq, c.run_id, CASE WHEN r.seq IS NULL THEN NULL WHEN r.nth = 1 THEN 'added' ELSE 'updated' END AS action
-FROM checked c LEFT JOIN rows r ON r.seq = c.seq"""),
+    sql(f"SELECT seq, run_id, {_ACTION} AS action FROM checked"),
 )
 _add(
     "shortlist_notes",
     lambda s, d: SL.shortlist_notes(SL.upsert_actions(checked(s, d)), T.candidates(s, d)),
-    sql("""SELECT c.seq, c.run_id, c.session, 'shortlist' AS source_type, c.name AS title, c.source_url AS url, r.seq IS NOT NULL AS ok,
-  CASE WHEN r.seq IS NULL THEN 'None' WHEN r.nth = 1 THEN 'added' ELSE 'updated' END || ': price=' || coalesce(c.price, 'None') || ' url=' || c.source_url ||
-    ' ' || left(c.details, 200) AS summary
-FROM checked c LEFT JOIN rows r ON r.seq = c.seq"""),
+    sql(f"""SELECT seq, run_id, session, 'shortlist' AS source_type, name AS title, source_url AS url, action IS NOT NULL AS ok,
+  coalesce(action, 'None') || ': price=' || coalesce(price, 'None') || ' url=' || source_url || ' ' || left(details, 200) AS summary
+FROM (SELECT *, {_ACTION} AS action FROM checked)"""),
 )
 
 

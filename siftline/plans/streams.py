@@ -31,17 +31,20 @@ def _folder(s: SparkSession) -> str:
     return f"{shared_dir(s)}/streams/{uuid.uuid4().hex}"
 
 
-FILES = 4
-
-
 def arriving(s: SparkSession, rows: DataFrame, folder: str, parts: int = 3) -> DataFrame:
-    """A table as a log that arrives in ``parts`` pieces by ``seq``, read as a stream of as many micro-batches."""
+    """A table as a log that arrives in ``parts`` pieces by ``seq``, read as a stream of a micro-batch for each.
+
+    A piece keeps the files its tasks write, whose number is filled up to that of the largest piece: a batch takes so many.
+    """
     low, high = rows.agg(F.min("seq"), F.max("seq")).first()
     step = (high - low) // parts + 1
+    rows.withColumn("_part", F.expr(f"(seq - {low}) div {step}")).write.partitionBy("_part").parquet(f"{folder}/parts")
+    files = 0
     for i in range(parts):
-        piece = rows.filter((F.col("seq") >= low + i * step) & (F.col("seq") < low + (i + 1) * step))
-        piece.repartition(FILES).write.mode("append").parquet(f"{folder}/log/part-{i}")
-    return J.read_log(s, f"{folder}/log", rows.schema, "parquet", files_per_batch=FILES)
+        piece = s.read.schema(rows.schema).parquet(f"{folder}/parts/_part={i}")
+        files = files or piece.rdd.getNumPartitions()
+        piece.repartition(files).write.mode("append").parquet(f"{folder}/log/part-{i}")
+    return J.read_log(s, f"{folder}/log", rows.schema, "parquet", files_per_batch=files)
 
 
 def _last_batch(query) -> int:
@@ -83,9 +86,9 @@ def run_counters_stream(s, d):
 def event_log_stream(s, d):
     """Rows appended to a JSON log by a stream, read back."""
     folder = _folder(s)
-    rows = T.tool_events(s, d).select("seq", "ts", "run_id", "tool", "url", "ok", "blocked", "error")
+    rows = T.tool_events(s, d)
     J.append_log(arriving(s, rows, folder), f"{folder}/events", f"{folder}/checkpoint").awaitTermination()
-    return s.read.schema(rows.schema).json(f"{folder}/events")
+    return s.read.schema(rows.schema).json(f"{folder}/events").withColumn("price_hints", F.array_join("price_hints", "|"))
 
 
 def session_guard_stream(s, d):
@@ -113,8 +116,8 @@ _add(
     "run_counters_stream",
     run_counters_stream,
     T.with_tables(["run_log"], """
-SELECT run_id, count(*) FILTER (type = 'llm_request') AS llm_calls, count(*) FILTER (type = 'tool_result') AS tool_calls,
+SELECT run_id, count(*) FILTER (type IN ('llm_request', 'planner_request')) AS llm_calls, count(*) FILTER (type = 'tool_result') AS tool_calls,
   count(*) FILTER (tool = 'web_search') AS search_calls FROM run_log GROUP BY run_id"""),
 )
-_add("event_log_stream", event_log_stream, T.with_tables(["tool_events"], "SELECT seq, ts, run_id, tool, url, ok, blocked, error FROM tool_events"))
+_add("event_log_stream", event_log_stream, T.with_tables(["tool_events"], "SELECT * REPLACE (array_to_string(price_hints, '|') AS price_hints) FROM tool_events"))
 _add("session_guard_stream", session_guard_stream)

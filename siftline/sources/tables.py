@@ -16,15 +16,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows over all cores before heavy per-row work, only where the scan has fewer splits than cores.
-
-    A large table has more splits than cores and is left as it is: no shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def once(value: Column) -> Column:
     """A derived column that is computed once per row.
 
@@ -47,7 +38,7 @@ def _div(c: str, n: int) -> Column:
 def _event_pages(spark: SparkSession, d: str, key: Column | None = None) -> DataFrame:
     pages = read(spark, d, "pages").select("page_id", "url")
     key = F.col("event_id") if key is None else key
-    return spread(read(spark, d, "events"), "event_id").withColumn("page_id", key % _n(pages)).join(pages, "page_id")
+    return read(spark, d, "events").withColumn("page_id", key % _n(pages)).join(pages, "page_id")
 
 
 def _event_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -203,7 +194,8 @@ JOIN pages g ON g.page_id = e.event_id % (SELECT count(*) FROM pages)"""
 
 
 def search_urls(spark: SparkSession, d: str) -> DataFrame:
-    """Visited URLs: search URLs with hinted and percent-encoded parameters, search paths, plain pages."""
+    """Results of visited URLs: search URLs with hinted and percent-encoded parameters, search paths, plain pages; some
+    from other tools, some failed, half with price hints."""
     rows = _event_pages(spark, d)
     bare = F.substring_index(F.substring_index("url", "#", 1), "?", 1)
     num = lambda m: (_e() % m).cast("string")
@@ -213,7 +205,12 @@ def search_urls(spark: SparkSession, d: str) -> DataFrame:
         .when(_e() % 5 == 2, F.concat(F.regexp_replace("url", r"^(https?://[^/]+).*$", "$1"), F.lit("/search/"), num(12)))
         .otherwise(F.col("url"))
     )
-    return rows.select(_e().alias("seq"), "ts", once(url).alias("url"))
+    ten = _div("event_id", 10)
+    return rows.select(
+        _e().alias("seq"), "ts", once(url).alias("url"), F.when(ten % 8 == 7, "web_fetch").otherwise("browser_open").alias("tool"),
+        F.when(ten % 9 == 8, "Timeout 60000ms exceeded").when(ten % 9 == 7, "").alias("error"),
+        F.when(_div("event_id", 5) % 2 == 0, F.array(F.lit("€ 1"))).otherwise(F.array().cast("array<string>")).alias("price_hints"),
+    )
 
 
 SQL["search_urls"] = r"""
@@ -222,7 +219,10 @@ SELECT e.event_id AS seq, e.ts,
     WHEN 0 THEN split_part(split_part(p.url,'#',1),'?',1) || '?checkin=1&adults=' || CAST(e.event_id % 9 AS VARCHAR)
     WHEN 1 THEN split_part(split_part(p.url,'#',1),'?',1) || '?k' || CAST(e.event_id % 60 AS VARCHAR) || '=&Date%5B0%5D=2'
     WHEN 2 THEN regexp_replace(p.url, '^(https?://[^/]+).*$', '\1') || '/search/' || CAST(e.event_id % 12 AS VARCHAR)
-    ELSE p.url END AS url
+    ELSE p.url END AS url,
+  CASE WHEN (e.event_id // 10) % 8 = 7 THEN 'web_fetch' ELSE 'browser_open' END AS tool,
+  CASE (e.event_id // 10) % 9 WHEN 8 THEN 'Timeout 60000ms exceeded' WHEN 7 THEN '' END AS error,
+  CASE WHEN (e.event_id // 5) % 2 = 0 THEN ['€ 1'] ELSE CAST([] AS VARCHAR[]) END AS price_hints
 FROM events e JOIN pages p ON p.page_id = e.event_id % (SELECT count(*) FROM pages)"""
 
 
@@ -373,10 +373,12 @@ FROM part"""
 
 
 def run_log(spark: SparkSession, d: str) -> DataFrame:
-    """Run log: model steps, tool results by tool, and session ends with their status."""
+    """Run log: model steps, tool results by tool, session ends with their status, and planner calls in seven of ten runs, whose
+    answers are sometimes followed by an error."""
     e = read(spark, d, "events")
     k = F.col("event_type")
-    kind = F.when(k.isin("signup", "error"), "llm_request").when(_e() % 29 == 0, "session_end").otherwise("tool_result")
+    planner = F.when(_e() % 47 == 1, "planner_request").when(_e() % 47 == 2, "planner_response").when((_e() % 47 == 3) & (_e() % 2 == 0), "planner_error")
+    kind = F.coalesce(F.when(F.col("user_id") % 10 < 7, planner), F.when(k.isin("signup", "error"), "llm_request").when(_e() % 29 == 0, "session_end").otherwise("tool_result"))
     tool = F.when(kind == "tool_result", F.when(k == "view", "web_search").when(k == "click", "browser_click").otherwise("web_fetch"))
     status = F.when(
         kind == "session_end",
@@ -393,7 +395,9 @@ SELECT seq, ts, run_id, session, type,
   CASE WHEN type = 'tool_result' THEN CASE k WHEN 'view' THEN 'web_search' WHEN 'click' THEN 'browser_click' ELSE 'web_fetch' END END AS tool,
   CASE WHEN type = 'session_end' THEN CASE seq % 4 WHEN 0 THEN 'completed' WHEN 1 THEN 'timeout_llm' WHEN 2 THEN 'session_budget' ELSE 'llm_error' END END AS status
 FROM (SELECT event_id AS seq, ts, user_id % 10 AS run_id, user_id AS session, event_type AS k,
-        CASE WHEN event_type IN ('signup','error') THEN 'llm_request' WHEN event_id % 29 = 0 THEN 'session_end' ELSE 'tool_result' END AS type
+        CASE WHEN user_id % 10 < 7 AND event_id % 47 = 1 THEN 'planner_request' WHEN user_id % 10 < 7 AND event_id % 47 = 2 THEN 'planner_response'
+          WHEN user_id % 10 < 7 AND event_id % 47 = 3 AND event_id % 2 = 0 THEN 'planner_error'
+          WHEN event_type IN ('signup','error') THEN 'llm_request' WHEN event_id % 29 = 0 THEN 'session_end' ELSE 'tool_result' END AS type
       FROM events)"""
 
 

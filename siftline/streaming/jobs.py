@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as TY
 from pyspark.sql.streaming import StreamingQuery
 
 from siftline.operators import patterns as PT, shortlist as SL, tactics as TC
+from siftline.operators.runs import model_call
 from siftline.sources.files import TIME_FORMAT
 from siftline.streaming.state import StateTable
 
@@ -99,7 +100,7 @@ def live_counters(log: DataFrame) -> DataFrame:
     """Running counters per run, a streaming aggregation."""
     result = F.col("type") == "tool_result"
     return log.groupBy("run_id").agg(
-        F.count_if(F.col("type") == "llm_request").alias("llm_calls"),
+        F.count_if(model_call()).alias("llm_calls"),
         F.count_if(result).alias("tool_calls"),
         F.count_if(result & (F.col("tool") == "web_search")).alias("search_calls"),
     )

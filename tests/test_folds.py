@@ -196,7 +196,11 @@ def test_patterns_equal_fold_with_evictions(spark, with_prior):
         names = [f"date{rng.randrange(3 if d != 'd3.be' else 60)}" for _ in range(rng.randrange(3))]
         rows.append((d, f"/search/{rng.randrange(span)}", names))
     url = lambda d, p, names: f"http://{d}{p}" + ("?" + "&".join(f"{n}=1" for n in names) if names else "")
-    visits = spark.createDataFrame([(s, at(s), url(*r)) for s, r in enumerate(rows)], "seq long, ts timestamp_ntz, url string")
+    seen = [(s, at(s), url(*r), "browser_open", None if s % 2 else "", ["€ 1"] if s % 3 else []) for s, r in enumerate(rows)]
+    # Results of other tools, with an error, or without prices and any mention of a search teach nothing.
+    seen += [(s, at(s), "http://d1.be/search/never?date=1", *x) for s, x in enumerate([("web_fetch", None, ["€ 1"]), ("browser_open", "Timeout", ["€ 1"])])]
+    seen += [(9, at(9), "http://d1.be/results/never?date=1", "browser_open", None, [])]
+    visits = spark.createDataFrame(seen, "seq long, ts timestamp_ntz, url string, tool string, error string, price_hints array<string>")
     cut = 350 if with_prior else 0
     prior_df = PT.learn_patterns(visits.filter(F.col("seq") < cut)) if with_prior else None
     out = PT.learn_patterns(visits.filter(F.col("seq") >= cut), prior_df).collect()
