@@ -52,7 +52,7 @@ def _fetches(s, d):
         F.when(k % 11 == 0, 403).when(k % 11 == 1, 401).when(k % 11 == 2, 429).when(k % 11 == 3, 503)
         .when(k % 11 == 4, 404).when(k % 11 == 5, F.lit(None)).otherwise(200)
     )
-    kind = F.when(k % 7 == 0, "application/pdf").when(k % 7 == 1, "text/plain").otherwise("text/html; charset=utf-8")
+    kind = F.when(k % 7 == 0, "application/pdf").when(k % 7 == 1, "text/plain").when(k % 7 == 2, F.lit(None)).otherwise("text/html; charset=utf-8")
     return page_texts(s, d).select(
         "page_id",
         EV.fetch_outcome(F.col("url"), status, kind, F.col("title"), F.col("text"), k % 13 == 0).alias("o"),
@@ -65,13 +65,13 @@ _add(
     f"""WITH {_HTML_SQL},
 f AS (SELECT p.page_id, p.url, t.title, t.text, p.page_id % 13 = 0 AS hint,
     CASE p.page_id % 11 WHEN 0 THEN 403 WHEN 1 THEN 401 WHEN 2 THEN 429 WHEN 3 THEN 503 WHEN 4 THEN 404 WHEN 5 THEN NULL ELSE 200 END AS st,
-    CASE p.page_id % 7 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'text/plain' ELSE 'text/html; charset=utf-8' END AS ct
+    CASE p.page_id % 7 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'text/plain' WHEN 2 THEN NULL ELSE 'text/html; charset=utf-8' END AS ct
   FROM pages p JOIN page_text t USING (page_id)),
 g AS (SELECT *, CASE WHEN length(text) > 12000 THEN left(text, 12000) || chr(10) || chr(10) || '...[truncated at 12000 chars]' ELSE text END AS body,
     CASE WHEN hint THEN 'hint' WHEN st IN (401, 403) THEN 'denied' WHEN st IS NULL OR st >= 400 THEN 'failed'
          WHEN ct LIKE 'text/%' THEN 'read' ELSE 'other' END AS arm FROM f)
 SELECT page_id, CASE WHEN arm = 'read' THEN title ELSE '' END AS title,
-  CASE arm WHEN 'read' THEN body WHEN 'other' THEN '[Non-text content type: ' || ct || ']' ELSE '' END AS text,
+  CASE arm WHEN 'read' THEN body WHEN 'other' THEN '[Non-text content type: ' || coalesce(ct, '') || ']' ELSE '' END AS text,
   CASE WHEN arm = 'hint' THEN 'Learned tactic for ' || regexp_replace(lower(regexp_extract(url, '^[^/]*//([^/?#]*)', 1)), '^www\\.', '') ||
          ': prefer browser_open (previous HTTP fetches failed). Use browser_open.'
        WHEN arm = 'denied' THEN st || ' Forbidden/Unauthorized – use browser_open'

@@ -148,7 +148,56 @@ SELECT seq, run_id, session_id, tool, coalesce(arg_url, lag(tab_after) OVER (PAR
 FROM (SELECT *, last_value(CASE WHEN starts_with(tool, 'browser_') AND starts_with(url, 'http') THEN url WHEN tool = 'browser_open' AND error IS NULL THEN arg_url END IGNORE NULLS)
         OVER (PARTITION BY run_id, session_id ORDER BY seq) AS tab_after FROM attempts)"""),
 )
-_add("session_guard", lambda s, d: GD.guard_sessions(GD.attempts_with_facts(T.attempts(s, d), LN.patterns(s, d))))
+# The guard's verdicts feed back on themselves: one recursion step takes the next attempt of every session.
+_URL_CUT = {
+    "q": "CASE WHEN contains({u}, '?') THEN split_part(split_part({u}, '?', 2), '#', 1) ELSE '' END",
+    "p": "regexp_extract(split_part(split_part({u}, '#', 1), '?', 1), '^[^/]*//[^/]*(.*)$', 1)",
+}
+_GUARD_CTES = {
+    **LN.PATTERN_CTES,
+    "keyed": rf"SELECT DISTINCT {_HOST.format(c='arg_url')} AS host FROM attempts WHERE tool = 'browser_open' AND regexp_matches(arg_url, '^https?://[^/?#]+/?$')",
+    "matched": LN._MATCH_SQL,
+    "cuts": f"SELECT *, coalesce(arg_url, '') AS arg, coalesce(url, '') AS u, {_URL_CUT['q'].format(u='arg_url')} AS q, rtrim({_URL_CUT['p'].format(u='arg_url')}, '/') AS p FROM attempts WHERE starts_with(tool, 'browser_')",
+    "facts": rf"""
+SELECT c.run_id, c.session_id, c.seq, c.tool, c.arg, c.u, coalesce(c.error, '') <> '' AS errored, c.price_hints[1:20] AS hints, c.arg_host, c.url_host, c.arg_root, c.arg_search,
+  c.tool = 'browser_open' AND c.arg_root AND m.pattern_key IS NOT NULL AS known, row_number() OVER (PARTITION BY run_id, session_id ORDER BY seq) AS k
+FROM (SELECT *, {_HOST.format(c='arg')} AS arg_host, {_HOST.format(c='u')} AS url_host,
+    arg <> '' AND q = '' AND (p IN ('', '/nl', '/en', '/fr', '/de', '/be', '/nl-be', '/fr-be') OR (length(p) <= 4 AND length(p) - length(replace(p, '/', '')) <= 1)) AS arg_root,
+    contains(q, '=') OR regexp_matches(lower(p) || '/', '/zoeken|/search|/results|/vakantie/|/all-inclusive|/serp|/find') AS arg_search FROM cuts) c
+LEFT JOIN matched m ON m.host = c.arg_host""",
+}
+GUARD_SQL = f"""
+SELECT run_id, session_id, seq, tool, host, verdict, noop, action_no FROM (
+WITH RECURSIVE steps(run_id, session_id, k, seq, tool, tab, tab_host, counts, noops, blocked, graced, pages, seen, host, verdict, noop, action_no) AS (
+  SELECT DISTINCT run_id, session_id, 0::BIGINT, 0::BIGINT, '', '', '', MAP {{}}::MAP(VARCHAR, BIGINT), MAP {{}}::MAP(VARCHAR, BIGINT), []::VARCHAR[], []::VARCHAR[],
+    MAP {{}}::MAP(VARCHAR, VARCHAR), MAP {{}}::MAP(VARCHAR, VARCHAR[]), '', '', false, 0::BIGINT FROM facts
+  UNION ALL
+  SELECT run_id, session_id, k, seq, tool, tab, tab_host,
+    CASE WHEN acts THEN map_concat(counts, MAP {{host: n}}) ELSE counts END, CASE WHEN acts THEN map_concat(noops, MAP {{host: idle}}) ELSE noops END,
+    CASE WHEN acts AND (idle >= {K.MAX_NOOPS_PER_HOST} OR n >= {K.MAX_ACTIONS_PER_HOST}) OR verdict = 'budget' THEN list_append(blocked, host) ELSE blocked END, graced,
+    CASE WHEN acts THEN map_concat(pages, MAP {{host: page}}) ELSE pages END, CASE WHEN acts THEN map_concat(seen, MAP {{host: hints}}) ELSE seen END,
+    host, verdict, noop, CASE WHEN acts THEN n WHEN host = '' OR verdict IN ('run', 'grace') THEN 0 ELSE before END
+  FROM (SELECT *, CASE WHEN noop THEN coalesce(noops[host], 0) + 1 ELSE 0 END AS idle, coalesce(counts[host], 0) AS before, coalesce(counts[host], 0) + 1 AS n
+   FROM (SELECT *, coalesce(acts AND map_contains(pages, host) AND (errored OR (page <> '' AND page = pages[host] AND len(list_filter(hints, lambda h: NOT list_contains(seen[host], h))) = 0)), false) AS noop
+    FROM (SELECT *, goes AND host <> '' AS acts, CASE WHEN tab <> '' THEN tab ELSE u END AS page
+     FROM (SELECT * REPLACE (new_tab AS tab, new_host AS tab_host), CASE WHEN NOT goes THEN target WHEN new_host <> '' THEN new_host WHEN url_host <> '' THEN url_host ELSE target END AS host
+      FROM (SELECT *, CASE WHEN goes AND starts_with(u, 'http') THEN u WHEN goes AND opens THEN arg ELSE tab END AS new_tab,
+          CASE WHEN goes AND starts_with(u, 'http') THEN url_host WHEN goes AND opens THEN arg_host ELSE tab_host END AS new_host
+       FROM (SELECT *, verdict IN ('run', 'grace') AS goes, tool = 'browser_open' AND arg <> '' AND NOT errored AS opens
+        FROM (SELECT * REPLACE (CASE WHEN forgiven THEN list_append(graced, target) ELSE graced END AS graced, CASE WHEN forgiven THEN list_filter(blocked, lambda b: b <> target) ELSE blocked END AS blocked,
+            CASE WHEN forgiven THEN map_concat(noops, MAP {{target: 0::BIGINT}}) ELSE noops END AS noops),
+            CASE WHEN shut AND NOT forgiven THEN 'blocked_host' WHEN tool = 'browser_open' AND target <> '' AND arg <> '' AND known THEN 'blocked_root_open'
+              WHEN target <> '' AND coalesce(counts[target], 0) >= {K.MAX_ACTIONS_PER_HOST} THEN 'budget' WHEN forgiven THEN 'grace' ELSE 'run' END AS verdict
+         FROM (SELECT *, shut AND tool = 'browser_open' AND NOT list_contains(graced, target) AND arg <> '' AND arg <> tab AND arg_search AND NOT arg_root AS forgiven
+          FROM (SELECT *, target <> '' AND list_contains(blocked, target) AS shut
+           FROM (SELECT s.tab, s.tab_host, s.counts, s.noops, s.blocked, s.graced, s.pages, s.seen, f.*, CASE WHEN f.arg <> '' THEN f.arg_host ELSE s.tab_host END AS target
+             FROM steps s JOIN facts f ON f.run_id = s.run_id AND f.session_id = s.session_id AND f.k = s.k + 1))))))))))
+) SELECT * FROM steps WHERE k > 0)"""
+_add(
+    "session_guard",
+    lambda s, d: GD.guard_sessions(GD.attempts_with_facts(T.attempts(s, d), LN.patterns(s, d))),
+    T.with_tables(["attempts", "search_urls"], GUARD_SQL, _GUARD_CTES),
+)
 
 # --- digests, handoffs, reports ----------------------------------------------------------------------
 LINES_SQL = """

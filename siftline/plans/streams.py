@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siftline.operators import guard as GD
-from siftline.plans import learning as LN, shortlists as SH
+from siftline.plans import learning as LN, runs as RN, shortlists as SH
 from siftline.session import shared_dir
 from siftline.sources import tables as T
 from siftline.streaming import guard as SG, jobs as J
@@ -120,4 +120,4 @@ SELECT run_id, count(*) FILTER (type IN ('llm_request', 'planner_request')) AS l
   count(*) FILTER (tool = 'web_search') AS search_calls FROM run_log GROUP BY run_id"""),
 )
 _add("event_log_stream", event_log_stream, T.with_tables(["tool_events"], "SELECT * REPLACE (array_to_string(price_hints, '|') AS price_hints) FROM tool_events"))
-_add("session_guard_stream", session_guard_stream)
+_add("session_guard_stream", session_guard_stream, RN.ORACLES["session_guard"])

@@ -16,23 +16,25 @@ TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str | TY.StructType) -> DataFrame:
-    """JSON-lines logs under ``path``; lines that do not parse are dropped, ``run_dir`` is the folder name.
+    """JSON-lines logs under ``path``; lines that do not hold one object are dropped, ``run_dir`` is the folder name.
 
     Lines get no number of their own: a log that needs append order carries ``seq`` or ``ts``.
     """
-    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
-    return rows.withColumn("run_dir", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
+    lines = spark.read.text(path).select("value", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("run_dir"))
+    rows = parse_lines(lines, "value", schema)
+    return rows.select(*[c for c in rows.columns if c != "run_dir"], "run_dir")
 
 
-def parse_lines(lines: DataFrame, line: str, schema: str) -> DataFrame:
+def parse_lines(lines: DataFrame, line: str, schema: str | TY.StructType) -> DataFrame:
     """:func:`read_json_lines` for lines that are a column already."""
-    rest = [c for c in lines.columns if c != line]
-    parsed = F.from_json(F.col(line), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    with_bad = F.from_json(F.col(line), f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    fields = (TY.DataType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+    with_bad = TY.StructType([*fields, TY.StructField("_bad", TY.StringType())])
+    parsed = F.from_json(F.col(line), with_bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     return (
-        lines.withColumns({"_p": parsed, "_b": with_bad})
-        .filter(F.col("_p").isNotNull() & F.col("_b._bad").isNull())
-        .select(*rest, "_p.*")
+        lines.filter(F.col(line).rlike(r"^\s*\{"))
+        .withColumn("_p", parsed)
+        .filter(F.col("_p").isNotNull() & F.col("_p._bad").isNull())
+        .select(*[c for c in lines.columns if c != line], *[F.col(f"_p.`{f.name}`") for f in fields])
     )
 
 
