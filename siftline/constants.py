@@ -184,3 +184,11 @@ PROMPT_SYNTHESIS_TAIL = (
     "First line exact: RESEARCH_COMPLETE\n"
     "Structure: Research question, Executive summary, Ranking, Details, Uncertainties, Sources."
 )
+
+# The refusal of a home page whose host has learned patterns, and its advice, around the values between.
+ROOT_OPEN_ERROR = ("Memory-first: host ", " has learned search URL patterns. Do not open the bare homepage first.")
+ROOT_OPEN_ADVICE = (
+    "Build a deep-link/search URL using learned path + params, with values from the current task constraints. paths=[",
+    "] params=[",
+    "]. Only use the homepage if that deep-link fails (404/empty).",
+)

@@ -20,12 +20,17 @@ def _decode_entities(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
 
+def _decoded(text: Column) -> Column:
+    """Entities decoded; only texts that may hold one go through Python."""
+    return F.when(text.contains("&"), _decode_entities(F.when(text.contains("&"), text))).otherwise(text)
+
+
 def page_title(source: Column) -> Column:
     inner = F.regexp_extract(F.regexp_replace(source, _BLOCKS, "\n"), r"(?is)<title[^>]*>(.*?)</title\s*>", 1)
-    return utrim(_decode_entities(inner))
+    return utrim(_decoded(inner))
 
 
 def page_text(source: Column) -> Column:
     """Visible text, one text node per line; entities are decoded after the tags are cut."""
     nodes = F.regexp_replace(F.regexp_replace(source, _BLOCKS, "\n"), _TAGS, "\n")
-    return visible_text(_decode_entities(nodes))
+    return visible_text(_decoded(nodes))

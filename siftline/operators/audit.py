@@ -118,7 +118,7 @@ def shortlisted_host_events(events: DataFrame, urls: DataFrame) -> DataFrame:
     """Events on hosts that occur among their run's shortlisted URLs."""
     hosts = urls.select("run_id", U.host_key(F.col("url")).alias("host")).filter(F.col("host") != "").distinct()
     keyed = events.withColumn("host", U.host_key(F.col("url")))
-    return salted_join(keyed, hosts, ["run_id", "host"], "seq", "left_semi")
+    return keyed.join(hosts, ["run_id", "host"], "left_semi")
 
 
 def empty_shortlist_nudges(events: DataFrame, accepted_rows: DataFrame) -> DataFrame:

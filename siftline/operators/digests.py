@@ -73,17 +73,11 @@ def session_handoff(notes: DataFrame, sessions: DataFrame, max_chars: int = 2500
     ``sessions`` lists the (run_id, session) pairs to hand over from.
     """
     last = top_k(notes, ["run_id"], [F.desc("seq")], tail, "seq", rank="recency")
-    own = last.join(sessions, ["run_id", "session"]).withColumn("for_session", F.col("session"))
-    silent = sessions.join(last.select("run_id", "session").distinct(), ["run_id", "session"], "left_anti")
-    borrowed = last.filter(F.col("recency") <= fallback).join(
-        silent.withColumnRenamed("session", "for_session"), "run_id"
-    )
-    rows = own.unionByName(borrowed)
-    digest = notes_digest(rows, ["run_id", "for_session"], max_chars, prioritize=True)
-    text = F.coalesce("digest", F.lit(K.NO_NOTES))
-    return sessions.withColumnRenamed("session", "for_session").join(digest, ["run_id", "for_session"], "left").select(
-        "run_id", F.col("for_session").alias("session"), text.alias("digest")
-    )
+    own = notes_digest(last.join(sessions, ["run_id", "session"], "left_semi"), ["run_id", "session"], max_chars, prioritize=True)
+    # One text per run serves all its silent sessions.
+    shared = notes_digest(last.filter(F.col("recency") <= fallback), ["run_id"], max_chars, prioritize=True).withColumnRenamed("digest", "_shared")
+    text = F.coalesce("digest", "_shared", F.lit(K.NO_NOTES))
+    return sessions.join(own, ["run_id", "session"], "left").join(shared, "run_id", "left").select("run_id", "session", text.alias("digest"))
 
 
 def shortlist_digest(merged: DataFrame, urls: DataFrame, max_chars: int = 6000) -> DataFrame:
@@ -201,10 +195,9 @@ def partial_report_lines(runs: DataFrame, messages: DataFrame, sources: DataFram
         F.lit("- "), F.coalesce(F.nullif("title", F.lit("")), "url"), F.lit(" — "), "url",
         F.coalesce(F.concat(F.lit(" (error: "), F.nullif("error", F.lit("")), F.lit(")")), F.lit("")),
     )
-    listed = found.join(bare, "run_id", "left_semi").select(
-        "run_id", F.lit(6).alias("section"), F.col("seq").cast("long").alias("at"), F.col("pos").cast("long").alias("pos"), line.alias("line")
-    )
-    none = bare.join(cited.select("run_id").distinct(), "run_id", "left_anti").select(
-        "run_id", F.lit(6).alias("section"), zero.alias("at"), zero.alias("pos"), F.lit("- (no sources retrieved)").alias("line")
+    # A run without sources has one row with no URL, which becomes the line that says so.
+    listed = bare.join(found, "run_id", "left").select(
+        "run_id", F.lit(6).alias("section"), F.coalesce(F.col("seq").cast("long"), zero).alias("at"), F.coalesce(F.col("pos").cast("long"), zero).alias("pos"),
+        F.coalesce(line, F.lit("- (no sources retrieved)")).alias("line"),
     )
-    return frame.unionByName(listed).unionByName(none)
+    return frame.unionByName(listed)

@@ -191,15 +191,9 @@ def reject_root_opens(attempts: DataFrame, patterns: DataFrame) -> DataFrame:
         .filter(F.col("pattern_key").isNotNull() & known)
         .withColumns(
             {
-                "error": F.concat(
-                    F.lit("Memory-first: host "), "host",
-                    F.lit(" has learned search URL patterns. Do not open the bare homepage first."),
-                ),
+                "error": F.concat(F.lit(K.ROOT_OPEN_ERROR[0]), "host", F.lit(K.ROOT_OPEN_ERROR[1])),
                 "advice": F.concat(
-                    F.lit("Build a deep-link/search URL using learned path + params, "
-                          "with values from the current task constraints. paths=["),
-                    listed("path_hints", 3), F.lit("] params=["), listed("param_names", 10),
-                    F.lit("]. Only use the homepage if that deep-link fails (404/empty)."),
+                    F.lit(K.ROOT_OPEN_ADVICE[0]), listed("path_hints", 3), F.lit(K.ROOT_OPEN_ADVICE[1]), listed("param_names", 10), F.lit(K.ROOT_OPEN_ADVICE[2])
                 ),
                 "learned_path_hints": F.slice("path_hints", 1, 5),
                 "learned_param_names": F.slice("param_names", 1, 15),

@@ -43,7 +43,10 @@ def constraint_check(matched: Column, unmatched: Column, unknown: Column, status
 
 
 def check_candidates(candidates: DataFrame) -> DataFrame:
-    """Candidate rows with trimmed fields, their merge key, the constraint check and a reject reason (NULL = accepted)."""
+    """Candidate rows with trimmed fields, their merge key, the constraint check and a reject reason (NULL = accepted).
+
+    ``given_name`` keeps the name as it was given.
+    """
     null = F.lit(None).cast("string")
     inner = F.col("constraint_status") if "constraint_status" in candidates.columns else null
     notes = F.col("constraint_notes") if "constraint_notes" in candidates.columns else null
@@ -56,7 +59,7 @@ def check_candidates(candidates: DataFrame) -> DataFrame:
     )
     return (
         candidates.withColumns({"check": check, "_name": name})
-        .withColumns({"reject_reason": reason, "name": F.col("_name"), "name_key": TX.name_key(F.col("_name"))})
+        .withColumns({"reject_reason": reason, "given_name": F.col("name"), "name": F.col("_name"), "name_key": TX.name_key(F.col("_name"))})
         .drop("_name")
     )
 
@@ -167,21 +170,20 @@ def upsert_actions(checked: DataFrame) -> DataFrame:
     """Per attempt: ``added`` for the first accepted row of a key, ``updated`` after it, NULL when rejected."""
     ok = F.col("reject_reason").isNull()
     firsts = checked.filter(ok).groupBy(*KEY).agg(F.min("seq").alias("_first"))
-    joined = salted_join(checked, firsts, KEY, "seq", "left")
+    joined = checked.join(firsts, KEY, "left")
     action = F.when(ok, F.when(F.col("seq") == F.col("_first"), "added").otherwise("updated"))
     return joined.withColumn("action", action).drop("_first")
 
 
-def shortlist_notes(actions: DataFrame, raw: DataFrame) -> DataFrame:
-    """The note left by every upsert attempt, built from the arguments as given (``raw``)."""
+def shortlist_notes(actions: DataFrame) -> DataFrame:
+    """The note left by every upsert attempt (rows of :func:`upsert_actions`), built from the arguments as given."""
     none = lambda c: F.coalesce(c, F.lit("None"))
     summary = F.concat(
         none(F.col("action")), F.lit(": price="), none(F.col("price")), F.lit(" url="), none(F.col("source_url")),
         F.lit(" "), F.substring(F.coalesce("details", F.lit("")), 1, 200),
     )
-    args = raw.select("seq", "run_id", "session", F.col("name").alias("title"), "price", "source_url", "details")
-    return args.join(actions.select("run_id", "seq", "action"), ["run_id", "seq"]).select(
-        "seq", "run_id", "session", F.lit("shortlist").alias("source_type"), "title",
+    return actions.select(
+        "seq", "run_id", "session", F.lit("shortlist").alias("source_type"), F.col("given_name").alias("title"),
         F.coalesce("source_url", F.lit("")).alias("url"), summary.alias("summary"),
         F.col("action").isNotNull().alias("ok"),
     )

@@ -77,8 +77,8 @@ def _lookup_urls(s, d):
     deeper = F.when(F.col("seq") % 3 == 0, F.concat(F.lit("https://shop."), host, F.lit("/x"))).otherwise(
         F.concat(F.lit("https://"), F.regexp_replace(host, r"^[^.]+\.", ""), F.lit("/y"))
     )
-    base = T.tool_events(s, d).select("seq", "url")
-    return base.unionByName(base.select((F.col("seq") + (1 << 40)).alias("seq"), T.once(deeper).alias("url")))
+    both = F.explode(F.array(F.struct("seq", "url"), F.struct((F.col("seq") + (1 << 40)).alias("seq"), deeper.alias("url"))))
+    return T.tool_events(s, d).select(both.alias("v")).select("v.seq", "v.url")
 
 
 _LOOKUP_URLS_SQL = rf"""

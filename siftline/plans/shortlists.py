@@ -135,7 +135,7 @@ _add(
 )
 _add(
     "shortlist_notes",
-    lambda s, d: SL.shortlist_notes(SL.upsert_actions(checked(s, d)), T.candidates(s, d)),
+    lambda s, d: SL.shortlist_notes(SL.upsert_actions(checked(s, d))),
     sql(f"""SELECT seq, run_id, session, 'shortlist' AS source_type, name AS title, source_url AS url, action IS NOT NULL AS ok,
   coalesce(action, 'None') || ': price=' || coalesce(price, 'None') || ' url=' || source_url || ' ' || left(details, 200) AS summary
 FROM (SELECT *, {_ACTION} AS action FROM checked)"""),

@@ -78,9 +78,8 @@ def shortlist_stream(s, d):
 
 def run_counters_stream(s, d):
     folder = _folder(s)
-    table = StateTable(f"{folder}/counters", "run_id long, llm_calls long, tool_calls long, search_calls long")
-    log = arriving(s, T.run_log(s, d), folder)
-    return table.at(s, _last_batch(J.write_counters(log, table, f"{folder}/checkpoint")))
+    J.write_counters(arriving(s, T.run_log(s, d), folder), f"{folder}/counters", f"{folder}/checkpoint").awaitTermination()
+    return J.current_counters(s, f"{folder}/counters")
 
 
 def event_log_stream(s, d):

@@ -65,6 +65,13 @@ def document_items(documents: DataFrame, body: str, item: str) -> DataFrame:
     )
 
 
+def strategy_items(documents: DataFrame, body: str) -> DataFrame:
+    """``pos, trigger, tactic, efficiency_gain`` of strategy documents; items may use the older names ``when`` and ``then``."""
+    items = document_items(documents, body, "struct<trigger:string,tactic:string,efficiency_gain:string,`when`:string,`then`:string>")
+    either = lambda new, old: F.coalesce(F.nullif(F.col(f"item.{new}"), F.lit("")), F.col(f"item.{old}"), F.lit("")).alias(new)
+    return items.select(*[c for c in items.columns if c != "item"], either("trigger", "when"), either("tactic", "then"), F.col("item.efficiency_gain"))
+
+
 def document_map(documents: DataFrame, body: str, value: str, key: str = "domain") -> DataFrame:
     """Entries of JSON documents that map a key to a record; unreadable documents have no entries."""
     entries = F.from_json(body, f"map<string,{value}>")
@@ -86,21 +93,20 @@ def with_default_ts(rows: DataFrame, now: Column | None = None) -> DataFrame:
     return rows.withColumn("ts", F.coalesce("ts", F.current_timestamp() if now is None else now))
 
 
-def append_log(rows: DataFrame, path: str, now: Column | None = None) -> None:
-    """Append rows to a JSON-lines log, one folder per run."""
+def append_log(rows: DataFrame, path: str, now: Column | None = None, writers: int = 8) -> None:
+    """Append rows to a JSON-lines log, one folder per run, each written by up to ``writers`` tasks."""
     out = with_default_ts(rows, now)
     if "run_id" in out.columns:
-        # Runs are spread over a few writers each, so that one large run is not written by one task.
-        slot = F.pmod(F.xxhash64(*out.columns), F.lit(8))
+        slot = F.pmod(F.xxhash64(*out.columns), F.lit(writers))
         out.repartition("run_id", slot).write.mode("append").partitionBy("run_id").option("timestampNTZFormat", TIME_FORMAT).json(path)
     else:
         out.write.mode("append").option("timestampNTZFormat", TIME_FORMAT).json(path)
 
 
-def write_snapshot(rows: DataFrame, path: str, fmt: str = "json") -> None:
-    """Replace the partitions of the runs in ``rows``; other runs' files stay."""
+def write_snapshot(rows: DataFrame, path: str, fmt: str = "json", writers: int = 1) -> None:
+    """Replace the partitions of the runs in ``rows``, each written by up to ``writers`` tasks; other runs' files stay."""
     (
-        rows.write.mode("overwrite")
+        rows.repartition("run_id", F.pmod(F.xxhash64(*rows.columns), F.lit(writers))).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("timestampNTZFormat", TIME_FORMAT)
         .partitionBy("run_id")

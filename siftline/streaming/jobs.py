@@ -22,6 +22,7 @@ PATTERNS_SCHEMA = (
     "domain string, param_names array<string>, path_hints array<string>, example_urls array<string>, "
     "success_count long, last_verified timestamp_ntz, pos long"
 )
+#: Default number of parts of the candidate log; give a stream of many runs more.
 BUCKETS = 64
 
 
@@ -67,13 +68,13 @@ def learn_patterns(visits: DataFrame, table: StateTable, checkpoint: str, initia
     return _each_batch(visits, checkpoint, work)
 
 
-def upsert_shortlist(candidates: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+def upsert_shortlist(candidates: DataFrame, root: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
     """Shortlist kept up to date from a stream of candidate mentions.
 
     Accepted rows go to a log partitioned by key bucket; only the keys a batch touches are merged again, from
     the buckets they live in. The merged rows are stored by batch, see :func:`current_shortlist`.
     """
-    bucket = lambda: F.pmod(F.xxhash64(*SL.KEY), F.lit(BUCKETS)).cast("int")
+    bucket = lambda: F.pmod(F.xxhash64(*SL.KEY), F.lit(buckets)).cast("int")
 
     def work(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
@@ -106,6 +107,12 @@ def live_counters(log: DataFrame) -> DataFrame:
     )
 
 
-def write_counters(log: DataFrame, table: StateTable, checkpoint: str) -> StreamingQuery:
-    """Counters after every micro-batch, written as a whole."""
-    return _each_batch(live_counters(log), checkpoint, lambda batch, n: table.write(batch, n), mode="complete")
+def write_counters(log: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+    """Counters of the runs that a micro-batch touches, in a folder of its own; see :func:`current_counters`."""
+    return _each_batch(live_counters(log), checkpoint, lambda batch, n: batch.write.mode("overwrite").parquet(f"{root}/batch={n}"), mode="update")
+
+
+def current_counters(spark: SparkSession, root: str) -> DataFrame:
+    """Latest counters of every run."""
+    stored = spark.read.schema("run_id long, llm_calls long, tool_calls long, search_calls long, batch long").parquet(root)
+    return stored.groupBy("run_id").agg(F.max_by(F.struct("llm_calls", "tool_calls", "search_calls"), "batch").alias("_l")).select("run_id", "_l.*")

@@ -10,6 +10,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from siftline import constants as K
 from siftline.operators import audit as AU, digests as DG, guard as GD, ordered as OR, patterns as PT, shortlist as SL, tactics as TC
 
 T0 = datetime(2024, 1, 1)
@@ -82,7 +83,7 @@ def fold_shortlist(rows):
         if len(d) >= len(old["details"]):
             e["details"] = d[:1200]
         e["session"] = r["session"] or old["session"]
-        listed = [u for u in ("/zoeken", "/search", "/results", "/vakanties?", "sort=", "offset=", "limit=")]
+        listed = K.LIST_URL_HINTS
         e["urls"] = sorted(e["urls"], key=lambda u: (not any(w in u.lower() for w in listed), len(u.lower().split("?")[0])), reverse=True)
         entries[key] = e
     return entries
