@@ -2,8 +2,9 @@
 
 A byte goes if it lies in a string of ``LENGTH`` bytes that also starts in a document of a smaller id. To bring equal
 strings together, each window of ``LENGTH`` bytes is known by its anchor, the run of ``ANCHOR`` bytes in it with the
-smallest hash: equal windows have equal anchors. Windows with one anchor lie side by side and form a segment. Only the
-segments of anchors that occur in several documents are shuffled, grouped by anchor.
+smallest hash: equal windows have equal anchors. Windows with one anchor lie side by side and form a segment. Copies of
+whole texts are set aside first. Of anchors that several documents have, the digests of their segments are compared: equal
+segments go in all documents but the first. Only where segments of one anchor differ, their bytes are brought together.
 
 In each task the distinct segments of many anchors form one text. Its suffix array, ordered up to ``LENGTH`` bytes by
 prefix doubling, gives for every window the nearest suffixes of smaller documents before and behind it in suffix order;
@@ -13,9 +14,8 @@ the longer of the two common prefixes is the longest previous factor. Windows of
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from siftline.llm.common import cut, mix, slices, spans_of, texts, whole
 
 LENGTH, ANCHOR = 50, 16
-#: Documents of an anchor that are compared in one task; anchors of more go the way of :func:`frequent_spans`.
+#: Documents of an anchor that are compared in one task; anchors of more go the way of :func:`frequent_firsts`.
 MOST = 4096
 #: Bytes of segments in one suffix array, 2**21 at most.
 CHUNK = 1 << 20
@@ -142,50 +142,122 @@ def shared_anchors(found: DataFrame) -> DataFrame:
     return found.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc bigint, anchor bigint, frequent boolean")
 
 
-SEGMENTS = "anchor bigint, doc bigint, tag bigint, starts array<bigint>, bytes binary"
+def _chosen(part: pa.RecordBatch, column: str) -> tuple[list[bytes], bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts of a batch, all their bytes, and of the segments whose anchors the row lists in ``column``: text, anchor, place
+    in the text, place among all bytes, length."""
+    raw_texts = [t.encode() for t in texts(part)]
+    raw, base, own, anchor, first, last = _batch_segments(raw_texts)
+    signed, lists = anchor.astype(np.int64), part.column(column)
+    edges, chosen = np.searchsorted(own, np.arange(len(raw_texts) + 1)), np.zeros(len(anchor), bool)
+    for i in range(len(raw_texts)):
+        a, b = edges[i], edges[i + 1]
+        chosen[a:b] = np.isin(signed[a:b], lists[i].values.to_numpy(zero_copy_only=False))
+    own, first, last = own[chosen], first[chosen], last[chosen]
+    return raw_texts, raw.tobytes(), own, signed[chosen], first - base[own], np.stack([first, last + LENGTH - first])
 
 
-def segment_rows(listed: DataFrame, column: str) -> DataFrame:
-    """``anchor, doc, tag, starts, bytes``: the distinct segments of each row ``doc, text`` whose anchors are in ``column``.
+KEYS = "anchor bigint, key bigint, doc bigint, tag bigint, start int, size int"
 
-    ``tag`` tells apart texts of one id.
-    """
+
+def segment_keys(listed: DataFrame, column: str) -> DataFrame:
+    """A row for each segment of ``doc, tag, text`` whose anchor is in ``column``; ``key`` is a digest of its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
+        with np.errstate(over="ignore"):
+            for part in slices(batches, "text", 1 << 20):
+                _, raw, own, anchor, start, (at, size) = _chosen(part, column)
+                digest = b"".join(hashlib.blake2b(raw[a : a + n], digest_size=8).digest() for a, n in zip(at.tolist(), size.tolist()))
+                take = pa.array(own)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(anchor), pa.array(np.frombuffer(digest, np.int64)), part.column("doc").take(take), part.column("tag").take(take), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))],
+                    ["anchor", "key", "doc", "tag", "start", "size"],
+                )
 
+    return listed.filter(F.size(column) > 0).select("doc", "tag", "text", "row", "few", "many").mapInArrow(run, KEYS)
+
+
+SEGMENTS = "anchor bigint, doc bigint, tag bigint, starts array<bigint>, bytes binary"
+
+
+def segment_bytes(listed: DataFrame, column: str) -> DataFrame:
+    """``anchor, doc, tag, starts, bytes``: the distinct segments of each row whose anchors are in ``column``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for part in slices(batches, "text", 1 << 20):
-                raw_texts = [t.encode() for t in texts(part)]
-                raw, base, own, anchor, first, last = _batch_segments(raw_texts)
-                whole_bytes, lists = raw.tobytes(), part.column(column).to_pylist()
-                chosen = np.zeros(len(anchor), bool)
-                edges = np.searchsorted(own, np.arange(len(raw_texts) + 1))
-                signed = anchor.astype(np.int64)
-                for i, wanted in enumerate(lists):
-                    a, b = edges[i], edges[i + 1]
-                    chosen[a:b] = np.isin(signed[a:b], np.array(wanted or [], np.int64))
-                rows: dict[tuple[int, bytes], list] = {}
-                for k in np.flatnonzero(chosen).tolist():
-                    rows.setdefault((own[k], whole_bytes[first[k] : last[k] + LENGTH]), [signed[k], []])[1].append(first[k] - base[own[k]])
-                tags = [zlib.crc32(t) for t in raw_texts]
-                docs = part.column("doc").to_pylist()
+                _, raw, own, anchor, start, (at, size) = _chosen(part, column)
+                rows: dict[tuple[int, bytes], tuple[int, list[int]]] = {}
+                for i, h, s, a, n in zip(own.tolist(), anchor.tolist(), start.tolist(), at.tolist(), size.tolist()):
+                    rows.setdefault((i, raw[a : a + n]), (h, []))[1].append(s)
+                take = pa.array([i for i, _ in rows], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([a for a, _ in rows.values()], pa.int64()), pa.array([docs[i] for i, _ in rows], pa.int64()), pa.array([tags[i] for i, _ in rows], pa.int64()),
-                        pa.array([s for _, s in rows.values()], pa.list_(pa.int64())), pa.array([b for _, b in rows], pa.binary()),
+                        pa.array([h for h, _ in rows.values()], pa.int64()), part.column("doc").take(take), part.column("tag").take(take),
+                        pa.array([x for _, x in rows.values()], pa.list_(pa.int64())), pa.array([b for _, b in rows], pa.binary()),
                     ],
                     ["anchor", "doc", "tag", "starts", "bytes"],
                 )
 
-    return listed.filter(F.size(column) > 0).select("doc", "text", column).mapInArrow(run, SEGMENTS)
+    return listed.filter(F.size(column) > 0).select("doc", "tag", "text", "row", column).mapInArrow(run, SEGMENTS)
+
+
+SPANS = "doc bigint, tag bigint, packed binary"
+
+
+def _packed(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Spans as one row for each document: starts and ends as unsigned 32-bit numbers (no Spark text is longer)."""
+    order = np.lexsort((tag, doc))
+    doc, tag = doc[order], tag[order]
+    both = np.stack([start[order], stop[order]], 1).astype("<u4")
+    at = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])][: len(doc)])
+    return doc[at], tag[at], [both[a:b].tobytes() for a, b in zip(at, np.append(at[1:], len(doc)))]
+
+
+def compared_keys(keys: DataFrame) -> DataFrame:
+    """``doc, tag, packed, wanted``: what goes because an earlier document has an equal segment, and the anchors of
+    segments that are the first of their kind among several kinds."""
+    names = ["anchor", "key", "doc", "tag", "start", "size"]
+
+    def compare(columns: list[np.ndarray]) -> pa.RecordBatch:
+        anchor, key, doc, tag, start, size = columns
+        order = np.lexsort((doc, key, anchor))
+        anchor, key, doc, tag, start, size = (c[order] for c in (anchor, key, doc, tag, start, size))
+        new_anchor = np.r_[True, anchor[1:] != anchor[:-1]]
+        new = new_anchor | np.r_[True, key[1:] != key[:-1]]
+        kind = np.cumsum(new) - 1
+        first = doc[np.flatnonzero(new)][kind]
+        kinds = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_anchor))[np.cumsum(new_anchor) - 1]
+        gone, ask = doc > first, (doc == first) & (kinds > 1)
+        d, t, packed = _packed(doc[gone], tag[gone], start[gone], start[gone] + size[gone])
+        rows = pa.RecordBatch.from_arrays([pa.array(d), pa.array(t), pa.array(packed, pa.binary()), pa.nulls(len(d), pa.list_(pa.int64()))], [*"dtpw"])
+        d, h = np.unique(np.stack([doc[ask], anchor[ask]]), axis=1) if ask.any() else np.zeros((2, 0), np.int64)
+        at = np.flatnonzero(np.r_[True, d[1:] != d[:-1]][: len(d)])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(d)).astype(np.int32)), pa.array(h))
+        asked = pa.RecordBatch.from_arrays([pa.array(d[at]), pa.array(np.zeros(len(at), np.int64)), pa.nulls(len(at), pa.binary()), lists], [*"dtpw"])
+        return pa.Table.from_batches([rows, asked]).rename_columns(["doc", "tag", "packed", "wanted"]).combine_chunks()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append([batch.column(n).to_numpy() for n in names])
+            size += batch.num_rows
+            if size >= 1 << 19:
+                columns = [np.concatenate(c) for c in zip(*held)]
+                at = int(np.searchsorted(columns[0] == columns[0][-1], True))  # the last anchor may go on
+                if at:
+                    yield from compare([c[:at] for c in columns]).to_batches()
+                held, size = [[c[at:] for c in columns]], len(columns[0]) - at
+        if size:
+            yield from compare([np.concatenate(c) for c in zip(*held)]).to_batches()
+
+    return keys.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, f"{SPANS}, wanted array<bigint>")
 
 
 # --- suffix arrays --------------------------------------------------------------------------------
 
 
 def _ranked(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Dense ranks of the pairs, and the places in their order, ties by place."""
+    """Dense ranks of the pairs, from 1, and the places in their order, ties by place."""
     n = len(high)
     bits = np.uint64(max(1, (n - 1).bit_length()))
     if int(high.max()).bit_length() + int(low.max()).bit_length() + int(bits) <= 64:
@@ -196,17 +268,17 @@ def _ranked(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.lexsort((low, high))
         key = np.unique(np.stack([high, low], 1), axis=0, return_inverse=True)[1].ravel()[order]
     rank = np.empty(n, np.uint64)
-    rank[order] = np.cumsum(np.append(0, key[1:] != key[:-1])).astype(np.uint64)
+    rank[order] = np.cumsum(np.append(1, key[1:] != key[:-1])).astype(np.uint64)
     return rank, order
 
 
 def suffix_order(raw: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """The suffix array of ``raw``, ordered by the first ``length`` bytes and then by place, and each place's rank.
 
-    Equal ranks mean equal first ``length`` bytes. Zeros stand behind the end.
+    Equal ranks mean equal first ``length`` bytes. The end comes before any byte.
     """
     after = lambda x, k: np.concatenate([x[k:], np.zeros(min(k, len(x)), x.dtype)])
-    rank, done = raw.astype(np.uint64), 1
+    rank, done = raw.astype(np.uint64) + np.uint64(1), 1
     order = np.argsort(raw, kind="stable")
     while done < length:
         step = min(done, length - done)
@@ -274,73 +346,94 @@ def _spans(rows: list[tuple[int, int, int, list[int], bytes]]) -> Iterator[tuple
             yield from ((doc, tag, s + a, s + b + LENGTH) for a, b in runs.get(owner[i], ()) for s in starts)
 
 
-SPANS = "doc bigint, tag bigint, start bigint, stop bigint"
-
+def differing_spans(found: DataFrame) -> DataFrame:
+    """``doc, tag, packed``: what goes of segments that differ, from suffix arrays over groups of anchors."""
 
-def repeated_spans(found: DataFrame) -> DataFrame:
-    """``doc, tag, start, stop`` of what goes, from segments grouped by their anchors."""
-
-    def batch_of(spans: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*spans) if spans else [[]] * 4)], ["doc", "tag", "start", "stop"])
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        spans = np.array(list(_spans(rows)), np.int64).reshape(-1, 4).T
+        doc, tag, packed = _packed(*spans)
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(tag), pa.array(packed, pa.binary())], ["doc", "tag", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if size >= CHUNK and row[0] != rows[-1][0]:
-                    yield batch_of(list(_spans(rows)))
+                    yield batch_of(rows)
                     rows, size = [], 0
                 rows.append(row)
                 size += len(row[4])
         if rows:
-            yield batch_of(list(_spans(rows)))
+            yield batch_of(rows)
 
     return found.repartition("anchor").sortWithinPartitions("anchor", "doc").mapInArrow(run, SPANS)
 
 
-def frequent_spans(found: DataFrame) -> DataFrame:
-    """The same for anchors of many documents, as aggregates and joins that no single task has to hold.
+def frequent_firsts(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For anchors of many documents, as aggregates and joins that no single task has to hold: ``doc, tag, start, stop`` of
+    segments that an earlier document has, and ``doc, wanted`` of those that are the first of their kind."""
+    first = keys.groupBy("anchor", "key").agg(F.min("doc").alias("first"))
+    seen = keys.join(first, ["anchor", "key"])
+    copied = seen.filter("doc > first").select("doc", "tag", F.col("start").cast("bigint").alias("start"), (F.col("start") + F.col("size")).cast("bigint").alias("stop"))
+    return copied, seen.filter("doc = first").groupBy("doc").agg(F.collect_set("anchor").alias("wanted"))
 
-    Equal segments go in every document but the first. The windows of the distinct segments then look for the smallest
-    document that has them, and go where that is smaller than the segment's own.
-    """
-    first = found.groupBy("bytes").agg(F.min("doc").alias("first"))
-    occurring = found.select("doc", "tag", "starts", "bytes").join(first, "bytes")
-    copied = occurring.filter("doc > first").select("doc", "tag", F.explode("starts").alias("start"), F.octet_length("bytes").alias("n")).select("doc", "tag", "start", (F.col("start") + F.col("n")).alias("stop"))
+
+def frequent_windows(found: DataFrame) -> DataFrame:
+    """``doc, tag, start, stop`` of windows of segments that a smaller document among them has."""
     place = F.explode(F.sequence(F.lit(1), F.octet_length("bytes") - LENGTH + 1)).alias("at")
-    windows = first.select("bytes", "first", place).select("bytes", "first", "at", F.substring("bytes", F.col("at"), F.lit(LENGTH)).alias("window"))
-    smallest = windows.groupBy("window").agg(F.min("first").alias("earliest"))
-    gone = windows.join(smallest, "window").filter("earliest < first").select("bytes", "first", "at")
-    own = occurring.filter("doc = first").select("doc", "tag", "bytes", F.explode("starts").alias("start")).join(gone, "bytes")
-    return copied.union(own.select("doc", "tag", (F.col("start") + F.col("at") - 1).alias("start"), (F.col("start") + F.col("at") - 1 + LENGTH).alias("stop")))
+    windows = found.select("doc", "tag", "starts", "bytes", place).select("doc", "tag", "starts", "at", F.substring("bytes", F.col("at"), F.lit(LENGTH)).alias("window"))
+    smallest = windows.groupBy("window").agg(F.min("doc").alias("first"))
+    gone = windows.join(smallest, "window").filter("first < doc").select("doc", "tag", "at", F.explode("starts").alias("start"))
+    return gone.select("doc", "tag", (F.col("start") + F.col("at") - 1).alias("start"), (F.col("start") + F.col("at") - 1 + LENGTH).alias("stop"))
 
 
 # --- documents ------------------------------------------------------------------------------------
 
 
 def with_spans(docs: DataFrame, row: list[str]) -> DataFrame:
-    """``row`` (the named columns), ``text`` and ``spans`` (``tag, start, stop`` of what goes; null for nothing)."""
-    # Never null, so that both joins below read one shuffle of the texts.
+    """``row`` (the named columns), ``text``, ``tag``, ``copy`` (an earlier document has the whole text) and ``spans``
+    (``tag, start, stop, packed`` of what goes; null for nothing).
+
+    All joins are on ``doc``, which is never null. All branches take the same columns along, needed or not, so that they read
+    one shuffle of the texts and one of the lists.
+    """
     key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("doc")
     rows = docs.select(key, whole().alias("text"), F.struct(*row).alias("row"))
-    shared = cut(shared_anchors(anchors(rows.select("doc", "text"))), "anchors")
-    lists = shared.groupBy("doc").agg(F.collect_list(F.when(~F.col("frequent"), F.col("anchor"))).alias("few"), F.collect_list(F.when(F.col("frequent"), F.col("anchor"))).alias("many"))
-    listed = rows.join(lists, "doc")
-    spans = repeated_spans(segment_rows(listed, "few")).union(frequent_spans(segment_rows(listed, "many")))
-    gathered = spans.groupBy("doc").agg(F.collect_list(F.struct("tag", "start", "stop")).alias("spans"))
-    return rows.join(gathered, "doc", "left").select("row", "text", "spans")
-
+    thin = cut(rows.select("doc", F.sha2(F.col("text").cast("binary"), 256).alias("digest")), "digests")
+    first = cut(thin.groupBy("digest").agg(F.min("doc").alias("first")), "firsts")
+    about = cut(thin.join(first, "digest").groupBy("doc").agg((F.count(F.lit(1)) > 1).alias("repeated"), (F.min("first") < F.first("doc")).alias("copy")), "about")
+    # Only texts of an id that repeats need a tag to tell them apart, and they go the long way.
+    told = rows.join(about.hint("merge"), "doc").select("doc", "text", "row", F.when(F.col("repeated"), F.xxhash64("text")).otherwise(0).alias("tag"), (F.col("copy") & ~F.col("repeated")).alias("copy"))
 
-def _kept(raw: bytes, spans: list[dict] | None) -> np.ndarray:
-    """Which bytes stay."""
-    import zlib
-
-    change, tag = np.zeros(len(raw) + 1, np.int64), zlib.crc32(raw) if spans else 0
-    for s in spans or ():
-        if s["tag"] == tag:
-            change[s["start"]] += 1
-            change[s["stop"]] -= 1
-    return np.cumsum(change[:-1]) == 0
+    shared = shared_anchors(anchors(told.filter("NOT copy").select("doc", "text", "row")))
+    lists = shared.groupBy("doc").agg(F.collect_list(F.when(~F.col("frequent"), F.col("anchor"))).alias("few"), F.collect_list(F.when(F.col("frequent"), F.col("anchor"))).alias("many"))
+    listed = told.filter("NOT copy").join(lists.hint("merge"), "doc")
+    few = compared_keys(segment_keys(listed, "few"))
+    copied, wanted_many = frequent_firsts(segment_keys(listed, "many"))
+    asked = few.filter("wanted IS NOT NULL").groupBy("doc").agg(F.flatten(F.collect_list("wanted")).alias("wanted"))
+    asking = lambda wanted: told.filter("NOT copy").join(wanted.hint("merge"), "doc")
+    packed = few.filter("packed IS NOT NULL").select("doc", "tag", "packed").union(differing_spans(segment_bytes(asking(asked), "wanted")))
+    plain = copied.union(frequent_windows(segment_bytes(asking(wanted_many), "wanted")))
+    none = F.lit(None)
+    spans = packed.select("doc", "tag", none.cast("bigint").alias("start"), none.cast("bigint").alias("stop"), "packed").union(plain.select("doc", "tag", "start", "stop", none.cast("binary")))
+    gathered = spans.groupBy("doc").agg(F.collect_list(F.struct("tag", "start", "stop", "packed")).alias("spans"))
+    return told.join(gathered.hint("merge"), "doc", "left").select("row", "text", "tag", "copy", "spans")
+
+
+def _kept(part: pa.RecordBatch) -> Iterator[tuple[bytes, np.ndarray]]:
+    """The bytes of each text, and which of them stay."""
+    for text, tag, copy, spans in zip(texts(part), *(part.column(c).to_pylist() for c in ("tag", "copy", "spans"))):
+        raw = text.encode()
+        if copy and len(raw) >= LENGTH:
+            yield raw, np.zeros(len(raw), bool)
+            continue
+        own = [s for s in spans or () if s["tag"] == tag]
+        if not own:
+            yield raw, np.ones(len(raw), bool)
+            continue
+        both = np.concatenate([np.frombuffer(s["packed"], "<u4").reshape(-1, 2) if s["packed"] is not None else np.array([[s["start"], s["stop"]]]) for s in own])
+        change = np.bincount(both[:, 0], minlength=len(raw) + 1) - np.bincount(both[:, 1], minlength=len(raw) + 1)
+        yield raw, np.cumsum(change[:-1]) == 0
 
 
 def removed(docs: DataFrame) -> DataFrame:
@@ -354,9 +447,7 @@ def removed(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 1 << 20):
             out = []
-            for text, spans in zip(texts(part), part.column("spans").to_pylist()):
-                raw = text.encode()
-                kept = _kept(raw, spans)
+            for raw, kept in _kept(part):
                 rest = np.frombuffer(raw, np.uint8)[kept].tobytes() if not kept.all() else raw
                 out.append((len(raw), len(raw) - len(rest), len(spans_of(~kept)[0]), hashlib.sha256(rest).hexdigest()))
             columns = [pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string()))]
@@ -377,10 +468,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 1 << 20):
             kept_texts, stays = [], []
-            for text, spans in zip(texts(part), part.column("spans").to_pylist()):
-                raw = np.frombuffer(text.encode(), np.uint8)
-                kept = _kept(raw.tobytes(), spans)
+            for text, (plain, kept) in zip(texts(part), _kept(part)):
                 if not kept.all():
+                    raw = np.frombuffer(plain, np.uint8)
                     start = np.flatnonzero((raw & 0xC0) != 0x80)
                     whole_characters = np.repeat(np.logical_or.reduceat(kept, start), np.diff(np.append(start, len(raw))))
                     kept_texts.append(raw[whole_characters].tobytes().decode())
