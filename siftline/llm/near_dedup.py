@@ -6,7 +6,8 @@ the similarity of a candidate pair. Pairs that the estimate does not rule out ar
 equal sets are one class from the start, and stand as one row in everything that follows.
 
 No bucket is expanded into all its pairs: first each text is held against the ends of its buckets and the confirmed links
-are joined to components; then only members of different components in one bucket are compared, in blocks.
+are joined to components; then only members of different components in one bucket are compared, in blocks, by signatures
+of more minima and one bit each, which leave few pairs to the full comparison.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from siftline.llm.common import cut, mix, slices, whole
 from siftline.llm.graph import components
 
 BANDS, ROWS, BITS = 32, 5, 4
+#: Minima of the finer signatures, one bit of each.
+FINE = 2048
 SHINGLE, PERCENT = 4, 80
 #: A pair goes on to the full comparison unless its estimate is this many standard deviations below the threshold.
 DEVIATIONS = 4.75
@@ -31,6 +34,7 @@ _RANDOM = np.random.Generator(np.random.PCG64(20240229))
 FACTORS = _RANDOM.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 POWERS = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, np.uint64))
 PLACES = _RANDOM.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+FINE_FACTORS = _RANDOM.integers(1, 2**63, FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 # --- sets and signatures --------------------------------------------------------------------------
@@ -76,36 +80,38 @@ def shingle_hashes(texts: list[str], size: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
+def minima(hashes: np.ndarray, factors: np.ndarray = FACTORS) -> np.ndarray:
     """The minimum of each hash function: the upper half of a multiplication by its odd factor."""
-    out = np.full(len(FACTORS), 2**32 - 1, np.uint64)
-    for i in range(0, len(hashes), 2048):
-        out = np.minimum(out, ((hashes[None, i : i + 2048] * FACTORS[:, None]) >> np.uint64(32)).min(axis=1))
+    out = np.full(len(factors), 2**32 - 1, np.uint64)
+    step = max(1, (1 << 18) // len(factors))
+    for i in range(0, len(hashes), step):
+        out = np.minimum(out, ((hashes[None, i : i + step] * factors[:, None]) >> np.uint64(32)).min(axis=1))
     return out
 
 
-def packed(low: np.ndarray) -> np.ndarray:
-    """Fields of ``BITS`` bits in 64-bit words; ``low``: (n, functions)."""
-    each = 64 // BITS
-    fields = low.reshape(len(low), -1, each) << (np.arange(each, dtype=np.uint64) * np.uint64(BITS))
+def packed(low: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Fields of the ``bits`` low bits in 64-bit words; ``low``: (n, functions)."""
+    each = 64 // bits
+    fields = (low & np.uint64(2**bits - 1)).reshape(len(low), -1, each) << (np.arange(each, dtype=np.uint64) * np.uint64(bits))
     return np.bitwise_or.reduce(fields, axis=2)
 
 
-def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Similarity from packed signatures: the share of equal fields without the ``2**-BITS`` that agree by chance."""
-    x = a ^ b
-    for shift in (1, 2)[: BITS.bit_length() - 1]:
+def estimate(a: np.ndarray, b: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Similarity from packed signatures: the share of equal fields without the ``2**-bits`` that agree by chance."""
+    x, shift = a ^ b, 1
+    while shift < bits:  # gathers each field in its lowest bit
         x = x | (x >> np.uint64(shift))
-    ones = np.uint64(sum(1 << i for i in range(0, 64, BITS)))
-    share = 1 - np.bitwise_count(x & ones).sum(axis=-1) / len(FACTORS)
-    return (share - 2.0**-BITS) / (1 - 2.0**-BITS)
+        shift *= 2
+    ones = np.uint64(sum(1 << i for i in range(0, 64, bits)))
+    share = 1 - np.bitwise_count(x & ones).sum(axis=-1, dtype=np.int64) / (a.shape[-1] * (64 // bits))
+    return (share - 2.0**-bits) / (1 - 2.0**-bits)
 
 
-def lowest(percent: int) -> float:
+def lowest(percent: int, functions: int = BANDS * ROWS, bits: int = BITS) -> float:
     """Estimates below this rule a pair out."""
     t = percent / 100
-    agree = t + (1 - t) * 2.0**-BITS
-    return t - DEVIATIONS * (agree * (1 - agree) / len(FACTORS)) ** 0.5 / (1 - 2.0**-BITS)
+    agree = t + (1 - t) * 2.0**-bits
+    return t - DEVIATIONS * (agree * (1 - agree) / functions) ** 0.5 / (1 - 2.0**-bits)
 
 
 SIGNATURES = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>, packed binary"
@@ -121,7 +127,7 @@ def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                 low = np.array([minima(s) for s in sets])
                 own = mix(low.reshape(len(sets), BANDS, ROWS) + PLACES[:ROWS])
                 keys = mix((own * PLACES[:ROWS]).sum(axis=2) + np.arange(BANDS, dtype=np.uint64)).astype(np.int64)
-                fields = packed(low & np.uint64(2**BITS - 1))
+                fields = packed(low)
                 n = np.array([len(s) for s in sets], np.int64)
                 ends = np.concatenate([[0], np.cumsum((n > 0) * BANDS)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -136,6 +142,19 @@ def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole().alias("text")).mapInArrow(sign, SIGNATURES)
 
 
+def fine_signatures(texts: DataFrame, size: int) -> DataFrame:
+    """``rep, n_shingles, fine`` of rows ``rep, text``."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for part in slices(batches, "text", 1 << 20):
+                sets = shingle_hashes(part.column("text").to_pylist(), size)
+                fields = packed(np.array([minima(s, FINE_FACTORS) for s in sets]), 1)
+                yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array([len(s) for s in sets], pa.int64()), pa.array([f.tobytes() for f in fields], pa.binary())], ["rep", "n_shingles", "fine"])
+
+    return texts.select("rep", "text").mapInArrow(sign, "rep bigint, n_shingles bigint, fine binary")
+
+
 # --- pairs ----------------------------------------------------------------------------------------
 
 
@@ -184,15 +203,15 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
 
 def across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of ``members (key, rep, root, n_shingles, packed, size)`` in one bucket, of different roots, not ruled out."""
+    """Pairs of ``members (key, rep, root, n_shingles, fine, size)`` in one bucket, of different roots, not ruled out."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int")
     placed = members.withColumn("_blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    placed = placed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "root", "n_shingles", "packed")
+    placed = placed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "root", "n_shingles", "fine")
 
     def compare(table: pa.RecordBatch) -> pa.RecordBatch:
         key, i, j, own, rep, root, n = (table.column(c).to_numpy() for c in ("key", "i", "j", "own", "rep", "root", "n_shingles"))
-        sign, out = _rows(table, "packed"), []
+        sign, out = _rows(table, "fine"), []
         start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
         last = np.repeat(np.r_[start[1:], len(key)], np.diff(np.r_[start, len(key)]))
         at = np.arange(len(key))
@@ -203,7 +222,7 @@ def across(members: DataFrame, percent: int) -> DataFrame:
             x, y = at[ok], to[ok]
             fits = _may_be_as_large(n[x], n[y], percent)
             x, y = x[fits], y[fits]
-            good = estimate(sign[x], sign[y]) >= lowest(percent)
+            good = estimate(sign[x], sign[y], 1) >= lowest(percent, FINE, 1)
             out.append(np.stack([np.minimum(rep[x[good]], rep[y[good]]), np.maximum(rep[x[good]], rep[y[good]])]))
         pairs = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
@@ -257,7 +276,9 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     # Whatever is still apart in one bucket.
     rooted = hits.select("key", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("_l"), F.max("root").alias("_h"), F.count(F.lit(1)).alias("size")).filter("_l <> _h").select("key", "size")
-    members = rooted.join(mixed, "key").join(reps.select("rep", "n_shingles", "packed"), "rep")
+    mixed_members = cut(rooted.join(mixed, "key"), "mixed")
+    fine = cut(fine_signatures(texts.join(mixed_members.select("rep").distinct(), "rep", "left_semi"), size), "fine")
+    members = mixed_members.join(fine, "rep")
     more = confirmed(across(members, percent), texts, size, percent)
 
     # Rows that repeat an id with different sets tie their classes together.
