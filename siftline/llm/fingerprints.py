@@ -128,7 +128,7 @@ def in_order(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("doc"), F.col("doc_id").cast("bigint").alias("doc_id"), whole().alias("text"))
     blocks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.agg(F.percentile_approx("doc", [i / blocks for i in range(1, blocks)], 100 * blocks)).first()[0] or []
+    cuts = rows.agg(F.percentile_approx("doc", [i / blocks for i in range(1, blocks)], 10 * blocks)).first()[0] or []
     bounds = np.unique(np.array(cuts, np.int64))
 
     @F.pandas_udf("bigint")
