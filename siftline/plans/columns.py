@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftline.functions import html as H, messages as M, text as TX, urls as U
-from siftline.operators import evidence as EV, runs as R, shortlist as SL
+from siftline.operators import evidence as EV, runs as R
 from siftline.sources import files, tables as T
 
 QUERIES: dict = {}

@@ -1,8 +1,8 @@
 """Structured Streaming forms of the log-driven operators.
 
 The learners reuse the batch operators inside ``foreachBatch``, on top of the snapshot the batch before left,
-so hot keys are handled as in batch. They depend on arrival order: rows of a later micro-batch must not have a
-lower ``seq``. The shortlist is recomputed from its log for the touched keys and is exact in any order.
+so hot keys are handled as in batch. They depend on arrival order: a row of a later micro-batch with a lower
+``seq`` stops them with an error. The shortlist is recomputed from its log for the touched keys and is exact in any order.
 """
 
 from __future__ import annotations
@@ -50,10 +50,22 @@ def _each_batch(stream: DataFrame, checkpoint: str, work: Callable[[DataFrame, i
     )
 
 
+def _in_order(batch: DataFrame, root: str, n: int) -> None:
+    """Fail on a row that is not behind all rows of earlier micro-batches; the learners depend on arrival order."""
+    spark = batch.sparkSession
+    low, high = batch.agg(F.min("seq"), F.max("seq")).first()
+    if n > 0 and low is not None:
+        before = spark.read.schema("high long, batch long").parquet(f"{root}-order").filter(F.col("batch") < n).agg(F.max("high")).first()[0]
+        if before is not None and low <= before:
+            raise ValueError(f"row {low} of micro-batch {n} comes after row {before}")
+    spark.range(1).select(F.lit(high).cast("long").alias("high")).write.mode("overwrite").parquet(f"{root}-order/batch={n}")
+
+
 def learn_tactics(events: DataFrame, table: StateTable, checkpoint: str, initial: DataFrame | None = None) -> StreamingQuery:
     """Tactics kept up to date from a stream of tool events."""
 
     def work(batch: DataFrame, n: int) -> None:
+        _in_order(batch, table.root, n)
         table.write(TC.learn_tactics(batch, table.before(batch.sparkSession, n, initial)).select(*TC.COLUMNS), n)
 
     return _each_batch(events, checkpoint, work)
@@ -63,6 +75,7 @@ def learn_patterns(visits: DataFrame, table: StateTable, checkpoint: str, initia
     """URL patterns kept up to date from a stream of visited URLs."""
 
     def work(batch: DataFrame, n: int) -> None:
+        _in_order(batch, table.root, n)
         table.write(PT.learn_patterns(batch, table.before(batch.sparkSession, n, initial)), n)
 
     return _each_batch(visits, checkpoint, work)
