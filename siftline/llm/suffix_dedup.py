@@ -4,7 +4,8 @@ A byte goes if it lies in a string of ``LENGTH`` bytes that also starts in a doc
 strings together, each window of ``LENGTH`` bytes is known by its anchor, the run of ``ANCHOR`` bytes in it with the
 smallest hash: equal windows have equal anchors. Windows with one anchor lie side by side and form a segment. Copies of
 whole texts are set aside first. Of anchors that several documents have, the digests of their segments are compared: equal
-segments go in all documents but the first. Only where segments of one anchor differ, their bytes are brought together.
+segments go in all documents but the first. Where segments of one anchor differ, checksums of what is around the anchor
+tell whether they can share a window; only then their bytes are brought together.
 
 In each task the distinct segments of many anchors form one text. Its suffix array, ordered up to ``LENGTH`` bytes by
 prefix doubling, gives for every window the nearest suffixes of smaller documents before and behind it in suffix order;
@@ -15,6 +16,7 @@ the longer of the two common prefixes is the longest previous factor. Windows of
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,8 +45,8 @@ def _words_at(raw: np.ndarray) -> np.ndarray:
     return out[: len(raw)]
 
 
-def segments(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, first and last window start of each segment of the documents that end at ``ends`` in ``raw``.
+def segments(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor hash and place, first and last window start of each segment of the documents that end at ``ends`` in ``raw``.
 
     The anchor of a window is its run with the smallest 40-bit hash, the leftmost of equal ones.
     """
@@ -54,7 +56,7 @@ def segments(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     window = np.arange(n)
     window = window[window + LENGTH <= ends[own]]
     if not len(window):
-        return np.zeros(0, np.uint64), window, window
+        return np.zeros(0, np.uint64), window, window, window
     eight = _words_at(raw)
     run = mix(eight[: n - 8] * np.uint64(0x9E3779B97F4A7C15) + mix(eight[8:]))
     low = (run & ~np.uint64((1 << 24) - 1)) | np.arange(len(run), dtype=np.uint64)
@@ -66,23 +68,23 @@ def segments(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         reach = np.minimum(reach[: len(reach) - (width - step)], reach[width - step :])
     at = (reach[window] & np.uint64((1 << 24) - 1)).astype(np.int64)
     new = np.flatnonzero(np.diff(at, prepend=-1))
-    return run[at[new]], window[new], np.append(window[new[1:] - 1], window[-1])
+    return run[at[new]], at[new], window[new], np.append(window[new[1:] - 1], window[-1])
 
 
-def _batch_segments(raw_texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts: all bytes, their starts, and text, anchor, first and last window start of each segment."""
+def _batch_segments(raw_texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Of texts: all bytes, their starts, and text, anchor, its place, first and last window start of each segment."""
     raw, sizes = np.frombuffer(b"".join(raw_texts), np.uint8), np.array([len(t) for t in raw_texts], np.int64)
     ends = np.cumsum(sizes)
     if len(raw) < 1 << 24:
-        anchor, first, last = segments(raw, ends)
+        anchor, place, first, last = segments(raw, ends)
     else:  # a single very long text: its windows in stretches that overlap by a window
         parts, stretch = [], 1 << 22
         for at in range(0, len(raw), stretch):
             near = raw[at : at + stretch + LENGTH - 1]
-            h, a, b = segments(near, np.clip(np.unique(np.append(ends[(ends > at) & (ends < at + len(near))] - at, len(near))), 0, len(near)))
-            parts.append((h, a + at, b + at))
-        anchor, first, last = (np.concatenate(x) for x in zip(*parts))
-    return raw, ends - sizes, np.searchsorted(ends, first, side="right"), anchor, first, last
+            h, p, a, b = segments(near, np.clip(np.unique(np.append(ends[(ends > at) & (ends < at + len(near))] - at, len(near))), 0, len(near)))
+            parts.append((h, p + at, a + at, b + at))
+        anchor, place, first, last = (np.concatenate(x) for x in zip(*parts))
+    return raw, ends - sizes, np.searchsorted(ends, first, side="right"), anchor, place, first, last
 
 
 def anchors(rows: DataFrame) -> DataFrame:
@@ -91,7 +93,7 @@ def anchors(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for part in slices(batches, "text"):
-                _, _, own, anchor, _, _ = _batch_segments([t.encode() for t in texts(part)])
+                _, _, own, anchor, *_ = _batch_segments([t.encode() for t in texts(part)])
                 order = np.lexsort((anchor, own))
                 own, anchor = own[order], anchor[order]
                 new = np.diff(own, prepend=-1).astype(bool) | np.r_[True, anchor[1:] != anchor[:-1]][: len(anchor)]
@@ -142,35 +144,53 @@ def shared_anchors(found: DataFrame) -> DataFrame:
     return found.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc bigint, anchor bigint, frequent boolean")
 
 
-def _chosen(part: pa.RecordBatch, column: str) -> tuple[list[bytes], bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Texts of a batch, all their bytes, and of the segments whose anchors the row lists in ``column``: text, anchor, place
-    in the text, place among all bytes, length."""
+def _chosen(part: pa.RecordBatch, column: str) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes of a batch's texts, and of the segments whose anchors the row lists in ``column``: text, anchor, place in
+    the text, place among all bytes, length, and the anchor's place in the segment."""
     raw_texts = [t.encode() for t in texts(part)]
-    raw, base, own, anchor, first, last = _batch_segments(raw_texts)
+    raw, base, own, anchor, place, first, last = _batch_segments(raw_texts)
     signed, lists = anchor.astype(np.int64), part.column(column)
     edges, chosen = np.searchsorted(own, np.arange(len(raw_texts) + 1)), np.zeros(len(anchor), bool)
     for i in range(len(raw_texts)):
         a, b = edges[i], edges[i + 1]
         chosen[a:b] = np.isin(signed[a:b], lists[i].values.to_numpy(zero_copy_only=False))
-    own, first, last = own[chosen], first[chosen], last[chosen]
-    return raw_texts, raw.tobytes(), own, signed[chosen], first - base[own], np.stack([first, last + LENGTH - first])
+    own, first = own[chosen], first[chosen]
+    return raw.tobytes(), own, signed[chosen], first - base[own], first, last[chosen] + LENGTH - first, place[chosen] - first
 
 
-KEYS = "anchor bigint, key bigint, doc bigint, tag bigint, start int, size int"
+def _sides(raw: bytes, at: int, size: int, inside: int) -> int:
+    """Two 32-bit checksums of half a window to the left and to the right of an anchor, 0 where no window reaches so far.
+
+    A window has at least half of what is not its anchor on one side, so segments that share a window share a checksum.
+    """
+    half, place = (LENGTH - ANCHOR) // 2, at + inside
+    left = zlib.crc32(raw[place - half : place + ANCHOR]) % 0xFFFFFFFF + 1 if inside >= half else 0
+    right = zlib.crc32(raw[place : place + ANCHOR + half]) % 0xFFFFFFFF + 1 if inside + ANCHOR + half <= size else 0
+    return ((left << 32) | right) - (1 << 64 if left >> 31 else 0)
+
+
+KEYS = "anchor bigint, key bigint, sides bigint, doc bigint, tag bigint, start int, size int"
 
 
 def segment_keys(listed: DataFrame, column: str) -> DataFrame:
-    """A row for each segment of ``doc, tag, text`` whose anchor is in ``column``; ``key`` is a digest of its bytes."""
+    """A row for each segment of ``doc, tag, text`` whose anchor is in ``column``; ``key`` is a digest of its bytes, ``sides``
+    checksums of what is around the anchor. Equal segments that overlap, as in a text that repeats itself, are one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for part in slices(batches, "text", 1 << 20):
-                _, raw, own, anchor, start, (at, size) = _chosen(part, column)
+                raw, own, anchor, start, at, size, inside = _chosen(part, column)
                 digest = b"".join(hashlib.blake2b(raw[a : a + n], digest_size=8).digest() for a, n in zip(at.tolist(), size.tolist()))
+                sides = [_sides(raw, *x) for x in zip(at.tolist(), size.tolist(), inside.tolist())]
+                key, stop = np.frombuffer(digest, np.int64), at + size
+                same = (own[1:] == own[:-1]) & (anchor[1:] == anchor[:-1]) & (key[1:] == key[:-1]) & (at[1:] <= stop[:-1])
+                one = np.flatnonzero(np.r_[True, ~same][: len(own)])
+                size = stop[np.append(one[1:], len(own)) - 1] - at[one]
+                anchor, key, own, start, sides = anchor[one], key[one], own[one], start[one], np.array(sides, np.int64)[one]
                 take = pa.array(own)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor), pa.array(np.frombuffer(digest, np.int64)), part.column("doc").take(take), part.column("tag").take(take), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))],
-                    ["anchor", "key", "doc", "tag", "start", "size"],
+                    [pa.array(anchor), pa.array(key), pa.array(sides), part.column("doc").take(take), part.column("tag").take(take), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))],
+                    ["anchor", "key", "sides", "doc", "tag", "start", "size"],
                 )
 
     return listed.filter(F.size(column) > 0).select("doc", "tag", "text", "row", "few", "many").mapInArrow(run, KEYS)
@@ -185,7 +205,7 @@ def segment_bytes(listed: DataFrame, column: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for part in slices(batches, "text", 1 << 20):
-                _, raw, own, anchor, start, (at, size) = _chosen(part, column)
+                raw, own, anchor, start, at, size, _ = _chosen(part, column)
                 rows: dict[tuple[int, bytes], tuple[int, list[int]]] = {}
                 for i, h, s, a, n in zip(own.tolist(), anchor.tolist(), start.tolist(), at.tolist(), size.tolist()):
                     rows.setdefault((i, raw[a : a + n]), (h, []))[1].append(s)
@@ -215,19 +235,27 @@ def _packed(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, stop: np.ndarra
 
 def compared_keys(keys: DataFrame) -> DataFrame:
     """``doc, tag, packed, wanted``: what goes because an earlier document has an equal segment, and the anchors of
-    segments that are the first of their kind among several kinds."""
-    names = ["anchor", "key", "doc", "tag", "start", "size"]
+    segments that are the first of their kind and may share a window with another document's."""
+    names = ["anchor", "key", "sides", "doc", "tag", "start", "size"]
+
+    def alike(anchor: np.ndarray, side: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Whether another document has the same checksum at the anchor."""
+        order = np.lexsort((side, anchor))
+        new = np.flatnonzero(np.r_[True, (anchor[order][1:] != anchor[order][:-1]) | (side[order][1:] != side[order][:-1])])
+        several = np.maximum.reduceat(doc[order], new) > np.minimum.reduceat(doc[order], new)
+        out = np.zeros(len(anchor), bool)
+        out[order] = np.repeat(several, np.diff(np.append(new, len(anchor))))
+        return out & (side != 0)
 
     def compare(columns: list[np.ndarray]) -> pa.RecordBatch:
-        anchor, key, doc, tag, start, size = columns
-        order = np.lexsort((doc, key, anchor))
-        anchor, key, doc, tag, start, size = (c[order] for c in (anchor, key, doc, tag, start, size))
-        new_anchor = np.r_[True, anchor[1:] != anchor[:-1]]
-        new = new_anchor | np.r_[True, key[1:] != key[:-1]]
+        order = np.lexsort((columns[3], columns[1], columns[0]))
+        anchor, key, sides, doc, tag, start, size = (c[order] for c in columns)
+        new = np.r_[True, (anchor[1:] != anchor[:-1]) | (key[1:] != key[:-1])]
         kind = np.cumsum(new) - 1
-        first = doc[np.flatnonzero(new)][kind]
-        kinds = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_anchor))[np.cumsum(new_anchor) - 1]
-        gone, ask = doc > first, (doc == first) & (kinds > 1)
+        gone = doc > doc[np.flatnonzero(new)][kind]
+        # One row of each kind stands for it; alone among its kinds at the anchor it is alike to none.
+        h, s, d = anchor[new], sides[new].view(np.uint64), doc[new]
+        ask = (alike(h, s >> np.uint64(32), d) | alike(h, s & np.uint64(0xFFFFFFFF), d))[kind] & ~gone
         d, t, packed = _packed(doc[gone], tag[gone], start[gone], start[gone] + size[gone])
         rows = pa.RecordBatch.from_arrays([pa.array(d), pa.array(t), pa.array(packed, pa.binary()), pa.nulls(len(d), pa.list_(pa.int64()))], [*"dtpw"])
         d, h = np.unique(np.stack([doc[ask], anchor[ask]]), axis=1) if ask.any() else np.zeros((2, 0), np.int64)
