@@ -203,15 +203,18 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
 
 def across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of ``members (key, rep, root, n_shingles, fine, size)`` in one bucket, of different roots, not ruled out."""
+    """Pairs of ``members (key, rep, root, n_shingles, fine, bands, size)`` in one bucket, of different roots, not ruled out.
+
+    A pair that shares several buckets comes from that of its first common band.
+    """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int")
     placed = members.withColumn("_blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    placed = placed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "root", "n_shingles", "fine")
+    placed = placed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "root", "n_shingles", "fine", "bands")
 
     def compare(table: pa.RecordBatch) -> pa.RecordBatch:
         key, i, j, own, rep, root, n = (table.column(c).to_numpy() for c in ("key", "i", "j", "own", "rep", "root", "n_shingles"))
-        sign, out = _rows(table, "fine"), []
+        sign, bands, out = _rows(table, "fine"), table.column("bands").flatten().to_numpy().reshape(-1, BANDS), []
         start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
         last = np.repeat(np.r_[start[1:], len(key)], np.diff(np.r_[start, len(key)]))
         at = np.arange(len(key))
@@ -223,6 +226,7 @@ def across(members: DataFrame, percent: int) -> DataFrame:
             fits = _may_be_as_large(n[x], n[y], percent)
             x, y = x[fits], y[fits]
             good = estimate(sign[x], sign[y], 1) >= lowest(percent, FINE, 1)
+            good &= bands[x, (bands[x] == bands[y]).argmax(axis=1)] == key[x]
             out.append(np.stack([np.minimum(rep[x[good]], rep[y[good]]), np.maximum(rep[x[good]], rep[y[good]])]))
         pairs = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
@@ -278,7 +282,7 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     mixed = rooted.groupBy("key").agg(F.min("root").alias("_l"), F.max("root").alias("_h"), F.count(F.lit(1)).alias("size")).filter("_l <> _h").select("key", "size")
     mixed_members = cut(rooted.join(mixed, "key"), "mixed")
     fine = cut(fine_signatures(texts.join(mixed_members.select("rep").distinct(), "rep", "left_semi"), size), "fine")
-    members = mixed_members.join(fine, "rep")
+    members = mixed_members.join(fine.join(reps.select("rep", "bands"), "rep"), "rep")
     more = confirmed(across(members, percent), texts, size, percent)
 
     # Rows that repeat an id with different sets tie their classes together.
