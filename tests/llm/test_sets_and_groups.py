@@ -176,6 +176,6 @@ def test_previous_smaller(values):
 def test_long_text_in_stretches(monkeypatch):
     raw = sentence(21, 9000).encode()
     whole = suffix_dedup.segments(np.frombuffer(raw, np.uint8), np.array([len(raw)]))
-    windows = lambda parts: {(int(h), w) for h, a, b in zip(*parts) for w in range(a, b + 1)}
+    windows = lambda parts: {(int(h), w) for h, _, a, b in zip(*parts) for w in range(a, b + 1)}
     near = [suffix_dedup.segments(np.frombuffer(raw[a : a + 1000 + 49], np.uint8), np.array([len(raw[a : a + 1000 + 49])])) for a in range(0, len(raw), 1000)]
     assert windows(whole) == {(h, w + 1000 * k) for k, part in enumerate(near) for h, w in windows(part)}
