@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from siftline.llm.common import scratch, whole
+from siftline.llm.common import cut, scratch, whole
 
 #: State on disk. Without the last line every partition's store reserves megabytes that it may never use.
 STATE_CONF = {
@@ -68,14 +68,16 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, b
     fed = spark.read.parquet(feed)
     if fed.isEmpty():
         return fed.select("doc_id", "digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"))
-    rows = fed.join(digest_states(spark, feed, batch_bytes), "digest").select("doc_id", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
+    # Both sides are read from tables, so that Spark can split a digest that many rows have.
+    rows = fed.join(cut(digest_states(spark, feed, batch_bytes), "dedup-groups"), "digest").select("doc_id", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
 
     hits = rows.filter("group_size > 1").select("doc_id", "digest", "keep_id").distinct()
     keyed = content.select("doc_id", digest(F.col("text")).alias("digest"), "text")
     # Whole texts are shuffled once; behind that join there are only the texts of rows with a hit.
     found = keyed.join(hits.withColumnsRenamed({"doc_id": "h_id", "digest": "h_digest"}), keyed.doc_id.eqNullSafe(F.col("h_id")) & (keyed.digest == F.col("h_digest"))).select("doc_id", "digest", "keep_id", "text")
+    found = cut(found, "dedup-hits")
     keepers = found.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.max("text").alias("kept_text"))
-    other = found.join(keepers, "digest").filter(F.col("text") != F.col("kept_text"))
+    other = found.join(cut(keepers, "dedup-keepers"), "digest").filter(F.col("text") != F.col("kept_text"))
     if other.isEmpty():
         return rows
     # Equal digests of different texts: group the rows of those digests by the texts themselves.
