@@ -20,6 +20,7 @@ from siftline.llm.common import cut, slices, whole
 
 #: Context bytes; contexts over all languages; rows of each language that are learned from, chosen by a hash of the text.
 ORDER, STATES, TRAINING_ROWS = 4, 8192, 400
+MOST_LANGUAGES = 500
 #: Texts are scored in stretches of so many bytes side by side; each begins in the state that the bytes before it lead to.
 STRETCH = 256
 #: Letters A-Z count as a-z, for learning and scoring alike.
@@ -61,12 +62,18 @@ def gram_counts(labelled: DataFrame, order: int = ORDER) -> DataFrame:
 def sampled(labelled: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
     """At most ``rows`` rows of each language: those with the smallest hash of the text.
 
-    A first threshold on the hash, from the counts, keeps about twice as many, so that no task sorts a language.
+    A first threshold on the hash, from the counts, keeps about twice as many before anything is shuffled. The counts, a row
+    for each language, are held by the driver; more than ``MOST_LANGUAGES`` are an error.
     """
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_all"))
-    hashed = labelled.select("lang", "text", F.xxhash64("text").alias("_hash"))
-    few = hashed.join(counts, "lang").filter(F.pmod("_hash", F.lit(1 << 30)) * F.col("_all") < F.lit((1 << 30) * (2 * rows + 50)))
-    order = W.partitionBy("lang").orderBy(F.pmod("_hash", F.lit(1 << 30)), "text")
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    if not counts:
+        return labelled.select("lang", "text")
+    least = {r["lang"]: min(1 << 30, (1 << 30) * (2 * rows + 50) // r["n"]) for r in counts}  # of 2**30 hashes
+    share = F.try_element_at(F.create_map(*[F.lit(x) for pair in least.items() for x in pair]), F.col("lang"))
+    few = labelled.select("lang", "text", F.pmod(F.xxhash64("text"), F.lit(1 << 30)).alias("_hash")).filter(F.col("_hash") < share)
+    order = W.partitionBy("lang").orderBy("_hash", "text")
     return few.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= rows).select("lang", "text")
 
 
