@@ -15,9 +15,23 @@ from siftline.session import shared_dir
 SLICE_BYTES = 4 << 20
 
 
+#: Folders given out by :func:`scratch` in this process.
+FOLDERS: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one; nothing of an earlier run is read again."""
-    return f"{shared_dir(spark).rstrip('/')}/siftline/{name}-{uuid.uuid4().hex}"
+    FOLDERS.append(f"{shared_dir(spark).rstrip('/')}/siftline/{name}-{uuid.uuid4().hex}")
+    return FOLDERS[-1]
+
+
+def discard(folders: list[str], docs: DataFrame) -> None:
+    """Delete ``folders`` on their file system, but for those that ``docs`` reads."""
+    spark, read = docs.sparkSession, docs.inputFiles()
+    for folder in folders:
+        if not any(folder.rpartition("/")[2] in file for file in read):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
