@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from siftline.llm.common import cut, slices, whole
 
-#: Context bytes; contexts over all languages; rows of each language that are learned from, chosen by a hash of the text.
+#: Context bytes; contexts over all languages; distinct texts of each language that are learned from, chosen by their hash.
 ORDER, STATES, TRAINING_ROWS = 4, 8192, 400
 MOST_LANGUAGES = 500
 #: Texts are scored in stretches of so many bytes side by side; each begins in the state that the bytes before it lead to.
@@ -59,22 +59,40 @@ def gram_counts(labelled: DataFrame, order: int = ORDER) -> DataFrame:
     return labelled.select("lang", "text").mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each language and hash in a task; no more of them are remembered than were chosen."""
+    seen: set[tuple[str, int]] = set()
+    for batch in batches:
+        fresh = []
+        for key in zip(batch.column("lang").to_pylist(), batch.column("_hash").to_pylist()):
+            fresh.append(key not in seen)
+            seen.add(key)
+        yield batch.filter(pa.array(fresh, pa.bool_()))
+
+
 def sampled(labelled: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
-    """At most ``rows`` rows of each language: those with the smallest hash of the text.
+    """``rows`` distinct texts of each language, or all where it has fewer: those with the smallest hash. Copies count once.
 
-    A first threshold on the hash, from the counts, keeps about twice as many before anything is shuffled. The counts, a row
-    for each language, are held by the driver; more than ``MOST_LANGUAGES`` are an error.
+    Hashes are made distinct and chosen without their texts; a first threshold, from the counts of distinct hashes, leaves
+    about twice as many to rank. Only a chosen text is shuffled, at most once by each task. The counts, a row for each
+    language, are held by the driver; more than ``MOST_LANGUAGES`` are an error.
     """
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    hashed = labelled.select("lang", "text", F.xxhash64("text").alias("_hash"))
+    distinct = cut(hashed.select("lang", "_hash").distinct(), "hashes")
+    counts = distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not counts:
         return labelled.select("lang", "text")
     least = {r["lang"]: min(1 << 30, (1 << 30) * (2 * rows + 50) // r["n"]) for r in counts}  # of 2**30 hashes
     share = F.try_element_at(F.create_map(*[F.lit(x) for pair in least.items() for x in pair]), F.col("lang"))
-    few = labelled.select("lang", "text", F.pmod(F.xxhash64("text"), F.lit(1 << 30)).alias("_hash")).filter(F.col("_hash") < share)
-    order = W.partitionBy("lang").orderBy("_hash", "text")
-    return few.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= rows).select("lang", "text")
+    place = F.pmod("_hash", F.lit(1 << 30))
+    order = W.partitionBy("lang").orderBy(place, "_hash")
+    chosen = distinct.filter(place < share).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= rows).select("lang", "_hash")
+    # At most ``rows`` hashes of each of ``MOST_LANGUAGES`` languages.
+    found = hashed.join(F.broadcast(chosen), ["lang", "_hash"], "left_semi").select("lang", "text", "_hash")
+    once = found.mapInArrow(_first_of_each, "lang string, text string, _hash bigint")
+    return once.groupBy("lang", "_hash").agg(F.min("text").alias("text")).select("lang", "text")
 
 
 @dataclass(frozen=True)

@@ -113,6 +113,16 @@ def test_language_of_awkward_rows(spark):
     assert [tuple(r) for r in language_id.predicted(unlabelled).collect()] == [(1, False, "und", 0.0)]
 
 
+def test_sample_counts_copies_once(spark):
+    copied = [("en", f"copied {i}") for i in range(3)] * 2000 + [("xx", f"other {i}") for i in range(3)] * 2000
+    rows = spark.createDataFrame(copied + [("en", f"single {i}") for i in range(600)] + [("few", "a"), ("few", "b")], "lang string, text string").repartition(4)
+    got = [tuple(r) for r in language_id.sampled(rows).collect()]
+    by = {lang: [t for x, t in got if x == lang] for lang in ("en", "xx", "few")}
+    assert len(by["en"]) == len(set(by["en"])) == 400
+    assert sorted(by["xx"]) == ["other 0", "other 1", "other 2"] and sorted(by["few"]) == ["a", "b"]
+    assert sorted(got) == sorted(tuple(r) for r in language_id.sampled(rows.repartition(7)).collect())
+
+
 # --- byte-level BPE -------------------------------------------------------------------------------
 
 VOCABULARY = bpe.vocabulary(RANKS, public_tokenizers.PATTERN)
