@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from siftline.session import shared_dir
 from siftline.sources import files as FL, tables as T
 
+#: Most items of a strategy document, and keys of a keyed one: documents grow in number, not in size.
+ITEMS, ENTRIES = 10_000, 100_000
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -22,6 +25,15 @@ def _folder(s: SparkSession) -> str:
     return f"{shared_dir(s)}/files/{uuid.uuid4().hex}"
 
 
+def _part(of: Column, slot: Column) -> Column:
+    """The folder's name of one slot of a document that is written in parts."""
+    return F.concat_ws("-", of.cast("bigint"), slot.cast("bigint")).alias("run_id")
+
+
+def _part_of(group: int) -> Column:
+    return F.regexp_extract("run_dir", r"^run_id=(\d+)-(\d+)$", group).cast("bigint")
+
+
 def event_log_files(s: SparkSession, d: str) -> DataFrame:
     """The tool-event log, appended to JSON-lines files by run and read back; one event in five has no time of its own."""
     folder, rows = _folder(s), T.tool_events(s, d).withColumn("ts", F.when(F.col("seq") % 5 > 0, F.col("ts")))
@@ -74,33 +86,40 @@ _add(
 
 
 def keyed_documents(s: SparkSession, d: str) -> DataFrame:
-    """A document for each nation that maps its customers to records, written as a text and read back as rows."""
+    """Documents for each nation that map its customers to records, a range of keys each, written as texts and read back as rows."""
     folder = _folder(s)
     customers = T.read(s, d, "customer")
     record = F.struct(F.col("c_mktsegment").alias("segment"), F.col("c_custkey").alias("custkey"))
     entries = F.map_from_entries(F.collect_list(F.struct(F.col("c_name").alias("key"), record.alias("value"))))
-    FL.write_texts(customers.groupBy(F.col("c_nationkey").alias("run_id")).agg(F.to_json(entries).alias("body")), f"{folder}/maps", "body")
+    part = _part(F.col("c_nationkey"), F.expr(f"c_custkey div {ENTRIES}"))
+    FL.write_texts(customers.groupBy(part).agg(F.to_json(entries).alias("body")), f"{folder}/maps", "body")
     back = FL.document_map(FL.read_documents(s, f"{folder}/maps"), "body", "struct<segment:string,custkey:bigint>", "name")
-    return back.select(F.regexp_extract("run_dir", r"^run_id=(\d+)$", 1).cast("bigint").alias("nation"), "name", "segment", "custkey")
+    return back.select(_part_of(1).alias("nation"), "name", "segment", "custkey")
 
 
 _add("keyed_documents", keyed_documents, "SELECT c_nationkey::BIGINT AS nation, c_name AS name, c_mktsegment AS segment, c_custkey::BIGINT AS custkey FROM customer")
 
 
 def strategy_documents(s: SparkSession, d: str) -> DataFrame:
-    """Strategy documents of both shapes, some items under the older names, read back."""
+    """Strategy documents of both shapes, some items under the older names, written in parts by range of keys and read back.
+
+    An item's place counts from the first part of its document: the parts before, whose sizes are known from the keys, come first.
+    """
     folder, k = _folder(s), F.col("p_partkey")
     old, name, kind = k % 3 == 0, F.col("p_name"), F.col("p_type")
     item = F.struct(
         F.when(~old, name).when(k % 2 == 0, "").alias("trigger"), F.when(~old, kind).alias("tactic"), F.when(old, name).alias("when"), F.when(old, kind).alias("then"),
         F.col("p_brand").alias("efficiency_gain"),
     )
-    lists = T.read(s, d, "part").groupBy((k % 7).alias("run_id")).agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), item.alias("item")))).alias("l"))
+    parts = T.read(s, d, "part").withColumn("document", (k % 7).cast("bigint")).withColumn("slot", F.expr(f"p_partkey div {7 * ITEMS}"))
+    lists = parts.groupBy("document", "slot").agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), item.alias("item")))).alias("l"))
     items = F.transform("l", lambda x: x["item"])
-    body = F.when(F.col("run_id") % 2 == 0, F.to_json(items)).otherwise(F.to_json(F.struct(items.alias("strategies"))))
-    FL.write_texts(lists.select("run_id", body.alias("body")), f"{folder}/strategies", "body")
-    back = FL.strategy_items(FL.read_documents(s, f"{folder}/strategies"), "body")
-    return back.select(F.regexp_extract("run_dir", r"^run_id=(\d+)$", 1).cast("bigint").alias("document"), F.col("pos").cast("bigint").alias("pos"), "trigger", "tactic", "efficiency_gain")
+    body = F.when(F.col("document") % 2 == 0, F.to_json(items)).otherwise(F.to_json(F.struct(items.alias("strategies"))))
+    FL.write_texts(lists.select(_part(F.col("document"), F.col("slot")), body.alias("body")), f"{folder}/strategies", "body")
+    back = FL.strategy_items(FL.read_documents(s, f"{folder}/strategies"), "body").withColumn("document", _part_of(1)).withColumn("slot", _part_of(2))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("document").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.groupBy("document", "slot").agg(F.count(F.lit(1)).alias("n")).select("document", "slot", before.alias("start"))
+    return back.join(starts, ["document", "slot"]).select("document", (F.col("start") + F.col("pos")).cast("bigint").alias("pos"), "trigger", "tactic", "efficiency_gain")
 
 
 _add("strategy_documents", strategy_documents, """

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import json
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from siftline.operators import runs as R
+from siftline.plans import files as plans
 from siftline.sources import files
 
 
@@ -61,3 +64,21 @@ def test_text_documents(spark, tmp_path):
     text = files.read_documents(spark, str(tmp_path / "state" / "run_id=7")).first().body
     assert text.startswith("# Research state\n\n- Updated: 2024-01-01T00:00:00\n- Status: completed\n- LLM calls: 3\n")
     assert "## Progress\n(none)\n\n## Key findings (compact)\n(none yet)\n" in text
+
+
+@pytest.mark.parametrize(("name", "most"), [("strategy_documents", 10_000), ("keyed_documents", 100_000)])
+def test_documents_grow_in_number_not_in_size(spark, tmp_path, monkeypatch, name, most):
+    key = F.col("id") * 2 + F.floor(F.col("id") / 50_000)  # gaps, and keys of every remainder
+    spark.range(160_000).select(key.alias("p_partkey"), *[F.concat(F.lit(c), "id").alias(f"p_{c}") for c in ("name", "type", "brand")]).write.parquet(f"{tmp_path}/part.parquet")
+    nation = F.when(F.col("id") % 10 == 0, 3).otherwise(1)
+    spark.range(160_000).select(F.col("id").alias("c_custkey"), F.concat(F.lit("c"), "id").alias("c_name"), nation.alias("c_nationkey"), F.lit("s").alias("c_mktsegment")).write.parquet(f"{tmp_path}/customer.parquet")
+    monkeypatch.setattr(plans, "_folder", lambda s: f"{tmp_path}/out")
+    got = plans.QUERIES[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    for t in ("part", "customer"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(plans.ORACLES[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(got.columns) == sorted(columns) and sorted(tuple(r[c] for c in columns) for r in got.collect()) == sorted(want.fetchall())
+    sizes = [len(v["strategies"]) if "strategies" in v else len(v) for v in (json.loads(r.body) for r in files.read_documents(spark, f"{tmp_path}/out/*").collect())]
+    assert sum(sizes) == 160_000 and max(sizes) <= most
