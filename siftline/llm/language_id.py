@@ -3,8 +3,8 @@
 For each language a tree of byte contexts of up to ``ORDER`` bytes counts which byte follows. A byte's probability comes
 from the longest context that is known; a byte new to it costs an escape (method C, with exclusion of the bytes already
 ruled out) to the next shorter one, and at last all 256 bytes are equally likely. The statistics are frozen after
-training, so the trees become one table: the state is the longest known context, and each state and byte have a code
-length per language and a next state. A text's language is the one with the shortest code for all of its bytes.
+training, so each tree becomes a table: the state is the longest context known to its language, and each state and byte
+have a code length and a next state. The tables lie one behind the other. A text's language is the one with the shortest code for all of its bytes.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from siftline.llm.common import cut, slices, whole
 
-#: Context bytes; contexts over all languages; distinct texts of each language that are learned from, chosen by their hash.
+#: Context bytes; contexts of each language; distinct texts of each language that are learned from, chosen by their hash.
 ORDER, STATES, TRAINING_ROWS = 4, 8192, 400
 MOST_LANGUAGES = 500
 #: Texts are scored in stretches of so many bytes side by side; each begins in the state that the bytes before it lead to.
@@ -97,11 +97,13 @@ def sampled(labelled: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
 
 @dataclass(frozen=True)
 class Model:
-    """``bits[state * symbols + symbol]``: code lengths by language; ``following``: the next state; both flat."""
+    """``bits[place + symbol]``: code lengths; ``following[place + symbol]``: the next place. A state's place is where its
+    ``symbols`` cells begin; ``roots`` are the places of the empty contexts, one for each language."""
 
     langs: list[str]
     symbol: np.ndarray
     symbols: int
+    roots: np.ndarray
     bits: np.ndarray
     following: np.ndarray
     order: int
@@ -118,71 +120,97 @@ class Model:
         length = np.minimum(STRETCH, starts[owner] + sizes[owner] - at)
         order = np.argsort(-length, kind="stable")
         at, length, owner, nth = at[order], length[order], owner[order], nth[order]
-        state = np.zeros(len(at), np.int64)
         later = np.flatnonzero(nth > 0)  # the state after the bytes before; the longest context is shorter than a stretch
-        for j in range(self.order, 0, -1):
-            state[later] = self.following[state[later] * self.symbols + flat[at[later] - j]]
-        total = np.zeros((len(at), len(self.langs)))
         active = np.searchsorted(-length, -np.arange(STRETCH), side="left")  # stretches of more than j bytes
-        for j in range(int(length[0]) if len(length) else 0):
-            n = active[j]
-            step = state[:n] * self.symbols + flat[at[:n] + j]
-            total[:n] += self.bits[step]
-            state[:n] = self.following[step]
         out = np.zeros((len(raw), len(self.langs)))
-        np.add.at(out, owner, total)
+        for lang, root in enumerate(self.roots.tolist()):
+            place = np.full(len(at), root, np.int64)
+            for j in range(self.order, 0, -1):
+                place[later] = self.following[place[later] + flat[at[later] - j]]
+            total = np.zeros(len(at))
+            for j in range(int(length[0]) if len(length) else 0):
+                n = active[j]
+                step = place[:n] + flat[at[:n] + j]
+                total[:n] += self.bits[step]
+                place[:n] = self.following[step]
+            out[:, lang] = np.bincount(owner, total, len(raw))
         return out
 
 
-def build(counts: list[tuple[str, int, int]], order: int = ORDER) -> Model:
-    """The table of rows ``(lang, gram, n)``. With each context its shorter suffixes and prefixes are among the rows."""
-    langs = sorted({c[0] for c in counts})
-    split = [(langs.index(lang), (gram >> 56), (gram & ((1 << 56) - 1)).to_bytes(7, "big"), n) for lang, gram, n in counts]
-    split = [(lang, raw[6 - k : 6], raw[6], n) for lang, k, raw, n in split]
-    contexts = sorted({b""} | {c for _, c, _, _ in split}, key=lambda c: (len(c), c))
-    seen = sorted({b for *_, b, _ in split})
+def _table(gram: np.ndarray, n: np.ndarray, symbol: np.ndarray, width: int, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Code lengths and next states of one language, a row for each context, by length and bytes. ``gram`` is unique."""
+    contexts = np.unique(np.append(gram >> 8, 0))
+    size, value = contexts >> 48, contexts & ((1 << 48) - 1)
+
+    def find(keys: np.ndarray) -> np.ndarray:
+        i = np.minimum(np.searchsorted(contexts, keys), len(contexts) - 1)
+        return np.where(contexts[i] == keys, i, -1)
+
+    shorter = np.zeros(len(contexts), np.int64)
+    for k in range(1, order):
+        found = find((k << 48) | (value & ((1 << 8 * k) - 1)))
+        shorter = np.where((size > k) & (found >= 0), found, shorter)
+    parent, last = np.where(size > 0, find(((size - 1) << 48) | (value >> 8)), -1), symbol[value & 255]
+    following = np.zeros((len(contexts), width), np.int64)
+    for k in range(order + 1):
+        level = np.flatnonzero(size == k)
+        if k:
+            following[level] = following[shorter[level]]
+        children = np.flatnonzero((size == k + 1) & (parent >= 0))
+        following[parent[children], last[children]] = children
+    table = np.zeros((len(contexts), width))
+    table[find(gram >> 8), symbol[gram & 255]] = n
+    # ``out``: bytes with a chance already; ``escape``: what is left for the others. The root's bytes are ruled out
+    # after it, so that staying there adds nothing.
+    chance, out, escape = np.zeros((len(contexts), width)), np.zeros((len(contexts), width), bool), np.ones(len(contexts))
+    at = np.arange(len(contexts))
+    for _ in range(order + 1):
+        row = np.where(out, 0, table[at])
+        total, kinds = row.sum(1), (row > 0).sum(1)
+        chance += escape[:, None] * row / np.maximum(total + kinds, 1)[:, None]
+        escape *= np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1)
+        out |= row > 0
+        at = shorter[at]
+    chance = np.where(out, chance, (escape / np.maximum(256 - out.sum(1), 1))[:, None])
+    return -np.log2(chance).astype(np.float32), following
+
+
+def compiled(langs: np.ndarray, grams: np.ndarray, counts: np.ndarray, order: int = ORDER) -> Model:
+    """The tables of unique ``lang, gram`` with their counts. With each context of a language its shorter suffixes and
+    prefixes are among them."""
+    names, of = np.unique(langs, return_inverse=True)
+    seen = np.unique(grams & 255)
     symbol = np.full(256, len(seen), np.int64)
     symbol[seen] = np.arange(len(seen))
-    index, width = {c: i for i, c in enumerate(contexts)}, len(seen) + 1
-    shorter = np.array([next(index[c[i:]] for i in range(1, len(c) + 1) if c[i:] in index) if c else 0 for c in contexts])
-    following = np.zeros((len(contexts), width), np.int64)
-    children: dict[bytes, list[bytes]] = {}
-    for c in contexts[1:]:
-        children.setdefault(c[:-1], []).append(c)
-    for i, c in enumerate(contexts):
-        following[i] = following[shorter[i]] if c else 0
-        for child in children.get(c, ()):
-            following[i, symbol[child[-1]]] = index[child]
-    bits = np.empty((len(contexts) * width, len(langs)), np.float32)
-    for lang in range(len(langs)):
-        table = np.zeros((len(contexts), width))
-        for own, context, byte, n in split:
-            if own == lang:
-                table[index[context], symbol[byte]] += n
-        # ``out``: bytes with a chance already; ``escape``: what is left for the others. The root's bytes are ruled out
-        # after it, so that staying there adds nothing.
-        chance, out, escape = np.zeros((len(contexts), width)), np.zeros((len(contexts), width), bool), np.ones(len(contexts))
-        at = np.arange(len(contexts))
-        for _ in range(order + 1):
-            row = np.where(out, 0, table[at])
-            n, kinds = row.sum(1), (row > 0).sum(1)
-            chance += escape[:, None] * row / np.maximum(n + kinds, 1)[:, None]
-            escape *= np.where(n > 0, kinds / np.maximum(n + kinds, 1), 1)
-            out |= row > 0
-            at = shorter[at]
-        chance = np.where(out, chance, (escape / np.maximum(256 - out.sum(1), 1))[:, None])
-        bits[:, lang] = -np.log2(chance).reshape(-1)
-    return Model(langs, symbol[FOLD], width, bits, following.reshape(-1), order)
+    width, roots, bits, following, place = len(seen) + 1, [], [], [], 0
+    kind = np.int32 if (len(grams) + len(names)) * width < 1 << 31 else np.int64
+    for lang in range(len(names)):
+        own = of == lang
+        code, then = _table(grams[own], counts[own], symbol, width, order)
+        roots.append(place)
+        bits.append(code.reshape(-1))
+        following.append((then * width + place).astype(kind).reshape(-1))
+        place += code.size
+    flat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+    return Model([str(x) for x in names], symbol[FOLD], width, np.array(roots, np.int64), flat(bits, np.float32), flat(following, np.int64), order)
+
+
+def build(counts: list[tuple[str, int, int]], order: int = ORDER) -> Model:
+    """:func:`compiled` of rows ``(lang, gram, n)``."""
+    langs, grams, n = zip(*counts) if counts else ((), (), ())
+    return compiled(np.array(langs, object), np.array(grams, np.int64), np.array(n, np.int64), order)
 
 
 def train(labelled: DataFrame, order: int = ORDER, states: int = STATES, rows: int = TRAINING_ROWS) -> Model:
-    """Learn from ``lang, text`` (neither null). The driver gets the ``states`` most frequent contexts, at most 256 rows each
-    per language, and nothing else."""
+    """Learn from ``lang, text`` (neither null). The driver gets the ``states`` most frequent contexts of each language, at
+    most 256 rows each, and nothing else; what a language keeps does not depend on the others."""
     grams = cut(gram_counts(sampled(labelled, rows), order).withColumn("context", F.expr("gram >> 8")), "grams")
     # A shorter suffix or prefix of a context is at least as frequent, and comes first at equal counts.
-    frequent = grams.groupBy("context").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), F.expr("context >> 48"), "context").limit(states)
-    kept = grams.join(F.broadcast(frequent.select("context")), "context", "left_semi").select("lang", "gram", "n")
-    return build([tuple(r) for r in kept.collect()], order)
+    order_by = W.partitionBy("lang").orderBy(F.desc("total"), F.expr("context >> 48"), "context")
+    totals = grams.groupBy("lang", "context").agg(F.sum("n").alias("total"))
+    frequent = totals.withColumn("_n", F.row_number().over(order_by)).filter(F.col("_n") <= states)
+    kept = grams.join(frequent.select("lang", "context"), ["lang", "context"], "left_semi").select("lang", "gram", "n").toArrow()
+    return compiled(*(kept.column(c).to_numpy() for c in ("lang", "gram", "n")), order)
 
 
 # --- prediction -----------------------------------------------------------------------------------
@@ -195,7 +223,7 @@ def held_out(doc_id: Column) -> Column:
 
 def _scored(rows: DataFrame, model: Model) -> DataFrame:
     """``row, lang_pred, score`` of rows ``row, text``; the struct ``row`` goes through untouched."""
-    sent = rows.sparkSession.sparkContext.broadcast(model)  # bounded by its states
+    sent = rows.sparkSession.sparkContext.broadcast(model)  # bounded by its states and languages
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value

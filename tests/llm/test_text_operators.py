@@ -123,6 +123,14 @@ def test_sample_counts_copies_once(spark):
     assert sorted(got) == sorted(tuple(r) for r in language_id.sampled(rows.repartition(7)).collect())
 
 
+def test_a_language_keeps_its_contexts_beside_longer_ones(spark):
+    few = [("bb", sentence(i, 6, "der die ung en sch ein zu")) for i in range(5)]
+    rows = lambda more: spark.createDataFrame(few + more, "lang string, text string")
+    alone, beside = (language_id.train(rows(more), states=100) for more in ([], [("aa", sentence(i, 400)) for i in range(50)]))
+    texts = [sentence(99, 50, "der die ung en sch ein zu").encode(), b"die sch"]
+    assert beside.langs == ["aa", "bb"] and beside.code_lengths(texts)[:, 1] == pytest.approx(alone.code_lengths(texts)[:, 0])
+
+
 # --- byte-level BPE -------------------------------------------------------------------------------
 
 VOCABULARY = bpe.vocabulary(RANKS, public_tokenizers.PATTERN)
