@@ -103,10 +103,15 @@ def append_log(rows: DataFrame, path: str, now: Column | None = None, writers: i
         out.write.mode("append").option("timestampNTZFormat", TIME_FORMAT).json(path)
 
 
-def write_snapshot(rows: DataFrame, path: str, fmt: str = "json", writers: int = 1) -> None:
-    """Replace the partitions of the runs in ``rows``, each written by up to ``writers`` tasks; other runs' files stay."""
+def write_snapshot(rows: DataFrame, path: str, fmt: str = "json", writers: int | None = None) -> None:
+    """Replace the partitions of the runs in ``rows``; other runs' files stay.
+
+    A run is written by as many tasks as its size needs (adaptive execution splits it at the advisory size), or by up to
+    ``writers`` tasks where that is given.
+    """
+    dealt = rows.hint("rebalance", "run_id") if writers is None else rows.repartition("run_id", F.pmod(F.xxhash64(*rows.columns), F.lit(writers)))
     (
-        rows.repartition("run_id", F.pmod(F.xxhash64(*rows.columns), F.lit(writers))).write.mode("overwrite")
+        dealt.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("timestampNTZFormat", TIME_FORMAT)
         .partitionBy("run_id")
@@ -117,4 +122,4 @@ def write_snapshot(rows: DataFrame, path: str, fmt: str = "json", writers: int =
 
 def write_texts(rows: DataFrame, path: str, text: str) -> None:
     """Text documents, one folder per run (reports, state and task files)."""
-    write_snapshot(rows.select("run_id", F.col(text).alias("value")), path, "text")
+    write_snapshot(rows.select("run_id", F.col(text).alias("value")), path, "text", writers=1)

@@ -82,3 +82,17 @@ def test_documents_grow_in_number_not_in_size(spark, tmp_path, monkeypatch, name
     assert sorted(got.columns) == sorted(columns) and sorted(tuple(r[c] for c in columns) for r in got.collect()) == sorted(want.fetchall())
     sizes = [len(v["strategies"]) if "strategies" in v else len(v) for v in (json.loads(r.body) for r in files.read_documents(spark, f"{tmp_path}/out/*").collect())]
     assert sum(sizes) == 160_000 and max(sizes) <= most
+
+
+def test_a_large_run_is_written_by_many_tasks(spark, tmp_path):
+    path, key = f"{tmp_path}/snap", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    rows = spark.range(0, 200_000, 1, 8).select(F.when(F.col("id") % 100 == 0, F.col("id") % 7).otherwise(9).alias("run_id"), F.sha2(F.col("id").cast("string"), 256).alias("title"))
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1m")
+    try:
+        files.write_snapshot(rows, path)
+    finally:
+        spark.conf.set(key, before)
+    back = spark.read.schema("title string, run_id long").json(path)
+    assert sorted(map(tuple, back.select("run_id", "title").collect())) == sorted(map(tuple, rows.collect()))
+    assert len(list((tmp_path / "snap" / "run_id=9").glob("part-*"))) > 4
