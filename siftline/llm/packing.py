@@ -1,9 +1,10 @@
-"""Best-fit packing by a configuration linear program over the histogram of lengths.
+"""Best-fit packing by configurations that are priced over the histogram of lengths, in greedy phases.
 
 Only the histogram leaves the executors: at most ``capacity`` counts. A configuration is a multiset of lengths that fits
-into one sequence. The linear program, the fewest configurations that cover the histogram, is solved by multiplicative
-weights: each length has a price that falls as it is covered, and a knapsack dynamic program finds the configuration of
-the highest total price. The solution is rounded down, and what is left, a bounded number of pieces, is packed by best
+into one sequence. The prices are those of multiplicative weights for the configuration linear program, the fewest
+configurations that cover the histogram: each length has a price that falls as it is covered, and a knapsack dynamic
+program finds the configuration of the highest total price. The program itself is not solved: a fixed number of phases
+takes whole numbers of configurations, without a fractional solution or a tolerance, and what is left is packed by best
 fit. The plan lists which ranks of each length go to which sequences, and pieces find their place by an equi-join on it.
 """
 
