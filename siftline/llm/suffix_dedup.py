@@ -16,11 +16,12 @@ the longer of the two common prefixes is the longest previous factor. Windows of
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from siftline.llm.common import cut, mix, slices, spans_of, texts, whole
@@ -28,8 +29,12 @@ from siftline.llm.common import cut, mix, slices, spans_of, texts, whole
 LENGTH, ANCHOR = 50, 16
 #: Documents of an anchor that are compared in one task; anchors of more go the way of :func:`frequent_firsts`.
 MOST = 4096
-#: Bytes of segments in one suffix array, 2**21 at most.
+#: Bytes of segments in one suffix array; one anchor's segments stay together.
 CHUNK = 1 << 20
+#: Bytes of text that a task hashes at once: each takes about ten numbers of 8 bytes.
+SLICE = 1 << 20
+#: Parts that the rows of an anchor of more than ``MOST`` documents are dealt to.
+SALTS = 64
 
 
 # --- anchors --------------------------------------------------------------------------------------
@@ -52,33 +57,35 @@ def segments(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """
     n, width = len(raw), LENGTH - ANCHOR + 1
     starts = np.concatenate([[0], ends[:-1]])
-    own = np.repeat(np.arange(len(ends)), ends - starts)
-    window = np.arange(n)
-    window = window[window + LENGTH <= ends[own]]
+    own = np.repeat(ends.astype(np.int32), ends - starts)
+    window = np.arange(n, dtype=np.int32)
+    window = window[window + np.int32(LENGTH) <= own]
     if not len(window):
-        return np.zeros(0, np.uint64), window, window, window
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, none, none
     eight = _words_at(raw)
     run = mix(eight[: n - 8] * np.uint64(0x9E3779B97F4A7C15) + mix(eight[8:]))
-    low = (run & ~np.uint64((1 << 24) - 1)) | np.arange(len(run), dtype=np.uint64)
-    reach, step = low, 1
+    del eight, own
+    reach, step = (run & ~np.uint64((1 << 24) - 1)) | np.arange(len(run), dtype=np.uint64), 1
     while step * 2 <= width:
         reach = np.minimum(reach[: len(reach) - step], reach[step:])
         step *= 2
     if step < width:
         reach = np.minimum(reach[: len(reach) - (width - step)], reach[width - step :])
-    at = (reach[window] & np.uint64((1 << 24) - 1)).astype(np.int64)
+    at = (reach[window] & np.uint64((1 << 24) - 1)).astype(np.int32)
+    del reach
     new = np.flatnonzero(np.diff(at, prepend=-1))
-    return run[at[new]], at[new], window[new], np.append(window[new[1:] - 1], window[-1])
+    return run[at[new]], at[new].astype(np.int64), window[new].astype(np.int64), np.append(window[new[1:] - 1], window[-1]).astype(np.int64)
 
 
 def _batch_segments(raw_texts: list[bytes]) -> tuple[np.ndarray, ...]:
     """Of texts: all bytes, their starts, and text, anchor, its place, first and last window start of each segment."""
     raw, sizes = np.frombuffer(b"".join(raw_texts), np.uint8), np.array([len(t) for t in raw_texts], np.int64)
     ends = np.cumsum(sizes)
-    if len(raw) < 1 << 24:
+    if len(raw) <= 2 * SLICE:
         anchor, place, first, last = segments(raw, ends)
     else:  # a single very long text: its windows in stretches that overlap by a window
-        parts, stretch = [], 1 << 22
+        parts, stretch = [], SLICE
         for at in range(0, len(raw), stretch):
             near = raw[at : at + stretch + LENGTH - 1]
             h, p, a, b = segments(near, np.clip(np.unique(np.append(ends[(ends > at) & (ends < at + len(near))] - at, len(near))), 0, len(near)))
@@ -92,7 +99,7 @@ def anchors(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            for part in slices(batches, "text"):
+            for part in slices(batches, "text", SLICE):
                 _, _, own, anchor, *_ = _batch_segments([t.encode() for t in texts(part)])
                 order = np.lexsort((anchor, own))
                 own, anchor = own[order], anchor[order]
@@ -144,81 +151,136 @@ def shared_anchors(found: DataFrame) -> DataFrame:
     return found.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc bigint, anchor bigint, frequent boolean")
 
 
-def _chosen(part: pa.RecordBatch, column: str) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All bytes of a batch's texts, and of the segments whose anchors the row lists in ``column``: text, anchor, place in
-    the text, place among all bytes, length, and the anchor's place in the segment."""
+class Chosen(NamedTuple):
+    """Segments of a batch whose anchors its rows list: all bytes of the batch, and for each segment its text, anchor, place in
+    the text, place among all bytes, length, the anchor's place in it, and whether the anchor is a frequent one."""
+
+    raw: bytes
+    own: np.ndarray
+    anchor: np.ndarray
+    start: np.ndarray
+    at: np.ndarray
+    size: np.ndarray
+    inside: np.ndarray
+    frequent: np.ndarray
+
+
+def _chosen(part: pa.RecordBatch) -> Chosen:
+    """The segments with anchors in the rows' lists ``few`` and ``many``."""
     raw_texts = [t.encode() for t in texts(part)]
     raw, base, own, anchor, place, first, last = _batch_segments(raw_texts)
-    signed, lists = anchor.astype(np.int64), part.column(column)
-    edges, chosen = np.searchsorted(own, np.arange(len(raw_texts) + 1)), np.zeros(len(anchor), bool)
+    signed, few, many = anchor.astype(np.int64), part.column("few"), part.column("many")
+    edges, kind = np.searchsorted(own, np.arange(len(raw_texts) + 1)), np.zeros(len(anchor), np.int8)
     for i in range(len(raw_texts)):
         a, b = edges[i], edges[i + 1]
-        chosen[a:b] = np.isin(signed[a:b], lists[i].values.to_numpy(zero_copy_only=False))
+        for listed, mark in ((few[i].values, 1), (many[i].values, 2)):
+            if listed is not None and len(listed):
+                kind[a:b] |= np.isin(signed[a:b], listed.to_numpy(zero_copy_only=False)) * np.int8(mark)
+    chosen = kind > 0
     own, first = own[chosen], first[chosen]
-    return raw.tobytes(), own, signed[chosen], first - base[own], first, last[chosen] + LENGTH - first, place[chosen] - first
+    return Chosen(raw.tobytes(), own, signed[chosen], first - base[own], first, last[chosen] + LENGTH - first, place[chosen] - first, kind[chosen] == 2)
+
+
+def _digests(raw: bytes, at: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit digest of each stretch of ``size`` bytes, ``width`` at most, from ``at`` on: a chain of scrambled words."""
+    data, words = np.frombuffer(raw + bytes(width + 8), np.uint8), -(-width // 8)
+    out = np.empty(len(at), np.uint64)
+    for a in range(0, len(at), 1 << 15):
+        b = np.s_[a : a + (1 << 15)]
+        rows = data[at[b, None] + np.arange(8 * words)]
+        rows[np.arange(8 * words) >= size[b, None]] = 0
+        h = size[b].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for word in rows.view("<u8").T:
+            h = mix((h ^ word) + np.uint64(0xD1B54A32D192ED03))
+        out[b] = h
+    return out
 
 
-def _sides(raw: bytes, at: int, size: int, inside: int) -> int:
-    """Two 32-bit checksums of half a window to the left and to the right of an anchor, 0 where no window reaches so far.
+def _sides(found: Chosen) -> np.ndarray:
+    """Two 32-bit checksums of half a window to the left and to the right of each anchor, 0 where no window reaches so far.
 
     A window has at least half of what is not its anchor on one side, so segments that share a window share a checksum.
     """
-    half, place = (LENGTH - ANCHOR) // 2, at + inside
-    left = zlib.crc32(raw[place - half : place + ANCHOR]) % 0xFFFFFFFF + 1 if inside >= half else 0
-    right = zlib.crc32(raw[place : place + ANCHOR + half]) % 0xFFFFFFFF + 1 if inside + ANCHOR + half <= size else 0
-    return ((left << 32) | right) - (1 << 64 if left >> 31 else 0)
+    half = (LENGTH - ANCHOR) // 2
+    width, place = half + ANCHOR, found.at + found.inside
+    check = lambda at: (_digests(found.raw, at, np.full(len(at), width), width) >> np.uint64(32)) | np.uint64(1)
+    left = np.where(found.inside >= half, check(np.maximum(place - half, 0)), np.uint64(0))
+    right = np.where(found.inside + width <= found.size, check(place), np.uint64(0))
+    return ((left << np.uint64(32)) | right).view(np.int64)
+
+
+KEYS = "anchor bigint, key bigint, sides bigint, doc bigint, tag bigint, start int, size int, frequent boolean"
+#: A segment starts at most so many bytes before its anchor and ends so many behind it.
+WIDEST = 2 * LENGTH - ANCHOR
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows of one anchor in one task, but for those of frequent anchors, which are dealt by document.
+
+    Both kinds are read from this one shuffle, so that the texts are hashed once.
+    """
+    return rows.withColumn("salt", F.when(F.col("frequent"), F.pmod(F.xxhash64("doc"), F.lit(SALTS)) + 1).otherwise(0)).repartition("anchor", "salt").drop("salt")
+
+
+def frequent_only(rows: DataFrame) -> DataFrame:
+    """The rows of frequent anchors. A filter would be moved below the shuffle, and all before it would run again."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(batch.column("frequent"))
 
-KEYS = "anchor bigint, key bigint, sides bigint, doc bigint, tag bigint, start int, size int"
+    return rows.mapInArrow(run, rows.schema)
 
 
-def segment_keys(listed: DataFrame, column: str) -> DataFrame:
-    """A row for each segment of ``doc, tag, text`` whose anchor is in ``column``; ``key`` is a digest of its bytes, ``sides``
-    checksums of what is around the anchor. Equal segments that overlap, as in a text that repeats itself, are one row."""
+def segment_keys(listed: DataFrame) -> DataFrame:
+    """A row for each segment of ``doc, tag, text`` whose anchor is in ``few`` or ``many``; ``key`` is a digest of its bytes,
+    ``sides`` checksums of what is around the anchor. Equal segments that overlap, as in a text that repeats itself, are one
+    row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            for part in slices(batches, "text", 1 << 20):
-                raw, own, anchor, start, at, size, inside = _chosen(part, column)
-                digest = b"".join(hashlib.blake2b(raw[a : a + n], digest_size=8).digest() for a, n in zip(at.tolist(), size.tolist()))
-                sides = [_sides(raw, *x) for x in zip(at.tolist(), size.tolist(), inside.tolist())]
-                key, stop = np.frombuffer(digest, np.int64), at + size
+            for part in slices(batches, "text", SLICE):
+                found = _chosen(part)
+                own, anchor, at, size = found.own, found.anchor, found.at, found.size
+                key, sides, stop = _digests(found.raw, at, size, WIDEST).view(np.int64), _sides(found), at + size
                 same = (own[1:] == own[:-1]) & (anchor[1:] == anchor[:-1]) & (key[1:] == key[:-1]) & (at[1:] <= stop[:-1])
                 one = np.flatnonzero(np.r_[True, ~same][: len(own)])
                 size = stop[np.append(one[1:], len(own)) - 1] - at[one]
-                anchor, key, own, start, sides = anchor[one], key[one], own[one], start[one], np.array(sides, np.int64)[one]
-                take = pa.array(own)
+                take = pa.array(own[one])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor), pa.array(key), pa.array(sides), part.column("doc").take(take), part.column("tag").take(take), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))],
-                    ["anchor", "key", "sides", "doc", "tag", "start", "size"],
+                    [
+                        pa.array(anchor[one]), pa.array(key[one]), pa.array(sides[one]), part.column("doc").take(take), part.column("tag").take(take),
+                        pa.array(found.start[one].astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(found.frequent[one]),
+                    ],
+                    ["anchor", "key", "sides", "doc", "tag", "start", "size", "frequent"],
                 )
 
-    return listed.filter(F.size(column) > 0).select("doc", "tag", "text", "row", "few", "many").mapInArrow(run, KEYS)
+    return listed.select("doc", "tag", "text", "row", "few", "many").mapInArrow(run, KEYS)
 
 
-SEGMENTS = "anchor bigint, doc bigint, tag bigint, starts array<bigint>, bytes binary"
+SEGMENTS = "anchor bigint, doc bigint, tag bigint, starts array<bigint>, bytes binary, frequent boolean"
 
 
-def segment_bytes(listed: DataFrame, column: str) -> DataFrame:
-    """``anchor, doc, tag, starts, bytes``: the distinct segments of each row whose anchors are in ``column``."""
+def segment_bytes(listed: DataFrame) -> DataFrame:
+    """``anchor, doc, tag, starts, bytes, frequent``: the distinct segments of each row whose anchors are in ``few`` or ``many``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            for part in slices(batches, "text", 1 << 20):
-                raw, own, anchor, start, at, size, _ = _chosen(part, column)
-                rows: dict[tuple[int, bytes], tuple[int, list[int]]] = {}
-                for i, h, s, a, n in zip(own.tolist(), anchor.tolist(), start.tolist(), at.tolist(), size.tolist()):
-                    rows.setdefault((i, raw[a : a + n]), (h, []))[1].append(s)
+            for part in slices(batches, "text", SLICE):
+                raw, own, anchor, start, at, size, _, frequent = _chosen(part)
+                rows: dict[tuple[int, bytes], tuple[int, bool, list[int]]] = {}
+                for i, h, s, a, n, hot in zip(own.tolist(), anchor.tolist(), start.tolist(), at.tolist(), size.tolist(), frequent.tolist()):
+                    rows.setdefault((i, raw[a : a + n]), (h, hot, []))[2].append(s)
                 take = pa.array([i for i, _ in rows], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([h for h, _ in rows.values()], pa.int64()), part.column("doc").take(take), part.column("tag").take(take),
-                        pa.array([x for _, x in rows.values()], pa.list_(pa.int64())), pa.array([b for _, b in rows], pa.binary()),
+                        pa.array([h for h, _, _ in rows.values()], pa.int64()), part.column("doc").take(take), part.column("tag").take(take),
+                        pa.array([x for _, _, x in rows.values()], pa.list_(pa.int64())), pa.array([b for _, b in rows], pa.binary()), pa.array([f for _, f, _ in rows.values()], pa.bool_()),
                     ],
-                    ["anchor", "doc", "tag", "starts", "bytes"],
+                    ["anchor", "doc", "tag", "starts", "bytes", "frequent"],
                 )
 
-    return listed.filter(F.size(column) > 0).select("doc", "tag", "text", "row", column).mapInArrow(run, SEGMENTS)
+    return listed.select("doc", "tag", "text", "row", "few", "many").mapInArrow(run, SEGMENTS)
 
 
 SPANS = "doc bigint, tag bigint, packed binary"
@@ -267,6 +329,9 @@ def compared_keys(keys: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
+            batch = batch.filter(pc.invert(batch.column("frequent")))
+            if not batch.num_rows:
+                continue
             held.append([batch.column(n).to_numpy() for n in names])
             size += batch.num_rows
             if size >= 1 << 19:
@@ -278,7 +343,7 @@ def compared_keys(keys: DataFrame) -> DataFrame:
         if size:
             yield from compare([np.concatenate(c) for c in zip(*held)]).to_batches()
 
-    return keys.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, f"{SPANS}, wanted array<bigint>")
+    return keys.sortWithinPartitions("anchor").mapInArrow(run, f"{SPANS}, wanted array<bigint>")
 
 
 # --- suffix arrays --------------------------------------------------------------------------------
@@ -294,7 +359,7 @@ def _ranked(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order, key = (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), both >> bits
     else:
         order = np.lexsort((low, high))
-        key = np.unique(np.stack([high, low], 1), axis=0, return_inverse=True)[1].ravel()[order]
+        key = np.cumsum(np.append(0, (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])))
     rank = np.empty(n, np.uint64)
     rank[order] = np.cumsum(np.append(1, key[1:] != key[:-1])).astype(np.uint64)
     return rank, order
@@ -385,7 +450,8 @@ def differing_spans(found: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
+            batch = batch.filter(pc.invert(batch.column("frequent")))
+            for row in zip(*(c.to_pylist() for c in batch.columns[:5])):
                 if size >= CHUNK and row[0] != rows[-1][0]:
                     yield batch_of(rows)
                     rows, size = [], 0
@@ -394,7 +460,7 @@ def differing_spans(found: DataFrame) -> DataFrame:
         if rows:
             yield batch_of(rows)
 
-    return found.repartition("anchor").sortWithinPartitions("anchor", "doc").mapInArrow(run, SPANS)
+    return found.sortWithinPartitions("anchor", "doc").mapInArrow(run, SPANS)
 
 
 def frequent_firsts(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -436,13 +502,16 @@ def with_spans(docs: DataFrame, row: list[str]) -> DataFrame:
     shared = shared_anchors(anchors(told.filter("NOT copy").select("doc", "text", "row")))
     lists = shared.groupBy("doc").agg(F.collect_list(F.when(~F.col("frequent"), F.col("anchor"))).alias("few"), F.collect_list(F.when(F.col("frequent"), F.col("anchor"))).alias("many"))
     listed = told.filter("NOT copy").join(lists.hint("merge"), "doc")
-    few = compared_keys(segment_keys(listed, "few"))
-    copied, wanted_many = frequent_firsts(segment_keys(listed, "many"))
-    asked = few.filter("wanted IS NOT NULL").groupBy("doc").agg(F.flatten(F.collect_list("wanted")).alias("wanted"))
-    asking = lambda wanted: told.filter("NOT copy").join(wanted.hint("merge"), "doc")
-    packed = few.filter("packed IS NOT NULL").select("doc", "tag", "packed").union(differing_spans(segment_bytes(asking(asked), "wanted")))
-    plain = copied.union(frequent_windows(segment_bytes(asking(wanted_many), "wanted")))
+    keys = dealt(segment_keys(listed))
+    few = compared_keys(keys)
+    copied, first_of_many = frequent_firsts(frequent_only(keys))
     none = F.lit(None)
+    asked = few.filter("wanted IS NOT NULL").select("doc", F.col("wanted").alias("few"), none.cast("array<bigint>").alias("many"))
+    asked = asked.union(first_of_many.select("doc", none.cast("array<bigint>"), "wanted"))
+    wanted = asked.groupBy("doc").agg(F.flatten(F.collect_list("few")).alias("few"), F.flatten(F.collect_list("many")).alias("many"))
+    found = dealt(segment_bytes(told.filter("NOT copy").join(wanted.hint("merge"), "doc")))
+    packed = few.filter("packed IS NOT NULL").select("doc", "tag", "packed").union(differing_spans(found))
+    plain = copied.union(frequent_windows(frequent_only(found)))
     spans = packed.select("doc", "tag", none.cast("bigint").alias("start"), none.cast("bigint").alias("stop"), "packed").union(plain.select("doc", "tag", "start", "stop", none.cast("binary")))
     gathered = spans.groupBy("doc").agg(F.collect_list(F.struct("tag", "start", "stop", "packed")).alias("spans"))
     return told.join(gathered.hint("merge"), "doc", "left").select("row", "text", "tag", "copy", "spans")
@@ -473,7 +542,7 @@ def removed(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 1 << 20):
+        for part in slices(batches, "text", SLICE):
             out = []
             for raw, kept in _kept(part):
                 rest = np.frombuffer(raw, np.uint8)[kept].tobytes() if not kept.all() else raw
@@ -494,7 +563,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     others = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 1 << 20):
+        for part in slices(batches, "text", SLICE):
             kept_texts, stays = [], []
             for text, (plain, kept) in zip(texts(part), _kept(part)):
                 if not kept.all():
