@@ -21,7 +21,6 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from siftline.llm.common import cut, mix, slices, spans_of, texts, whole
@@ -33,8 +32,6 @@ MOST = 4096
 CHUNK = 1 << 20
 #: Bytes of text that a task hashes at once: each takes about ten numbers of 8 bytes.
 SLICE = 1 << 20
-#: Parts that the rows of an anchor of more than ``MOST`` documents are dealt to.
-SALTS = 64
 
 
 # --- anchors --------------------------------------------------------------------------------------
@@ -64,8 +61,12 @@ def segments(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, none
     eight = _words_at(raw)
-    run = mix(eight[: n - 8] * np.uint64(0x9E3779B97F4A7C15) + mix(eight[8:]))
+    run = eight[8:] * np.uint64(0xC2B2AE3D27D4EB4F)
+    run += eight[: n - 8] * np.uint64(0x9E3779B97F4A7C15)
     del eight, own
+    run ^= run >> np.uint64(31)
+    run *= np.uint64(0x94D049BB133111EB)
+    run ^= run >> np.uint64(30)
     reach, step = (run & ~np.uint64((1 << 24) - 1)) | np.arange(len(run), dtype=np.uint64), 1
     while step * 2 <= width:
         reach = np.minimum(reach[: len(reach) - step], reach[step:])
@@ -153,7 +154,7 @@ def shared_anchors(found: DataFrame) -> DataFrame:
 
 class Chosen(NamedTuple):
     """Segments of a batch whose anchors its rows list: all bytes of the batch, and for each segment its text, anchor, place in
-    the text, place among all bytes, length, the anchor's place in it, and whether the anchor is a frequent one."""
+    the text, place among all bytes, length, and the anchor's place in it."""
 
     raw: bytes
     own: np.ndarray
@@ -162,38 +163,32 @@ class Chosen(NamedTuple):
     at: np.ndarray
     size: np.ndarray
     inside: np.ndarray
-    frequent: np.ndarray
 
 
-def _chosen(part: pa.RecordBatch) -> Chosen:
-    """The segments with anchors in the rows' lists ``few`` and ``many``."""
+def _chosen(part: pa.RecordBatch, column: str) -> Chosen:
+    """The segments whose anchors the row lists in ``column``."""
     raw_texts = [t.encode() for t in texts(part)]
     raw, base, own, anchor, place, first, last = _batch_segments(raw_texts)
-    signed, few, many = anchor.astype(np.int64), part.column("few"), part.column("many")
-    edges, kind = np.searchsorted(own, np.arange(len(raw_texts) + 1)), np.zeros(len(anchor), np.int8)
+    signed, lists = anchor.astype(np.int64), part.column(column)
+    edges, chosen = np.searchsorted(own, np.arange(len(raw_texts) + 1)), np.zeros(len(anchor), bool)
     for i in range(len(raw_texts)):
         a, b = edges[i], edges[i + 1]
-        for listed, mark in ((few[i].values, 1), (many[i].values, 2)):
-            if listed is not None and len(listed):
-                kind[a:b] |= np.isin(signed[a:b], listed.to_numpy(zero_copy_only=False)) * np.int8(mark)
-    chosen = kind > 0
+        chosen[a:b] = np.isin(signed[a:b], lists[i].values.to_numpy(zero_copy_only=False))
     own, first = own[chosen], first[chosen]
-    return Chosen(raw.tobytes(), own, signed[chosen], first - base[own], first, last[chosen] + LENGTH - first, place[chosen] - first, kind[chosen] == 2)
+    return Chosen(raw.tobytes(), own, signed[chosen], first - base[own], first, last[chosen] + LENGTH - first, place[chosen] - first)
 
 
 def _digests(raw: bytes, at: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
     """A 64-bit digest of each stretch of ``size`` bytes, ``width`` at most, from ``at`` on: a chain of scrambled words."""
-    data, words = np.frombuffer(raw + bytes(width + 8), np.uint8), -(-width // 8)
-    out = np.empty(len(at), np.uint64)
-    for a in range(0, len(at), 1 << 15):
-        b = np.s_[a : a + (1 << 15)]
-        rows = data[at[b, None] + np.arange(8 * words)]
-        rows[np.arange(8 * words) >= size[b, None]] = 0
-        h = size[b].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        for word in rows.view("<u8").T:
-            h = mix((h ^ word) + np.uint64(0xD1B54A32D192ED03))
-        out[b] = h
-    return out
+    data = raw + bytes(width + 8)
+    words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))  # the 8 bytes from every place, without a copy
+    h = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for k in range(0, width, 8):
+        rest = np.clip(size - k, 0, 8).astype(np.uint64) * np.uint64(8)
+        # Bytes behind the end are shifted out; a shift by all 64 bits is done in two steps.
+        word = (words[at + k] << ((np.uint64(64) - rest) >> np.uint64(1))) << ((np.uint64(65) - rest) >> np.uint64(1))
+        h = mix((h ^ word) + np.uint64(0xD1B54A32D192ED03))
+    return h
 
 
 def _sides(found: Chosen) -> np.ndarray:
@@ -209,38 +204,19 @@ def _sides(found: Chosen) -> np.ndarray:
     return ((left << np.uint64(32)) | right).view(np.int64)
 
 
-KEYS = "anchor bigint, key bigint, sides bigint, doc bigint, tag bigint, start int, size int, frequent boolean"
+KEYS = "anchor bigint, key bigint, sides bigint, doc bigint, tag bigint, start int, size int"
 #: A segment starts at most so many bytes before its anchor and ends so many behind it.
 WIDEST = 2 * LENGTH - ANCHOR
 
 
-def dealt(rows: DataFrame) -> DataFrame:
-    """Rows of one anchor in one task, but for those of frequent anchors, which are dealt by document.
-
-    Both kinds are read from this one shuffle, so that the texts are hashed once.
-    """
-    return rows.withColumn("salt", F.when(F.col("frequent"), F.pmod(F.xxhash64("doc"), F.lit(SALTS)) + 1).otherwise(0)).repartition("anchor", "salt").drop("salt")
-
-
-def frequent_only(rows: DataFrame) -> DataFrame:
-    """The rows of frequent anchors. A filter would be moved below the shuffle, and all before it would run again."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(batch.column("frequent"))
-
-    return rows.mapInArrow(run, rows.schema)
-
-
-def segment_keys(listed: DataFrame) -> DataFrame:
-    """A row for each segment of ``doc, tag, text`` whose anchor is in ``few`` or ``many``; ``key`` is a digest of its bytes,
-    ``sides`` checksums of what is around the anchor. Equal segments that overlap, as in a text that repeats itself, are one
-    row."""
+def segment_keys(listed: DataFrame, column: str) -> DataFrame:
+    """A row for each segment of ``doc, tag, text`` whose anchor is in ``column``; ``key`` is a digest of its bytes, ``sides``
+    checksums of what is around the anchor. Equal segments that overlap, as in a text that repeats itself, are one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for part in slices(batches, "text", SLICE):
-                found = _chosen(part)
+                found = _chosen(part, column)
                 own, anchor, at, size = found.own, found.anchor, found.at, found.size
                 key, sides, stop = _digests(found.raw, at, size, WIDEST).view(np.int64), _sides(found), at + size
                 same = (own[1:] == own[:-1]) & (anchor[1:] == anchor[:-1]) & (key[1:] == key[:-1]) & (at[1:] <= stop[:-1])
@@ -250,49 +226,50 @@ def segment_keys(listed: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(anchor[one]), pa.array(key[one]), pa.array(sides[one]), part.column("doc").take(take), part.column("tag").take(take),
-                        pa.array(found.start[one].astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(found.frequent[one]),
+                        pa.array(found.start[one].astype(np.int32)), pa.array(size.astype(np.int32)),
                     ],
-                    ["anchor", "key", "sides", "doc", "tag", "start", "size", "frequent"],
+                    ["anchor", "key", "sides", "doc", "tag", "start", "size"],
                 )
 
-    return listed.select("doc", "tag", "text", "row", "few", "many").mapInArrow(run, KEYS)
+    return listed.filter(F.size(column) > 0).select("doc", "tag", "text", "row", "few", "many").mapInArrow(run, KEYS)
 
 
-SEGMENTS = "anchor bigint, doc bigint, tag bigint, starts array<bigint>, bytes binary, frequent boolean"
+SEGMENTS = "anchor bigint, doc bigint, tag bigint, starts array<bigint>, bytes binary"
 
 
-def segment_bytes(listed: DataFrame) -> DataFrame:
-    """``anchor, doc, tag, starts, bytes, frequent``: the distinct segments of each row whose anchors are in ``few`` or ``many``."""
+def segment_bytes(listed: DataFrame, column: str) -> DataFrame:
+    """``anchor, doc, tag, starts, bytes``: the distinct segments of each row whose anchors are in ``column``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for part in slices(batches, "text", SLICE):
-                raw, own, anchor, start, at, size, _, frequent = _chosen(part)
-                rows: dict[tuple[int, bytes], tuple[int, bool, list[int]]] = {}
-                for i, h, s, a, n, hot in zip(own.tolist(), anchor.tolist(), start.tolist(), at.tolist(), size.tolist(), frequent.tolist()):
-                    rows.setdefault((i, raw[a : a + n]), (h, hot, []))[2].append(s)
+                raw, own, anchor, start, at, size, _ = _chosen(part, column)
+                rows: dict[tuple[int, bytes], tuple[int, list[int]]] = {}
+                for i, h, s, a, n in zip(own.tolist(), anchor.tolist(), start.tolist(), at.tolist(), size.tolist()):
+                    rows.setdefault((i, raw[a : a + n]), (h, []))[1].append(s)
                 take = pa.array([i for i, _ in rows], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([h for h, _, _ in rows.values()], pa.int64()), part.column("doc").take(take), part.column("tag").take(take),
-                        pa.array([x for _, _, x in rows.values()], pa.list_(pa.int64())), pa.array([b for _, b in rows], pa.binary()), pa.array([f for _, f, _ in rows.values()], pa.bool_()),
+                        pa.array([h for h, _ in rows.values()], pa.int64()), part.column("doc").take(take), part.column("tag").take(take),
+                        pa.array([x for _, x in rows.values()], pa.list_(pa.int64())), pa.array([b for _, b in rows], pa.binary()),
                     ],
-                    ["anchor", "doc", "tag", "starts", "bytes", "frequent"],
+                    ["anchor", "doc", "tag", "starts", "bytes"],
                 )
 
-    return listed.select("doc", "tag", "text", "row", "few", "many").mapInArrow(run, SEGMENTS)
+    return listed.filter(F.size(column) > 0).select("doc", "tag", "text", "row", column).mapInArrow(run, SEGMENTS)
 
 
 SPANS = "doc bigint, tag bigint, packed binary"
 
 
-def _packed(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+def _packed(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Spans as one row for each document: starts and ends as unsigned 32-bit numbers (no Spark text is longer)."""
     order = np.lexsort((tag, doc))
     doc, tag = doc[order], tag[order]
     both = np.stack([start[order], stop[order]], 1).astype("<u4")
     at = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])][: len(doc)])
-    return doc[at], tag[at], [both[a:b].tobytes() for a, b in zip(at, np.append(at[1:], len(doc)))]
+    ends = pa.py_buffer(np.append(at, len(doc)).astype(np.int32) * np.int32(8))
+    return doc[at], tag[at], pa.Array.from_buffers(pa.binary(), len(at), [None, ends, pa.py_buffer(both)])
 
 
 def compared_keys(keys: DataFrame) -> DataFrame:
@@ -319,8 +296,12 @@ def compared_keys(keys: DataFrame) -> DataFrame:
         h, s, d = anchor[new], sides[new].view(np.uint64), doc[new]
         ask = (alike(h, s >> np.uint64(32), d) | alike(h, s & np.uint64(0xFFFFFFFF), d))[kind] & ~gone
         d, t, packed = _packed(doc[gone], tag[gone], start[gone], start[gone] + size[gone])
-        rows = pa.RecordBatch.from_arrays([pa.array(d), pa.array(t), pa.array(packed, pa.binary()), pa.nulls(len(d), pa.list_(pa.int64()))], [*"dtpw"])
-        d, h = np.unique(np.stack([doc[ask], anchor[ask]]), axis=1) if ask.any() else np.zeros((2, 0), np.int64)
+        rows = pa.RecordBatch.from_arrays([pa.array(d), pa.array(t), packed, pa.nulls(len(d), pa.list_(pa.int64()))], [*"dtpw"])
+        d, h = doc[ask], anchor[ask]
+        order = np.lexsort((h, d))
+        d, h = d[order], h[order]
+        new = np.r_[True, (d[1:] != d[:-1]) | (h[1:] != h[:-1])][: len(d)]
+        d, h = d[new], h[new]
         at = np.flatnonzero(np.r_[True, d[1:] != d[:-1]][: len(d)])
         lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(d)).astype(np.int32)), pa.array(h))
         asked = pa.RecordBatch.from_arrays([pa.array(d[at]), pa.array(np.zeros(len(at), np.int64)), pa.nulls(len(at), pa.binary()), lists], [*"dtpw"])
@@ -329,9 +310,6 @@ def compared_keys(keys: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            batch = batch.filter(pc.invert(batch.column("frequent")))
-            if not batch.num_rows:
-                continue
             held.append([batch.column(n).to_numpy() for n in names])
             size += batch.num_rows
             if size >= 1 << 19:
@@ -343,7 +321,7 @@ def compared_keys(keys: DataFrame) -> DataFrame:
         if size:
             yield from compare([np.concatenate(c) for c in zip(*held)]).to_batches()
 
-    return keys.sortWithinPartitions("anchor").mapInArrow(run, f"{SPANS}, wanted array<bigint>")
+    return keys.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, f"{SPANS}, wanted array<bigint>")
 
 
 # --- suffix arrays --------------------------------------------------------------------------------
@@ -445,13 +423,12 @@ def differing_spans(found: DataFrame) -> DataFrame:
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         spans = np.array(list(_spans(rows)), np.int64).reshape(-1, 4).T
         doc, tag, packed = _packed(*spans)
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(tag), pa.array(packed, pa.binary())], ["doc", "tag", "packed"])
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(tag), packed], ["doc", "tag", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         for batch in batches:
-            batch = batch.filter(pc.invert(batch.column("frequent")))
-            for row in zip(*(c.to_pylist() for c in batch.columns[:5])):
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if size >= CHUNK and row[0] != rows[-1][0]:
                     yield batch_of(rows)
                     rows, size = [], 0
@@ -460,7 +437,7 @@ def differing_spans(found: DataFrame) -> DataFrame:
         if rows:
             yield batch_of(rows)
 
-    return found.sortWithinPartitions("anchor", "doc").mapInArrow(run, SPANS)
+    return found.repartition("anchor").sortWithinPartitions("anchor", "doc").mapInArrow(run, SPANS)
 
 
 def frequent_firsts(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -502,16 +479,13 @@ def with_spans(docs: DataFrame, row: list[str]) -> DataFrame:
     shared = shared_anchors(anchors(told.filter("NOT copy").select("doc", "text", "row")))
     lists = shared.groupBy("doc").agg(F.collect_list(F.when(~F.col("frequent"), F.col("anchor"))).alias("few"), F.collect_list(F.when(F.col("frequent"), F.col("anchor"))).alias("many"))
     listed = told.filter("NOT copy").join(lists.hint("merge"), "doc")
-    keys = dealt(segment_keys(listed))
-    few = compared_keys(keys)
-    copied, first_of_many = frequent_firsts(frequent_only(keys))
+    few = compared_keys(segment_keys(listed, "few"))
+    copied, wanted_many = frequent_firsts(segment_keys(listed, "many"))
+    asked = few.filter("wanted IS NOT NULL").groupBy("doc").agg(F.flatten(F.collect_list("wanted")).alias("wanted"))
+    asking = lambda wanted: told.filter("NOT copy").join(wanted.hint("merge"), "doc")
+    packed = few.filter("packed IS NOT NULL").select("doc", "tag", "packed").union(differing_spans(segment_bytes(asking(asked), "wanted")))
+    plain = copied.union(frequent_windows(segment_bytes(asking(wanted_many), "wanted")))
     none = F.lit(None)
-    asked = few.filter("wanted IS NOT NULL").select("doc", F.col("wanted").alias("few"), none.cast("array<bigint>").alias("many"))
-    asked = asked.union(first_of_many.select("doc", none.cast("array<bigint>"), "wanted"))
-    wanted = asked.groupBy("doc").agg(F.flatten(F.collect_list("few")).alias("few"), F.flatten(F.collect_list("many")).alias("many"))
-    found = dealt(segment_bytes(told.filter("NOT copy").join(wanted.hint("merge"), "doc")))
-    packed = few.filter("packed IS NOT NULL").select("doc", "tag", "packed").union(differing_spans(found))
-    plain = copied.union(frequent_windows(frequent_only(found)))
     spans = packed.select("doc", "tag", none.cast("bigint").alias("start"), none.cast("bigint").alias("stop"), "packed").union(plain.select("doc", "tag", "start", "stop", none.cast("binary")))
     gathered = spans.groupBy("doc").agg(F.collect_list(F.struct("tag", "start", "stop", "packed")).alias("spans"))
     return told.join(gathered.hint("merge"), "doc", "left").select("row", "text", "tag", "copy", "spans")
