@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftline.llm import bpe, chat_format, exact_dedup, fingerprints, language_id, license_scan, near_dedup, packing, suffix_dedup, warc_zip
+from siftline.llm import bpe, chat_format, exact_dedup, fingerprints, language_id, lexical_search, license_scan, near_dedup, packing, suffix_dedup, warc_zip
 from siftline.llm.license_scan import BASE, MARK, TEMPLATES, WORD
 
 QUERIES, ORACLES = {}, {}
@@ -203,3 +203,23 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op10_exact_dedup"] = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
+
+
+# --- 13: ranked lexical search --------------------------------------------------------------------
+
+
+@query
+def op13_max_sketch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 50)
+
+
+_TERMS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+ORACLES["op13_max_sketch_search"] = f"""
+WITH counts AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest({_TERMS}) AS t FROM documents WHERE text IS NOT NULL) GROUP BY doc_id, t),
+lengths AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM counts GROUP BY doc_id),
+totals AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM lengths),
+asked AS (SELECT DISTINCT item_id, t FROM (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark WHERE text IS NOT NULL)),
+weights AS (SELECT t, floor(1000 * ln((2 * big_n + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT t, count(*) AS df FROM counts WHERE t IN (SELECT t FROM asked) GROUP BY t), totals),
+scores AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * big_n) // big_l)))))::BIGINT AS score
+  FROM asked JOIN weights USING (t) JOIN counts USING (t) JOIN lengths USING (doc_id), totals GROUP BY item_id, doc_id)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 50"""
