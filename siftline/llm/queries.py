@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftline.llm import bpe, chat_format, exact_dedup, fingerprints, language_id, lexical_search, license_scan, near_dedup, packing, suffix_dedup, warc_zip
+from siftline.llm import bpe, chat_format, exact_dedup, fingerprints, language_id, lexical_search, license_scan, near_dedup, packing, prefix_trie, suffix_dedup, warc_zip
 from siftline.llm.license_scan import BASE, MARK, TEMPLATES, WORD
 
 QUERIES, ORACLES = {}, {}
@@ -205,6 +205,33 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
 
 
+# --- 11: conversation prefix trie -----------------------------------------------------------------
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+# The CRC-32 of the decimal id, bit by bit: SQL has no function for it.
+_CRC = "xor(list_reduce(list_concat([4294967295], [ascii(x)::BIGINT FOR x IN string_split(conv::VARCHAR, '')]), lambda a, x: list_reduce(list_concat([xor(a, x)], range(8)), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295)"
+ORACLES["op11_prefix_trie"] = f"""
+WITH turns AS (SELECT conv_id::BIGINT AS conv, {{'r': coalesce(role, ''), 't': coalesce(text, '')}} AS said,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS nth FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv, list(said ORDER BY nth) AS own FROM turns GROUP BY conv),
+heads AS (SELECT *, ({_CRC} % 6)::BIGINT AS h FROM convs),
+rebuilt AS (SELECT c.conv, list_concat(coalesce(b.own, [])[1 : c.h], c.own[c.h + 1 :]) AS said FROM heads c LEFT JOIN convs b ON b.conv = c.conv - c.conv % 100),
+prefixes AS (SELECT conv, d, sha256(said[1 : d]::VARCHAR || ' ' || d) AS node, sha256(said[1 : d - 1]::VARCHAR || ' ' || (d - 1)) AS above, len(said) = d AS ends, CASE WHEN d > 0 THEN len(said[d].t) ELSE 0 END AS chars
+  FROM (SELECT conv, said, unnest(range(0, len(said) + 1)) AS d FROM rebuilt)),
+nodes AS (SELECT node, min(above) AS above, d, min(conv) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(chars) AS saved, bool_or(true) AS one,
+  sha256(coalesce(string_agg(conv::VARCHAR, ',' ORDER BY conv) FILTER (ends), '')) AS ends_sha256 FROM prefixes GROUP BY node, d),
+children AS (SELECT above, count(*) AS n FROM nodes WHERE d > 0 GROUP BY above),
+each AS (SELECT n.*, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN children c ON c.above = n.node),
+below AS (SELECT p.node, sum(e.saved) AS saved_tokens, count(*) FILTER (e.n_children = 0) AS n_leaves FROM each e JOIN prefixes p ON p.conv = e.conv_id AND p.d <= e.d GROUP BY p.node)
+SELECT e.conv_id, e.d::BIGINT AS depth, u.conv_id AS parent_conv_id, e.n_convs, e.n_children::BIGINT AS n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, e.ends_sha256
+FROM each e JOIN below USING (node) LEFT JOIN nodes u ON u.node = e.above AND e.d > 0"""
+
+
 # --- 13: ranked lexical search --------------------------------------------------------------------
 
 
