@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftline.llm import bpe, chat_format, exact_dedup, fingerprints, language_id, lexical_search, license_scan, near_dedup, packing, prefix_trie, suffix_dedup, warc_zip
+from siftline.llm import bpe, chat_format, exact_dedup, fingerprints, language_id, lexical_search, license_scan, near_dedup, packing, prefix_trie, quality, suffix_dedup, warc_zip
 from siftline.llm.license_scan import BASE, MARK, TEMPLATES, WORD
 
 QUERIES, ORACLES = {}, {}
@@ -232,6 +232,14 @@ SELECT e.conv_id, e.d::BIGINT AS depth, u.conv_id AS parent_conv_id, e.n_convs,
 FROM each e JOIN below USING (node) LEFT JOIN nodes u ON u.node = e.above AND e.d > 0"""
 
 
+# --- 12: quality ----------------------------------------------------------------------------------
+
+
+@query
+def op12_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.predicted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 # --- 13: ranked lexical search --------------------------------------------------------------------
 
 
