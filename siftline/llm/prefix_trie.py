@@ -93,9 +93,20 @@ def turn_table(conversations: DataFrame) -> DataFrame:
     ).filter("conv IS NOT NULL")
 
 
+def with_ties(turns: DataFrame) -> DataFrame:
+    """``turns`` with ``tie``, role and text of rows that share their turn with others, null for all others: only texts that
+    decide an order are shuffled."""
+    tied = cut(turns.groupBy("conv", "turn").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("conv").alias("_conv"), F.col("turn").alias("_turn")), "ties")
+    said = F.struct("role", "text")
+    if tied.isEmpty():
+        return turns.withColumn("tie", F.when(F.lit(False), said))
+    same = (turns.conv == F.col("_conv")) & turns.turn.eqNullSafe(F.col("_turn"))
+    return turns.join(tied, same, "left").withColumn("tie", F.when(F.col("_conv").isNotNull(), said)).drop("_conv", "_turn")
+
+
 def running_products(turns: DataFrame, base: list[int]) -> DataFrame:
     """``conv, nth, d1, d2, chars, b1, b2, a1, a2``: each turn's number, digest and length, and the product of the conversation
-    before and after it. ``turns`` has ``conv, turn, d1, d2, chars``; ties of ``turn`` are ordered by digest."""
+    before and after it. ``turns`` has ``conv, turn, tie, d1, d2, chars`` and is ordered by all of them."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, conv, count, held = TaskContext.get().partitionId(), None, 0, np.zeros((LANES, 1), np.int64)
@@ -123,8 +134,9 @@ def running_products(turns: DataFrame, base: list[int]) -> DataFrame:
             )
             conv, count, held = convs[-1], int(nth[-1]) + 1, after[:, -1:]
 
-    ordered = turns.select("conv", "turn", "d1", "d2", "chars").repartitionByRange("conv", "turn", "d1", "d2").sortWithinPartitions("conv", "turn", "d1", "d2")
-    local = cut(ordered.mapInArrow(scan, PRODUCTS), "products")
+    order = ["conv", "turn", "tie.role", "tie.text", "d1", "d2"]
+    ordered = turns.select("conv", "turn", "tie", "d1", "d2", "chars").repartitionByRange(*order).sortWithinPartitions(*order)
+    local = cut(ordered.select("conv", "d1", "d2", "chars").mapInArrow(scan, PRODUCTS), "products")
     # A conversation that lies in several partitions: at most two of each partition, composed from their products.
     parts = local.groupBy("conv", "part").agg(F.count(F.lit(1)).alias("n"), F.max_by(F.struct("a1", "a2"), "nth").alias("product"))
     several = parts.withColumn("_parts", F.count(F.lit(1)).over(W.partitionBy("conv"))).filter("_parts > 1")
@@ -225,12 +237,12 @@ def trie(conversations: DataFrame, attempts: int = 4, digest=digests) -> DataFra
     """A row for each node of the rebuilt ``conversations (conv_id, turn, role, text)``: ``conv_id, depth, parent_conv_id, n_convs,
     n_children, n_leaves, saved_tokens, ends_sha256``.
 
-    Turns are ordered by ``turn``, null first, and rows that repeat one by a digest of role and text; each of them is a turn.
+    Turns are ordered by ``turn``, null first, and rows that repeat one by role and text; each of them is a turn.
     Null roles and texts are empty. Rows without a ``conv_id`` belong to no conversation. Other columns are not read. An empty
     table has no conversation and gives no node, not even the root. ``digest`` may be any function of role, text and seed: a
     weak one costs further attempts, never a wrong node, and an error if none holds.
     """
-    source = turn_table(conversations)
+    source = with_ties(turn_table(conversations))
     for seed in range(attempts):
         d1, d2 = digest(F.col("role"), F.col("text"), seed)
         turns = source.select("*", d1.alias("d1"), d2.alias("d2"), F.length("text").cast("bigint").alias("chars"))
