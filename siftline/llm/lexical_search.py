@@ -1,9 +1,9 @@
 """Ranked lexical search with hashed max-sketches: upper bounds for all documents, exact scores only where they can matter.
 
-Each document is folded into a sketch, an array of bytes whose width is a power of two: a term's occurrences go to the place
-its hash names, and a place keeps the largest. An occurrence count gives an impact that grows with it, so the sketch's entry
-at a query term's place is an upper bound of the term's impact, and the weighted sum over an item's terms one of its score.
-Bounds of many documents and all items of a block are computed at once, by lookups in the sketches.
+Each document is folded into a sketch whose width is a power of two: a term's occurrences go to the place its hash names, and
+a place keeps the largest. Sketches are wide, so few terms meet, and stored as their taken places. An occurrence count gives
+an impact that grows with it, so the entry at a query term's place is an upper bound of the term's impact, and the weighted
+sum over an item's terms one of its score. Bounds of many documents and all items of a block are computed at once.
 
 Documents are scored exactly in descending order of their bounds, in rounds over the cluster: first the ``FIRST`` documents
 of each item with the largest bounds. The score at the wanted rank is a threshold that no document with a smaller bound can
@@ -28,16 +28,16 @@ from pyspark.sql import DataFrame, functions as F
 from siftline.llm.common import cut, slices, texts, whole
 from siftline.operators.ordered import top_k
 
-#: Places of a sketch for each distinct term, at least; fewer places take less room and give looser bounds.
-ROOM = 8
+#: Places of a sketch for each distinct term, at least; with fewer places more terms meet, and bounds are looser.
+ROOM = 256
 #: Occurrences from here on are one entry, whose impact is the largest possible.
 MANY = 255
 #: Documents of an item that the first round scores.
 FIRST = 128
 #: Items that are searched together: what a task holds of the items grows with it.
 BLOCK = 1024
-#: Sketch entries that are looked up at once.
-LOOKUPS = 1 << 21
+#: Bounds, and entries that add to them, that a task holds at once, about.
+LOOKUPS = 1 << 20
 #: Stands for a null id where numbers are compared.
 NO_ID = -(2**63)
 
@@ -50,13 +50,18 @@ def terms_of(text: str) -> list[bytes]:
     return text.encode().translate(_TERM_BYTES).split()
 
 
-def sketch(counts: Counter[bytes]) -> bytes:
-    """The largest occurrence count of the terms at each place."""
-    width = 1 << max(3, (ROOM * len(counts) - 1).bit_length())
-    out = np.zeros(width, np.uint8)
-    place = np.fromiter(map(zlib.crc32, counts), np.uint32, len(counts)) & np.uint32(width - 1)
-    np.maximum.at(out, place, np.minimum(np.fromiter(counts.values(), np.int64, len(counts)), MANY).astype(np.uint8))
-    return out.tobytes()
+def sketch(counts: Counter[bytes]) -> tuple[int, bytes, bytes]:
+    """Binary logarithm of the width, the taken places in ascending order, and the largest occurrence count at each."""
+    bits = min(32, max(3, (ROOM * len(counts) - 1).bit_length()))
+    place = np.fromiter(map(zlib.crc32, counts), np.uint32, len(counts)) & np.uint32((1 << bits) - 1)
+    most = np.minimum(np.fromiter(counts.values(), np.int64, len(counts)), MANY)
+    order = np.lexsort((most, place))
+    last = order[np.flatnonzero(np.append(place[order][1:] != place[order][:-1], True))]  # the largest count of each place
+    return bits, place[last].astype(_place_type(bits)).tobytes(), most[last].astype(np.uint8).tobytes()
+
+
+def _place_type(bits: int) -> str:
+    return "<u2" if bits <= 16 else "<u4"
 
 
 class Block(NamedTuple):
@@ -68,6 +73,12 @@ class Block(NamedTuple):
     starts: np.ndarray
     weights: np.ndarray
 
+    def by_term(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Items and weights in the order of the terms that they hold, and where each term's begin."""
+        order = np.argsort(self.slots, kind="stable")
+        item = np.repeat(np.arange(len(self.items)), np.diff(np.append(self.starts, len(self.slots))))
+        return item[order], self.weights[order], np.searchsorted(self.slots[order], np.arange(len(self.terms) + 1))
+
     def weighted(self, df: list[int], n_docs: int) -> Block:
         """The block with the weights that these document counts give."""
         weight = np.array([math.floor(1000 * math.log((2 * n_docs + 2) / (2 * d + 1))) for d in df], np.int64)
@@ -95,11 +106,11 @@ def length_factor(n: np.ndarray, n_docs: int, n_terms: int) -> np.ndarray:
     return 50 + (50 * n * n_docs) // max(n_terms, 1)
 
 
-INDEX = "row bigint, doc_id bigint, n bigint, sketch binary"
+INDEX = "row bigint, doc_id bigint, n bigint, bits int, places binary, most binary"
 
 
 def build_index(docs: DataFrame) -> DataFrame:
-    """``row, doc_id, n, sketch`` of every row with a term, as a table in the shared folder.
+    """``row, doc_id, n`` and the sketch of every row with a term, as a table in the shared folder.
 
     ``row`` tells rows of one id apart: a digest of the text.
     """
@@ -114,8 +125,9 @@ def build_index(docs: DataFrame) -> DataFrame:
                     n.append(sum(counts.values()))
                     drawn.append(sketch(counts))
             take = pa.array(keep, pa.int64())
-            columns = [part.column("row").take(take), part.column("doc_id").take(take), pa.array(n, pa.int64()), pa.array(drawn, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n", "sketch"])
+            columns = [part.column("row").take(take), part.column("doc_id").take(take), pa.array(n, pa.int64())]
+            columns += [pa.array([d[i] for d in drawn], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n", "bits", "places", "most"])
 
     return cut(_rows(docs).mapInArrow(run, INDEX), "sketches")
 
@@ -143,26 +155,40 @@ def document_counts(docs: DataFrame, terms: list[bytes]) -> list[int]:
     return out
 
 
+def _expanded(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ranges of ``n`` places from ``first`` on: the range and the place of each of them."""
+    own = np.repeat(np.arange(len(n)), n)
+    return own, np.repeat(first - (np.cumsum(n) - n), n) + np.arange(len(own))
+
+
 def _bounds(block: Block, part: pa.RecordBatch, n_docs: int, n_terms: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of rows in the batch, and the upper bound of every item's score for each of them."""
-    data = part.column("sketch")
-    widths = pc.binary_length(data).to_numpy()
-    hashes = np.array([zlib.crc32(t) for t in block.terms], np.int64)
+    bits = part.column("bits").to_numpy()
     m = length_factor(part.column("n").to_numpy(), n_docs, n_terms)
-    for width in np.unique(widths):
-        rows = np.flatnonzero(widths == width)
-        place = hashes & (int(width) - 1)
-        step = max(1, LOOKUPS // max(len(place), len(block.slots), int(width)))
-        for at in range(0, len(rows), step):
-            some = rows[at : at + step]
-            entries = np.frombuffer(b"".join(data.take(pa.array(some)).to_pylist()), np.uint8).reshape(len(some), -1)
-            # Few counts occur, so impacts are looked up as well; the last one stands for any number of occurrences.
-            most = int(entries.max())
-            table = impact(np.arange(most + 1), m[some, None])
-            if most == MANY:
-                table[:, MANY] = 1000000
-            found = np.take_along_axis(table, entries[:, place].astype(np.int64), 1)
-            yield some, np.add.reduceat(found[:, block.slots] * block.weights, block.starts, axis=1)
+    hashes = np.array([zlib.crc32(t) for t in block.terms], np.int64)
+    items, weights, begin = block.by_term()
+    step = max(1, LOOKUPS // max(len(block.slots), len(block.items)))
+    for width in np.unique(bits).tolist():
+        same = np.flatnonzero(bits == width)
+        by_place = np.argsort(hashes & ((1 << width) - 1), kind="stable")
+        asked = (hashes & ((1 << width) - 1))[by_place]
+        for at in range(0, len(same), step):
+            some = same[at : at + step]
+            take = pa.array(some)
+            drawn = [np.frombuffer(x, _place_type(width)) for x in part.column("places").take(take).to_pylist()]
+            places, entry = np.concatenate(drawn).astype(np.int64), np.frombuffer(b"".join(part.column("most").take(take).to_pylist()), np.uint8).astype(np.int64)
+            doc = np.repeat(np.arange(len(some)), [len(x) for x in drawn])
+            first, stop = np.searchsorted(asked, places), np.searchsorted(asked, places, "right")
+            hit = np.flatnonzero(stop > first)
+            # Each entry at the place of query terms, for each of the terms, then for each item that holds the term.
+            own, nth = _expanded(first[hit], (stop - first)[hit])
+            term, own = by_place[nth], hit[own]
+            value = np.where(entry[own] == MANY, 1000000, impact(entry[own], m[some[doc[own]]]))
+            pair, slot = _expanded(begin[term], begin[term + 1] - begin[term])
+            key = doc[own][pair] * len(block.items) + items[slot]
+            # Sums of whole numbers far below 2**53: exact in doubles.
+            total = np.bincount(key, (value[pair] * weights[slot]).astype(np.float64), len(some) * len(block.items))
+            yield some, total.astype(np.int64).reshape(len(some), -1)
 
 
 BOUNDS = "item int, row bigint, doc_id bigint, bound bigint"
@@ -184,7 +210,7 @@ def largest_bounds(index: DataFrame, block: Block, n_docs: int, n_terms: int, mo
             lowest[item[full]] = bound[full]
             return both[:, nth < most]
 
-        for part in slices(batches, "sketch"):
+        for part in slices(batches, "places", 1 << 20):
             row, doc_id = part.column("row").to_numpy(), part.column("doc_id").fill_null(NO_ID).to_numpy()
             for some, bound in _bounds(block, part, n_docs, n_terms):
                 i, item = np.nonzero(bound > lowest)
@@ -203,7 +229,7 @@ def within(index: DataFrame, block: Block, n_docs: int, n_terms: int, least: np.
     """``row, doc_id, items``: every row with a bound of at least ``least`` for an item, and the numbers of those items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "sketch"):
+        for part in slices(batches, "places", 1 << 20):
             for some, bound in _bounds(block, part, n_docs, n_terms):
                 hit = bound >= least
                 i, item = np.nonzero(hit)
@@ -289,7 +315,7 @@ def _searched(docs: DataFrame, index: DataFrame, block: Block, n_docs: int, n_te
         return names.filter("false").select("item_id", F.lit(0).alias("rank"), F.lit(0).cast("bigint").alias("doc_id"), F.lit(0).cast("bigint").alias("score"))
     block = block.weighted(document_counts(docs, block.terms), n_docs)
     first = cut(largest_bounds(index, block, n_docs, n_terms, max(k, FIRST)), "bounds")
-    asked = first.groupBy("row", "doc_id").agg(F.collect_set("item").alias("items"))
+    asked = cut(first.groupBy("row", "doc_id").agg(F.collect_set("item").alias("items")), "candidates")
     scored = exact_scores(docs, asked, block, n_docs, n_terms, k)
     # At most ``k`` scores of each of the block's items. An item with fewer than ``k`` is searched to the end.
     least = np.ones(len(block.items), np.int64)
