@@ -106,6 +106,20 @@ def running(
     return joined.select(*df.columns, *[merged(n).alias(n) for n in values])
 
 
+def as_of(rows: DataFrame, versions: DataFrame, keys: list[str], seq: str, version: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Rows with the last ``version`` of their key from before their ``seq``, NULL where there is none.
+
+    Both sides have ``keys`` and ``seq``, which is unique inside a key on each side; a version at a row's own ``seq`` comes
+    after the row. Rows and versions are one sequence, cut into blocks, so a hot key is spread and never compared pairwise.
+    """
+    kind = versions.schema[version].dataType
+    row = F.struct(*rows.columns)
+    both = rows.select(*keys, (2 * F.col(seq)).alias("_at"), row.alias("_row"), F.lit(None).cast(kind).alias("_version"))
+    later = versions.select(*keys, (2 * F.col(seq) + 1).alias("_at"), F.lit(None).cast(both.schema["_row"].dataType).alias("_row"), F.col(version).alias("_version"))
+    found = running(both.unionByName(later), keys, "_at", block_rows, lasts_before={"_known": F.col("_version")})
+    return found.filter(F.col("_row").isNotNull()).select("_row.*", F.col("_known").alias(version))
+
+
 def streaks(df: DataFrame, keys: list[str], seq: str, hit: str, out: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Length of the current streak of true ``hit`` values per key in ``seq`` order (0 on false ones)."""
     at = [*keys, "_blk"]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from siftline import constants as K
 from siftline.functions import urls as U
-from siftline.operators.ordered import BLOCK_ROWS, salted_join, top_k
+from siftline.operators.ordered import BLOCK_ROWS, as_of, salted_join, top_k
 
 COLUMNS = ["domain", "param_names", "path_hints", "example_urls", "success_count", "last_verified", "pos"]
 
@@ -48,8 +48,8 @@ def _values(rows: DataFrame) -> DataFrame:
     return rows.select("domain", "seq", "ts", F.explode(kinds).alias("_v")).select("domain", "_v.kind", "_v.value", "seq", "_v.p", "ts")
 
 
-def replay_slots(values: DataFrame, prior: DataFrame | None = None) -> DataFrame:
-    """Exact slot lists (``domain, kind, items``) for domains that push values out.
+def replay_slots(values: DataFrame, prior: DataFrame | None = None, versions: bool = False) -> DataFrame:
+    """Exact slot lists (``domain, kind, items``) for domains that push values out, or ``versions`` of them with their ``seq``.
 
     Immediate repeats change nothing; they are dropped inside blocks of ``seq`` first. What is left is read in
     order as a sorted stream: a task holds one list of a few values at a time, never a domain's rows.
@@ -68,19 +68,23 @@ def replay_slots(values: DataFrame, prior: DataFrame | None = None) -> DataFrame
         at, held = None, []
         for batch in batches:
             done = []
-            for domain, kind, value in zip(batch["domain"], batch["kind"], batch["value"]):
+            for domain, kind, seq, value in zip(batch["domain"], batch["kind"], batch["seq"], batch["value"]):
                 if (domain, kind) != at:
-                    if at is not None:
-                        done.append((*at, held))
+                    if at is not None and not versions:
+                        done.append((*at, None, held))
                     at, held = (domain, kind), []
                 if value not in held:
                     held = [value, *held][: slots[kind]]
-            yield pd.DataFrame(done, columns=["domain", "kind", "items"])
-        if at is not None:
-            yield pd.DataFrame([(*at, held)], columns=["domain", "kind", "items"])
+                    if versions:
+                        done.append((*at, seq, held))
+            yield pd.DataFrame(done, columns=names).astype({"seq": "Int64"})
+        if at is not None and not versions:
+            yield pd.DataFrame([(*at, None, held)], columns=names).astype({"seq": "Int64"})
 
+    names = ["domain", "kind", "seq", "items"]
     ordered = changes.repartition("domain", "kind").sortWithinPartitions("domain", "kind", "seq")
-    return ordered.mapInPandas(replay, "domain string, kind string, items array<string>")
+    out = ordered.mapInPandas(replay, "domain string, kind string, seq long, items array<string>")
+    return out if versions else out.drop("seq")
 
 
 def _prior_values(prior: DataFrame) -> DataFrame:
@@ -181,14 +185,75 @@ def with_pattern(events: DataFrame, patterns: DataFrame, url: str = "arg_url") -
     return salted_join(keyed, match_patterns(keyed, patterns), ["host"], "seq", "left")
 
 
+def _cumulative(firsts: DataFrame, kind: str, most: int, newest_first: bool) -> DataFrame:
+    """Versions of a list that only grows, ``domain, seq, items``: ``most`` first appearances of a domain, as of each of them."""
+    few = top_k(firsts.filter(F.col("kind") == kind).select("domain", "value", "seq", "p"), ["domain"], [F.asc("seq"), F.asc("p")], most, "value")
+    upto = W.partitionBy("domain").orderBy("seq").rangeBetween(W.unboundedPreceding, W.currentRow)
+    listed = few.groupBy("domain", "seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "value"))), lambda x: x["value"]).alias("new"))
+    items = F.flatten(F.collect_list("new").over(upto))
+    return listed.select("domain", "seq", (F.reverse(items) if newest_first else items).alias("items"))
+
+
+def pattern_versions(visits: DataFrame, url: str = "url") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every state of the learned lists: versions of the parameter names and of the paths (``domain, seq, items``), and since
+    when each domain has a pattern (``domain, pos``).
+
+    Parameter names and the paths of domains that push nothing out only grow, at a bounded number of first appearances;
+    the other domains' paths are replayed.
+    """
+    values = _values(search_url_rows(visits, url).select("seq", "ts", "domain", "names", "path", "template")).filter(F.col("kind") != EXAMPLE)
+    firsts = values.groupBy("domain", "kind", "value").agg(F.min("seq").alias("seq"), F.min_by("p", "seq").alias("p"))
+    paths = firsts.filter(F.col("kind") == PATH).groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("pos"))
+    busy = paths.filter(F.col("n") > SLOTS[PATH]).select("domain")
+    replayed = replay_slots(salted_join(values.filter(F.col("kind") == PATH), busy, ["domain"], "seq", "left_semi"), versions=True)
+    still = _cumulative(firsts.join(busy, "domain", "left_anti"), PATH, SLOTS[PATH], True)
+    return _cumulative(firsts, PARAM, K.KEPT_PARAMS, False), still.unionByName(replayed.select("domain", "seq", "items")), paths.select("domain", "pos")
+
+
+def patterns_known(events: DataFrame, stored: DataFrame, url: str = "arg_url") -> DataFrame:
+    """Events with their ``host`` and ``pattern_key``, the domain whose pattern was known for it before the event's ``seq``.
+
+    A host's own pattern goes first, then the earliest stored one of a parent or child domain. ``stored (domain, pos)`` tells
+    since when; the earliest match of a host is known at an event or none is, so one match for each host is enough.
+    """
+    keyed = events.withColumn("host", U.host_key(F.col(url)))
+    suffix = lambda c: U.host_suffixes(F.col(c))
+    pair = lambda by, k: F.struct(F.lit(by).alias("by"), k.alias("k"))
+    others = lambda c: F.slice(suffix(c), 2, 1 << 20)
+    entry = F.struct("pos", F.col("domain").alias("key"))
+    ways = stored.select(entry.alias("entry"), F.explode(F.concat(F.array(pair("parent", F.col("domain"))), F.transform(others("domain"), lambda x: pair("child", x)))).alias("_m"))
+    first = ways.groupBy("_m").agg(F.min("entry").alias("entry"))
+    hosts = keyed.select("host").filter(F.col("host") != "").distinct()
+    wanted = hosts.select("host", F.explode(F.concat(F.array(pair("child", F.col("host"))), F.transform(others("host"), lambda x: pair("parent", x)))).alias("_m"))
+    other = wanted.join(first, "_m").groupBy("host").agg(F.min("entry").alias("_other"))
+    own = hosts.join(stored.select(F.col("domain").alias("host"), F.col("pos").alias("_own")), "host")
+    matched = salted_join(keyed, hosts.join(own, "host", "left").join(other, "host", "left"), ["host"], "seq", "left")
+    key = F.when(F.col("_own") < F.col("seq"), F.col("host")).when(F.col("_other.pos") < F.col("seq"), F.col("_other.key"))
+    return matched.withColumn("pattern_key", key).drop("_own", "_other")
+
+
+def reject_root_opens_as_of(attempts: DataFrame, versions: tuple[DataFrame, DataFrame, DataFrame], block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """:func:`reject_root_opens` by the patterns known at each open, with the lists as they were then."""
+    params, paths, stored = versions
+    opens = attempts.filter((F.col("tool") == "browser_open") & U.is_root_page(F.col("arg_url")))
+    known = patterns_known(opens, stored).filter(F.col("pattern_key").isNotNull())
+    for name, lists in (("param_names", params), ("path_hints", paths)):
+        known = as_of(known, lists.select(F.col("domain").alias("pattern_key"), "seq", F.col("items").alias(name)), ["pattern_key"], "seq", name, block_rows)
+    empty = F.array().cast("array<string>")
+    return _rejected(known.withColumns({c: F.coalesce(c, empty) for c in ("param_names", "path_hints")}))
+
+
 def reject_root_opens(attempts: DataFrame, patterns: DataFrame) -> DataFrame:
     """Home-page opens on hosts whose search URLs are known, with the advice given instead."""
     opens = attempts.filter((F.col("tool") == "browser_open") & U.is_root_page(F.col("arg_url")))
+    return _rejected(with_pattern(opens, patterns))
+
+
+def _rejected(opens: DataFrame) -> DataFrame:
     known = (F.size("param_names") > 0) | (F.size("path_hints") > 0)
     listed = lambda c, n: F.array_join(F.slice(c, 1, n), ", ")
     return (
-        with_pattern(opens, patterns)
-        .filter(F.col("pattern_key").isNotNull() & known)
+        opens.filter(F.col("pattern_key").isNotNull() & known)
         .withColumns(
             {
                 "error": F.concat(F.lit(K.ROOT_OPEN_ERROR[0]), "host", F.lit(K.ROOT_OPEN_ERROR[1])),

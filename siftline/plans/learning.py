@@ -120,6 +120,45 @@ SELECT seq, url, coalesce(l.preferred_tool = 'browser_open', false) AS rerouted,
 FROM keyed k JOIN lookup l USING (domain) WHERE tool = 'web_fetch'""",
                   {"tactics": TACTICS_SQL, "keyed": f"SELECT *, {_DOMAIN.format(c='url')} AS domain FROM tool_events", "lookup": LOOKUP_SQL}),
 )
+
+
+def _as_of_urls(s, d):
+    """The events' own URLs, and those of sub-domains and parents in their place for some."""
+    host = U.domain_key(F.col("url"))
+    url = F.when(F.col("seq") % 4 == 1, F.concat(F.lit("https://shop."), host, F.lit("/x"))).when(
+        F.col("seq") % 4 == 3, F.concat(F.lit("https://"), F.regexp_replace(host, r"^[^.]+\.", ""), F.lit("/y"))
+    ).otherwise(F.col("url"))
+    return T.tool_events(s, d).select("seq", url.alias("url"))
+
+
+_AS_OF_URLS_SQL = rf"""
+SELECT seq, CASE seq % 4 WHEN 1 THEN 'https://shop.' || h || '/x' WHEN 3 THEN 'https://' || regexp_replace(h, '^[^.]+\.', '') || '/y' ELSE url END AS url
+FROM (SELECT seq, url, {_DOMAIN.format(c='url')} AS h FROM tool_events)"""
+_VERSIONS_SQL = f"""
+SELECT domain, seq, count(*) OVER w AS success_count, min(seq) OVER w AS pos
+FROM (SELECT *, min(CASE WHEN fail OR (win AND blocked) THEN seq END) OVER (PARTITION BY domain) AS lock FROM (
+  SELECT seq, blocked, {_DOMAIN.format(c='url')} AS domain, tool = 'web_fetch' AND (blocked OR coalesce(contains(error, '403'), false)) AS fail, tool = 'browser_open' AND ok AS win FROM tool_events))
+WHERE (fail OR win) AND seq >= lock AND domain <> '' WINDOW w AS (PARTITION BY domain ORDER BY seq)"""
+_KNOWN_SQL = """
+SELECT seq, arg_min(success_count, (key <> domain)::BIGINT * 4611686018427387904 + pos) AS success_count
+FROM (SELECT k.seq, k.domain, k.key, v.pos, v.success_count
+  FROM (SELECT seq, domain, unnest([array_to_string(string_split(domain, '.')[i:], '.') FOR i IN range(1, len(string_split(domain, '.')) + 1)]) AS key FROM keyed) k
+  ASOF JOIN versions v ON v.domain = k.key AND v.seq < k.seq) GROUP BY seq"""
+_add(
+    "tactic_lookup_as_of",
+    lambda s, d: TC.with_tactic_as_of(_as_of_urls(s, d), TC.tactic_versions(T.tool_events(s, d))).select("seq", "domain", "tactic.preferred_tool", "tactic.success_count"),
+    T.with_tables(["tool_events"], "SELECT k.seq, k.domain, CASE WHEN n.seq IS NOT NULL THEN 'browser_open' END AS preferred_tool, n.success_count FROM keyed k LEFT JOIN known n USING (seq)",
+                  {"asked": _AS_OF_URLS_SQL, "versions": _VERSIONS_SQL, "keyed": f"SELECT seq, {_DOMAIN.format(c='url')} AS domain FROM asked", "known": _KNOWN_SQL}),
+)
+_add(
+    "fetch_reroutes_as_of",
+    lambda s, d: TC.reroute_fetches_as_of(T.tool_events(s, d), TC.tactic_versions(T.tool_events(s, d))).select("seq", "url", "rerouted", "blocked", "error"),
+    T.with_tables(["tool_events"], """
+SELECT k.seq, url, n.seq IS NOT NULL AS rerouted, blocked OR n.seq IS NOT NULL AS blocked,
+  CASE WHEN n.seq IS NOT NULL THEN 'Learned tactic for ' || k.domain || ': prefer browser_open (previous HTTP fetches failed). Use browser_open.' ELSE error END AS error
+FROM keyed k LEFT JOIN known n USING (seq)""",
+                  {"versions": _VERSIONS_SQL, "keyed": f"SELECT *, {_DOMAIN.format(c='url')} AS domain FROM tool_events WHERE tool = 'web_fetch'", "known": _KNOWN_SQL}),
+)
 _add(
     "tactic_staleness",
     lambda s, d: tactics(s, d).select("domain", "last_verified", TC.is_stale(F.col("last_verified"), F.lit("2024-02-28 12:00:00").cast("timestamp_ntz")).alias("stale")),
@@ -159,6 +198,30 @@ FROM keyed k JOIN matched m USING (host) JOIN patterns p ON p.domain = m.pattern
         "keyed": rf"SELECT seq, {_HOST.format(c='arg_url')} AS host FROM attempts WHERE tool = 'browser_open' AND regexp_matches(arg_url, '^https?://[^/?#]+/?$')",
         "matched": _MATCH_SQL}),
 )
+_MATCH_AS_OF_SQL = """
+SELECT k.*, (SELECT p.domain FROM (SELECT domain, min(seq) AS pos FROM learnable GROUP BY domain) p
+  WHERE p.pos < k.seq AND (p.domain = k.host OR ends_with(k.host, '.' || p.domain) OR ends_with(p.domain, '.' || k.host)) ORDER BY p.domain <> k.host, p.pos LIMIT 1) AS pattern_key FROM keyed k"""
+_add(
+    "pattern_lookup_as_of",
+    lambda s, d: PT.patterns_known(_as_of_urls(s, d).withColumnRenamed("url", "arg_url"), PT.pattern_versions(T.search_urls(s, d))[2]).select("seq", "host", "pattern_key"),
+    T.with_tables(["tool_events", "search_urls"], "SELECT seq, host, pattern_key FROM matched",
+                  {"asked": _AS_OF_URLS_SQL, "learnable": LEARNABLE_SQL, "keyed": f"SELECT seq, {_HOST.format(c='url')} AS host FROM asked", "matched": _MATCH_AS_OF_SQL}),
+)
+_add(
+    "root_open_rejections_as_of",
+    lambda s, d: PT.reject_root_opens_as_of(T.attempts(s, d), PT.pattern_versions(T.search_urls(s, d))).select("seq", "host", "error", "advice"),
+    T.with_tables(["attempts", "search_urls"], r"""
+SELECT k.seq, k.host, 'Memory-first: host ' || k.host || ' has learned search URL patterns. Do not open the bare homepage first.' AS error,
+  'Build a deep-link/search URL using learned path + params, with values from the current task constraints. paths=[' || array_to_string(p.items[1:3], ', ') ||
+  '] params=[' || coalesce(array_to_string(n.items[1:10], ', '), '') || ']. Only use the homepage if that deep-link fails (404/empty).' AS advice
+FROM matched k JOIN paths_then p USING (seq) LEFT JOIN params_then n USING (seq)""", {
+        "learnable": LEARNABLE_SQL,
+        "keyed": rf"SELECT seq, {_HOST.format(c='arg_url')} AS host FROM attempts WHERE tool = 'browser_open' AND regexp_matches(arg_url, '^https?://[^/?#]+/?$')",
+        "matched": _MATCH_AS_OF_SQL,
+        "paths_then": f"SELECT opened AS seq, {_SLOTS.format(c='path', n=8)} AS items FROM (SELECT k.seq AS opened, l.seq, l.path FROM matched k JOIN learnable l ON l.domain = k.pattern_key AND l.seq < k.seq) GROUP BY opened",
+        "firsts": "SELECT domain, n, min(seq) AS seq, arg_min(i, seq) AS i FROM (SELECT domain, seq, unnest(ns) AS n, unnest(range(len(ns))) AS i FROM learnable) GROUP BY domain, n",
+        "params_then": "SELECT k.seq, list(f.n ORDER BY f.seq, f.i) AS items FROM matched k JOIN firsts f ON f.domain = k.pattern_key AND f.seq < k.seq GROUP BY k.seq"}),
+)
 _SEEDS_SQL = " UNION ALL ".join(
     "SELECT {} AS pos, {} AS trigger, {} AS tactic, {} AS efficiency_gain".format(i, *["'" + v.replace("'", "''") + "'" for v in row])
     for i, row in enumerate(K.SEED_STRATEGIES)

@@ -300,3 +300,79 @@ def test_guard_refuses_known_root(spark):
     pats = spark.createDataFrame([("h.be", 0, ["q"], ["/s"])], "domain string, pos long, param_names array<string>, path_hints array<string>")
     rows = [("browser_open", "http://www.h.be/nl", "http://www.h.be/nl", None, []), ("browser_open", "http://h.be/nl?x=1", "http://h.be/nl?x=1", None, []), ("browser_open", "http://g.be/", "http://g.be/", None, [])]
     assert verdicts(spark, rows, pats) == ["blocked_root_open", "run", "run"]
+
+
+# --- what was known at an event ---------------------------------------------------------------------
+
+
+def plain_domain_matches(domain, stored):
+    return domain if domain in stored else next((k for k in stored if domain.endswith("." + k)), None)
+
+
+@pytest.mark.parametrize("block", [4, 1000])
+def test_as_of_equals_plain_loop(spark, block):
+    rng = random.Random(block)
+    rows = [(rng.choice("ab"), s, "x") for s in rng.sample(range(150), 90)]
+    versions = [(rng.choice("ab"), s, s * 10) for s in rng.sample(range(150), 40)]
+    got = OR.as_of(spark.createDataFrame(rows, "k string, seq long, other string"), spark.createDataFrame(versions, "k string, seq long, v long"), ["k"], "seq", "v", block).collect()
+    want = {(k, s): max(((t, v) for j, t, v in versions if j == k and t < s), default=(0, None))[1] for k, s, _ in rows}
+    assert len(got) == len(rows) and {(r.k, r.seq): r.v for r in got} == want
+
+
+@pytest.mark.parametrize("with_prior", [False, True])
+def test_fetches_are_rerouted_by_what_was_known(spark, with_prior):
+    rng = random.Random(8)
+    hosts = ["a.com", "x.a.com", "b.com", "www.b.com", "y.b.com", "c.com"]
+    events = []
+    for s in range(160):
+        tool = rng.choice(["web_fetch", "web_fetch", "browser_open"])
+        bad = rng.random() < 0.15
+        events.append((s, at(s), tool, f"https://{rng.choice(hosts)}/p{s}", not bad, bad, "403 Forbidden" if bad and rng.random() < 0.5 else None))
+    prior = [("c.com", "web_fetch", "", at(0), 2, 0), ("b.com", "browser_open", "browser succeeded", at(0), 3, 1)] if with_prior else []
+    df = spark.createDataFrame(events, "seq long, ts timestamp_ntz, tool string, url string, ok boolean, blocked boolean, error string")
+    before = spark.createDataFrame(prior, "domain string, preferred_tool string, reason string, last_verified timestamp_ntz, success_count long, pos long")
+    versions = TC.tactic_versions(df, before, block_rows=16)
+    got = {r.seq: (r.rerouted, r.blocked) for r in TC.reroute_fetches_as_of(df, versions).collect()}
+    counts = {r.seq: r.n for r in TC.with_tactic_as_of(df, versions).select("seq", F.col("tactic.success_count").alias("n")).collect()}
+    stored = {d: [tool, n] for d, tool, _, _, n, _ in prior}
+    rerouted, later = {}, set()
+    for s, _, tool, url, ok, blocked, error in events:
+        domain = url.split("/")[2].removeprefix("www.")
+        key = plain_domain_matches(domain, stored)
+        assert counts[s] == (stored[key][1] if key else None)
+        if tool == "web_fetch":
+            hit = key is not None and stored[key][0] == "browser_open"
+            rerouted[s] = (hit, hit or blocked)
+        fail = tool == "web_fetch" and (blocked or "403" in (error or ""))
+        if fail or (tool == "browser_open" and ok and (blocked or stored.get(domain, [""])[0] == "browser_open")):
+            stored[domain] = ["browser_open", stored.get(domain, ["", 0])[1] + 1]
+    assert got == rerouted
+    # The table learned from the whole log would reroute fetches that came before it was learned.
+    final = {r.seq for r in TC.reroute_fetches(df, TC.learn_tactics(df, before)).filter("rerouted").collect()}
+    assert final > {s for s, (hit, _) in rerouted.items() if hit}
+    last = versions.groupBy("domain").agg(F.max_by("tactic", "seq").alias("t")).select("domain", "t.*")
+    assert {tuple(r) for r in last.collect()} == {tuple(r) for r in TC.learn_tactics(df, before).select(*last.columns).collect()}
+
+
+def test_root_opens_are_rejected_by_patterns_known_then(spark):
+    rng = random.Random(4)
+    visits, opens, want, stored = [], [], {}, {}
+    for s in range(240):
+        host = rng.choice(["a.com", "m.a.com", "b.org"])
+        if rng.random() < 0.6:
+            path, names = f"/search/{rng.randrange(12 if host == 'a.com' else 4)}", rng.sample(["adults", "k1", "k2"], rng.randint(0, 2))
+            url = f"https://{host}{path}" + ("?" + "&".join(f"{n}=1" for n in names) if names else "")
+            visits.append((s, at(s), url, "browser_open", None, ["€ 1"]))
+            params, paths = stored.setdefault(host, ([], []))
+            params += [n for n in names if n not in params]
+            if path not in paths:
+                paths.insert(0, path)
+                del paths[K.KEPT_PATHS :]
+        else:
+            opens.append((s, "browser_open", f"https://{host}/"))
+            key = host if host in stored else next((k for k in stored if host.endswith("." + k) or k.endswith("." + host)), None)
+            if key:
+                want[s] = (key, stored[key][1][:5], stored[key][0][:15])
+    versions = PT.pattern_versions(spark.createDataFrame(visits, "seq long, ts timestamp_ntz, url string, tool string, error string, price_hints array<string>"))
+    got = PT.reject_root_opens_as_of(spark.createDataFrame(opens, "seq long, tool string, arg_url string"), versions, block_rows=16).collect()
+    assert {r.seq: (r.pattern_key, r.learned_path_hints, r.learned_param_names) for r in got} == want
