@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from siftline.session import shared_dir
-from siftline.sources import files as FL, tables as T
+from siftline.sources import files as FL, logs as LG, tables as T
 
 #: Most items of a strategy document, and keys of a keyed one: documents grow in number, not in size.
 ITEMS, ENTRIES = 10_000, 100_000
@@ -53,6 +53,26 @@ SELECT * REPLACE (array_to_string(price_hints, '|') AS price_hints, CASE WHEN se
 )
 
 
+def log_tail_files(s: SparkSession, d: str) -> DataFrame:
+    """The last 80 lines of each run, read from files that hold neither a number nor a time; the log is appended in two parts."""
+    folder, rows = _folder(s), T.tool_events(s, d).select("run_id", "seq", "tool", "url")
+    half = F.col("seq") % 5000 < 2500
+    for part in (half, ~half):
+        # Files of one append are numbered in the order of their rows.
+        ordered = rows.filter(part).repartitionByRange("run_id", "seq").sortWithinPartitions("run_id", "seq")
+        ordered.select("run_id", "tool", "url").write.mode("append").partitionBy("run_id").json(f"{folder}/log")
+    last = LG.last_lines(LG.read_json_log(s, f"{folder}/log", "tool string, url string"), 80)
+    return last.select(F.regexp_extract("run_dir", r"^run_id=(\d+)$", 1).cast("bigint").alias("run_id"), "nth", "tool", "url")
+
+
+_add(
+    "log_tail_files",
+    log_tail_files,
+    T.with_tables(["tool_events"], """
+SELECT run_id, nth::INT AS nth, tool, url FROM (SELECT run_id, tool, url, row_number() OVER (PARTITION BY run_id ORDER BY seq % 5000 < 2500, seq DESC) AS nth FROM tool_events) WHERE nth <= 80"""),
+)
+
+
 def snapshot_files(s: SparkSession, d: str) -> DataFrame:
     """Candidates as snapshots by run; the runs of a second snapshot replace theirs, the others stay."""
     folder = _folder(s)

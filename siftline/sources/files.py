@@ -18,7 +18,7 @@ TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 def read_json_lines(spark: SparkSession, path: str, schema: str | TY.StructType) -> DataFrame:
     """JSON-lines logs under ``path``; lines that do not hold one object are dropped, ``run_dir`` is the folder name.
 
-    Lines get no number of their own: a log that needs append order carries ``seq`` or ``ts``.
+    Lines get no number of their own: see :mod:`siftline.sources.logs` for a log in append order.
     """
     lines = spark.read.text(path).select("value", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("run_dir"))
     rows = parse_lines(lines, "value", schema)
