@@ -106,12 +106,13 @@ def length_factor(n: np.ndarray, n_docs: int, n_terms: int) -> np.ndarray:
     return 50 + (50 * n * n_docs) // max(n_terms, 1)
 
 
-INDEX = "row bigint, doc_id bigint, n bigint, bits int, places binary, most binary"
+INDEX = "row bigint, doc_id bigint, n bigint, bits int, places binary, most binary, text string"
 
 
 def build_index(docs: DataFrame) -> DataFrame:
-    """``row, doc_id, n`` and the sketch of every row with a term, as a table in the shared folder.
+    """``row, doc_id, n``, the sketch and the text of every row with a term, as a table in the shared folder.
 
+    The text lies beside its sketch, so that a row is scored where its bound is computed and no text is shuffled.
     ``row`` tells rows of one id apart: a digest of the text.
     """
 
@@ -127,7 +128,7 @@ def build_index(docs: DataFrame) -> DataFrame:
             take = pa.array(keep, pa.int64())
             columns = [part.column("row").take(take), part.column("doc_id").take(take), pa.array(n, pa.int64())]
             columns += [pa.array([d[i] for d in drawn], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n", "bits", "places", "most"])
+            yield pa.RecordBatch.from_arrays([*columns, part.column("text").take(take)], ["row", "doc_id", "n", "bits", "places", "most", "text"])
 
     return cut(_rows(docs).mapInArrow(run, INDEX), "sketches")
 
@@ -222,61 +223,78 @@ def largest_bounds(index: DataFrame, block: Block, n_docs: int, n_terms: int, mo
         columns = [pa.array(item.astype(np.int32)), pa.array(row), pa.array(doc_id, mask=doc_id == NO_ID), pa.array(bound)]
         yield pa.RecordBatch.from_arrays(columns, ["item", "row", "doc_id", "bound"])
 
-    return top_k(index.mapInArrow(run, BOUNDS), ["item"], [F.desc("bound"), F.asc("doc_id"), F.asc("row")], most, "row")
+    return top_k(index.drop("text").mapInArrow(run, BOUNDS), ["item"], [F.desc("bound"), F.asc("doc_id"), F.asc("row")], most, "row")
 
 
-def within(index: DataFrame, block: Block, n_docs: int, n_terms: int, least: np.ndarray) -> DataFrame:
-    """``row, doc_id, items``: every row with a bound of at least ``least`` for an item, and the numbers of those items."""
+class Best:
+    """The ``k`` best scores of each item among the rows it is shown."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "places", 1 << 20):
-            for some, bound in _bounds(block, part, n_docs, n_terms):
-                hit = bound >= least
-                i, item = np.nonzero(hit)
-                keep = np.flatnonzero(hit.any(1))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(hit.sum(1)[keep])).astype(np.int32)), pa.array(item.astype(np.int32)))
-                take = pa.array(some[keep])
-                yield pa.RecordBatch.from_arrays([part.column("row").take(take), part.column("doc_id").take(take), lists], ["row", "doc_id", "items"])
+    def __init__(self, block: Block, n_docs: int, n_terms: int, k: int):
+        self.block, self.totals, self.k = block, (n_docs, n_terms), k
+        self.number, self.ends = {t: i for i, t in enumerate(block.terms)}, np.append(block.starts, len(block.slots))
+        self.heaps: list[list[tuple]] = [[] for _ in block.items]
+
+    def score(self, text: str, doc_id: int | None, row: int, items: list[int]) -> None:
+        """Score one whole text for some of the items."""
+        counts = Counter(terms_of(text))
+        tf = np.zeros(len(self.block.terms), np.int64)
+        for t in self.number.keys() & counts.keys():
+            tf[self.number[t]] = counts[t]
+        value = impact(tf, length_factor(np.array([sum(counts.values())]), *self.totals))
+        for item in items:
+            at = slice(self.ends[item], self.ends[item + 1])
+            score = int((value[self.block.slots[at]] * self.block.weights[at]).sum())
+            # The smaller id is the better one of equal scores; rows without an id come last.
+            entry, heap = (score, doc_id is not None, -(doc_id or 0), -row), self.heaps[item]
+            if score > 0 and len(heap) < self.k:
+                heapq.heappush(heap, entry)
+            elif score > 0 and entry > heap[0]:
+                heapq.heapreplace(heap, entry)
 
-    return index.mapInArrow(run, "row bigint, doc_id bigint, items array<int>").dropDuplicates(["row", "doc_id"])
+    def batch(self) -> pa.RecordBatch:
+        out = [(item, -e[2] if e[1] else None, -e[3], e[0]) for item, heap in enumerate(self.heaps) for e in heap]
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["item", "doc_id", "row", "score"])
 
 
-def exact_scores(docs: DataFrame, wanted: DataFrame, block: Block, n_docs: int, n_terms: int, k: int) -> DataFrame:
-    """``item, doc_id, row, score``: of the rows in ``wanted (row, doc_id, items)`` the ``k`` best of each item, by whole texts."""
-    right = wanted.select(F.col("row").alias("_row"), F.col("doc_id").alias("_id"), "items")
-    rows = _rows(docs)
-    found = rows.join(right, (rows.row == right._row) & rows.doc_id.eqNullSafe(right._id)).select("row", "doc_id", "text", "items")
+SCORES = "item int, doc_id bigint, row bigint, score bigint"
+
+
+def scored_rows(index: DataFrame, wanted: DataFrame, block: Block, n_docs: int, n_terms: int, k: int) -> DataFrame:
+    """``item, doc_id, row, score, rank``: the ``k`` best of each item among the rows that ``wanted (row, doc_id, items)`` names,
+    at most a fixed number for each item of the block."""
+    right = F.broadcast(wanted.select(F.col("row").alias("_row"), F.col("doc_id").alias("_id"), "items"))
+    found = index.join(right, (index.row == F.col("_row")) & index.doc_id.eqNullSafe(F.col("_id"))).select("row", "doc_id", "text", "items")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {t: k for k, t in enumerate(block.terms)}
-        ends = np.append(block.starts, len(block.slots))
-        best: list[list[tuple]] = [[] for _ in block.items]
+        best = Best(block, n_docs, n_terms, k)
         for part in slices(batches, "text"):
-            ids, rows_, asked = (part.column(c).to_pylist() for c in ("doc_id", "row", "items"))
-            for doc_id, row, items, text in zip(ids, rows_, asked, texts(part)):
-                counts = Counter(terms_of(text))
-                tf = np.zeros(len(block.terms), np.int64)
-                for t in number.keys() & counts.keys():
-                    tf[number[t]] = counts[t]
-                m = length_factor(np.array([sum(counts.values())]), n_docs, n_terms)
-                value = impact(tf, m)
-                for item in items:
-                    at = slice(ends[item], ends[item + 1])
-                    score = int((value[block.slots[at]] * block.weights[at]).sum())
-                    if score > 0:
-                        # The smaller id is the better one of equal scores; rows without an id come last.
-                        entry = (score, doc_id is not None, -(doc_id or 0), -row)
-                        heap = best[item]
-                        if len(heap) < k:
-                            heapq.heappush(heap, entry)
-                        elif entry > heap[0]:
-                            heapq.heapreplace(heap, entry)
-        out = [(item, -e[2] if e[1] else None, -e[3], e[0]) for item, heap in enumerate(best) for e in heap]
-        columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int64(), pa.int64()))] if out else [pa.array([], t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, ["item", "doc_id", "row", "score"])
-
-    scored = found.mapInArrow(run, "item int, doc_id bigint, row bigint, score bigint")
-    return top_k(scored, ["item"], [F.desc("score"), F.asc_nulls_last("doc_id"), F.asc("row")], k, "row", rank="rank")
+            for row, doc_id, items, text in zip(*(part.column(c).to_pylist() for c in ("row", "doc_id", "items", "text"))):
+                best.score(text, doc_id, row, items)
+        yield best.batch()
+
+    return _ranked(found.mapInArrow(run, SCORES), k)
+
+
+def scored_above(index: DataFrame, block: Block, n_docs: int, n_terms: int, least: np.ndarray, k: int) -> DataFrame:
+    """``item, doc_id, row, score, rank``: the ``k`` best of each item among all rows with a bound of at least ``least`` for it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(block, n_docs, n_terms, k)
+        for part in slices(batches, "text", 1 << 20):
+            row, doc_id, text = part.column("row").to_numpy(), part.column("doc_id"), part.column("text")
+            for some, bound in _bounds(block, part, n_docs, n_terms):
+                hit = bound >= least
+                for i in np.flatnonzero(hit.any(1)).tolist():
+                    at = int(some[i])
+                    best.score(text[at].as_py(), doc_id[at].as_py(), int(row[at]), np.flatnonzero(hit[i]).tolist())
+        yield best.batch()
+
+    return _ranked(index.mapInArrow(run, SCORES), k)
+
+
+def _ranked(scores: DataFrame, k: int) -> DataFrame:
+    return top_k(scores, ["item"], [F.desc("score"), F.asc_nulls_last("doc_id"), F.asc("row")], k, "row", rank="rank")
 
 
 def search(docs: DataFrame, items: DataFrame, k: int = 50) -> DataFrame:
@@ -315,11 +333,11 @@ def _searched(docs: DataFrame, index: DataFrame, block: Block, n_docs: int, n_te
         return names.filter("false").select("item_id", F.lit(0).alias("rank"), F.lit(0).cast("bigint").alias("doc_id"), F.lit(0).cast("bigint").alias("score"))
     block = block.weighted(document_counts(docs, block.terms), n_docs)
     first = cut(largest_bounds(index, block, n_docs, n_terms, max(k, FIRST)), "bounds")
-    asked = cut(first.groupBy("row", "doc_id").agg(F.collect_set("item").alias("items")), "candidates")
-    scored = exact_scores(docs, asked, block, n_docs, n_terms, k)
+    asked = cut(first.groupBy("row", "doc_id").agg(F.collect_set("item").alias("items")), "asked")
+    scored = scored_rows(index, asked, block, n_docs, n_terms, k)
     # At most ``k`` scores of each of the block's items. An item with fewer than ``k`` is searched to the end.
     least = np.ones(len(block.items), np.int64)
     for r in scored.filter(F.col("rank") == k).select("item", "score").collect():
         least[r["item"]] = r["score"]
-    final = exact_scores(docs, cut(within(index, block, n_docs, n_terms, least), "candidates"), block, n_docs, n_terms, k)
+    final = scored_above(index, block, n_docs, n_terms, least, k)
     return cut(final.join(names, "item").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score"), "ranked")
