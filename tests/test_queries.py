@@ -56,7 +56,7 @@ def test_entry(spark):
 
 PYTHON_NODES = {
     "html_title_text": "ArrowEvalPython", "fetch_outcomes": "ArrowEvalPython", "session_guard": "MapInPandas",
-    **{n: "MapInPandas" for n in ("url_patterns", "pattern_lookup", "root_open_rejections", "memory_digest")},
+    **{n: "MapInPandas" for n in ("url_patterns", "pattern_lookup", "root_open_rejections", "root_open_rejections_as_of", "memory_digest")},
 }
 
 
