@@ -1,8 +1,8 @@
 """Structured Streaming forms of the log-driven operators.
 
-The learners reuse the batch operators inside ``foreachBatch``, on top of the snapshot the batch before left,
-so hot keys are handled as in batch. They depend on arrival order: a row of a later micro-batch with a lower
-``seq`` stops them with an error. The shortlist is recomputed from its log for the touched keys and is exact in any order.
+The learners reuse the batch operators inside ``foreachBatch``, on top of the stored rows of the domains that a batch
+touches, so hot keys are handled as in batch. They depend on the order of ``seq``: rows can wait for others for a given
+delay, and those that come later still are put aside. The shortlist is recomputed from its log for the touched keys and is exact in any order.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from siftline.operators import patterns as PT, shortlist as SL, tactics as TC
 from siftline.operators.runs import model_call
 from siftline.sources.files import TIME_FORMAT
-from siftline.streaming.state import StateTable
+from siftline.streaming.state import StateTable, delete_folder
 
 TACTICS_SCHEMA = "domain string, preferred_tool string, reason string, last_verified timestamp_ntz, success_count long, pos long"
 PATTERNS_SCHEMA = (
@@ -50,33 +50,63 @@ def _each_batch(stream: DataFrame, checkpoint: str, work: Callable[[DataFrame, i
     )
 
 
-def _in_order(batch: DataFrame, root: str, n: int) -> None:
-    """Fail on a row that is not behind all rows of earlier micro-batches; the learners depend on arrival order."""
-    spark = batch.sparkSession
-    low, high = batch.agg(F.min("seq"), F.max("seq")).first()
-    if n > 0 and low is not None:
-        before = spark.read.schema("high long, batch long").parquet(f"{root}-order").filter(F.col("batch") < n).agg(F.max("high")).first()[0]
-        if before is not None and low <= before:
-            raise ValueError(f"row {low} of micro-batch {n} comes after row {before}")
-    spark.range(1).select(F.lit(high).cast("long").alias("high")).write.mode("overwrite").parquet(f"{root}-order/batch={n}")
-
+def _in_order(batch: DataFrame, root: str, n: int, late: str | None, delay: int) -> DataFrame:
+    """The rows whose turn it is: the learners depend on the order of ``seq``.
 
-def learn_tactics(events: DataFrame, table: StateTable, checkpoint: str, initial: DataFrame | None = None) -> StreamingQuery:
-    """Tactics kept up to date from a stream of tool events."""
+    Rows wait in ``{root}-held`` until one of a ``seq`` more than ``delay`` above theirs has arrived, so that a delay of less
+    than that changes nothing. A row not behind all those that were already learned (or without ``seq``) is too late: it goes
+    to ``late``, see :func:`late_rows`, and the stream goes on; without such a folder it is an error.
+    """
+    spark = batch.sparkSession
+    learned, seen = None, None
+    rows = batch
+    if n > 0:
+        learned, seen = spark.read.schema("learned long, seen long").parquet(f"{root}-order/batch={n - 1}").first()
+        rows = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{root}-held/batch={n - 1}"))
+    behind = F.col("seq").isNotNull() if learned is None else F.coalesce(F.col("seq") > learned, F.lit(False))
+    top, low, passed = batch.agg(F.max("seq"), F.min(F.when(~behind, F.col("seq"))), F.count_if(~behind)).first()
+    highest = max((x for x in (seen, top) if x is not None), default=None)
+    upto = max((x for x in (learned, None if highest is None else highest - delay) if x is not None), default=None)
+    if late is not None:
+        batch.filter(~behind).write.mode("overwrite").parquet(f"{late}/batch={n}")
+    elif passed:
+        raise ValueError(f"{passed} rows of micro-batch {n}, the first of them row {low}, come after row {learned}")
+    ready = F.lit(False) if upto is None else F.col("seq") <= upto
+    rows.filter(behind & ~ready).write.mode("overwrite").parquet(f"{root}-held/batch={n}")
+    spark.range(1).select(F.lit(upto).cast("long").alias("learned"), F.lit(highest).cast("long").alias("seen")).write.mode("overwrite").parquet(f"{root}-order/batch={n}")
+    if n > 1:
+        delete_folder(spark, f"{root}-held/batch={n - 2}")
+    return rows.filter(behind & ready)
+
+
+def late_rows(spark: SparkSession, late: str, schema: str | TY.StructType) -> DataFrame:
+    """Rows that came too late for a learner, with the micro-batch that brought them."""
+    fields = TY.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return spark.read.schema(TY.StructType([*fields.fields, TY.StructField("batch", TY.LongType())])).parquet(late)
+
+
+def learn_tactics(
+    events: DataFrame, table: StateTable, checkpoint: str, initial: DataFrame | None = None, late: str | None = None, delay: int = 0
+) -> StreamingQuery:
+    """Tactics kept up to date from a stream of tool events; a micro-batch reads and writes the domains it touches."""
 
     def work(batch: DataFrame, n: int) -> None:
-        _in_order(batch, table.root, n)
-        table.write(TC.learn_tactics(batch, table.before(batch.sparkSession, n, initial)).select(*TC.COLUMNS), n)
+        rows = _in_order(batch, table.root, n, late, delay)
+        prior = table.before(TC.tactic_signals(rows).select("domain"), n, initial)
+        table.write(TC.learn_tactics(rows, prior).select(*TC.COLUMNS), n)
 
     return _each_batch(events, checkpoint, work)
 
 
-def learn_patterns(visits: DataFrame, table: StateTable, checkpoint: str, initial: DataFrame | None = None) -> StreamingQuery:
-    """URL patterns kept up to date from a stream of visited URLs."""
+def learn_patterns(
+    visits: DataFrame, table: StateTable, checkpoint: str, initial: DataFrame | None = None, late: str | None = None, delay: int = 0
+) -> StreamingQuery:
+    """URL patterns kept up to date from a stream of visited URLs; a micro-batch reads and writes the domains it touches."""
 
     def work(batch: DataFrame, n: int) -> None:
-        _in_order(batch, table.root, n)
-        table.write(PT.learn_patterns(batch, table.before(batch.sparkSession, n, initial)), n)
+        rows = _in_order(batch, table.root, n, late, delay)
+        prior = table.before(PT.search_url_rows(rows, "url").select("domain"), n, initial)
+        table.write(PT.learn_patterns(rows, prior), n)
 
     return _each_batch(visits, checkpoint, work)
 

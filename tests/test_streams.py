@@ -39,3 +39,55 @@ def test_counters_of_touched_runs(spark, tmp_path):
         J.write_counters(J.read_log(spark, f"{folder}/log", schema, "parquet"), f"{folder}/counters", f"{folder}/checkpoint").awaitTermination()
     assert sorted(map(tuple, J.current_counters(spark, f"{folder}/counters").collect())) == [(1, 1, 0, 0), (2, 1, 1, 1)]
     assert spark.read.parquet(f"{folder}/counters/batch=1").select(F.collect_list("run_id")).first()[0] == [2]
+
+
+def learned(spark, folder, table, late=None, delay=0):
+    query = J.learn_tactics(J.read_log(spark, f"{folder}/log", EVENTS, "parquet"), table, f"{folder}/checkpoint", late=late, delay=delay)
+    query.awaitTermination()
+    return {r.domain: (r.success_count, r.pos) for r in table.at(spark, query.lastProgress["batchId"]).collect()}
+
+
+def test_late_rows_are_put_aside(spark, tmp_path):
+    folder, late = str(tmp_path), f"{tmp_path}/late"
+    table = StateTable(f"{tmp_path}/tactics", J.TACTICS_SCHEMA)
+    arrive(spark, folder, [(1, "a.be"), (5, "b.be")])
+    learned(spark, folder, table, late)
+    arrive(spark, folder, [(3, "a.be"), (6, "a.be"), (None, "b.be")])
+    assert learned(spark, folder, table, late) == {"a.be": (2, 1), "b.be": (1, 5)}
+    arrive(spark, folder, [(7, "b.be")])
+    assert learned(spark, folder, table, late) == {"a.be": (2, 1), "b.be": (2, 5)}
+    assert sorted((r.seq or 0, r.batch) for r in J.late_rows(spark, late, EVENTS).collect()) == [(0, 1), (3, 1)]
+
+
+def test_rows_wait_for_those_before_them(spark, tmp_path):
+    folder, late = str(tmp_path), f"{tmp_path}/late"
+    table = StateTable(f"{tmp_path}/tactics", J.TACTICS_SCHEMA)
+    arrive(spark, folder, [(4, "a.be"), (9, "b.be")])
+    assert learned(spark, folder, table, late, delay=4) == {"a.be": (1, 4)}
+    arrive(spark, folder, [(5, "a.be"), (6, "b.be")])  # row 5 is one too late, row 6 is in time
+    assert learned(spark, folder, table, late, delay=4) == {"a.be": (1, 4)}
+    arrive(spark, folder, [(20, "c.be")])
+    assert learned(spark, folder, table, late, delay=4) == {"a.be": (1, 4), "b.be": (2, 6)}
+    arrive(spark, folder, [(21, "c.be")])
+    assert learned(spark, folder, table, late) == {"a.be": (1, 4), "b.be": (2, 6), "c.be": (2, 20)}
+    assert [r.seq for r in J.late_rows(spark, late, EVENTS).collect()] == [5]
+
+
+def test_state_table_writes_what_is_touched(spark, tmp_path):
+    table, want, sizes = StateTable(str(tmp_path / "t"), "k long, v long", ("k",), 4), {}, []
+    for batch in range(9):
+        new = {k: 100 * batch + k for k in ([*range(20)] if batch == 0 else [batch % 3, 30 + batch])}
+        rows = spark.createDataFrame([*new.items()], "k long, v long")
+        for _ in range(2 if batch in (3, 4) else 1):  # a batch that is run again
+            prior = table.before(rows, batch)
+            assert batch == 0 or {r.k: r.v for r in prior.collect()} == {k: want[k] for k in new if k in want}
+            table.write(rows, batch)
+        want.update(new)
+        sizes.append(spark.read.parquet(f"{table.root}/version={batch + 1}").count())
+        assert {r.k: r.v for r in table.at(spark, batch).collect()} == want
+        if batch:
+            table.at(spark, batch - 1).count()  # still readable
+    # keys of one, two, one, four, ... batches
+    assert sizes == [20, 21, 2, 23, 2, 4, 2, 27, 2]
+    assert sorted(p.name for p in (tmp_path / "t").glob("version=*")) == [f"version={v}" for v in (4, 6, 7, 8, 9)]  # replaced ones go two batches later
+    assert table.before(rows.limit(0), 9).count() == 0
