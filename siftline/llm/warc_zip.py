@@ -1,8 +1,8 @@
 """WARC records in ZIP packages: written by Spark tasks, read back record by record.
 
-A package is a ZIP file whose members are stored, not compressed: ``archive/data.warc.gz`` with one gzip member per
-record, and ``indexes/index.cdxj``, a line with place and length for each record. The reader parses the end record, the
-ZIP64 records where they are needed, and the central directory, then reads the index and single records by their byte
+A package is a ZIP file whose members are stored, not compressed: archives in ``archive/`` with one gzip member per record,
+and indexes in ``indexes/``, a line with archive, place and length for each record. The writer makes one of each. The reader parses the end record, the
+ZIP64 records where they are needed, and the central directory, then reads the indexes and single records by their byte
 ranges; nothing is unpacked to disk. Files are opened through the file system of their URI, so any shared store will do.
 """
 
@@ -19,8 +19,10 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftline.llm.common import scratch, slices, whole
+from siftline.llm.common import cut, scratch, slices, whole
 
+ARCHIVES, INDEX_ENDINGS = "archive/", (".cdxj", ".cdx", ".cdxj.gz", ".cdx.gz")
+#: The members that the writer makes.
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 DATE = "2024-01-01T00:00:00Z"
 #: Payloads of fewer bytes are stored with every record.
@@ -162,22 +164,51 @@ def members(file) -> dict[str, Member]:
     return out
 
 
-def records(file, most: int = 1 << 20) -> Iterator[dict]:
-    """The records of an open package in the order of its index, which is read in pieces of ``most`` bytes."""
-    found = members(file)
-    archive, index = found[ARCHIVE], found[INDEX]
+def index_lines(file, index: Member, most: int = 1 << 20) -> Iterator[bytes]:
+    """The lines of an index, plain or of gzip members, read in pieces of ``most`` bytes."""
     done, rest = 0, b""
+    packed = index.name.endswith(".gz")
+    unpacker = zlib.decompressobj(31)
     while done < index.size:
         file.seek(index.start + done)
         piece = file.read(min(most, index.size - done))
         done += len(piece)
-        *lines, rest = (rest + piece).split(b"\n")
-        for line in lines:
+        while piece:
+            if packed:
+                text = unpacker.decompress(piece, most)
+                piece = unpacker.unconsumed_tail
+                if unpacker.eof:
+                    piece, unpacker = unpacker.unused_data, zlib.decompressobj(31)
+            else:
+                text, piece = piece, b""
+            *lines, rest = (rest + text).split(b"\n")
+            yield from lines
+    yield rest
+
+
+def records(file, most: int = 1 << 20) -> Iterator[dict]:
+    """The records of an open package, index by index in the order of their names and lines.
+
+    Every stored index of the folder ``indexes`` is read, and each line's record from the member of the folder ``archive``
+    that its ``filename`` names. Empty lines and those that begin with ``!`` describe no record. An index that names a member
+    which is absent or not stored, or a place behind its end, is an error.
+    """
+    found = members(file)
+    for index in sorted(found.values(), key=lambda m: m.name):
+        if not index.name.startswith("indexes/") or not index.name.endswith(INDEX_ENDINGS):
+            continue
+        for line in index_lines(file, index, most):
+            if not line.strip() or line.startswith(b"!"):
+                continue
             entry = json.loads(line[line.index(b"{") :])
-            if entry["offset"] + entry["length"] > archive.size:
-                raise ValueError("the index points behind the archive")
-            file.seek(archive.start + entry["offset"])
-            yield parsed(zlib.decompress(file.read(entry["length"]), 31))
+            archive = found.get(ARCHIVES + entry["filename"].removeprefix(ARCHIVES))
+            if archive is None:
+                raise ValueError(f"{index.name} names {entry['filename']}, which is not a stored member")
+            offset, length = int(entry["offset"]), int(entry["length"])  # some writers quote them
+            if offset + length > archive.size:
+                raise ValueError(f"{index.name} points behind {archive.name}")
+            file.seek(archive.start + offset)
+            yield parsed(zlib.decompress(file.read(length), 31))
 
 
 def opened(uri: str):
@@ -284,12 +315,17 @@ def archive_round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
 
     ``page_id, payload_bytes, payload_digest, record_type, refers_to``. Of equal payloads of at least 100 bytes the rows
     with the smallest id are responses and the others revisit it; shorter ones are all responses, as are rows without an
-    id. Null html is the empty payload. Other columns are not read. A revisit's length comes from the record it refers to.
+    id. Null html is the empty payload. Other columns are not read. A revisit's length comes from the record it refers to; one
+    whose record is not there is an error. The packages are read once, their records without payloads kept as a table.
     """
-    found = read_packages(write_packages(planned(pages), scratch(spark, "warc")), with_payload=False)
+    read = read_packages(write_packages(planned(pages), scratch(spark, "warc")), with_payload=False)
+    found = cut(read.drop("payload", "url"), "warc-records")
     own = found.filter("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     revisits = found.filter("record_type = 'revisit'").select("page_id", "payload_digest", "record_type", "refers_to")
     # Rows that repeat the smallest id are all responses with one payload.
     target = own.select(F.col("page_id").alias("t"), F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("n")).groupBy("t", "d").agg(F.max("n").alias("payload_bytes"))
-    resolved = revisits.join(target, (F.col("refers_to") == F.col("t")) & (F.col("payload_digest") == F.col("d")))
+    missing = F.raise_error(F.concat(F.lit("no record for the revisit of page "), F.col("page_id").cast("string"))).cast("bigint")
+    resolved = revisits.join(target, (F.col("refers_to") == F.col("t")) & (F.col("payload_digest") == F.col("d")), "left").withColumn(
+        "payload_bytes", F.coalesce("payload_bytes", missing)
+    )
     return own.unionByName(resolved.select(own.columns))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import io
+import json
 import struct
 import zipfile
 from itertools import groupby
@@ -131,3 +133,33 @@ def test_directory_of_own_writer(zip64):
 def test_broken_directories_are_errors(broken):
     with opened(broken) as file, pytest.raises((ValueError, struct.error)):
         warc_zip.members(file)
+
+
+def foreign(index_of=str, archive_kind=zipfile.ZIP_STORED) -> bytes:
+    """A package of two archives and three indexes by another writer; pages 1 to 6, of which 5 and 6 stand in a packed index."""
+    raws = [gzip.compress(warc_zip.record("response", i, "u", hashlib.sha256(b"%d" % i).hexdigest(), b"%d" % i)) for i in range(1, 7)]
+    one, two = raws[:3], raws[3:]
+    at = lambda parts, k: index_of(sum(map(len, parts[:k])))
+    line = lambda name, parts, k: f"key {k} " + json.dumps({"offset": at(parts, k), "length": str(len(parts[k])), "filename": name})
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("archive/one.warc.gz", b"".join(one), archive_kind)
+        z.writestr("archive/sub/two.warc.gz", b"".join(two))
+        z.writestr("indexes/a.cdxj", "!meta 0 {}\n" + "\n".join(line("one.warc.gz", one, k) for k in (2, 0, 1)))  # no newline at the end
+        z.writestr("indexes/b.cdx", line("archive/sub/two.warc.gz", two, 0) + "\n\n")
+        z.writestr("indexes/c.cdxj.gz", b"".join(gzip.compress((line("sub/two.warc.gz", two, k) + "\n").encode()) for k in (1, 2)))
+        z.writestr("datapackage.json", "{}")
+    return out.getvalue()
+
+
+@pytest.mark.parametrize("most", [7, 1 << 20])
+def test_every_index_and_archive_is_read(most):
+    with opened(foreign(int)) as file:
+        found = [(r["page_id"], r["payload"]) for r in warc_zip.records(file, most)]
+    assert found == [(i, b"%d" % i) for i in (3, 1, 2, 4, 5, 6)]
+
+
+def test_indexes_that_name_nothing_are_errors():
+    for data, reason in ((foreign(archive_kind=zipfile.ZIP_DEFLATED), "not a stored member"), (foreign(lambda at: at + 5000), "points behind")):
+        with opened(data) as file, pytest.raises(ValueError, match=reason):
+            list(warc_zip.records(file))
