@@ -1,11 +1,10 @@
-"""Best-fit packing by configurations that are priced over the histogram of lengths, in greedy phases.
+"""Best-fit packing by the configuration linear program over the histogram of lengths.
 
 Only the histogram leaves the executors: at most ``capacity`` counts. A configuration is a multiset of lengths that fits
-into one sequence. The prices are those of multiplicative weights for the configuration linear program, the fewest
-configurations that cover the histogram: each length has a price that falls as it is covered, and a knapsack dynamic
-program finds the configuration of the highest total price. The program itself is not solved: a fixed number of phases
-takes whole numbers of configurations, without a fractional solution or a tolerance, and what is left is packed by best
-fit. The plan lists which ranks of each length go to which sequences, and pieces find their place by an equi-join on it.
+into one sequence; the program asks for the fewest configurations, in fractions, that cover the histogram. Multiplicative
+weights solve it over the configurations found so far, a knapsack dynamic program prices all others, and the two values
+meet within a tolerance. The solution is rounded down, as running sums, and what is left is packed by best fit. The plan lists which ranks
+of each length go to which sequences, and pieces find their place in it by length and rank.
 """
 
 from __future__ import annotations
@@ -23,9 +22,10 @@ from siftline.llm.common import cut, slices, texts, whole
 from siftline.llm.pieces import PieceMemory
 
 CAPACITY, END_ID = 1024, 2
-#: Phases of the weights, and how fast a price falls with the covered share. The plan has at most one configuration for
-#: each phase and length, and a few for the rest.
-PHASES, RATE = 8, 2.0
+#: The linear program is solved to within this share of its bound, in at most so many rounds.
+TOLERANCE, ROUNDS = 0.001, 30
+#: Updates of the weights in a round, and how fast they follow what is lacking or gained.
+STEPS, RATE = 300, 0.3
 
 
 # --- pieces ---------------------------------------------------------------------------------------
@@ -112,6 +112,9 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
 # --- the linear program ---------------------------------------------------------------------------
 
 
+Configuration = tuple[tuple[int, int], ...]
+
+
 class Pricing:
     """The knapsack over all capacities for one set of prices."""
 
@@ -128,48 +131,96 @@ class Pricing:
                 if gains[j := gains.argmax()] > self.value[c]:
                     self.value[c], self.taken[c] = gains[j], lengths[j]
 
-    def best_with(self, length: int) -> dict[int, int]:
+    def best_with(self, length: int) -> Configuration:
         """The configuration of the highest total price among those that hold ``length``."""
         out, c = Counter({length: 1}), self.capacity - length
         while c > 0:
             if t := int(self.taken[c]):
                 out[t] += 1
             c -= t or 1
-        return dict(out)
-
-
-def solve(histogram: np.ndarray, capacity: int, phases: int = PHASES, rate: float = RATE) -> list[tuple[dict[int, int], int]]:
-    """``[(configuration, times)]``; every length is taken as often as it occurs.
-
-    In phase t of T every length is to be covered to t / T of its demand. A length's price is its size times
-    ``exp(-rate * (covered share - mean covered share))``: multiplicative weights, kept as sums of covered shares. One
-    knapsack table prices a phase; each length that is behind takes the best configuration that holds it, a whole number
-    of times and never more than is left. What is left after the last phase is packed by best fit: the largest piece opens
-    a sequence, and the largest that still fits follows.
+        return tuple(sorted(out.items(), reverse=True))
+
+
+class Master:
+    """The program restricted to the configurations found so far: multiplicities and prices under multiplicative weights."""
+
+    def __init__(self, pool: list[Configuration], lengths: np.ndarray, demand: np.ndarray):
+        entries = [(i, length, n) for i, c in enumerate(pool) for length, n in c]
+        self.which, length, times = np.array(entries, np.int64).T
+        self.row, self.times = np.searchsorted(lengths, length), times.astype(float)
+        self.columns, self.lengths, self.demand = len(pool), lengths, demand
+
+    def covered(self, x: np.ndarray) -> np.ndarray:
+        """The share of each length's demand that multiplicities ``x`` cover."""
+        return np.bincount(self.row, self.times * x[self.which], len(self.lengths)) / self.demand
+
+    def worth(self, y: np.ndarray) -> np.ndarray:
+        """The total price of each configuration."""
+        return np.bincount(self.which, self.times * y[self.row], self.columns)
+
+    def run(self, x: np.ndarray, y: np.ndarray, steps: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
+        """Means of multiplicities and prices over ``steps`` updates.
+
+        A price grows by a factor with the uncovered share of its length, a multiplicity with what its configuration is
+        worth above the cost of one sequence. Each factor takes the newest difference twice and the one before off again,
+        which keeps the two from circling.
+        """
+        total_x, total_y = np.zeros_like(x), np.zeros_like(y)
+        lacking, gain = 1 - self.covered(x), self.worth(y) - 1
+        for _ in range(steps):
+            before, lacking = lacking, 1 - self.covered(x)
+            y = y * np.exp(np.clip(rate * (2 * lacking - before), -0.5, 0.5))
+            before, gain = gain, self.worth(y) - 1
+            x = x * np.exp(np.clip(rate * (2 * gain - before), -0.5, 0.5))
+            total_x += x
+            total_y += y
+        return total_x / steps, total_y / steps
+
+
+def program(histogram: np.ndarray, capacity: int, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> tuple[dict[Configuration, float], float]:
+    """A fractional solution of the configuration linear program, and a bound that no packing can be below.
+
+    The program: multiplicities, at least 0, of configurations, with the smallest sum that covers each length's demand. Its
+    dual: prices, at least 0, under which no configuration is worth more than 1, with the largest worth of the demand.
+    The first multiplicities are those of best fit, the first prices the lengths' shares of a sequence. Each round prices by the knapsack table: prices divided by the table's highest worth are feasible for the dual and give
+    a bound; for every length, the configuration of the highest worth that holds it joins the pool if it is worth 1 or
+    more. The pool's program then takes ``STEPS`` updates of multiplicative weights; lengths short of their demand are
+    topped up with sequences of that length alone. Rounds end when the sum is at most ``1 + tolerance`` times the bound, or
+    after ``rounds``; the best solution and the best bound are returned either way.
     """
-    demand, left = histogram.astype(np.int64), histogram.astype(np.int64).copy()
-    size, out = np.arange(capacity + 1), Counter()
-
-    def take(configuration: dict[int, int], most: int) -> None:
-        times = min(most, *(int(left[k]) // n for k, n in configuration.items()))
-        if times > 0:
-            out[tuple(sorted(configuration.items(), reverse=True))] += times
-            for k, n in configuration.items():
-                left[k] -= n * times
-
-    for phase in range(1, phases + 1):
-        used = np.flatnonzero(left)
-        if not len(used):
-            break
-        share = 1 - left[used] / demand[used]
+    lengths = np.flatnonzero(histogram)
+    if not len(lengths):
+        return {}, 0.0
+    demand, alone = histogram[lengths].astype(float), capacity // lengths
+    singles = [((int(length), int(n)),) for length, n in zip(lengths, alone)]
+    pool: dict[Configuration, float] = {c: float(n) for c, n in best_fit(histogram, capacity).items()}
+    best, least, bound, y = dict(pool), sum(pool.values()), 0.0, lengths / capacity
+    for turn in range(rounds + 1):
         prices = np.zeros(capacity + 1)
-        prices[used] = size[used] * np.exp(-rate * (share - (share * demand[used] * size[used]).sum() / (demand[used] * size[used]).sum()))
+        prices[lengths] = y
         pricing = Pricing(prices, capacity)
-        for length in used[::-1].tolist():
-            behind = left[length] - demand[length] * (phases - phase) // phases
-            if behind > 0:
-                found = pricing.best_with(length)
-                take(found, -(-int(behind) // found[length]))
+        bound = max(bound, float(y @ demand / pricing.value[capacity]))
+        if least <= (1 + tolerance) * bound or turn == rounds:
+            break
+        for length, amount in zip(lengths.tolist(), demand):
+            found = pricing.best_with(length)
+            if found not in pool and sum(prices[k] * n for k, n in found) > 0.999:
+                pool[found] = amount * 0.001
+        master, x = Master(list(pool), lengths, demand), np.array(list(pool.values()))
+        x, y = master.run(np.maximum(x, 1e-6 * x.mean()), y, STEPS, RATE)
+        pool = dict(zip(pool, x))
+        short = np.maximum(0, 1 - master.covered(x)) * demand / alone
+        if x.sum() + short.sum() < least:
+            best = dict(pool)
+            for single, more in zip(singles, short):
+                best[single] = best.get(single, 0.0) + more
+            least = sum(best.values())
+    return best, bound
+
+
+def best_fit(histogram: np.ndarray, capacity: int) -> Counter[Configuration]:
+    """Times of configurations that take every length as often as it occurs: the largest piece opens a sequence, and the largest that still fits follows."""
+    left, out = histogram.astype(np.int64).copy(), Counter()
     while len(used := np.flatnonzero(left)):
         room, found, remaining = capacity, {}, left.copy()
         while len(fits := used[(used <= room) & (remaining[used] > 0)]):
@@ -177,8 +228,31 @@ def solve(histogram: np.ndarray, capacity: int, phases: int = PHASES, rate: floa
             n = min(room // k, int(remaining[k]))
             found[k], room = n, room - n * k
             remaining[k] = 0
-        take(found, int(left.sum()))
-    return list(out.items())
+        times = min(int(left[k]) // n for k, n in found.items())
+        out[tuple(found.items())] += times
+        for k, n in found.items():
+            left[k] -= n * times
+    return out
+
+
+def solve(histogram: np.ndarray, capacity: int, tolerance: float = TOLERANCE) -> list[tuple[Configuration, int]]:
+    """``[(configuration, times)]``; every length is taken as often as it occurs.
+
+    The multiplicities of :func:`program` are rounded down as running sums, fuller configurations first, so that what is cut
+    off one counts for the next; none is taken more often than is left. Best fit packs the rest. Where the histogram is so
+    thin that best fit alone takes fewer sequences, that is the result.
+    """
+    fractional, _ = program(histogram, capacity, tolerance)
+    left, out, total = histogram.astype(np.int64).copy(), Counter(), 1e-6
+    for configuration, times in sorted(fractional.items(), key=lambda c: (-sum(k * n for k, n in c[0]), c[0])):
+        before, total = int(total), total + times
+        rounded = min(int(total) - before, *(int(left[k]) // n for k, n in configuration))
+        if rounded > 0:
+            out[configuration] += rounded
+            for k, n in configuration:
+                left[k] -= n * rounded
+    out.update(best_fit(left, capacity))
+    return list(min(out, best_fit(histogram, capacity), key=Counter.total).items())
 
 
 def plan_of(histogram: np.ndarray, capacity: int = CAPACITY) -> dict[str, np.ndarray]:

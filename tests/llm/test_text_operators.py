@@ -192,6 +192,40 @@ def test_plan_is_close_to_the_bound():
     assert sum(n for _, n in packing.solve(histogram, 1024)) <= 1.004 * (histogram @ np.arange(1025)) / 1024 + 1
 
 
+HARD = {"one length": [300], "halves, thirds, sixths": [*range(513, 560), *range(342, 370), *range(171, 190)], "340 to 520": range(340, 521), "257 to 345": range(257, 346)}
+
+
+@pytest.mark.parametrize("lengths", HARD.values(), ids=HARD)
+def test_plan_meets_the_linear_program(lengths):
+    histogram = np.bincount(np.random.default_rng(1).choice(np.array(lengths), 30_000), minlength=1025)
+    fractional, bound = packing.program(histogram, 1024)
+    covered = np.zeros(1025)
+    for configuration, times in fractional.items():
+        assert sum(k * n for k, n in configuration) <= 1024 and times >= 0
+        for k, n in configuration:
+            covered[k] += n * times
+    assert (covered >= histogram * (1 - 1e-9)).all()
+    value, taken = sum(fractional.values()), sum(n for _, n in packing.solve(histogram, 1024))
+    assert value <= 1.001 * bound and bound <= taken <= packing.best_fit(histogram, 1024).total()
+    assert taken <= np.ceil(bound) + np.count_nonzero(histogram)
+
+
+def test_bound_of_the_linear_program_is_one_of_any_packing():
+    """Two pieces of 500 or three of 300 fill a sequence, and mixed sequences hold no more: 500 and 333 sequences."""
+    histogram = np.zeros(1025, np.int64)
+    histogram[300], histogram[500] = 999, 1000
+    _, bound = packing.program(histogram, 1024)
+    assert 832 < bound <= 833.01 and sum(n for _, n in packing.solve(histogram, 1024)) in (833, 834)
+    assert packing.program(np.zeros(1025, np.int64), 1024) == ({}, 0.0) and packing.solve(np.zeros(1025, np.int64), 1024) == []
+
+
+def test_a_program_with_rare_lengths_beats_best_fit():
+    histogram = np.bincount(np.random.default_rng(5).integers(150, 500, 20_000), minlength=1025)
+    _, bound = packing.program(histogram, 1024)
+    taken, plain = sum(n for _, n in packing.solve(histogram, 1024)), packing.best_fit(histogram, 1024).total()
+    assert taken < 1.01 * bound and plain > 1.03 * bound
+
+
 def test_packing_of_awkward_rows(spark):
     from tokenizers import Tokenizer
 
