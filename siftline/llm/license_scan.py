@@ -23,15 +23,78 @@ MARK = re.compile(r"<<(/?optional|any:\d+)>>")
 
 #: Phrase words and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: License wording as templates, each with its label.
+#: Wording that several templates share.
+MODIFY = "redistribute it and or modify it under the terms of the"
+PUBLISHED = "<<optional>> as published by the free software foundation<</optional>><<optional>> either<</optional>>"
+LATER = "<<optional>> of the license<</optional>><<optional>> or at your option any later version<</optional>>"
+CREATIVE = "licensed under <<optional>>a <</optional>><<optional>>the <</optional>>"
+FOUR = "4 0<<optional>> international<</optional>><<optional>> public<</optional>><<optional>> license<</optional>>"
+BSD_SOURCE = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    "<<optional>>1 <</optional>>redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "<<optional>>2 <</optional>>redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer "
+    "in the documentation and or other materials provided with the distribution "
+)
+BSD_NAMES = (
+    "<<optional>>3 <</optional>>neither the name of <<any:8>> nor the names of <<any:2>> contributors may be used to endorse or promote products derived from "
+    "this software without specific prior written permission "
+)
+BSD_DISCLAIMER = (
+    "this software is provided by <<any:8>> as is and any express or implied warranties including but not limited to the implied warranties of "
+    "merchantability and fitness for a particular purpose are disclaimed in no event shall <<any:8>> be liable for any direct indirect incidental special "
+    "exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business "
+    "interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in "
+    "any way out of the use of this software even if advised of the possibility of such damage"
+)
+#: License wording as templates, each with its label.
 TEMPLATES = [
+    # Short references.
     ("apache-2.0", "licensed under the apache license<<optional>> version 2 0<</optional>><<optional>> the license<</optional>>"),
-    ("gpl-3.0", "<<optional>>this <<any:2>> is <</optional>>licensed under the <<optional>>terms of the <</optional>>gnu general public license<<optional>> as published by the free software foundation<</optional>> version 3"),
-    ("gpl-2.0", "<<optional>>this <<any:2>> is <</optional>>licensed under the <<optional>>terms of the <</optional>>gnu general public license<<optional>> as published by the free software foundation<</optional>> version 2"),
+    ("gpl-3.0", f"<<optional>>this <<any:2>> is <</optional>>licensed under the <<optional>>terms of the <</optional>>gnu general public license{PUBLISHED} version 3"),
+    ("gpl-2.0", f"<<optional>>this <<any:2>> is <</optional>>licensed under the <<optional>>terms of the <</optional>>gnu general public license{PUBLISHED} version 2"),
     ("mit-notice", "<<optional>>this <<any:2>> is <</optional>>released under the <<optional>>terms of the <</optional>>mit license"),
     ("mit-notice", "permission is hereby granted free of charge to any person obtaining a copy of this <<any:4>> and associated documentation files"),
     ("cc-by-nc-4.0", "licensed under <<optional>>a <</optional>><<optional>>creative commons <</optional>>cc by nc<<optional>> 4 0<</optional>><<optional>> license<</optional>>"),
     ("bsd-notice", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    # Standard notices.
+    (
+        "apache-2.0",
+        "licensed under the apache license version 2 0 <<optional>>the license <</optional>>you may not use <<any:3>> except in compliance with the license"
+        "<<optional>> you may obtain a copy of the license at <<any:7>> license 2 0<</optional>>",
+    ),
+    ("gpl-3.0", f"{MODIFY} gnu general public license{PUBLISHED} version 3{LATER}"),
+    ("gpl-2.0", f"{MODIFY} gnu general public license{PUBLISHED} version 2{LATER}"),
+    ("lgpl-3.0", f"{MODIFY} gnu lesser general public license{PUBLISHED} version 3{LATER}"),
+    ("lgpl-2.1", f"{MODIFY} gnu lesser general public license{PUBLISHED} version 2 1{LATER}"),
+    ("agpl-3.0", f"{MODIFY} gnu affero general public license{PUBLISHED} version 3{LATER}"),
+    ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2.0", "subject to the terms of the mozilla public license version 2 0"),
+    ("cc-by-4.0", f"{CREATIVE}creative commons attribution {FOUR}"),
+    ("cc-by-4.0", f"{CREATIVE}<<optional>>creative commons <</optional>>cc by {FOUR}"),
+    ("cc-by-sa-4.0", f"{CREATIVE}creative commons attribution sharealike {FOUR}"),
+    ("cc-by-sa-4.0", f"{CREATIVE}<<optional>>creative commons <</optional>>cc by sa {FOUR}"),
+    ("cc-by-nc-4.0", f"{CREATIVE}creative commons attribution noncommercial {FOUR}"),
+    # Full texts.
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in "
+        "the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of "
+        "the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this "
+        "permission notice <<optional>>including the next paragraph <</optional>>shall be included in all copies or substantial portions of the software the "
+        "software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for "
+        "a particular purpose and noninfringement in no event shall <<any:8>> be liable for any claim damages or other liability whether in an action of "
+        "contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
+    ("bsd-2-clause", BSD_SOURCE + BSD_DISCLAIMER),
+    ("bsd-3-clause", BSD_SOURCE + BSD_NAMES + BSD_DISCLAIMER),
+    (
+        "isc",
+        "permission to use copy modify and <<optional>>or <</optional>>distribute this software for any purpose with or without fee is hereby granted provided "
+        "that the above copyright notice and this permission notice appear in all copies the software is provided as is and <<any:6>> disclaims all warranties "
+        "with regard to this software including all implied warranties of merchantability and fitness in no event shall <<any:6>> be liable for any special "
+        "direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract "
+        "negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    ),
 ]
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -44,14 +46,19 @@ def _expression(template: str) -> str:
 
 
 def _license_sql() -> str:
-    tests = [(label, _expression(phrase), True) for phrase, label in BASE.items()] + [(label, _expression(t), False) for label, t in TEMPLATES]
-    rows = ", ".join(f"({i}, '{label}', '^{e}', {str(base).lower()})" for i, (label, e, base) in enumerate(tests))
+    tests = [(label, phrase, True) for phrase, label in BASE.items()] + [(label, t, False) for label, t in TEMPLATES]
+    rows = ", ".join(
+        f"({i}, '{label}', '^{_expression(t)}', {str(base).lower()}, '{first}', {len(WORD.findall(MARK.sub(' ', t))) + sum(map(int, re.findall(r'any:([0-9]+)', t)))})"
+        for i, (label, t, base) in enumerate(tests)
+        for first in sorted(license_scan.compiled(label, t).first())
+    )
     return f"""
-WITH rules(rule, label, expression, base) AS (VALUES {rows}),
+WITH rules(rule, label, expression, base, first, most) AS (VALUES {rows}),
 words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 places AS (SELECT doc_id, unnest(range(len(w))) AS i, w FROM words),
-near AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 40], ' ') || ' ' AS s FROM places WHERE w[i + 1] IN ('gnu', 'apache', 'cc', 'mit', 'licensed', 'this', 'released', 'permission', 'redistribution')),
-found AS (SELECT doc_id, i, label, base, len(regexp_extract(s, expression)) - len(replace(regexp_extract(s, expression), ' ', '')) AS n FROM near, rules WHERE regexp_matches(s, expression)),
+near AS (SELECT doc_id, i, label, base, expression, array_to_string(w[i + 1 : i + most], ' ') || ' ' AS s
+  FROM (SELECT * FROM places WHERE w[i + 1] IN (SELECT first FROM rules)) p JOIN rules ON p.w[i + 1] = first),
+found AS (SELECT doc_id, i, label, base, len(regexp_extract(s, expression)) - len(replace(regexp_extract(s, expression), ' ', '')) AS n FROM near WHERE regexp_matches(s, expression)),
 inside AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id),
 each AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(i) FILTER (base) AS first_word, max(i) FILTER (base) AS last_word,
   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM found GROUP BY doc_id)

@@ -44,6 +44,60 @@ def test_mandatory_words_must_match(text, labels):
     assert license_scan.scanner()(text)[5] == labels
 
 
+FSF = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+NOTICES = {
+    "gpl,gpl-3.0": FSF.format("", 3),
+    "gpl,gpl-2.0": FSF.format("", 2).replace(", either", "; either"),
+    "lgpl-3.0": FSF.format("Lesser ", 3),
+    "lgpl-2.1": FSF.format("Lesser ", 2.1),
+    "agpl-3.0": FSF.format("Affero ", 3),
+    "apache,apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by,cc-by-4.0": "Licensed under CC BY 4.0",
+    "cc-by-sa-4.0": "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc-by-nc-4.0": "licensed under a Creative Commons Attribution-NonCommercial 4.0 International Public License",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, '
+    "DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+}
+
+
+@pytest.mark.parametrize("labels", NOTICES)
+def test_standard_notices(labels):
+    assert license_scan.scanner()("Copyright 2020 us.\n" + NOTICES[labels] + " Thank you.")[5] == labels
+
+
+def readings(template: str) -> list[tuple[list[str], list[bool]]]:
+    """The template's shortest and fullest readings: words, and whether each is mandatory."""
+    out = []
+    for full in (False, True):
+        words, fixed, depth = [], [], 0
+        for part in license_scan.MARK.split(template):
+            if part in ("optional", "/optional"):
+                depth += 1 if part == "optional" else -1
+            elif part.startswith("any:"):
+                if full:
+                    words += ["whatever"] * int(part[4:])
+                    fixed += [False] * int(part[4:])
+            elif full or not depth:
+                words += part.split()
+                fixed += [not depth] * len(part.split())
+        out.append((words, fixed))
+    return out
+
+
+@pytest.mark.parametrize("rule", range(len(license_scan.TEMPLATES)))
+def test_one_changed_mandatory_word_loses_the_template(rule):
+    label, template = license_scan.TEMPLATES[rule]
+    scan = license_scan.scanner([license_scan.TEMPLATES[rule]], {})
+    for words, fixed in readings(template):
+        text = " ".join(words)
+        assert scan(text)[5:] == (label, 1.0)
+        for i in np.flatnonzero(fixed).tolist():
+            assert scan(" ".join([*words[:i], "changed", *words[i + 1 :]]))[5] == ""
+
+
 def test_template_markup():
     a = license_scan.compiled("t", "a <<optional>>b <<optional>>c <</optional>><</optional>><<any:2>>d")
     reach = lambda s: a.longest(s.split(), 0)
