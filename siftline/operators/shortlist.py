@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from siftline import constants as K
 from siftline.functions import text as TX, urls as U
-from siftline.operators.ordered import salted_join
+from siftline.operators.ordered import running, salted_join
 
 DETAILS_CHARS = 1200
 
@@ -80,7 +80,7 @@ def merge_candidates(rows: DataFrame) -> DataFrame:
 
     Folding the rows in arrival order is written as order-aware aggregates, which combine map-side. Only the
     price needs to know something first: an unparseable price resets the minimum, so the last reset per key
-    is found in a narrow pass of its own and joined back.
+    is found in a narrow pass of its own and joined back. A column ``mentions`` says how many mentions a row stands for.
     """
     price, seq = F.col("price"), F.col("seq")
     number = TX.price_number(price)
@@ -96,7 +96,7 @@ def merge_candidates(rows: DataFrame) -> DataFrame:
         *KEY, "seq", "ts", "session", "name", "price", "check", number.alias("_number"), url.alias("_url"),
         F.substring(F.coalesce("details", F.lit("")), 1, DETAILS_CHARS).alias("_raw"),
         F.substring(details, 1, DETAILS_CHARS).alias("_details"),
-        *(["extra"] if "extra" in rows.columns else []),
+        *[c for c in ("extra", "mentions") if c in rows.columns],
     )
     joined = salted_join(flat, resets, KEY, "seq", "left")
     live = F.col("_number").isNotNull() & (seq > F.coalesce("_reset", F.lit(-1)))
@@ -114,7 +114,7 @@ def merge_candidates(rows: DataFrame) -> DataFrame:
         F.min("seq").alias("first_seq"),
         F.max("seq").alias("last_seq"),
         F.max_by("ts", "seq").alias("updated_at"),
-        F.count(F.lit(1)).alias("mentions"),
+        (F.sum("mentions") if "mentions" in rows.columns else F.count(F.lit(1))).alias("mentions"),
         *([F.max_by("extra", "seq").alias("extra")] if "extra" in rows.columns else []),
     )
     # The first row's details are kept as written, later ones trimmed; the longest wins, the latest on ties.
@@ -136,6 +136,43 @@ def merge_candidates(rows: DataFrame) -> DataFrame:
     )
 
 
+#: Columns of accepted rows that the merge reads.
+MERGED = [*KEY, "seq", "ts", "session", "name", "price", "check", "source_url", "details"]
+
+
+def decisive_rows(rows: DataFrame) -> DataFrame:
+    """The accepted rows on which the merge of their key depends, whatever rows come later and in any order.
+
+    Those are the first and the last row, the ones with the longest name, the best URL, the longest details, the last
+    session and the last price reset, and of the numeric prices after that reset each that no later one undercuts, since
+    a reset between them may still arrive; of equal price texts in a row the last is enough. ``merge_candidates`` gives
+    the same for these rows as for all, and the decisive rows of decisive rows and others are those of all. ``mentions``
+    moves the number of all rows to the first one. ``seq`` is unique within a key; of rows that share one, any one stays.
+    """
+    seq, price = F.col("seq"), F.col("price")
+    number, url = TX.price_number(price), TX.utrim(F.coalesce("source_url", F.lit("")))
+    reset = ~TX.is_blank(price) & number.isNull()
+    weighed = rows if "mentions" in rows.columns else rows.withColumn("mentions", F.lit(1).cast("long"))
+    details = F.substring(TX.utrim(F.coalesce("details", F.lit(""))), 1, DETAILS_CHARS)
+    found = weighed.groupBy(*KEY).agg(
+        F.min("seq").alias("_first"), F.max("seq").alias("_last"), F.sum("mentions").alias("_total"), F.max(F.when(reset, seq)).alias("_reset"),
+        F.max_by("seq", F.struct(F.length("name"), seq)).alias("_name"),
+        F.max_by("seq", F.when(url != "", F.struct(U.detail_flag(url), U.detail_length(url), -seq))).alias("_url"),
+        F.max_by("seq", F.struct(F.length(details), seq)).alias("_details"),
+        F.max(F.when(F.col("session") != "", seq)).alias("_session"),
+    )
+    places = [F.struct(F.col(c).alias("seq"), (F.col("_total") if c == "_first" else F.lit(0)).cast("long").alias("_mentions")) for c in ("_first", "_last", "_reset", "_name", "_url", "_details", "_session")]
+    single = found.select(*KEY, F.inline(F.array(*places))).filter(seq.isNotNull())
+    priced = weighed.filter(~TX.is_blank(price) & number.isNotNull()).select(*KEY, "seq", "price", number.alias("_number"), (-seq).alias("_back"))
+    live = salted_join(priced, found.select(*KEY, "_reset"), KEY, "seq", "left").filter(seq > F.coalesce("_reset", F.lit(-1)))
+    low = running(live, KEY, "_back", maxes={"_lowest": -F.col("_number")}).filter(F.col("_number") == -F.col("_lowest"))
+    steps = running(low.select(*KEY, "_back", "price"), KEY, "_back", lags={"_next": price}).filter(~F.col("_next").eqNullSafe(price))
+    decided = single.unionByName(steps.select(*KEY, (-F.col("_back")).alias("seq"), F.lit(0).cast("long").alias("_mentions")))
+    # The pairs of key and number hash evenly, however many rows a key has.
+    once = decided.groupBy(*KEY, "seq").agg(F.max("_mentions").alias("mentions"))
+    return weighed.drop("mentions").dropDuplicates([*KEY, "seq"]).join(once, [*KEY, "seq"]).select(*[c for c in weighed.columns])
+
+
 def candidate_urls(rows: DataFrame) -> DataFrame:
     """Distinct URLs per candidate as rows with their ranking columns (detail pages, longer paths, first seen)."""
     url = TX.utrim(F.coalesce("source_url", F.lit("")))

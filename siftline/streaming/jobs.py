@@ -2,7 +2,7 @@
 
 The learners reuse the batch operators inside ``foreachBatch``, on top of the stored rows of the domains that a batch
 touches, so hot keys are handled as in batch. They depend on the order of ``seq``: rows can wait for others for a given
-delay, and those that come later still are put aside. The shortlist is recomputed from its log for the touched keys and is exact in any order.
+delay, and those that come later still are put aside. The shortlist keeps the rows that decide its merge and is exact in any order.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ PATTERNS_SCHEMA = (
     "domain string, param_names array<string>, path_hints array<string>, example_urls array<string>, "
     "success_count long, last_verified timestamp_ntz, pos long"
 )
-#: Default number of parts of the candidate log; give a stream of many runs more.
+#: Default number of buckets of the shortlist's state; give a stream of many runs more.
 BUCKETS = 64
 
 
@@ -112,23 +112,27 @@ def learn_patterns(
 
 
 def upsert_shortlist(candidates: DataFrame, root: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
-    """Shortlist kept up to date from a stream of candidate mentions.
+    """Shortlist kept up to date from a stream of candidate mentions, which may arrive in any order.
 
-    Accepted rows go to a log partitioned by key bucket; only the keys a batch touches are merged again, from
-    the buckets they live in. The merged rows are stored by batch, see :func:`current_shortlist`.
+    The state of a key is its decisive rows, see :func:`siftline.operators.shortlist.decisive_rows`: a few, and one for each
+    rise of a price since the last reset. A micro-batch reads and writes the keys it touches, not the log of all mentions.
+    The merged rows are stored by batch, see :func:`current_shortlist`.
     """
-    bucket = lambda: F.pmod(F.xxhash64(*SL.KEY), F.lit(buckets)).cast("int")
 
     def work(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        rows = SL.accepted(SL.check_candidates(batch)).drop("reject_reason").withColumn("bucket", bucket())
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/log/batch={n}")
-        kept = spark.read.schema(rows.schema).parquet(f"{root}/log/batch={n}")
-        keys = kept.select("bucket", *SL.KEY).distinct()
-        log = spark.read.schema(TY.StructType([*rows.schema.fields, TY.StructField("batch", TY.LongType())])).parquet(f"{root}/log")
-        # On a repeated batch later batches cannot exist yet, so the log holds exactly batches 0..n.
-        touched = log.filter(F.col("batch") <= n).join(keys, ["bucket", *SL.KEY], "left_semi")
-        SL.merge_candidates(touched).write.mode("overwrite").parquet(f"{root}/shortlist/batch={n}")
+        columns = [*SL.MERGED, *(["extra"] if "extra" in batch.columns else [])]
+        rows = SL.accepted(SL.check_candidates(batch)).select(*columns).withColumn("mentions", F.lit(1).cast("long"))
+        held = [f for f in rows.schema.fields if f.name not in SL.KEY]
+        keys = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in SL.KEY)
+        table = StateTable(f"{root}/state", f"{keys}, held array<{TY.StructType(held).simpleString()}>", tuple(SL.KEY), buckets)
+        prior = table.before(rows.select(*SL.KEY), n)
+        both = rows if prior is None else rows.unionByName(prior.select(*SL.KEY, F.inline("held")))
+        both.write.mode("overwrite").parquet(f"{root}/rows/batch={n}")
+        both = batch.sparkSession.read.schema(rows.schema).parquet(f"{root}/rows/batch={n}")
+        table.write(SL.decisive_rows(both).groupBy(*SL.KEY).agg(F.collect_list(F.struct(*[f.name for f in held])).alias("held")), n)
+        SL.merge_candidates(both).write.mode("overwrite").parquet(f"{root}/shortlist/batch={n}")
+        if n > 0:
+            delete_folder(batch.sparkSession, f"{root}/rows/batch={n - 1}")
 
     return _each_batch(candidates, checkpoint, work)
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from siftline.operators import shortlist as SL
 from siftline.streaming import jobs as J
 from siftline.streaming.state import StateTable
 
@@ -91,3 +93,66 @@ def test_state_table_writes_what_is_touched(spark, tmp_path):
     assert sizes == [20, 21, 2, 23, 2, 4, 2, 27, 2]
     assert sorted(p.name for p in (tmp_path / "t").glob("version=*")) == [f"version={v}" for v in (4, 6, 7, 8, 9)]  # replaced ones go two batches later
     assert table.before(rows.limit(0), 9).count() == 0
+
+
+CANDIDATES = "run_id long, seq long, ts timestamp_ntz, session string, name string, source_url string, price string, details string, match_status string, matched array<string>, unmatched array<string>, unknown array<string>"
+
+
+def mentions(n, seed):
+    rng = random.Random(seed)
+    price = lambda: rng.choice([None, "", "on request", f"{rng.randrange(1, 40)}", f"€ {rng.randrange(1, 40)},0", "7", "7 EUR"])
+    return [
+        (
+            rng.choice([0, 0, 0, 1]), seq, datetime(2024, 1, 1) + timedelta(seconds=seq), rng.choice(["", "s1", None]), rng.choice(["Hotel Abc", "abc", "ABC spa", "The Xyz"]),
+            rng.choice(["", " ", "http://a/search?x=1", "http://a/b", "http://a/c", "http://a/longer/path"]), price(),
+            rng.choice(["", " x ", "pool", None, "d" * 1250, " " + "e" * 1300]), "full", [f"m{seq}"], [], [],
+        )
+        for seq in range(n)
+    ]
+
+
+def merged(df):
+    return {(r.run_id, r.name_key): tuple(r) for r in df.collect()}
+
+
+def stored(df, path):
+    df.write.parquet(str(path))
+    return df.sparkSession.read.schema(df.schema).parquet(str(path))
+
+
+def counted(df):
+    return df.withColumn("mentions", F.lit(1).cast("long"))
+
+
+def test_decisive_rows_decide_the_merge(spark, tmp_path):
+    ok = stored(SL.accepted(SL.check_candidates(spark.createDataFrame(mentions(400, 5), CANDIDATES))).select(*SL.MERGED), tmp_path / "ok")
+    early, late = ok.filter("seq % 2 = 0 OR seq > 300"), ok.filter("seq % 2 = 1 AND seq <= 300")
+    few = stored(SL.decisive_rows(early), tmp_path / "few")
+    assert merged(SL.merge_candidates(few)) == merged(SL.merge_candidates(early))
+    again = stored(SL.decisive_rows(few.unionByName(counted(late))), tmp_path / "again")
+    assert merged(SL.merge_candidates(again)) == merged(SL.merge_candidates(ok))
+    once = stored(SL.decisive_rows(ok), tmp_path / "once")
+    assert sorted(map(tuple, again.select("seq", "mentions").collect())) == sorted(map(tuple, once.select("seq", "mentions").collect()))
+    assert once.count() < ok.count() // 4
+
+
+def test_price_reset_that_arrives_after_later_prices(spark, tmp_path):
+    """Rows 1, 2, 4 and 5 arrive first; the reset of row 3, which arrives last, leaves 20 as the lowest price."""
+    one = lambda seq, price: (1, seq, datetime(2024, 1, 1), "s", "Abc", "http://a/b", price, "", "full", ["m"], [], [])
+    rows = [one(1, "10"), one(2, "30"), one(4, "20"), one(5, "25"), one(3, "on request")]
+    ok = stored(SL.accepted(SL.check_candidates(spark.createDataFrame(rows, CANDIDATES))).select(*SL.MERGED), tmp_path / "ok")
+    early = stored(SL.decisive_rows(ok.filter("seq <> 3")), tmp_path / "early")
+    assert sorted(r.seq for r in early.collect()) == [1, 4, 5]
+    found = SL.merge_candidates(SL.decisive_rows(early.unionByName(counted(ok.filter("seq = 3"))))).first()
+    assert (found.price, found.mentions, found.first_seq, found.last_seq) == ("20", 5, 1, 5)
+
+
+def test_shortlist_of_mentions_in_any_order(spark, tmp_path):
+    folder, rows = str(tmp_path), mentions(120, 9)
+    random.Random(2).shuffle(rows)
+    for part in (rows[:50], rows[50:51], rows[51:]):
+        spark.createDataFrame(part, CANDIDATES).coalesce(1).write.mode("append").parquet(f"{folder}/log")
+        J.upsert_shortlist(J.read_log(spark, f"{folder}/log", CANDIDATES, "parquet"), f"{folder}/table", f"{folder}/checkpoint", buckets=4).awaitTermination()
+    whole = SL.accepted(SL.check_candidates(spark.createDataFrame(rows, CANDIDATES))).select(*SL.MERGED)
+    want = SL.merge_candidates(whole)
+    assert merged(J.current_shortlist(spark, f"{folder}/table").select(*want.columns)) == merged(want)
