@@ -57,10 +57,11 @@ class Encoder:
         led = [i for i, p in enumerate(batch) if p.startswith(" ") and p[1:2].strip()]
         own = sorted(set(range(len(batch))).difference(led))
         out = dict(zip(own, self.whole([batch[i] for i in own])))
-        sizes = np.fromiter((len(batch[i].encode()) for i in led), np.int64, len(led))
+        begun = [batch[i] for i in led]
+        sizes = np.fromiter(map(len, map(str.encode, begun)), np.int64, len(led))
         group = np.cumsum(sizes) // self.JOINED
         edges = [*np.flatnonzero(np.diff(group, prepend=-1)).tolist(), len(led)]
-        ids = self.whole(["".join(batch[i] for i in led[a:b]) for a, b in zip(edges, edges[1:])])
+        ids = self.whole(["".join(begun[a:b]) for a, b in zip(edges, edges[1:])])
         for a, b, joined in zip(edges, edges[1:], ids):
             ends = np.cumsum(self.sizes[np.frombuffer(joined, "<u4")])
             at = [0, *(np.searchsorted(ends, np.cumsum(sizes[a:b]), side="right") * 4).tolist()]

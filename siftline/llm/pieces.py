@@ -10,14 +10,17 @@ MEMORY, KEPT_CHARS = 300_000, 48
 #: Before a space with a character that is no white space behind it. No match of the split pattern reaches across such a
 #: place: white space in front of the space ends a match there, and the space belongs to what follows.
 WORD_START = re.compile(r" (?=\S)")
-#: Marks the first piece of a text, which has no space before it.
+#: A sign, digit or line end behind a letter: a match of the split pattern ends between the two, whatever stands before, and
+#: what follows is split like a text of its own. Words are thus remembered without the signs behind them.
+WORD_END = re.compile(r"[!-@\[-`{-~\t\n\r](?<=[A-Za-zÀ-ÖØ-öø-ÿ][\s\S])")
+#: Marks a piece that has no space before it: the first one of a text, and those that follow a word's end.
 FIRST = "\0"
 
 
 class PieceMemory:
     """Encodes each distinct piece once while it is remembered; what is forgotten is encoded again.
 
-    ``encode`` gets pieces as they stand in texts. In the memory a piece goes without its space, a first piece with a mark.
+    ``encode`` gets pieces as they stand in texts. In the memory a piece goes without its space, one that has none with a mark.
     """
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], entries: int = MEMORY):
@@ -32,23 +35,30 @@ class PieceMemory:
             whole = dict(zip(marked, self.encode_new([batch[i] for i in marked])))
             rest = iter(self.encode([text for text in batch if FIRST not in text]))
             return [whole[i] if i in whole else next(rest) for i in range(len(batch))]
+        batch = [WORD_END.sub(" " + FIRST + r"\g<0>", text) for text in batch]
         split = [text.split(" ") for text in batch]
         for parts in split:
             parts[0] = FIRST + parts[0]
         memory = self.memory
-        new = set().union(*split).difference(memory)
+        found = [list(map(memory.get, parts)) for parts in split]
+        lacking = [[i for i, ids in enumerate(own) if ids is None] for own in found]
+        new = {parts[i] for parts, places in zip(split, lacking) for i in places}
         # A space before white space or at the end is no place to cut; texts with one are cut anew.
         uneven = {p for p in new if not p or p[0].isspace()}
         if uneven:
-            for i, parts in enumerate(split):
-                if not uneven.isdisjoint(parts):
+            for i, places in enumerate(lacking):
+                if not uneven.isdisjoint([split[i][j] for j in places]):
                     first, *rest = WORD_START.split(batch[i])
                     split[i] = [FIRST + first, *rest]
-            new = set().union(*split).difference(memory)
+                    found[i] = list(map(memory.get, split[i]))
+                    lacking[i] = [j for j, ids in enumerate(found[i]) if ids is None]
+            new = {parts[i] for parts, places in zip(split, lacking) for i in places}
         self._learn(new)
-        out = [b"".join(map(memory.__getitem__, parts)) for parts in split]
+        for parts, own, places in zip(split, found, lacking):
+            for i in places:
+                own[i] = memory[parts[i]]
         self._forget(new)
-        return out
+        return list(map(b"".join, found))
 
     def _learn(self, new: set[str]) -> None:
         memory, older = self.memory, self.older

@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings, strategies as st
 
-from siftline.llm import bpe, fingerprints, language_id, license_scan, packing
+from siftline.llm import bpe, fingerprints, language_id, license_scan, packing, pieces
 from tests.llm.fixtures import documents, frame, sentence
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -328,3 +328,19 @@ def test_fingerprints_of_awkward_rows(spark):
     assert fingerprints.compared(frame(spark, [])).count() == 0
     alone = fingerprints.compared(frame(spark, documents()[:1])).collect()
     assert len(alone) == 1 and alone[0].near_next == 1.0
+
+
+def test_words_are_encoded_without_the_signs_behind_them():
+    seen: list[str] = []
+    memory = pieces.PieceMemory(lambda batch: seen.extend(batch) or [p.encode() for p in batch])
+    batch = ["a cat, the cat. cat! été? x1 中, no.\nAnd so", "cat's  tail"]
+    assert memory.encode(batch) == [t.encode() for t in batch]
+    assert seen.count(" cat") == 1 and not {" cat,", " cat.", " cat!", " été?", " x1"} & set(seen)
+    assert " 中," in seen and "." in seen and "1" in seen
+
+
+@given(st.lists(st.lists(st.sampled_from(["a", "Z", "é", "ß", "中", "я", "\u0301", "'s", "'", ".", ",", "_", "1", " ", "  ", "\n", "\t", "\r\n", "\x1c", "\0", "\u00a0", "😀"]), max_size=14).map("".join), max_size=8))
+@settings(max_examples=300, deadline=None)
+def test_cut_texts_have_the_ids_of_whole_ones(batch):
+    own = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert own.encode(batch) == own.whole(batch)
