@@ -41,6 +41,20 @@ def test_exact_groups(spark, digest):
     assert sorted(map(repr, plain_groups(documents()))) == sorted(repr((r.doc_id, r.keep_id, r.group_size, r.kept)) for r in got.collect())
 
 
+def test_states_are_not_held_open(spark, monkeypatch):
+    """An executor has the stores of the tasks that run, not of all its partitions."""
+    key, seen = "spark.sql.streaming.stateStore.unloadOnCommit", []
+    held = spark.conf.get(key, None)
+    run = exact_dedup.digest_states
+    feed = exact_dedup.scratch(spark, "feed")
+    spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, "b", "z")], "doc_id bigint, digest string, at string").write.parquet(feed)
+    unset = type(spark.conf).unset
+    monkeypatch.setattr(type(spark.conf), "unset", lambda self, k: (seen.append((k, self.get(k, None))), unset(self, k))[1])
+    assert sorted(map(tuple, run(spark, feed, 1).select("digest", "keep_id", "group_size").collect())) == [("a", 2, 2), ("b", 3, 1)]
+    assert (key, "true") in seen or held == "true"
+    assert spark.conf.get(key, None) == held
+
+
 def test_exact_dedup_keeps_whole_rows(spark):
     kept = exact_dedup.drop_copies(frame(spark))
     keep = {t: k for t, k in ((r[1] or "", max((x[0] for x in documents() if (x[1] or "") == (r[1] or "") and x[0] is not None), default=None)) for r in documents())}
