@@ -18,6 +18,8 @@ from siftline.streaming.state import StateTable
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+#: Rows of a file of an arriving log, at least.
+LEAST_ROWS = 1000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -34,15 +36,15 @@ def _folder(s: SparkSession) -> str:
 def arriving(s: SparkSession, rows: DataFrame, folder: str, parts: int = 3) -> DataFrame:
     """A table as a log that arrives in ``parts`` pieces by ``seq``, read as a stream of a micro-batch for each.
 
-    A piece keeps the files its tasks write, whose number is filled up to that of the largest piece: a batch takes so many.
+    Each piece has as many files as the first one's scan has tasks, or as there are cores where every piece has rows enough
+    that none stays empty: a batch takes so many files, and reads them side by side.
     """
     low, high = rows.agg(F.min("seq"), F.max("seq")).first()
     step = (high - low) // parts + 1
     rows.withColumn("_part", F.expr(f"(seq - {low}) div {step}")).write.partitionBy("_part").parquet(f"{folder}/parts")
-    files = 0
-    for i in range(parts):
-        piece = s.read.schema(rows.schema).parquet(f"{folder}/parts/_part={i}")
-        files = files or piece.rdd.getNumPartitions()
+    pieces = [s.read.schema(rows.schema).parquet(f"{folder}/parts/_part={i}") for i in range(parts)]
+    files = max(pieces[0].rdd.getNumPartitions(), min(s.sparkContext.defaultParallelism, min(p.count() for p in pieces) // LEAST_ROWS))
+    for i, piece in enumerate(pieces):
         piece.repartition(files).write.mode("append").parquet(f"{folder}/log/part-{i}")
     return J.read_log(s, f"{folder}/log", rows.schema, "parquet", files_per_batch=files)
 

@@ -101,12 +101,19 @@ def learn_tactics(
 def learn_patterns(
     visits: DataFrame, table: StateTable, checkpoint: str, initial: DataFrame | None = None, late: str | None = None, delay: int = 0
 ) -> StreamingQuery:
-    """URL patterns kept up to date from a stream of visited URLs; a micro-batch reads and writes the domains it touches."""
+    """URL patterns kept up to date from a stream of visited URLs; a micro-batch reads and writes the domains it touches.
+
+    Its URLs are taken apart once: what is learned from them is stored, and deleted by the batch after.
+    """
 
     def work(batch: DataFrame, n: int) -> None:
-        rows = _in_order(batch, table.root, n, late, delay)
-        prior = table.before(PT.search_url_rows(rows, "url").select("domain"), n, initial)
-        table.write(PT.learn_patterns(rows, prior), n)
+        found = PT.learnable(_in_order(batch, table.root, n, late, delay))
+        found.write.mode("overwrite").parquet(f"{table.root}-rows/batch={n}")
+        rows = batch.sparkSession.read.schema(found.schema).parquet(f"{table.root}-rows/batch={n}")
+        prior = table.before(rows.select("domain"), n, initial)
+        table.write(PT.learn_from(rows, prior), n)
+        if n > 0:
+            delete_folder(batch.sparkSession, f"{table.root}-rows/batch={n - 1}")
 
     return _each_batch(visits, checkpoint, work)
 

@@ -10,6 +10,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from siftline.operators import shortlist as SL
+from siftline.plans import streams as ST
 from siftline.streaming import jobs as J
 from siftline.streaming.state import StateTable
 
@@ -156,3 +157,24 @@ def test_shortlist_of_mentions_in_any_order(spark, tmp_path):
     whole = SL.accepted(SL.check_candidates(spark.createDataFrame(rows, CANDIDATES))).select(*SL.MERGED)
     want = SL.merge_candidates(whole)
     assert merged(J.current_shortlist(spark, f"{folder}/table").select(*want.columns)) == merged(want)
+
+
+def test_urls_of_a_micro_batch_are_taken_apart_once(spark, tmp_path):
+    """What is learned from is stored, for this batch only, and nothing else reads the visits."""
+    schema, folder = "seq long, ts timestamp_ntz, url string, tool string, error string, price_hints array<string>", str(tmp_path)
+    table = StateTable(f"{folder}/patterns", J.PATTERNS_SCHEMA)
+    at = datetime(2024, 1, 1)
+    for seqs in ((1, 2), (3, 4)):
+        rows = [(s, at, f"http://a{s % 2}.be/search/{s}?q=1", "browser_open", None, ["x"]) for s in seqs] + [(seqs[-1], at, "http://c.be/", "web_fetch", None, [])]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/log")
+        J.learn_patterns(J.read_log(spark, f"{folder}/log", schema, "parquet"), table, f"{folder}/checkpoint").awaitTermination()
+    assert {r.domain: (r.success_count, r.path_hints) for r in table.at(spark, 1).collect()} == {"a0.be": (2, ["/search/4", "/search/2"]), "a1.be": (2, ["/search/3", "/search/1"])}
+    assert sorted(r.seq for r in spark.read.parquet(f"{folder}/patterns-rows/batch=1").collect()) == [3, 4]
+    assert not (tmp_path / "patterns-rows" / "batch=0").exists()
+
+
+def test_pieces_of_a_log_have_a_file_for_each_core(spark, tmp_path):
+    for n in (30_000, 30):
+        ST.arriving(spark, spark.range(n).withColumnRenamed("id", "seq").coalesce(1), f"{tmp_path}/{n}")
+        files = {len(list((tmp_path / str(n) / "log" / f"part-{i}").glob("*.parquet"))) for i in range(3)}
+        assert files == {min(spark.sparkContext.defaultParallelism, 10) if n > 30 else 1}
