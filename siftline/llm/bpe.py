@@ -12,14 +12,13 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from siftline.llm.common import mix, slices, texts, whole
+from siftline.llm.common import kept, mix, slices, texts, whole
 from siftline.llm.pieces import PieceMemory
 
 NONE = np.int32(2**31 - 1)
@@ -196,11 +195,14 @@ class Vocabulary:
         return table[step + np.arange(ends[-1])].tobytes()
 
 
-@lru_cache(maxsize=2)
 def vocabulary(path: str, pattern: str) -> Vocabulary:
     """The vocabulary of a rank file; read once in each worker."""
-    with open(path, "rb") as lines:
-        return Vocabulary({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}, pattern)
+
+    def read() -> Vocabulary:
+        with open(path, "rb") as lines:
+            return Vocabulary({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}, pattern)
+
+    return kept((Vocabulary, path, pattern), read)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -16,13 +16,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from siftline.llm.common import cut, slices, whole
+from siftline.llm.common import cut, release, slices
 
 #: Context bytes; contexts of each language; distinct texts of each language that are learned from, chosen by their hash.
 ORDER, STATES, TRAINING_ROWS = 4, 8192, 400
 MOST_LANGUAGES = 500
 #: Texts are scored in stretches of so many bytes side by side; each begins in the state that the bytes before it lead to.
 STRETCH = 256
+#: Bytes of text that a task scores at once.
+SLICE = 1 << 20
 #: Letters A-Z count as a-z, for learning and scoring alike.
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
@@ -48,7 +50,8 @@ def gram_counts(labelled: DataFrame, order: int = ORDER) -> DataFrame:
     """``lang, gram, n``: how often each context and byte occur, over whole texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 1 << 20):
+        release()
+        for part in slices(batches, "text", SLICE):
             by: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
                 by.setdefault(lang, []).append(_grams(text.encode(), order))
@@ -110,7 +113,7 @@ class Model:
 
     def code_lengths(self, raw: list[bytes]) -> np.ndarray:
         """Bits of each text in each language."""
-        flat = self.symbol[np.frombuffer(b"".join(raw), np.uint8)]
+        flat = self.symbol.astype(np.int16)[np.frombuffer(b"".join(raw), np.uint8)]
         sizes = np.array([len(r) for r in raw], np.int64)
         starts = np.cumsum(sizes) - sizes
         pieces = -(-sizes // STRETCH)
@@ -221,25 +224,27 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _scored(rows: DataFrame, model: Model) -> DataFrame:
-    """``row, lang_pred, score`` of rows ``row, text``; the struct ``row`` goes through untouched."""
+def _scored(rows: DataFrame, model: Model, through: list[str]) -> DataFrame:
+    """The columns ``through`` of ``rows`` as they are, ``lang_pred`` and ``score``, from the column ``text``."""
     sent = rows.sparkSession.sparkContext.broadcast(model)  # bounded by its states and languages
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         own = sent.value
-        for part in slices(batches, "text"):
-            text = part.column("text").to_pylist()
+        for part in slices(batches, "text", SLICE):
+            # A text without letters counts as an empty one.
+            text = [t if known else "" for t, known in zip(part.column("text").to_pylist(), part.column("_letters").to_pylist())]
             names, score = [NONE] * len(text), np.zeros(len(text))
             if own.langs:
                 bits = own.code_lengths([t.encode() for t in text])
                 share = 1 / np.exp2(bits.min(axis=1, keepdims=True) - bits).sum(axis=1)
                 names = [own.langs[b] if t else NONE for b, t in zip(bits.argmin(axis=1), text)]
                 score = np.where([bool(t) for t in text], share, 0.0)
-            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(names, pa.string()), pa.array(score)], ["row", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*map(part.column, through), pa.array(names, pa.string()), pa.array(score)], [*through, "lang_pred", "score"])
 
-    # A text without letters goes as an empty one.
-    scored = rows.select("row", F.when(whole().rlike(r"\p{L}"), whole()).otherwise("").alias("text"))
-    return scored.mapInArrow(predict, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double")
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters")
+    kinds = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in through)
+    return rows.select("row", "text", letters).mapInArrow(predict, f"{kinds}lang_pred string, score double")
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -248,8 +253,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     ``score`` is the share of the language among all, if they were equally likely before. A text that is null or has no
     letter, and any text where no language was learned, is ``und`` with score 0. Other columns are not read.
     """
-    rows = docs.select(F.struct(F.col("doc_id").cast("bigint").alias("doc_id")).alias("row"), "text")
-    return _scored(rows, model).select("row.doc_id", "lang_pred", "score")
+    rows = docs.select(F.struct(F.col("doc_id").cast("bigint").alias("doc_id")).alias("row"), F.col("text").cast("string").alias("text"))
+    return _scored(rows, model, ["row"]).select("row.doc_id", "lang_pred", "score")
 
 
 def language_model(docs: DataFrame) -> Model:
@@ -265,5 +270,7 @@ def predicted(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
     """The rows of ``docs`` whose language is known, with all their columns; ``und`` and scores below ``least`` go."""
-    rows = docs.select(F.struct("*").alias("row"), "text")
-    return _scored(rows, language_model(docs)).filter((F.col("lang_pred") != NONE) & (F.col("score") >= least)).select("row.*")
+    # Texts go to the Python workers and back once, beside the other columns.
+    rows = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), F.col("text").cast("string").alias("text"))
+    known = _scored(rows, language_model(docs), ["row", "text"]).filter((F.col("lang_pred") != NONE) & (F.col("score") >= least))
+    return known.select(*[F.col("text" if c == "text" else f"row.`{c}`").alias(c) for c in docs.columns])

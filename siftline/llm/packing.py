@@ -12,13 +12,12 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from siftline.llm.common import cut, slices, texts, whole
+from siftline.llm.common import cut, kept, slices, texts, whole
 from siftline.llm.pieces import PieceMemory
 
 CAPACITY, END_ID = 1024, 2
@@ -76,9 +75,8 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return kept((Encoder, path), lambda: Encoder(path))
 
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"

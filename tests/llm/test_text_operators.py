@@ -185,6 +185,26 @@ def test_a_language_keeps_its_contexts_beside_longer_ones(spark):
     assert beside.langs == ["aa", "bb"] and beside.code_lengths(texts)[:, 1] == pytest.approx(alone.code_lengths(texts)[:, 0])
 
 
+def test_texts_go_to_the_workers_once_and_memory_of_other_operators_is_given_up(spark, monkeypatch):
+    docs = frame(spark)
+    sent, plain = [], type(docs).mapInArrow
+
+    def noted(df, run, *more):
+        sent.append((df, run))
+        return plain(df, run, *more)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", noted)
+    kept = language_id.keep_identified(docs)
+    scored, predict = sent[-1]
+    assert scored.schema["row"].dataType.names == [c for c in docs.columns if c != "text"] and sum(c == "text" for c in scored.columns) == 1
+    whole = {(r.doc_id, r.text) for r in docs.collect()}
+    assert {(r.doc_id, r.text) for r in kept.collect()} < whole
+    before = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert packing.encoder(public_tokenizers.path("byte_bpe_50k.json")) is before
+    list(predict(iter(scored.limit(3).toArrow().to_batches())))
+    assert packing.encoder(public_tokenizers.path("byte_bpe_50k.json")) is not before
+
+
 # --- byte-level BPE -------------------------------------------------------------------------------
 
 VOCABULARY = bpe.vocabulary(RANKS, public_tokenizers.PATTERN)
