@@ -32,6 +32,8 @@ MOST = 4096
 CHUNK = 1 << 20
 #: Bytes of text that a task hashes at once: each takes about ten numbers of 8 bytes.
 SLICE = 1 << 20
+#: Of these, as many go through each step together as fit into a core's cache with all their numbers.
+BLOCK = 1 << 17
 
 
 # --- anchors --------------------------------------------------------------------------------------
@@ -83,16 +85,19 @@ def _batch_segments(raw_texts: list[bytes]) -> tuple[np.ndarray, ...]:
     """Of texts: all bytes, their starts, and text, anchor, its place, first and last window start of each segment."""
     raw, sizes = np.frombuffer(b"".join(raw_texts), np.uint8), np.array([len(t) for t in raw_texts], np.int64)
     ends = np.cumsum(sizes)
-    if len(raw) <= 2 * SLICE:
-        anchor, place, first, last = segments(raw, ends)
-    else:  # a single very long text: its windows in stretches that overlap by a window
-        parts, stretch = [], SLICE
-        for at in range(0, len(raw), stretch):
-            near = raw[at : at + stretch + LENGTH - 1]
-            h, p, a, b = segments(near, np.clip(np.unique(np.append(ends[(ends > at) & (ends < at + len(near))] - at, len(near))), 0, len(near)))
+    starts = ends - sizes
+    parts = [segments(raw[:0], np.zeros(1, np.int64))]
+    edges = np.append(starts[np.flatnonzero(np.diff(starts // BLOCK, prepend=-1))], len(raw)).tolist()  # blocks of whole texts
+    for begin, end in zip(edges, edges[1:]):
+        # A very long text: its windows in stretches that overlap by a window.
+        stretch = max(end - begin, 1) if end - begin <= 2 * SLICE else SLICE
+        for at in range(begin, end, stretch):
+            near = raw[at : min(at + stretch + LENGTH - 1, end)]
+            own = ends[np.searchsorted(ends, at, side="right") : np.searchsorted(ends, at + len(near))] - at
+            h, p, a, b = segments(near, np.append(own, len(near)))
             parts.append((h, p + at, a + at, b + at))
-        anchor, place, first, last = (np.concatenate(x) for x in zip(*parts))
-    return raw, ends - sizes, np.searchsorted(ends, first, side="right"), anchor, place, first, last
+    anchor, place, first, last = (np.concatenate(x) for x in zip(*parts))
+    return raw, starts, np.searchsorted(ends, first, side="right"), anchor, place, first, last
 
 
 def anchors(rows: DataFrame) -> DataFrame:
@@ -361,8 +366,12 @@ def suffix_order(raw: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.
 def previous_smaller(values: np.ndarray) -> np.ndarray:
     """For each place the nearest one before it with a smaller value, or -1: pointers that jump over larger values."""
     at = np.arange(-1, len(values) - 1)
-    while len(wrong := np.flatnonzero((at >= 0) & (values[at] >= values))):
-        at[wrong] = at[at[wrong]]
+    wrong = np.arange(len(values))
+    while len(wrong):  # only those whose place may still be wrong are looked at again
+        to = at[wrong]
+        still = (to >= 0) & (values[to] >= values[wrong])
+        wrong, to = wrong[still], to[still]
+        at[wrong] = at[to]
     return at
 
 

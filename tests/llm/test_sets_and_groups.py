@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 
 import numpy as np
 import pytest
@@ -193,3 +194,20 @@ def test_long_text_in_stretches(monkeypatch):
     windows = lambda parts: {(int(h), w) for h, _, a, b in zip(*parts) for w in range(a, b + 1)}
     near = [suffix_dedup.segments(np.frombuffer(raw[a : a + 1000 + 49], np.uint8), np.array([len(raw[a : a + 1000 + 49])])) for a in range(0, len(raw), 1000)]
     assert windows(whole) == {(h, w + 1000 * k) for k, part in enumerate(near) for h, w in windows(part)}
+
+
+def test_previous_smaller_of_a_long_climb():
+    began = time.process_time()
+    got = suffix_dedup.previous_smaller(np.append(np.arange(1, 100_001), 0))
+    assert got.tolist() == [*range(-1, 99_999), -1] and time.process_time() - began < 6
+
+
+def test_segments_of_blocks_are_those_of_each_text(monkeypatch):
+    texts = [sentence(i, n).encode() for i, n in enumerate([40, 0, 3, 200, 1, 900, 12, 5000, 0, 60, 60])] + [b""]
+    own = lambda part: {(int(i), int(h), int(p - b), w - b) for i, h, p, a, z in zip(*part[2:]) for b in [part[1][i]] for w in range(a, z + 1)}
+    alone = {(i, *rest) for i, text in enumerate(texts) for _, *rest in own(suffix_dedup._batch_segments([text]))}
+    for block, most in ((1 << 17, 1 << 20), (500, 1 << 20), (500, 700), (1, 1)):
+        monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+        monkeypatch.setattr(suffix_dedup, "SLICE", max(most, 60))
+        assert own(suffix_dedup._batch_segments(texts)) == alone
+    assert own(suffix_dedup._batch_segments([b"", b""])) == set()
