@@ -264,10 +264,10 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     first = real.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "packed")).alias("f"))
     reps = cut(first.select("set_a", "set_b", F.col("f.doc_id").alias("rep"), "f.n_shingles", "f.bands", "f.packed"), "reps")
 
-    # Buckets with two members at least. Counts and members read one shuffle.
+    # Buckets with two members at least. Counts and members read one shuffle, and are merged as they come from it.
     keyed = reps.select(F.explode("bands").alias("key"), "rep").repartition("key")
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("low"), F.max("rep").alias("high")).filter("size > 1")
-    hits = cut(keyed.join(buckets, "key"), "buckets")
+    hits = cut(keyed.join(buckets.hint("merge"), "key"), "buckets")
     texts = cut(docs.select(F.col("doc_id").cast("bigint").alias("rep"), whole().alias("text")).join(hits.select("rep").distinct(), "rep", "left_semi"), "texts")
 
     # Against both ends of the buckets: the best candidate of each kind.
@@ -289,7 +289,10 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     classes = real.select("doc_id", "set_a", "set_b").join(reps.select("set_a", "set_b", "rep"), ["set_a", "set_b"])
     repeated = classes.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b")
     tied = classes.join(repeated.select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    final = components(links.union(more).union(tied)).withColumnRenamed("node", "rep")
+    further = cut(more.union(tied), "further")
+    # Stars stand for the links that made them; without further links they are final.
+    joined = roots if further.isEmpty() else components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(further))
+    final = joined.withColumnRenamed("node", "rep")
     found = classes.join(final, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "rep")).alias("component_id"))
     out = signed.select("doc_id", "n_shingles").join(found, "doc_id", "left")
     component: Column = F.coalesce("component_id", "doc_id")

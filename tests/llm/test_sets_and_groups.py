@@ -78,6 +78,31 @@ def test_components_of_chains_and_stars(spark):
     assert graph.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_components_spare_the_driver(spark, monkeypatch):
+    """Stars take one round, and no round broadcasts a table."""
+    plans, write = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df, name: (plans.append(df._jdf.queryExecution().toString()), write(df, name))[1])
+    edges = spark.createDataFrame([(1, 2), (3, 1), (1, 1), (7, 8)], "a bigint, b bigint")
+    assert {r.node: r.root for r in graph.components(edges).collect()} == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7}
+    assert len(plans) == 2 and not any("Broadcast" in plan for plan in plans)
+
+
+def test_near_groups_without_further_links_join_once(spark, monkeypatch):
+    calls, join = [], near_dedup.components
+    monkeypatch.setattr(near_dedup, "components", lambda edges: (calls.append(edges), join(edges))[1])
+    base = sentence(41, 120)
+    docs = spark.createDataFrame([(5, base + " end"), (2, base), (9, base), (7, sentence(42, 50)), (None, base)], "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(docs).collect()}
+    assert got == {5: 2, 2: 2, 9: 2, 7: 7, None: None} and len(calls) == 1
+
+
+def test_near_groups_with_further_links(spark):
+    """An id that repeats with another text ties two components that links had made."""
+    one, two = sentence(43, 120), sentence(44, 120)
+    docs = spark.createDataFrame([(1, one), (4, one + " end"), (6, two), (8, two + " end"), (8, one + " other end")], "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in near_dedup.near_groups(docs).collect()} == {1: 1, 4: 1, 6: 1, 8: 1}
+
+
 # --- near-duplicates ------------------------------------------------------------------------------
 
 
