@@ -3,7 +3,9 @@
 A byte goes if it lies in a string of ``LENGTH`` bytes that also starts in a document of a smaller id. To bring equal
 strings together, each window of ``LENGTH`` bytes is known by its anchor, the run of ``ANCHOR`` bytes in it with the
 smallest hash: equal windows have equal anchors. Windows with one anchor lie side by side and form a segment. Copies of
-whole texts are set aside first. Of anchors that several documents have, the digests of their segments are compared: equal
+whole texts are set aside first. Which anchors several documents have is found from packed hashes of all of them. An anchor is
+so long that unlike documents hardly share one by chance, however many they are: of a short one, all that follows would grow
+faster than the input. Of anchors that several documents have, the digests of their segments are compared: equal
 segments go in all documents but the first. Where segments of one anchor differ, checksums of what is around the anchor
 tell whether they can share a window; only then their bytes are brought together.
 
@@ -25,7 +27,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from siftline.llm.common import cut, mix, slices, spans_of, texts, whole
 
-LENGTH, ANCHOR = 50, 16
+LENGTH, ANCHOR = 50, 32
+#: One odd number for each word of 8 bytes of an anchor.
+FACTORS = [np.uint64(f) for f in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 #: Documents of an anchor that are compared in one task; anchors of more go the way of :func:`frequent_firsts`.
 MOST = 4096
 #: Bytes of segments in one suffix array; one anchor's segments stay together.
@@ -34,6 +38,10 @@ CHUNK = 1 << 20
 SLICE = 1 << 20
 #: Of these, as many go through each step together as fit into a core's cache with all their numbers.
 BLOCK = 1 << 17
+#: Bytes of text whose anchors, about a tenth as many, a task looks through at once for those of several documents.
+PART = 1 << 22
+#: Anchors that a task gathers before it deals them out to the parts.
+GATHERED = 1 << 20
 
 
 # --- anchors --------------------------------------------------------------------------------------
@@ -63,8 +71,10 @@ def segments(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, none
     eight = _words_at(raw)
-    run = eight[8:] * np.uint64(0xC2B2AE3D27D4EB4F)
-    run += eight[: n - 8] * np.uint64(0x9E3779B97F4A7C15)
+    known = n - ANCHOR + 8
+    run = eight[:known] * FACTORS[0]
+    for k, factor in enumerate(FACTORS[1:], 1):
+        run += eight[8 * k : 8 * k + known] * factor
     del eight, own
     run ^= run >> np.uint64(31)
     run *= np.uint64(0x94D049BB133111EB)
@@ -100,66 +110,95 @@ def _batch_segments(raw_texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return raw, starts, np.searchsorted(ends, first, side="right"), anchor, place, first, last
 
 
-def anchors(rows: DataFrame) -> DataFrame:
-    """``anchor, doc``: each anchor of each document once, of rows ``doc, text``."""
+def _names(anchor: np.ndarray) -> np.ndarray:
+    """32 bits that tell anchors of one part from each other. Two of one name pass for shared, and are told apart by their bytes."""
+    return mix(anchor).astype(np.uint32).view(np.int32)
+
+
+def _groups(anchor: np.ndarray) -> np.ndarray:
+    """40 bits by which segments of one anchor come together: two anchors of one group are as one that has more segments."""
+    return (mix(anchor) >> np.uint64(24)).view(np.int64)
+
+
+def _rows_of(data: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Bytes of the numbers from each of the places ``at`` to the next."""
+    ends = pa.py_buffer((np.append(at, len(data)) * data.itemsize).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, ends, pa.py_buffer(np.ascontiguousarray(data))])
+
+
+PACKED = "part int, anchors binary, docs binary"
+
+
+def anchors(rows: DataFrame, parts: int) -> DataFrame:
+    """``part, anchors, docs``: each anchor of each document once, of rows ``doc, text``. Anchors fall into ``parts``; those of
+    many documents that fall into one are a row: their names, and how far each one's document is from the one before, the
+    bytes of one place together, so that small distances leave zeros in a row."""
+
+    def deal(anchor: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+        part = ((mix(anchor) >> np.uint64(48)) % np.uint64(parts)).astype(np.uint16)
+        order = np.argsort(part, kind="stable")
+        part, doc = part[order].astype(np.int32), doc[order].view(np.uint64)
+        at = np.flatnonzero(np.diff(part, prepend=-1))
+        step = np.diff(doc, prepend=np.uint64(0))
+        step[at] = doc[at]
+        steps, edges = step.astype("<u8").view(np.uint8).reshape(-1, 8), [*at.tolist(), len(part)]
+        docs = pa.array([steps[a:b].T.tobytes() for a, b in zip(edges, edges[1:])], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(part[at]), _rows_of(_names(anchor[order]), at), docs], ["part", "anchors", "docs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         with np.errstate(over="ignore"):
             for part in slices(batches, "text", SLICE):
                 _, _, own, anchor, *_ = _batch_segments([t.encode() for t in texts(part)])
                 order = np.lexsort((anchor, own))
                 own, anchor = own[order], anchor[order]
                 new = np.diff(own, prepend=-1).astype(bool) | np.r_[True, anchor[1:] != anchor[:-1]][: len(anchor)]
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[new].astype(np.int64)), part.column("doc").take(pa.array(own[new]))], ["anchor", "doc"])
+                held.append((anchor[new], part.column("doc").to_numpy()[own[new]]))
+                size += len(held[-1][0])
+                if size >= GATHERED:
+                    yield deal(*(np.concatenate(x) for x in zip(*held)))
+                    held, size = [], 0
+            if size:
+                yield deal(*(np.concatenate(x) for x in zip(*held)))
 
-    return rows.mapInArrow(run, "anchor bigint, doc bigint")
+    return rows.mapInArrow(run, PACKED)
 
 
 def shared_anchors(found: DataFrame) -> DataFrame:
-    """``doc, anchor, frequent`` of anchors that several documents have; ``frequent`` where they are more than ``MOST``."""
+    """``doc, mark`` of anchors that several documents have: twice the name, and one more where they are more than ``MOST``."""
+
+    def flush(packed: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        name = np.frombuffer(b"".join(x for x, _ in packed), np.int32)
+        doc = np.concatenate([np.cumsum(np.frombuffer(x, np.uint8).reshape(8, -1).T.copy().view("<u8")[:, 0]).view(np.int64) for _, x in packed])
+        order = np.argsort(name)
+        name, doc = name[order], doc[order]
+        start = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
+        size = np.diff(np.append(start, len(name)))
+        several = np.maximum.reduceat(doc, start) > np.minimum.reduceat(doc, start)
+        keep, hot = np.repeat(several, size), np.repeat(size > MOST, size)
+        mark = (name.astype(np.int64) * 2 + hot)[keep]
+        order = np.argsort(doc[keep], kind="stable")  # rows of one document in a row take less room
+        return pa.RecordBatch.from_arrays([pa.array(doc[keep][order]), pa.array(mark[order])], ["doc", "mark"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64)]  # rows of an anchor that may go on
-        frequent = None  # the anchor whose rows are let through at once
-
-        def out(anchor: np.ndarray, doc: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(anchor), pa.array(hot)], ["doc", "anchor", "frequent"])
+        last, held = None, []
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for part, *packed in zip(*(c.to_pylist() for c in batch.columns)):
+                    if part != last and held:
+                        yield flush(held)
+                        held = []
+                    last = part
+                    held.append(packed)
+            if held:
+                yield flush(held)
 
-        def flush(anchor: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
-            start = np.flatnonzero(np.diff(anchor, prepend=anchor[:1] - 1))
-            size = np.diff(np.append(start, len(anchor)))
-            several = np.maximum.reduceat(doc, start) > np.minimum.reduceat(doc, start) if len(start) else np.zeros(0, bool)
-            keep, hot = np.repeat(several, size), np.repeat(size > MOST, size)
-            return out(anchor[keep], doc[keep], hot[keep])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            anchor, doc = batch.column("anchor").to_numpy(), batch.column("doc").to_numpy()
-            if frequent is not None:
-                same = int(np.searchsorted(anchor != frequent, True))
-                yield out(anchor[:same], doc[:same], np.ones(same, bool))
-                anchor, doc = anchor[same:], doc[same:]
-                if not len(anchor):
-                    continue
-                frequent = None
-            anchor, doc = np.concatenate([held[0], anchor]), np.concatenate([held[1], doc])
-            at = int(np.searchsorted(anchor == anchor[-1], True))
-            yield flush(anchor[:at], doc[:at])
-            held = [anchor[at:], doc[at:]]
-            if len(held[0]) > MOST and held[1].min() < held[1].max():
-                frequent = held[0][0]
-                yield out(*held, np.ones(len(held[0]), bool))
-                held = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
-        if len(held[0]):
-            yield flush(*held)
-
-    return found.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc bigint, anchor bigint, frequent boolean")
+    return found.repartition("part").sortWithinPartitions("part").mapInArrow(run, "doc bigint, mark bigint")
 
 
 class Chosen(NamedTuple):
-    """Segments of a batch whose anchors its rows list: all bytes of the batch, and for each segment its text, anchor, place in
-    the text, place among all bytes, length, and the anchor's place in it."""
+    """Segments of a batch whose anchors its rows list: all bytes of the batch, and for each segment its text, anchor's group, place
+    in the text, place among all bytes, length, and the anchor's place in it."""
 
     raw: bytes
     own: np.ndarray
@@ -171,16 +210,17 @@ class Chosen(NamedTuple):
 
 
 def _chosen(part: pa.RecordBatch, column: str) -> Chosen:
-    """The segments whose anchors the row lists in ``column``."""
+    """The segments whose anchors the row lists in ``column``: by group in ``wanted``, else by name."""
     raw_texts = [t.encode() for t in texts(part)]
     raw, base, own, anchor, place, first, last = _batch_segments(raw_texts)
-    signed, lists = anchor.astype(np.int64), part.column(column)
+    group, lists = _groups(anchor), part.column(column)
+    told = group if column == "wanted" else _names(anchor)
     edges, chosen = np.searchsorted(own, np.arange(len(raw_texts) + 1)), np.zeros(len(anchor), bool)
     for i in range(len(raw_texts)):
         a, b = edges[i], edges[i + 1]
-        chosen[a:b] = np.isin(signed[a:b], lists[i].values.to_numpy(zero_copy_only=False))
+        chosen[a:b] = np.isin(told[a:b], lists[i].values.to_numpy(zero_copy_only=False))
     own, first = own[chosen], first[chosen]
-    return Chosen(raw.tobytes(), own, signed[chosen], first - base[own], first, last[chosen] + LENGTH - first, place[chosen] - first)
+    return Chosen(raw.tobytes(), own, group[chosen], first - base[own], first, last[chosen] + LENGTH - first, place[chosen] - first)
 
 
 def _digests(raw: bytes, at: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
@@ -197,19 +237,25 @@ def _digests(raw: bytes, at: np.ndarray, size: np.ndarray, width: int) -> np.nda
 
 
 def _sides(found: Chosen) -> np.ndarray:
-    """Two 32-bit checksums of half a window to the left and to the right of each anchor, 0 where no window reaches so far.
+    """Two 16-bit checksums of half a window to the left and to the right of each anchor, 0 where no window reaches so far.
 
     A window has at least half of what is not its anchor on one side, so segments that share a window share a checksum.
     """
     half = (LENGTH - ANCHOR) // 2
     width, place = half + ANCHOR, found.at + found.inside
-    check = lambda at: (_digests(found.raw, at, np.full(len(at), width), width) >> np.uint64(32)) | np.uint64(1)
+    check = lambda at: (_digests(found.raw, at, np.full(len(at), width), width) >> np.uint64(48)) | np.uint64(1)
     left = np.where(found.inside >= half, check(np.maximum(place - half, 0)), np.uint64(0))
     right = np.where(found.inside + width <= found.size, check(place), np.uint64(0))
-    return ((left << np.uint64(32)) | right).view(np.int64)
+    return ((left << np.uint64(16)) | right).astype(np.uint32).view(np.int32)
+
 
+def _spans_of(start: np.ndarray, stop: np.ndarray) -> pa.Array:
+    """Start and end of each span in one number (no Spark text is longer than 31 bits tell)."""
+    return pa.array(start.astype(np.int64) << 32 | stop.astype(np.int64))
 
-KEYS = "anchor bigint, key bigint, sides bigint, doc bigint, tag bigint, start int, size int"
+
+SPANS = "doc bigint, tag bigint, span bigint"
+KEYS = "anchor bigint, key bigint, sides int, doc bigint, tag bigint, span bigint"
 #: A segment starts at most so many bytes before its anchor and ends so many behind it.
 WIDEST = 2 * LENGTH - ANCHOR
 
@@ -231,9 +277,9 @@ def segment_keys(listed: DataFrame, column: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(anchor[one]), pa.array(key[one]), pa.array(sides[one]), part.column("doc").take(take), part.column("tag").take(take),
-                        pa.array(found.start[one].astype(np.int32)), pa.array(size.astype(np.int32)),
+                        _spans_of(found.start[one], found.start[one] + size),
                     ],
-                    ["anchor", "key", "sides", "doc", "tag", "start", "size"],
+                    ["anchor", "key", "sides", "doc", "tag", "span"],
                 )
 
     return listed.filter(F.size(column) > 0).select("doc", "tag", "text", "row", "few", "many").mapInArrow(run, KEYS)
@@ -264,23 +310,10 @@ def segment_bytes(listed: DataFrame, column: str) -> DataFrame:
     return listed.filter(F.size(column) > 0).select("doc", "tag", "text", "row", column).mapInArrow(run, SEGMENTS)
 
 
-SPANS = "doc bigint, tag bigint, packed binary"
-
-
-def _packed(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Spans as one row for each document: starts and ends as unsigned 32-bit numbers (no Spark text is longer)."""
-    order = np.lexsort((tag, doc))
-    doc, tag = doc[order], tag[order]
-    both = np.stack([start[order], stop[order]], 1).astype("<u4")
-    at = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])][: len(doc)])
-    ends = pa.py_buffer(np.append(at, len(doc)).astype(np.int32) * np.int32(8))
-    return doc[at], tag[at], pa.Array.from_buffers(pa.binary(), len(at), [None, ends, pa.py_buffer(both)])
-
-
 def compared_keys(keys: DataFrame) -> DataFrame:
-    """``doc, tag, packed, wanted``: what goes because an earlier document has an equal segment, and the anchors of
+    """``doc, tag, span, wanted``: what goes because an earlier document has an equal segment, and the anchors of
     segments that are the first of their kind and may share a window with another document's."""
-    names = ["anchor", "key", "sides", "doc", "tag", "start", "size"]
+    names = ["anchor", "key", "sides", "doc", "tag", "span"]
 
     def alike(anchor: np.ndarray, side: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """Whether another document has the same checksum at the anchor."""
@@ -293,24 +326,23 @@ def compared_keys(keys: DataFrame) -> DataFrame:
 
     def compare(columns: list[np.ndarray]) -> pa.RecordBatch:
         order = np.lexsort((columns[3], columns[1], columns[0]))
-        anchor, key, sides, doc, tag, start, size = (c[order] for c in columns)
+        anchor, key, sides, doc, tag, span = (c[order] for c in columns)
         new = np.r_[True, (anchor[1:] != anchor[:-1]) | (key[1:] != key[:-1])]
         kind = np.cumsum(new) - 1
         gone = doc > doc[np.flatnonzero(new)][kind]
         # One row of each kind stands for it; alone among its kinds at the anchor it is alike to none.
-        h, s, d = anchor[new], sides[new].view(np.uint64), doc[new]
-        ask = (alike(h, s >> np.uint64(32), d) | alike(h, s & np.uint64(0xFFFFFFFF), d))[kind] & ~gone
-        d, t, packed = _packed(doc[gone], tag[gone], start[gone], start[gone] + size[gone])
-        rows = pa.RecordBatch.from_arrays([pa.array(d), pa.array(t), packed, pa.nulls(len(d), pa.list_(pa.int64()))], [*"dtpw"])
+        h, s, d = anchor[new], sides[new].view(np.uint32), doc[new]
+        ask = (alike(h, s >> np.uint32(16), d) | alike(h, s & np.uint32(0xFFFF), d))[kind] & ~gone
+        order = np.argsort(doc[gone], kind="stable")  # rows of one document in a row take less room
+        d, t, span = (c[gone][order] for c in (doc, tag, span))
+        rows = pa.RecordBatch.from_arrays([pa.array(d), pa.array(t), pa.array(span), pa.nulls(len(d), pa.int64())], [*"dtsw"])
         d, h = doc[ask], anchor[ask]
         order = np.lexsort((h, d))
         d, h = d[order], h[order]
         new = np.r_[True, (d[1:] != d[:-1]) | (h[1:] != h[:-1])][: len(d)]
         d, h = d[new], h[new]
-        at = np.flatnonzero(np.r_[True, d[1:] != d[:-1]][: len(d)])
-        lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(d)).astype(np.int32)), pa.array(h))
-        asked = pa.RecordBatch.from_arrays([pa.array(d[at]), pa.array(np.zeros(len(at), np.int64)), pa.nulls(len(at), pa.binary()), lists], [*"dtpw"])
-        return pa.Table.from_batches([rows, asked]).rename_columns(["doc", "tag", "packed", "wanted"]).combine_chunks()
+        asked = pa.RecordBatch.from_arrays([pa.array(d), pa.array(np.zeros(len(d), np.int64)), pa.nulls(len(d), pa.int64()), pa.array(h)], [*"dtsw"])
+        return pa.Table.from_batches([rows, asked]).rename_columns(["doc", "tag", "span", "wanted"]).combine_chunks()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -326,7 +358,7 @@ def compared_keys(keys: DataFrame) -> DataFrame:
         if size:
             yield from compare([np.concatenate(c) for c in zip(*held)]).to_batches()
 
-    return keys.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, f"{SPANS}, wanted array<bigint>")
+    return keys.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, f"{SPANS}, wanted bigint")
 
 
 # --- suffix arrays --------------------------------------------------------------------------------
@@ -427,12 +459,12 @@ def _spans(rows: list[tuple[int, int, int, list[int], bytes]]) -> Iterator[tuple
 
 
 def differing_spans(found: DataFrame) -> DataFrame:
-    """``doc, tag, packed``: what goes of segments that differ, from suffix arrays over groups of anchors."""
+    """``doc, tag, span``: what goes of segments that differ, from suffix arrays over groups of anchors."""
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         spans = np.array(list(_spans(rows)), np.int64).reshape(-1, 4).T
-        doc, tag, packed = _packed(*spans)
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(tag), packed], ["doc", "tag", "packed"])
+        doc, tag, start, stop = spans[:, np.argsort(spans[0], kind="stable")]
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(tag), _spans_of(start, stop)], ["doc", "tag", "span"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
@@ -450,21 +482,24 @@ def differing_spans(found: DataFrame) -> DataFrame:
 
 
 def frequent_firsts(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """For anchors of many documents, as aggregates and joins that no single task has to hold: ``doc, tag, start, stop`` of
+    """For anchors of many documents, as aggregates and joins that no single task has to hold: ``doc, tag, span`` of
     segments that an earlier document has, and ``doc, wanted`` of those that are the first of their kind."""
     first = keys.groupBy("anchor", "key").agg(F.min("doc").alias("first"))
     seen = keys.join(first, ["anchor", "key"])
-    copied = seen.filter("doc > first").select("doc", "tag", F.col("start").cast("bigint").alias("start"), (F.col("start") + F.col("size")).cast("bigint").alias("stop"))
+    copied = seen.filter("doc > first").select("doc", "tag", "span")
     return copied, seen.filter("doc = first").groupBy("doc").agg(F.collect_set("anchor").alias("wanted"))
 
 
 def frequent_windows(found: DataFrame) -> DataFrame:
-    """``doc, tag, start, stop`` of windows of segments that a smaller document among them has."""
+    """``doc, tag, span`` of windows of segments that a smaller document among them has."""
+    # Known by half of a SHA-256, which is a third as long.
+    window = F.substring(F.unhex(F.sha2(F.substring("bytes", F.col("at"), F.lit(LENGTH)), 256)), 1, 16)
     place = F.explode(F.sequence(F.lit(1), F.octet_length("bytes") - LENGTH + 1)).alias("at")
-    windows = found.select("doc", "tag", "starts", "bytes", place).select("doc", "tag", "starts", "at", F.substring("bytes", F.col("at"), F.lit(LENGTH)).alias("window"))
+    windows = found.select("doc", "tag", "starts", "bytes", place).select("doc", "tag", "starts", "at", window.alias("window"))
     smallest = windows.groupBy("window").agg(F.min("doc").alias("first"))
     gone = windows.join(smallest, "window").filter("first < doc").select("doc", "tag", "at", F.explode("starts").alias("start"))
-    return gone.select("doc", "tag", (F.col("start") + F.col("at") - 1).alias("start"), (F.col("start") + F.col("at") - 1 + LENGTH).alias("stop"))
+    start = F.col("start") + F.col("at") - 1
+    return gone.select("doc", "tag", F.shiftleft(start, 32).bitwiseOR(start + LENGTH).alias("span"))
 
 
 # --- documents ------------------------------------------------------------------------------------
@@ -472,47 +507,49 @@ def frequent_windows(found: DataFrame) -> DataFrame:
 
 def with_spans(docs: DataFrame, row: list[str]) -> DataFrame:
     """``row`` (the named columns), ``text``, ``tag``, ``copy`` (an earlier document has the whole text) and ``spans``
-    (``tag, start, stop, packed`` of what goes; null for nothing).
+    (``tag, span`` of what goes; null for nothing).
 
     All joins are on ``doc``, which is never null. All branches take the same columns along, needed or not, so that they read
     one shuffle of the texts and one of the lists.
     """
     key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("doc")
     rows = docs.select(key, whole().alias("text"), F.struct(*row).alias("row"))
-    thin = cut(rows.select("doc", F.sha2(F.col("text").cast("binary"), 256).alias("digest")), "digests")
+    thin = cut(rows.select("doc", F.octet_length("text").alias("size"), F.sha2(F.col("text").cast("binary"), 256).alias("digest")), "digests")
     first = cut(thin.groupBy("digest").agg(F.min("doc").alias("first")), "firsts")
     about = cut(thin.join(first, "digest").groupBy("doc").agg((F.count(F.lit(1)) > 1).alias("repeated"), (F.min("first") < F.first("doc")).alias("copy")), "about")
     # Only texts of an id that repeats need a tag to tell them apart, and they go the long way.
     told = rows.join(about.hint("merge"), "doc").select("doc", "text", "row", F.when(F.col("repeated"), F.xxhash64("text")).otherwise(0).alias("tag"), (F.col("copy") & ~F.col("repeated")).alias("copy"))
 
-    shared = shared_anchors(anchors(told.filter("NOT copy").select("doc", "text", "row")))
-    lists = shared.groupBy("doc").agg(F.collect_list(F.when(~F.col("frequent"), F.col("anchor"))).alias("few"), F.collect_list(F.when(F.col("frequent"), F.col("anchor"))).alias("many"))
+    parts = 1 + (thin.agg(F.sum("size")).first()[0] or 0) // PART
+    shared = shared_anchors(anchors(told.filter("NOT copy").select("doc", "text", "row"), parts))
+    marked = lambda bit: F.collect_list(F.when(F.col("mark").bitwiseAND(1) == bit, F.shiftright("mark", 1).cast("int")))
+    # Gathered from thin rows: the lists of each task for each document would hold less and less the more tasks there are.
+    lists = shared.repartition("doc").groupBy("doc").agg(marked(0).alias("few"), marked(1).alias("many"))
     listed = told.filter("NOT copy").join(lists.hint("merge"), "doc")
     few = compared_keys(segment_keys(listed, "few"))
     copied, wanted_many = frequent_firsts(segment_keys(listed, "many"))
-    asked = few.filter("wanted IS NOT NULL").groupBy("doc").agg(F.flatten(F.collect_list("wanted")).alias("wanted"))
+    asked = few.filter("wanted IS NOT NULL").select("doc", "wanted").repartition("doc").groupBy("doc").agg(F.collect_list("wanted").alias("wanted"))
     asking = lambda wanted: told.filter("NOT copy").join(wanted.hint("merge"), "doc")
-    packed = few.filter("packed IS NOT NULL").select("doc", "tag", "packed").union(differing_spans(segment_bytes(asking(asked), "wanted")))
-    plain = copied.union(frequent_windows(segment_bytes(asking(wanted_many), "wanted")))
-    none = F.lit(None)
-    spans = packed.select("doc", "tag", none.cast("bigint").alias("start"), none.cast("bigint").alias("stop"), "packed").union(plain.select("doc", "tag", "start", "stop", none.cast("binary")))
-    gathered = spans.groupBy("doc").agg(F.collect_list(F.struct("tag", "start", "stop", "packed")).alias("spans"))
+    spans = few.filter("span IS NOT NULL").select("doc", "tag", "span").union(differing_spans(segment_bytes(asking(asked), "wanted")))
+    spans = spans.union(copied).union(frequent_windows(segment_bytes(asking(wanted_many), "wanted")))
+    gathered = spans.repartition("doc").groupBy("doc").agg(F.collect_list(F.struct("tag", "span")).alias("spans"))
     return told.join(gathered.hint("merge"), "doc", "left").select("row", "text", "tag", "copy", "spans")
 
 
 def _kept(part: pa.RecordBatch) -> Iterator[tuple[bytes, np.ndarray]]:
     """The bytes of each text, and which of them stay."""
-    for text, tag, copy, spans in zip(texts(part), *(part.column(c).to_pylist() for c in ("tag", "copy", "spans"))):
+    spans = part.column("spans")
+    ends, (tags, both) = spans.offsets.to_numpy(), (c.to_numpy() for c in spans.values.flatten())
+    for text, tag, copy, a, b in zip(texts(part), part.column("tag").to_pylist(), part.column("copy").to_pylist(), ends, ends[1:]):
         raw = text.encode()
         if copy and len(raw) >= LENGTH:
             yield raw, np.zeros(len(raw), bool)
             continue
-        own = [s for s in spans or () if s["tag"] == tag]
-        if not own:
+        own = both[a:b][tags[a:b] == tag]
+        if not len(own):
             yield raw, np.ones(len(raw), bool)
             continue
-        both = np.concatenate([np.frombuffer(s["packed"], "<u4").reshape(-1, 2) if s["packed"] is not None else np.array([[s["start"], s["stop"]]]) for s in own])
-        change = np.bincount(both[:, 0], minlength=len(raw) + 1) - np.bincount(both[:, 1], minlength=len(raw) + 1)
+        change = np.bincount(own >> 32, minlength=len(raw) + 1) - np.bincount(own & (2**32 - 1), minlength=len(raw) + 1)
         yield raw, np.cumsum(change[:-1]) == 0
 
 

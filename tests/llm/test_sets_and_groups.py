@@ -236,3 +236,37 @@ def test_segments_of_blocks_are_those_of_each_text(monkeypatch):
         monkeypatch.setattr(suffix_dedup, "SLICE", max(most, 60))
         assert own(suffix_dedup._batch_segments(texts)) == alone
     assert own(suffix_dedup._batch_segments([b"", b""])) == set()
+
+
+def test_unlike_texts_hardly_share_anchors():
+    words = "the of and to in is that for it on by this with as was or an be at not are from".split()
+    rng, owners = np.random.default_rng(8), {}
+    for i in range(60):
+        raw = " ".join(rng.choice(words, 5000)).encode()
+        for h in set(suffix_dedup.segments(np.frombuffer(raw, np.uint8), np.array([len(raw)]))[0].tolist()):
+            owners.setdefault(h, set()).add(i)
+    shared = sum(len(o) > 1 for o in owners.values())
+    assert len(owners) > 50_000 and shared < len(owners) / 500
+
+
+def test_shared_anchors_of_packed_ones(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MOST", 2)
+    monkeypatch.setattr(suffix_dedup, "GATHERED", 500)
+    line, pair = sentence(31, 40), sentence(32, 40)
+    texts = [(i, f"{sentence(100 + abs(i) % 97, 60)} {line if i % 2 else ''} {pair if i in (4, 2**62) else ''}") for i in (-(2**63), 4, 5, 7, 9, 9, 2**62, 11)]
+    own = {}
+    for i, text in texts:
+        for h in suffix_dedup.segments(np.frombuffer(text.encode(), np.uint8), np.array([len(text.encode())]))[0]:
+            own.setdefault(int(suffix_dedup._names(np.array([h]))[0]), []).append((i, text))
+    want = sorted({(i, 2 * name + (len(set(rows)) > 2)) for name, rows in own.items() if len({i for i, _ in rows}) > 1 for i, _ in rows})
+    rows = spark.createDataFrame(texts, "doc bigint, text string")
+    for parts in (1, 7):
+        got = [tuple(r) for r in suffix_dedup.shared_anchors(suffix_dedup.anchors(rows, parts)).collect()]
+        assert sorted(set(got)) == want and any(m % 2 for _, m in want) and not all(m % 2 for _, m in want)
+
+
+def test_lists_and_spans_are_gathered_from_thin_rows(spark):
+    plan = suffix_dedup.without_repeats(frame(spark))._jdf.queryExecution().executedPlan().toString()
+    lines = plan[plan.index("Initial Plan") :].splitlines() if "Initial Plan" in plan else plan.splitlines()
+    below = [after for line, after in zip(lines, lines[1:]) if "functions=[collect_list(" in line]
+    assert below and all("functions=[partial_collect_list(" in line for line in below)  # no exchange of lists between the two
